@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm import bpe, syncmers, toxicity
-from marlspike.llm.common import crc_mod, documents
+from marlspike.llm import bpe, host_rules, licenses, mixing, ngram_lm, oracles, simhash, syncmers, token_edits, toxicity, warc
+from marlspike.llm.common import crc_mod, documents, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -36,9 +36,58 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    whole = warc.read_archives(spark, manifest, folder).where("last")
+    return whole.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    measured = table(host_rules.measure(documents(spark, sf_dir).select("doc_id", "source", "text")).select("source", *columns), "quality")
+    return host_rules.judge(measured, host_rules.hosts(measured)).select(*columns, "kept")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(simhash.fingerprints(documents(spark, sf_dir).select("doc_id", "text")), "simhash-found")
+    return simhash.components(found).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text before and after three edits: from a third of its characters on a twentieth is
+    replaced by its first 40 characters; then the text gets " edited" at its end; then its first character goes."""
+    rank_file, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
+    n = F.length("text")
+
+    def edit(start, removed, inserted):
+        return F.struct(start.cast("int").alias("start"), removed.cast("int").alias("removed"), inserted.alias("inserted"))
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    middle, taken = F.floor(n / 3), F.floor(n / 20)
+    grown = n - taken + F.least(n, F.lit(40))
+    edits = F.array(edit(middle, taken, F.substring("text", 1, 40)), edit(grown, F.lit(0), F.lit(" edited")), edit(F.lit(0), F.lit(1), F.lit("")))
+    edited = token_edits.apply_edits(token_edits.build_trees(docs.withColumn("edits", edits), rank_file, pattern), rank_file, pattern)
+    return edited.select("doc_id", n.cast("long").alias("n_chars"), "n_tokens", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "edited_tokens", F.size("tree.tokens").cast("long").alias("n_leaves"), "encoded_chars")
+
+
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = ngram_lm.fit(docs.where(crc_mod("doc_id", 10) != 0))
+    return ngram_lm.score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_syncmers, op3_byte_bpe)}
+    found = (op1_toxicity, op2_syncmers, op3_byte_bpe, op4_warc, op5_mixing, op6_host_rules, op7_simhash, op8_licenses, op9_token_edits, op10_ngram_lm)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -2,7 +2,7 @@
 
 Each source's documents fall into BLOCKS hashed blocks. A source's quota is its target number of words: in each of two
 passes over its blocks, in an order permuted by hash, whole blocks are taken until the target lies within one; of that
-block the documents up to a hash limit are taken, and one more document of the source closes the rest best. The quota
+block the documents up to a hash limit are taken, and a few more documents of the source close the rest. The quota
 in blocks is split among the output shards by a binary tree: each node draws its left half's blocks from the sources
 without replacement (a multivariate hypergeometric draw, one source after another), so that the shards' quotas add up
 exactly; then shards receive disjoint runs of the permuted blocks, and each shard is ordered by hash.
@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_COPIES = 1.5, 2
 BLOCKS = 1024
+#: Share of a target, 3 times the source's largest document at most, that single documents fill.
+RESERVE = 0.15
 SHARDS = 8
 SEED = 7
 ADDED = ("size", "source_size", "target", "taken", "shards")
@@ -97,37 +99,52 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     order = F.xxhash64(F.lit(seed), F.col(key))
     placed = docs.withColumns({"size": sizes(F.col(text)), "_key": order, "_block": F.pmod(order, F.lit(blocks)).cast("int")})
     light = table(placed.select(F.col(source).alias("source"), F.col("_block").alias("block"), F.col("_key").alias("key"), "size"), "mix-sizes")
-    cells = light.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
+    cells = light.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("size").alias("largest"))
+    sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"), F.max("largest").alias("largest")))
     sources = table(sources, "mix-targets")
 
     passes = F.explode(F.array(F.lit(1), F.lit(2)))
     wanted = sources.withColumn("pass", passes).withColumn("want", F.greatest(F.lit(0.0), F.least(F.col("source_size").cast("double"), F.col("target") - (F.col("pass") - 1) * F.col("source_size"))))
+    # blocks fill all but a reserve, from which single documents close the rest
+    reserve = F.when(F.col("want") < F.col("source_size"), F.least(F.col("want") * RESERVE, 3.0 * F.col("largest"))).otherwise(F.lit(0.0))
+    wanted = wanted.withColumn("by_block", F.col("want") - reserve).drop("largest")
+    cells = cells.drop("largest")
     null_safe = lambda a, b: a["source"].eqNullSafe(b["source"])
     dealt = cells.join(wanted, null_safe(cells, wanted)).drop(wanted["source"])
     permuted = F.xxhash64(F.lit(seed), F.lit("block"), F.col("rank"), F.col("pass"), F.col("block"))
     by_source = Window.partitionBy("rank", "pass").orderBy("permuted", "block")
     dealt = dealt.withColumn("permuted", permuted).withColumn("upto", F.sum("words").over(by_source.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.col("upto") - F.col("words")
-    state = F.when(F.col("upto") <= F.col("want"), "whole").when(before < F.col("want"), "part")
-    chosen = table(dealt.withColumn("state", state).withColumn("rest", F.col("want") - before).where("state is not null").select("source", "rank", "pass", "block", "permuted", "state", "rest"), "mix-blocks")
+    state = F.when(F.col("upto") <= F.col("by_block"), "whole").when((before <= F.col("by_block")) & (F.col("want") > 0), "part")
+    chosen = table(dealt.withColumn("state", state).withColumns({"rest": F.col("by_block") - before, "reserve": F.col("want") - F.col("by_block")}).where("state is not null").select("source", "rank", "pass", "block", "permuted", "state", "rest", "reserve"), "mix-blocks")
 
     # documents of the block in which the target lies: those up to a hash limit
-    part = chosen.where("state = 'part'").select("source", "rank", "pass", "block", "rest")
+    part = chosen.where("state = 'part'").select("source", "rank", "pass", "block", "rest", "reserve")
     inner_order = F.xxhash64(F.lit(seed), F.lit("document"), F.col("pass"), F.col("key"))
     inside = light.join(part, null_safe(light, part) & (light["block"] == part["block"])).drop(part["source"], part["block"]).withColumn("order", inner_order)
     running = F.sum("size").over(Window.partitionBy("rank", "pass").orderBy("order"))
-    limits = inside.withColumn("running", running).groupBy("rank", "pass").agg(F.max(F.when(F.col("running") <= F.col("rest"), F.col("order"))).alias("limit"), F.max(F.when(F.col("running") <= F.col("rest"), F.col("running"))).alias("filled"), F.max("rest").alias("rest"))
+    limits = inside.withColumn("running", running).groupBy("rank", "pass").agg(F.max(F.when(F.col("running") <= F.col("rest"), F.col("order"))).alias("limit"), F.max(F.when(F.col("running") <= F.col("rest"), F.col("running"))).alias("filled"), F.max(F.col("rest") + F.col("reserve")).alias("rest"))
     limits = table(limits.select("rank", "pass", "limit", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("left")), "mix-limits")
 
-    # the document, of those not taken in the pass, that closes the rest best
+    # documents, of those not taken in the pass, that close the rest: of each size class (an eighth of a power of two) the largest and
+    # the smallest are candidates; the largest that fits is taken until none does, then one that comes nearer, if any
     open_passes = limits.where("left > 0").join(sources.select("source", "rank"), "rank")
     rest = light.join(open_passes, null_safe(light, open_passes)).drop(open_passes["source"])
     state_of = chosen.select("rank", "pass", "block", "state")
     rest = rest.join(state_of, ["rank", "pass", "block"], "left").withColumn("order", inner_order)
     untaken = F.col("state").isNull() | ((F.col("state") == "part") & (F.col("limit").isNull() | (F.col("order") > F.col("limit"))))
-    off = F.abs(F.col("left") - F.col("size"))
-    closing = rest.where(untaken & (F.col("size") > 0) & (off < F.col("left"))).groupBy("rank", "pass").agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key")))["key"].alias("closing"))
+    one = F.struct("size", "key")
+    classes = rest.where(untaken & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left"))).groupBy("rank", "pass", F.floor(8 * F.log2("size")).alias("class")).agg(F.max(one).alias("most"), F.min(one).alias("least"), F.max("left").alias("left"))
+    candidates = classes.groupBy("rank", "pass").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array("most", "least")))), asc=False).alias("some"), F.max("left").alias("left"))
+
+    def take(acc: Column, c: Column) -> Column:
+        fits = c["size"] <= acc["left"]
+        return F.struct(F.when(fits, acc["left"] - c["size"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.array_append(acc["keys"], c["key"])).otherwise(acc["keys"]).alias("keys"))
+
+    greedy = F.aggregate("some", F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("keys")), take)
+    nearer = lambda c: ~F.array_contains(F.col("g.keys"), c["key"]) & (F.abs(F.col("g.left") - c["size"]) < F.col("g.left"))
+    last = F.array_min(F.transform(F.filter("some", nearer), lambda c: F.struct(F.abs(F.col("g.left") - c["size"]).alias("off"), c["key"].alias("key"))))["key"]
+    closing = candidates.withColumn("g", greedy).select("rank", "pass", F.array_compact(F.array_append(F.col("g.keys"), last)).alias("closing"))
 
     # blocks in their permuted order meet the shards' quotas
     quotas = chosen.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
@@ -151,7 +168,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         ordered = F.xxhash64(F.lit(seed), F.lit("document"), F.lit(p), F.col("_key"))
         taken = (F.col(f"state{p}") == "whole") | ((F.col(f"state{p}") == "part") & (ordered <= F.col(f"limit{p}")))
         spare = F.pmod(F.xxhash64(F.lit(seed), F.lit("closing"), F.lit(p), F.col("_key")), F.lit(shards)).cast("int")
-        return F.when(taken, F.col(f"shard{p}").cast("int")).when(F.col("_key") == F.col(f"closing{p}"), spare)
+        return F.when(taken, F.col(f"shard{p}").cast("int")).when(F.array_contains(F.col(f"closing{p}"), F.col("_key")), spare)
 
     copies = F.array_compact(F.array(copy(1), copy(2)))
     out = joined.withColumn("shards", copies).withColumn("taken", (F.col("size") * F.size("shards")).cast("long"))

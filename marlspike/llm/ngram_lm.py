@@ -40,8 +40,10 @@ from marlspike.llm.common import fresh_path, table, without
 DISCOUNT, ADD = 0.75, 0.1
 #: Words that a shard should hold.
 SHARD_WORDS = 250_000
+#: Shards of small vocabularies.
+LEAST_SHARDS = 16
 #: Distinct words or pairs that a task gathers before it hands them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 #: Logarithms are kept in steps of 1 / STEPS, from 0 to -16.
@@ -447,7 +449,7 @@ def fit(docs: DataFrame, text: str = "text", shard_words: int = SHARD_WORDS) ->
     folder = fresh_path(spark, "lm-trie")
     words = table(_count_words(docs, text), "lm-words")
     kinds = words.count()
-    shards = 1
+    shards = LEAST_SHARDS
     while shards * shard_words < kinds:
         shards *= 2
     vocabulary, tokens = _build_vocabulary(words, folder, shards)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.operators import analytics
+from marlspike.operators import analytics, audience
 
-MODULES: list = [analytics]
+MODULES: list = [analytics, audience]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.operators import analytics, audience
+from marlspike.operators import analytics, audience, planning
 
-MODULES: list = [analytics, audience]
+MODULES: list = [analytics, audience, planning]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

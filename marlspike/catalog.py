@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.operators import analytics, audience, planning
+from marlspike.operators import analytics, audience, leads, planning
 
-MODULES: list = [analytics, audience, planning]
+MODULES: list = [analytics, audience, planning, leads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1,17 @@
+"""Helpers that shape multi-step plans."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the folder of spark.checkpoint.dir (a temporary one where it is unset): lineage ends there."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plan-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

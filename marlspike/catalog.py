@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.operators import analytics, audience, leads, planning
+from marlspike.operators import analytics, audience, leads, mail, planning
 
-MODULES: list = [analytics, audience, planning, leads]
+MODULES: list = [analytics, audience, planning, leads, mail]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

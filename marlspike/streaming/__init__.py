@@ -1 +1,96 @@
+"""Structured Streaming forms of the event handlers: idempotent ingestion, message state, hard stops, counters, windows.
 
+Each function turns a streaming (or batch) frame of events into a streaming (or batch) result; run() drives a stream over
+what is there now and returns its final table, with the checkpoint and the result in the shared folder.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: How late events may come: the look-back of the mail sync.
+LATENESS = "14 days"
+TERMINAL = ("bounced", "complained", "replied", "unsubscribed")
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream, with the schema of the table."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def run(stream: DataFrame, mode: str) -> DataFrame:
+    """Processes all that is available and returns the result: appended rows, or the last complete table."""
+    spark = stream.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+    written: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes the same folder
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch-{number}")
+        if mode == "complete":
+            written.clear()
+        if f"batch-{number}" not in written:
+            written.append(f"batch-{number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(*[f"{path}/out/{b}" for b in written]) if written else spark.createDataFrame([], schema)
+
+
+def _plain(event_type):
+    return F.lower(F.regexp_replace(event_type, r"(?i)^email\.", ""))
+
+
+def ingest_once(events: DataFrame, key: str = "provider_event_id", at: str = "event_at") -> DataFrame:
+    """Each provider id once; copies within the lateness are dropped."""
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, LATENESS)
+    return timed.dropDuplicatesWithinWatermark([key]) if events.isStreaming else timed.dropDuplicates([key])
+
+
+def known_only(events: DataFrame, messages: DataFrame) -> DataFrame:
+    """Events of known messages; others are ignored (a stream-static join)."""
+    return events.join(messages.select(F.col("id").alias("message_id"), F.col("status").alias("sent_status")), "message_id")
+
+
+def message_state(events: DataFrame) -> DataFrame:
+    """Per message: first open, click, reply and bounce, last event, and the status they lead to.
+
+    Opens and clicks promote alone from sent; the strongest event counts whatever the order of arrival.
+    """
+    kind = _plain(F.col("event_type"))
+    first = lambda k: F.min(F.when(kind == k, F.col("event_at")))
+    state = events.groupBy("message_id").agg(first("opened").alias("opened_at"), first("clicked").alias("clicked_at"), first("replied").alias("replied_at"), first("bounced").alias("bounced_at"), F.max("event_at").alias("last_event_at"), F.count(F.lit(1)).alias("events"))
+    status = F.when(F.col("bounced_at").isNotNull(), "bounced").when(F.col("replied_at").isNotNull(), "replied").when(F.col("clicked_at").isNotNull(), "clicked").when(F.col("opened_at").isNotNull(), "opened").otherwise("sent")
+    return state.withColumn("status", status)
+
+
+def hard_stops(events: DataFrame) -> DataFrame:
+    """Per enrollment the first terminal event by event time (ties by name): when and why it stopped."""
+    kind = _plain(F.col("event_type"))
+    ended = events.where(kind.isin(*TERMINAL) & F.col("enrollment_id").isNotNull())
+    return ended.groupBy("enrollment_id").agg(F.min(F.struct(F.col("event_at").alias("at"), kind.alias("kind"))).alias("s")).select("enrollment_id", F.col("s.at").alias("stopped_at"), F.col("s.kind").alias("stop_reason"))
+
+
+def click_counts(events: DataFrame) -> DataFrame:
+    """The running click counter of each link."""
+    return events.where(_plain(F.col("event_type")) == "clicked").groupBy("message_id", "link_no").agg(F.count(F.lit(1)).alias("clicks"))
+
+
+def hourly(events: DataFrame) -> DataFrame:
+    """Extension: events by hour and kind."""
+    timed = events.withColumn("at", F.col("event_at").cast("timestamp")).withWatermark("at", LATENESS)
+    return timed.groupBy(F.window("at", "1 hour").alias("w"), _plain(F.col("event_type")).alias("kind")).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "kind", "events")
+
+
+def recent_duplicates(mails: DataFrame, seconds: int = 60) -> DataFrame:
+    """Batch: mails with an earlier one of the same sender and subject at most so many seconds before."""
+    from pyspark.sql import Window
+
+    before = F.lag("received_s").over(Window.partitionBy("sender", "subject").orderBy("received_s", "id"))
+    return mails.withColumn("is_duplicate", F.coalesce(F.col("received_s") - before <= seconds, F.lit(False)))

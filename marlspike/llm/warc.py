@@ -47,12 +47,14 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
-    light = rows.select("key", "digest", "bytes")
+    # one name for key and digest: the join and the removal of repeated rows then share a shuffle of the payloads
+    rows = rows.withColumn("capture", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "digest"))
+    light = rows.select("capture", "key", "digest", "bytes")
     largest = light.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("winner"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    verdicts = light.select("key", "digest").join(largest, "digest").where(~F.col("key").eqNullSafe(F.col("winner"))).select(F.col("key").alias("k"), F.col("digest").alias("d"), "winner").distinct()
-    joined = rows.join(verdicts, rows["key"].eqNullSafe(verdicts["k"]) & (rows["digest"] == verdicts["d"]), "left")
-    revisit = F.col("k").isNotNull() | F.col("winner").isNotNull()
-    return joined.dropDuplicates(["key", "digest"]).select(
+    verdicts = light.join(largest, "digest").where(~F.col("key").eqNullSafe(F.col("winner"))).select("capture", "winner", F.lit(True).alias("revisit")).distinct()
+    joined = rows.join(verdicts, "capture", "left").dropDuplicates(["capture"])
+    revisit = F.coalesce("revisit", F.lit(False))
+    return joined.select(
         "key", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to")
     )
 

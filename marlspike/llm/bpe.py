@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marlspike.llm.common import without
+from marlspike.llm.common import map_arrow, without
 
 MAX_RANK_BYTES = 64 << 20
 #: Texts longer than this many characters are cut at safe boundaries.
@@ -88,7 +88,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
                     yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], lists], names=[*kept, ids])
                     first, n, parts = i + 1, 0, []
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -106,4 +106,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decode
                 data = [encoding.decode_bytes(lists[i].values.to_pylist()) if lists[i].is_valid else b"" for i in range(first, first + rows.num_rows)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(data, pa.binary())], names=[*rows.schema.names, decoded])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

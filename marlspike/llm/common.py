@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SHARED: dict[str, str] = {}
+#: Bytes of one Arrow batch on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +60,19 @@ def crc_mod(name: str, modulus: int) -> Column:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops the columns an operator is about to add, so that a clashing input column is replaced by the result."""
     return df.drop(*[n for n in names if n in df.columns])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_BYTES (a setting of the session), whatever the length of the texts.
+
+    A worker that has ended a task hands what it freed back to the system, so that idle workers don't keep it from others.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def bounded(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(bounded, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspike.llm import textvec
-from marlspike.llm.common import fresh_path, table, without
+from marlspike.llm.common import fresh_path, map_arrow, table, without
 
 DISCOUNT, ADD = 0.75, 0.1
 #: Words that a shard should hold.
@@ -313,7 +313,7 @@ def _count_words(docs: DataFrame, text: str) -> DataFrame:
         if gathered.waiting:
             yield out()
 
-    return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _build_vocabulary(words: DataFrame, folder: str, shards: int) -> tuple[Vocabulary, int]:
@@ -343,7 +343,7 @@ def _build_vocabulary(words: DataFrame, folder: str, shards: int) -> tuple[Vocab
         if waiting:
             yield out()
 
-    built = table(dealt.mapInArrow(run, "shard int, path string, size long, tokens long"), "lm-vocabulary").collect()
+    built = table(map_arrow(dealt, run, "shard int, path string, size long, tokens long"), "lm-vocabulary").collect()
     paths, sizes = [None] * shards, [0] * shards
     for r in built:
         paths[r["shard"]], sizes[r["shard"]] = r["path"], r["size"]
@@ -438,9 +438,9 @@ def _build_successors(docs: DataFrame, text: str, model: Model) -> DataFrame:
         if waiting:
             yield out()
 
-    blocks = docs.select(text).mapInArrow(gather, "shard int, pairs long, block binary")
+    blocks = map_arrow(docs.select(text), gather, "shard int, pairs long, block binary")
     dealt = blocks.repartition(shards, "shard").sortWithinPartitions("shard")
-    return table(dealt.mapInArrow(build, "shard int, path string, kinds array<long>"), "lm-successors")
+    return table(map_arrow(dealt, build, "shard int, path string, kinds array<long>"), "lm-successors")
 
 
 def fit(docs: DataFrame, text: str = "text", shard_words: int = SHARD_WORDS) -> Model:
@@ -528,4 +528,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 columns = [pa.array(np.diff(limits)), pa.array(sums[0]), pa.array(np.full(last - first, m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *columns], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

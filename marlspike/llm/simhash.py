@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import table, without
+from marlspike.llm.common import map_arrow, table, without
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 BUCKET, LEAF, FAN = 4_096, 16, 8
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "simhash", keep_
             found = np.fromiter((text_fingerprint(texts[i].as_py() or "") for i in range(batch.num_rows)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found.view(np.int64))], names=[*kept, to])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _level_masks(levels: int = 4) -> list[list[int]]:
@@ -192,7 +192,7 @@ def _links(rows: DataFrame) -> DataFrame:
         if len(fp):
             yield links(bucket, fp)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import without
+from marlspike.llm.common import map_arrow, without
 from marlspike.llm.textvec import mix
 
 K, S = 12, 4
@@ -146,7 +146,7 @@ def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint", size
             texts = [x or "" for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([to_text(x) for x in sketches(texts, size)], pa.string())], names=[*batch.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def anchor_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,7 +162,7 @@ def anchor_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 keys = batch.column(key).slice(first, 64).take(pa.array(number[order]))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(position[order]), pa.array(hashed[order].astype(np.int64))], names=[key, "position", "anchor"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return map_arrow(df.select(key, text), run, schema)
 
 
 def _range_of(key: Column, cuts: list[int], parts: int) -> Column:
@@ -255,4 +255,4 @@ def successor_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         if waiting:
             yield flush()
 
-    return ordered.mapInArrow(run, schema)
+    return map_arrow(ordered, run, schema)

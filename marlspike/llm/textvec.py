@@ -22,7 +22,7 @@ _inverses = np.ones(1, dtype=np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _MULTIPLIER, np.uint64)]), dtype=np.uint64)
         _inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _INVERSE, np.uint64)]), dtype=np.uint64)
     return _powers, _inverses
@@ -49,7 +49,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of whole rows with at most limit bytes each; a longer row is a run of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marlspike.llm import bpe
-from marlspike.llm.common import without
+from marlspike.llm.common import map_arrow, without
 
 SEGMENT = 512
 
@@ -116,7 +116,7 @@ def build_trees(df: DataFrame, rank_file: str, pattern: str, text: str = "text")
                 added = [pa.array([t.n_tokens for t in trees], pa.int64()), pa.array([{"chars": t.chars, "tokens": t.tokens} for t in trees], TREE_ARROW)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def apply_edits(df: DataFrame, rank_file: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:
@@ -143,4 +143,4 @@ def apply_edits(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
                 columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), TREE_ARROW, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspike.llm import textvec
-from marlspike.llm.common import table, without
+from marlspike.llm.common import map_arrow, table, without
 
 BITS = 22
 #: Bound of the sample of labelled rows that a model is fitted on (expected number of rows).
@@ -163,4 +163,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, bits: int
             p = 1 / (1 + np.exp(-np.clip(slope * total + shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

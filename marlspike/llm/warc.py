@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import fresh_path, table
+from marlspike.llm.common import fresh_path, map_arrow, table
 
 CHUNK = 1 << 20
 #: An archive is closed beyond this many bytes.
@@ -124,7 +124,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1, archive_bytes
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
 
-    return table(chunks.mapInArrow(run, MANIFEST), "warc-manifest")
+    return table(map_arrow(chunks, run, MANIFEST), "warc-manifest")
 
 
 def _members(stream) -> Iterator[bytes | None]:
@@ -212,7 +212,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, schema)
+    return map_arrow(manifest.select("path").repartition(n, "path"), run, schema)
 
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None) -> tuple[DataFrame, str]:

@@ -59,7 +59,7 @@ def dedupe_batch(leads: DataFrame) -> DataFrame:
     """row_number, status, match within one batch, as if rows were taken one by one.
 
     A row that shares a key of the exact tiers with an earlier accepted row is a DUPLICATE and is not itself compared
-    with later ones. Rounds: a row that is the first open one under each of its keys is accepted; open rows that share a
+    with later ones; accepted rows may be POSSIBLE_DUPLICATEs of earlier accepted ones. Rounds: a row that is the first open one under each of its keys is accepted; open rows that share a
     key with it are duplicates. The number of rounds is that of the longest chain of decisions, not of rows.
     """
     keys = _keys()
@@ -77,8 +77,27 @@ def dedupe_batch(leads: DataFrame) -> DataFrame:
         accepted = accepted.unionByName(winners)
         gone = hit if gone is None else gone.unionByName(hit)
         open_pairs = written(open_pairs.join(winners, "row_number", "left_anti").join(hit.select("row_number"), "row_number", "left_anti"), "dedupe-open")
-    out = accepted.select("row_number", F.lit("UNIQUE").alias("status"), F.lit(None).cast("long").alias("match"))
-    return out if gone is None else out.unionByName(gone.select("row_number", F.lit("DUPLICATE").alias("status"), "match"))
+    possible = _possible(leads.join(written(accepted, "dedupe-accepted"), "row_number"))
+    return possible if gone is None else possible.unionByName(gone.select("row_number", F.lit("DUPLICATE").alias("status"), "match"))
+
+
+def _possible(accepted: DataFrame) -> DataFrame:
+    """row_number, status, match of accepted rows: POSSIBLE_DUPLICATE with an earlier one by phone, else by a likeness of names.
+
+    The first row of a phone, and the first alike row among a block's first 50, decide; they count if they come earlier.
+    """
+    digits = F.regexp_replace("phone", r"\D", "")
+    block = F.when(F.length("name") >= BLOCK + 1, F.substring("name", 1, BLOCK))
+    rows = accepted.select("row_number", "user_id", "name", digits.alias("phone_key"), block.alias("block"))
+    phones = rows.where("phone_key is not null").groupBy("user_id", "phone_key").agg(F.min("row_number").alias("by_phone"))
+    place = F.row_number().over(Window.partitionBy("user_id", "prefix").orderBy("row_number"))
+    firsts = rows.withColumn("prefix", F.substring("name", 1, BLOCK)).withColumn("place", place).where(F.col("place") <= CANDIDATES).select("user_id", F.col("prefix").alias("block"), F.col("name").alias("other"), F.col("row_number").alias("other_row"))
+    names = rows.where("block is not null").select("user_id", "name", "block").distinct()
+    alike = names.join(firsts, ["user_id", "block"]).where(X.dice(F.col("name"), F.col("other")) >= SIMILAR).groupBy("user_id", "name").agg(F.min("other_row").alias("by_name"))
+    joined = rows.join(phones, ["user_id", "phone_key"], "left").join(alike, ["user_id", "name"], "left")
+    earlier = lambda c: F.when(F.col(c) < F.col("row_number"), F.col(c))
+    match = F.coalesce(earlier("by_phone"), earlier("by_name"))
+    return joined.select("row_number", F.when(match.isNull(), "UNIQUE").otherwise("POSSIBLE_DUPLICATE").alias("status"), match.alias("match"))
 
 
 def resolve(leads: DataFrame, organizations: DataFrame, search: DataFrame) -> DataFrame:

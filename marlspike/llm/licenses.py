@@ -1,7 +1,8 @@
 """Licence scans by a positional index of rare words, in DataFrame functions alone.
 
-One pass over the whole texts keeps, for each row, the places of the words that occur in any licence template (a small
-fixed vocabulary); document frequencies of those words over all rows give their IDF. Each row then looks up its RARE
+One pass over the whole texts keeps, for each row, the words that occur in any licence template (a small fixed
+vocabulary), and their places where the row has all words of some template's key phrase: no other row can have a
+verified placement. Document frequencies of those words over all rows give their IDF. Each row with places then looks up its RARE
 licence words of highest IDF in the templates' postings; postings that agree on the relative position (place in the text
 less place in the template) point to a placement, whose share of the template's IDF is its score; a placement counts if
 the template's mandatory key phrase stands at its very place.
@@ -65,8 +66,13 @@ def _doubled(phrase: str) -> str:
     return " " + "  ".join(phrase.split()) + " "
 
 
+def _has_key_words(seen: Column) -> Column:
+    """Whether the words of some template's key phrase are all among a row's licence words."""
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(seen, w) for w in sorted(set(key.split()))]) for _, _, key in TEMPLATES])
+
+
 def scan_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, with n_words, base columns and hits: (place, word) of each licence word, in order."""
+    """docs without text, with n_words, base columns, seen (distinct licence words) and hits: (place, word) of each licence word, in order, or null."""
     words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), lambda w: w != "")
 
     def of_words(w: Column) -> Column:
@@ -85,11 +91,12 @@ def scan_words(docs: DataFrame, text: str = "text") -> DataFrame:
             behind = F.floor(_spaces(F.substring_index(spaced, needle, -1)) / 2).cast("long")
             last.append(F.when(there, s["n_words"] - behind - len(phrase.split())))
         labels = F.array_compact(F.array(*[F.when(c > 0, F.lit(label)) for c, label in zip(counts, PHRASES.values(), strict=True)]))
-        return F.struct(s["n_words"].alias("n_words"), s["hits"].alias("hits"), reduce(lambda a, b: a + b, counts).alias("n_base"), F.array_min(F.array(*first)).alias("first_word"), F.array_max(F.array(*last)).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"))
+        return F.struct(s["n_words"].alias("n_words"), s["hits"].alias("hits"), F.array_distinct(F.transform(s["hits"], lambda h: h["word"])).alias("seen"), reduce(lambda a, b: a + b, counts).alias("n_base"), F.array_min(F.array(*first)).alias("first_word"), F.array_max(F.array(*last)).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"))
 
-    kept = without(docs, *ADDED, "hits", "base", "_scan")
+    kept = without(docs, *ADDED, "hits", "seen", "base", "_scan")
     found = kept.withColumn("_scan", let(let(words, of_words), of_text))
-    return found.select(*[c for c in kept.columns if c != text], "_scan.*")
+    wide = found.select(*[c for c in kept.columns if c != text], "_scan.*")
+    return wide.withColumn("hits", F.when(_has_key_words(F.col("seen")), F.col("hits")))
 
 
 def scan(docs: DataFrame, text: str = "text", rare: int = RARE, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -97,7 +104,7 @@ def scan(docs: DataFrame, text: str = "text", rare: int = RARE, least_score: flo
     spark = docs.sparkSession
     hits = table(scan_words(docs, text).withColumn("_row", F.monotonically_increasing_id()), "licence-words")
     # a row for each word of the vocabulary at most
-    frequent = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count().collect()
+    frequent = hits.select(F.explode("seen").alias("word")).groupBy("word").count().collect()
     rows, seen = hits.count(), {r["word"]: r["count"] for r in frequent}
     # IDF by natural logarithm, smoothed
     from math import log
@@ -114,7 +121,7 @@ def scan(docs: DataFrame, text: str = "text", rare: int = RARE, least_score: flo
     fact = F.broadcast(spark.createDataFrame(facts, "template int, label string, total double, key array<struct<place int, word string>>, key_at int, key_words int"))
 
     idf_of = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, word_idf double"))
-    flat = hits.where(F.size("hits") > 0).select("_row", F.explode("hits").alias("h")).select("_row", F.col("h.at").alias("at"), F.col("h.word").alias("word"))
+    flat = hits.where(F.col("hits").isNotNull()).select("_row", F.explode("hits").alias("h")).select("_row", F.col("h.at").alias("at"), F.col("h.word").alias("word"))
     words = flat.select("_row", "word").distinct().join(idf_of, "word")
     rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("word_idf"), "word"))).where(F.col("_n") <= rare).select("_row", "word")
     candidates = flat.join(rarest, ["_row", "word"]).join(posting, "word").groupBy("_row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("found"))

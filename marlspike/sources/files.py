@@ -103,8 +103,11 @@ def table_rows(sources: DataFrame) -> DataFrame:
     rows = headed.select("source_id", "mark", "fields", F.posexplode("lines").alias("pos", "line")).where("pos > 0")
     rows = rows.withColumn("pairs", F.zip_with("fields", cells(F.col("line"), F.col("mark")), lambda f, v: F.struct(f.alias("f"), v.alias("v"))))
     # of several columns of one field the last that isn't empty counts
-    found = {f: F.try_element_at(F.filter("pairs", lambda p, f=f: (p["f"] == f) & (p["v"] != "")), F.lit(-1))["v"] for f in FIELD_ALIASES}
-    out = rows.select("source_id", (F.col("pos") + 1).alias("row_number"), *[c.alias(f) for f, c in found.items()])
+
+    def last(field: str) -> Column:
+        return F.try_element_at(F.filter("pairs", lambda p: (p["f"] == field) & (p["v"] != "")), F.lit(-1))["v"]
+
+    out = rows.select("source_id", (F.col("pos") + 1).alias("row_number"), *[last(f).alias(f) for f in FIELD_ALIASES])
     host = F.split(F.split(F.regexp_replace("website", r"(?i)^(?:https?://)?(?:www\.)?", ""), "/")[0], r"\.")[0]
     out = out.withColumn("company", F.coalesce("company", F.when(F.col("website").isNotNull(), F.coalesce(F.nullif(host, F.lit("")), F.lit("Company")))))
     known = F.coalesce("company", "email", "website", "phone").isNotNull()

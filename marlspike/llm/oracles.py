@@ -37,4 +37,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
-SQL: dict[str, str] = {"op6_host_rules": HOST_RULES}
+# base32 of a SHA-1: five hex digits are four characters
+WARC = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), named AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY hex) AS winner,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, (i // 4 * 5 + 1)::INTEGER, 5))::INTEGER >> (15 - i % 4 * 5)::INTEGER) % 32 + 1, 1)), '') AS payload_digest
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN winner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN winner <> page_id THEN winner END AS refers_to FROM named
+"""
+
+SQL: dict[str, str] = {"op4_warc": WARC, "op6_host_rules": HOST_RULES}

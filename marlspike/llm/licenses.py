@@ -2,10 +2,11 @@
 
 One pass over the whole texts keeps, for each row, the words that occur in any licence template (a small fixed
 vocabulary), and their places where the row has all words of some template's key phrase: no other row can have a
-verified placement. Document frequencies of those words over all rows give their IDF. Each row with places then looks up its RARE
-licence words of highest IDF in the templates' postings; postings that agree on the relative position (place in the text
-less place in the template) point to a placement, whose share of the template's IDF is its score; a placement counts if
-the template's mandatory key phrase stands at its very place.
+verified placement. Document frequencies of those words over all rows give their IDF. The word of highest IDF in each
+template's key phrase is looked up in every row: wherever it stands, its relative position (place in the text less place
+in the template) proposes a placement, so that no place of a key phrase is missed. A placement counts if the mandatory key
+phrase stands at its very place; its score is the share of the template's IDF, from all licence words of the row that
+stand at their places.
 
 Base phrases are counted apart, exactly, wherever they stand; their labels always stay.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.llm.common import ascii_lower, table, without
@@ -52,8 +53,8 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
 )
 
-#: Distinct licence words of a row that are looked up, and the least share of a template's IDF that a placement needs.
-RARE, LEAST_SCORE = 12, 0.4
+#: The least share of a template's IDF that a placement needs.
+LEAST_SCORE = 0.4
 VOCABULARY = sorted({w for _, wording, _ in TEMPLATES for w in wording.split()})
 ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -99,7 +100,7 @@ def scan_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return wide.withColumn("hits", F.when(_has_key_words(F.col("seen")), F.col("hits")))
 
 
-def scan(docs: DataFrame, text: str = "text", rare: int = RARE, least_score: float = LEAST_SCORE) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """docs without text, with n_words, n_base, first_word, last_word (long), base_labels, labels (string), score (double)."""
     spark = docs.sparkSession
     hits = table(scan_words(docs, text).withColumn("_row", F.monotonically_increasing_id()), "licence-words")
@@ -113,22 +114,27 @@ def scan(docs: DataFrame, text: str = "text", rare: int = RARE, least_score: flo
     # postings and templates: a few hundred rows, fixed by TEMPLATES
     postings, facts = [], []
     for t, (label, wording, key) in enumerate(TEMPLATES):
-        template = wording.split()
-        postings += [(t, i, w, idf[w]) for i, w in enumerate(template)]
-        at = next(i for i in range(len(template)) if template[i : i + len(key.split())] == key.split())
-        facts.append((t, label, sum(idf[w] for w in template), [(at + i, w) for i, w in enumerate(key.split())], at, len(key.split())))
-    posting = F.broadcast(spark.createDataFrame(postings, "template int, place int, word string, idf double"))
-    fact = F.broadcast(spark.createDataFrame(facts, "template int, label string, total double, key array<struct<place int, word string>>, key_at int, key_words int"))
-
-    idf_of = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, word_idf double"))
+        template, phrase = wording.split(), key.split()
+        at = next(i for i in range(len(template)) if template[i : i + len(phrase)] == phrase)
+        postings += [(t, i, w, idf[w], at <= i < at + len(phrase)) for i, w in enumerate(template)]
+        first = max(range(len(phrase)), key=lambda i: (idf[phrase[i]], -i))
+        facts.append((t, label, sum(idf[w] for w in template), len(phrase), phrase[first], at + first))
+    posting = F.broadcast(spark.createDataFrame(postings, "template int, place int, word string, idf double, in_key boolean"))
+    fact = F.broadcast(spark.createDataFrame(facts, "template int, label string, total double, key_words int, word string, word_at int"))
+
     flat = hits.where(F.col("hits").isNotNull()).select("_row", F.explode("hits").alias("h")).select("_row", F.col("h.at").alias("at"), F.col("h.word").alias("word"))
-    words = flat.select("_row", "word").distinct().join(idf_of, "word")
-    rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("word_idf"), "word"))).where(F.col("_n") <= rare).select("_row", "word")
-    candidates = flat.join(rarest, ["_row", "word"]).join(posting, "word").groupBy("_row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("found"))
-    scored = candidates.join(fact, "template").withColumn("share", F.least(F.lit(1.0), F.col("found") / F.col("total"))).where(F.col("share") >= least_score)
-    # the key phrase: each of its words among the row's words at the placement
-    needed = scored.select("_row", "template", "offset", "label", "share", F.explode("key").alias("k"), "key_words").select("_row", "template", "offset", "label", "share", "key_words", (F.col("offset") + F.col("k.place")).alias("at"), F.col("k.word").alias("word"))
-    verified = needed.join(flat, ["_row", "at", "word"]).groupBy("_row", "template", "offset", "label", "share", "key_words").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("key_words"))
+    proposed = flat.join(fact, "word").select("_row", "template", (F.col("at") - F.col("word_at")).alias("offset"))
+    placement = ["_row", "template", "offset"]
+
+    def standing(placements: DataFrame, words: DataFrame) -> DataFrame:
+        """placements with each of the words that stands at its place there."""
+        wanted = placements.join(words, "template").select(*placement, "idf", (F.col("offset") + F.col("place")).alias("at"), "word")
+        return wanted.join(flat, ["_row", "at", "word"]).groupBy(*placement)
+
+    # the key phrase first: each of its words among the row's words at the placement; then the share of the whole template
+    keyed = standing(proposed, posting.where("in_key")).agg(F.count(F.lit(1)).alias("n")).join(fact, "template").where(F.col("n") == F.col("key_words")).select(*placement)
+    found = standing(keyed, posting).agg(F.sum("idf").alias("found")).join(fact, "template")
+    verified = found.withColumn("share", F.least(F.lit(1.0), F.col("found") / F.col("total"))).where(F.col("share") >= least_score)
     labels = verified.groupBy(F.col("_row").alias("_r")).agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     joined = hits.join(labels, hits["_row"] == labels["_r"], "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))

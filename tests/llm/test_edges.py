@@ -158,6 +158,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_texts_with_many_licence_words(spark):
+    """Verbatim notices keep their labels and full score, however many other licence words the text holds."""
+    vocabulary = " ".join(w for w in licenses.VOCABULARY for _ in range(2))
+    every = [(i, f"{vocabulary} ; {wording} ; {vocabulary}", "x") for i, (_, wording, _) in enumerate(licenses.TEMPLATES)]
+    whole = " ; ".join(wording for _, wording, _ in licenses.TEMPLATES)
+    rows = [*every, (100, whole, "x"), (101, licenses.TEMPLATES[0][1], "x"), (102, vocabulary, "x"), (103, "no licence here", "x")]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == pytest.approx(1.0)
+    assert found[100]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert found[101]["labels"] == "mit" and found[101]["score"] == pytest.approx(1.0)
+    assert (found[102]["labels"], found[102]["score"]) == (found[103]["labels"], found[103]["score"]) == ("", 0.0)
+
+
 def test_token_edits(docs, empty):
     edit = lambda start, removed, inserted: F.struct(F.lit(start).alias("start"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
     edits = F.array(edit(3, 2, "XY zed"), F.lit(None).cast("struct<start:int,removed:int,inserted:string>"), edit(10_000_000, 1, "end"))

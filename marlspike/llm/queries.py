@@ -37,7 +37,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), once=False)
     whole = warc.read_archives(spark, manifest, folder).where("last")
     return whole.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 

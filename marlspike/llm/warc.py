@@ -7,8 +7,9 @@ folder, and the manifest, a Parquet table, names the files of the attempts that
 
 Of records with equal payloads of at least min_bytes, that with the largest key is a response and the others are revisits.
 
-Cases: a null payload is empty; rows with equal key and payload are one capture; a null key counts as the smallest; a
-key with several payloads has a record for each; an empty table gives no archive and an empty result.
+Cases: a null payload is empty; rows with equal key and payload have a record each, told apart by a copy number in the
+record id, or with once are one capture with the url of any of them; a null key counts as the smallest; a key with several
+payloads has a record for each; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.llm.common import fresh_path, map_arrow, table
@@ -40,22 +41,26 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode("ascii")
 
 
-def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """key, url, payload (binary, null in revisits), digest (hex), bytes, record_type, refers_to (key); a row for each record.
+def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, once: bool = True) -> DataFrame:
+    """key, url, payload (binary, null in revisits), digest (hex), bytes, record_type, refers_to (key), copy; a row for each record.
 
     Digests meet their largest key in a light table without payloads; the payloads are shuffled once, by key and digest.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
-    # one name for key and digest: the join and the removal of repeated rows then share a shuffle of the payloads
+    # one name for key and digest: the join and the removal or numbering of repeated rows then share a shuffle of the payloads
     rows = rows.withColumn("capture", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "digest"))
     light = rows.select("capture", "key", "digest", "bytes")
     largest = light.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("winner"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     verdicts = light.join(largest, "digest").where(~F.col("key").eqNullSafe(F.col("winner"))).select("capture", "winner", F.lit(True).alias("revisit")).distinct()
-    joined = rows.join(verdicts, "capture", "left").dropDuplicates(["capture"])
+    joined = rows.join(verdicts, "capture", "left")
+    if once:
+        joined = joined.dropDuplicates(["capture"]).withColumn("copy", F.lit(0))
+    else:
+        joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("capture").orderBy("url")) - 1)
     revisit = F.coalesce("revisit", F.lit(False))
     return joined.select(
-        "key", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to")
+        "key", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"), "copy"
     )
 
 
@@ -65,16 +70,16 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     last = F.greatest(F.ceil(size / F.lit(chunk)).cast("long") - 1, F.lit(0))
     numbered = records.withColumn("last_chunk", last).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_chunk"))))
     data = F.substring(F.col("payload"), (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk))
-    return numbered.select(F.col("key").cast("string").alias("key"), "url", "digest", "bytes", "record_type", F.col("refers_to").cast("string").alias("refers_to"), F.coalesce(size.cast("long"), F.lit(0)).alias("body"), "chunk", data.alias("data"), (F.col("chunk") == F.col("last_chunk")).alias("last"))
+    return numbered.select(F.col("key").cast("string").alias("key"), "url", "digest", "bytes", "record_type", F.col("refers_to").cast("string").alias("refers_to"), "copy", F.coalesce(size.cast("long"), F.lit(0)).alias("body"), "chunk", data.alias("data"), (F.col("chunk") == F.col("last_chunk")).alias("last"))
 
 
-def _record_id(key: str | None, digest: str) -> str:
-    return f"urn:page:{'null' if key is None else key}:{digest}"
+def _record_id(key: str | None, digest: str, copy: int = 0) -> str:
+    return f"urn:page:{'null' if key is None else key}:{digest}" + (f":{copy}" if copy else "")
 
 
 def _head(row: dict) -> bytes:
     digest = _base32(bytes.fromhex(row["digest"]))
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_record_id(row['key'], digest)}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_record_id(row['key'], digest, row['copy'])}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if row["url"]:
         lines.append("WARC-Target-URI: " + row["url"].replace("\r", "%0D").replace("\n", "%0A"))
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {row['bytes']}"]
@@ -215,7 +220,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
     return map_arrow(manifest.select("path").repartition(n, "path"), run, schema)
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None) -> tuple[DataFrame, str]:
-    """Writes every row as a record; the manifest and the folder."""
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None, once: bool = True) -> tuple[DataFrame, str]:
+    """Writes every row (with once, every different key and payload) as a record; the manifest and the folder."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return write_archives(chunked(plan_records(pages, key, url, payload, min_bytes)), folder), folder
+    return write_archives(chunked(plan_records(pages, key, url, payload, min_bytes, once)), folder), folder

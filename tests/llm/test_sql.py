@@ -1,10 +1,12 @@
 """The queries that have SQL against DuckDB on the same files."""
 
+import gzip
+
 import duckdb
 import pytest
 
 pytest.importorskip("marlspike.llm")
-from marlspike.llm import oracles, queries  # noqa: E402
+from marlspike.llm import oracles, queries, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,3 +21,20 @@ def test_query_equals_sql(spark, name):
     order = [[d[0] for d in wanted.description].index(n) for n in names]
     found = queries.queries()[name](spark, SF).select(*names)
     assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in wanted.fetchall())
+
+
+def test_warc_equals_sql_with_repeated_pages(spark, tmp_path):
+    """Every row of pages is a record, with its own url and record id, however often its id and payload stand."""
+    rows = [(1, "http://a", "same"), (1, "http://b", "same"), (1, "http://b", "same"), (2, "http://c", "same"), (2, "http://d", "same"), (3, "http://e", "own"), (3, "http://f", "own"), (None, "http://g", "none"), (None, "http://h", "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    wanted = con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({oracles.SQL['op4_warc']}) WHERE page_id IS NOT NULL").fetchall()
+    found = [tuple(r) for r in queries.op4_warc(spark, str(tmp_path)).collect()]
+    assert len(found) == len(rows) and sum(r[0] is None for r in found) == 2
+    assert sorted(map(str, (r for r in found if r[0] is not None))) == sorted(map(str, wanted))
+    manifest, folder = warc.archive(pages, once=False)
+    assert sorted(r["url"] for r in warc.read_archives(spark, manifest, folder).where("last").collect()) == sorted(u for _, u, _ in rows)
+    ids = [line for r in manifest.collect() for line in gzip.open(r["path"]).read().split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(ids)) == len(ids) == len(rows)

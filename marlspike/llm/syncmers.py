@@ -2,11 +2,14 @@
 
 A k-mer of code points is a closed syncmer if the smallest of its inner s-mers stands first or last in it. Whether it is
 chosen depends on the k-mer alone (no window around it), so the same passage yields the same anchors in any context, and
-their positions can be matched. The fingerprint of a text is the sketch of its anchors: the SKETCH distinct anchors of
-smallest hash (all of them in short texts), each with its first position, as "hash.position" in hexadecimal.
+their positions can be matched. The fingerprint of a text is the list of all its anchors, however long it is, each as
+"hash.position" in hexadecimal, ordered by hash and position.
 
-Likeness compares two sketches: of the smallest anchors of both together, the share that both hold at positions that
-differ by about the same offset (a Jaccard share j), turned into 2j / (1 + j), which is about the share of common text.
+Likeness compares all anchors of two texts: those of equal hash that follow each other in the same order in both (a chain
+of ascending positions, over any number of diagonals), twice their number as a share of the anchors of both texts; this
+is about the share of common text. What both texts have alike at their starts and ends is taken as it stands. Between,
+an anchor that comes several times in a text is matched by its number of occurrence there; in texts with both repeated
+and inserted passages the chain can so be shorter than the longest common sequence, never longer.
 
 Cases: a null text is empty; an empty text has the fingerprint "" and is like another empty text only; a text shorter
 than k has one anchor, the whole text; equal texts have equal fingerprints; repeated ids are ordered by their text,
@@ -16,6 +19,7 @@ a null id comes last; columns named like a result column are replaced.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,6 @@ from marlspike.llm.common import map_arrow, without
 from marlspike.llm.textvec import mix
 
 K, S = 12, 4
-SKETCH = 128
-#: Anchors of a common passage may lie this many positions apart and still count as one diagonal.
-BAND = 64
 #: Characters that are hashed at once.
 CHUNK = 1 << 21
 
@@ -81,8 +82,8 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 Sketch = tuple[np.ndarray, np.ndarray]
 
 
-def sketches(texts: list[str], size: int = SKETCH, k: int = K, s: int = S) -> list[Sketch]:
-    """For each text the hashes of its sketch, ascending, and their first positions."""
+def sketches(texts: list[str], k: int = K, s: int = S) -> list[Sketch]:
+    """For each text the hashes of its anchors and their positions, ascending by position."""
     out: list[Sketch] = []
     first = 0
     while first < len(texts):
@@ -91,52 +92,72 @@ def sketches(texts: list[str], size: int = SKETCH, k: int = K, s: int = S) -> li
             chars += len(texts[last])
             last += 1
         number, position, hashed = anchors(texts[first:last], k, s)
-        key = (number.astype(np.uint64) << np.uint64(32)) | hashed.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        key, position = key[new], position[order][new]
-        limits = np.searchsorted(key >> np.uint64(32), np.arange(last - first + 1))
-        low = key.astype(np.uint32)
-        out += [(low[a : min(a + size, b)], position[a : min(a + size, b)]) for a, b in zip(limits[:-1], limits[1:], strict=True)]
+        # anchors come in order of text and position; those of short texts, one each, stand behind the others
+        order = np.argsort(number, kind="stable")
+        number, position, hashed = number[order], position[order], hashed[order]
+        limits = np.searchsorted(number, np.arange(last - first + 1))
+        out += [(hashed[a:b], position[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)]
         first = last
     return out
 
 
 def to_text(sketch: Sketch) -> str:
-    return ",".join([f"{h:08x}.{p:x}" for h, p in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True)])
+    order = np.argsort(sketch[0], kind="stable")
+    return ",".join([f"{h:08x}.{p:x}" for h, p in zip(sketch[0][order].tolist(), sketch[1][order].tolist(), strict=True)])
 
 
 def from_text(fingerprint: str) -> Sketch:
     both = [x.split(".") for x in fingerprint.split(",")] if fingerprint else []
-    return np.array([int(h, 16) for h, _ in both], np.uint32), np.array([int(p, 16) for _, p in both], np.int64)
-
-
-def likeness(a: Sketch, b: Sketch, size: int = SKETCH, band: int = BAND) -> float:
+    hashes, positions = np.array([int(h, 16) for h, _ in both], np.uint32), np.array([int(p, 16) for _, p in both], np.int64)
+    order = np.argsort(positions, kind="stable")
+    return hashes[order], positions[order]
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes the two have alike from the start on."""
+    n = min(len(a), len(b))
+    apart = a[:n] != b[:n]
+    return int(np.argmax(apart)) if apart.any() else n
+
+
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of occurrence as one word each, ascending, and their places."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    number = np.arange(len(ordered)) - np.repeat(new, np.diff(np.append(new, len(ordered))))
+    return (ordered.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64), order
+
+
+def chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Anchors that the hashes a and b, each in order of position, have in the same order."""
+    start = _alike(a, b)
+    a, b = a[start:], b[start:]
+    end = _alike(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not len(a) or not len(b):
+        return start + end
+    (key_a, at_a), (key_b, at_b) = _numbered(a), _numbered(b)
+    _, ia, ib = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
+    places = at_b[ib][np.argsort(at_a[ia])]
+    if (places[1:] > places[:-1]).all():
+        return start + end + len(places)
+    # the longest ascending run of places: the least last place of a run of each length
+    least: list[int] = []
+    for p in places.tolist():
+        i = bisect_left(least, p)
+        least[i : i + 1] = [p]
+    return start + end + len(least)
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
     """0 to 1; 1 for equal sketches."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    joined = len(a[0]) + len(b[0]) - len(both)
-    if joined > size:
-        union = np.union1d(a[0], b[0])
-        bound, joined = union[size - 1], size
-        inside = both <= bound
-        ia, ib = ia[inside], ib[inside]
-        if not len(ia):
-            return 0.0
-    offset = (b[1][ib] - a[1][ia]) // band
-    _, place, count = np.unique(offset, return_inverse=True, return_counts=True)
-    values = np.unique(offset)
-    near = count + np.concatenate([np.where(np.diff(values) == 1, count[1:], 0), [0]])
-    j = int(near.max()) / joined
-    return 2 * j / (1 + j)
-
-
-def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint", size: int = SKETCH) -> DataFrame:
+    return 2 * chain(a[0], b[0]) / (len(a[0]) + len(b[0]))
+
+
+def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
     """df with the fingerprint of each whole text."""
     df = without(df, to)
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
@@ -144,7 +165,7 @@ def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint", size
     def run(batches):
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([to_text(x) for x in sketches(texts, size)], pa.string())], names=[*batch.schema.names, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([to_text(x) for x in sketches(texts)], pa.string())], names=[*batch.schema.names, to])
 
     return map_arrow(df, run, schema)
 

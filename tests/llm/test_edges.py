@@ -49,6 +49,26 @@ def test_syncmers(docs, empty):
     assert len(same) == 1
 
 
+def test_syncmers_of_inserted_paragraphs(docs):
+    """Common text counts on every diagonal and over the whole length, and any change of a long text changes its fingerprint."""
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    parts = [words(400) for _ in range(4)]
+    own = " ".join(parts)
+    near = " ".join(x for part in parts for x in (part, words(40)))
+    short = " ".join([*parts[:2], *parts[3:]])
+    changed = own[: len(own) // 2] + "#" + own[len(own) // 2 + 1 :]
+    a, b, c, d, e = syncmers.sketches([own, near, short, changed, words(1600)])
+    assert syncmers.likeness(a, b) == syncmers.likeness(b, a) == pytest.approx(2 * len(own) / (len(own) + len(near)), abs=0.02)
+    assert syncmers.likeness(a, c) == pytest.approx(2 * len(short) / (len(own) + len(short)), abs=0.02)
+    assert 0.98 < syncmers.likeness(a, d) < 1 and syncmers.to_text(a) != syncmers.to_text(d)
+    assert syncmers.likeness(a, e) < 0.02 and syncmers.likeness(a, a) == 1.0
+    again = syncmers.from_text(syncmers.to_text(b))
+    assert (again[0] == b[0]).all() and (again[1] == b[1]).all()
+
+
 def test_bpe(docs, empty):
     rows = bpe.decode(bpe.encode(docs.withColumn("ids", F.lit("own")), RANKS, PATTERN, piece=1000), RANKS, PATTERN).collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows) and len(rows) == len(ROWS)

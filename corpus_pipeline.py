@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm import bpe, host_rules, mixing, simhash, toxicity
+from marlspike.llm import bpe, host_rules, mixing, near_copies, toxicity
 from marlspike.llm.common import table
 from marlspike.llm.queries import RANK_FILE
 
@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each near-duplicate group."""
-    return simhash.deduplicate(docs).select(docs.columns)
+    """Keeps the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.deduplicate(docs).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,3 +233,45 @@ def test_pipeline_stages_keep_the_columns(spark):
         now = spark.createDataFrame(after.collect(), after.schema)
         sizes.append(now.count())
     assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4] > 0
+
+
+def test_pipeline_near_duplicates_equal_brute_force(spark):
+    """The stage keeps the smallest id of each component of pairs whose five-word shingles are similar by 0.8 or more."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    line = rng.choices(vocabulary, k=14)
+    texts = []
+    for size in (8, 30, 60, 120, 300, 300):
+        base = rng.choices(vocabulary, k=size)
+        for edits in (0, 0, 1, 1, 2, 3, 4, 5, 6, 8, 12):
+            words = list(base)
+            for i in rng.sample(range(size), min(edits, size)):
+                words[i] = rng.choice(vocabulary)
+            texts.append(" ".join(words + (line if edits % 2 else [])))
+    texts += ["", None, "one two", "ONE two", *(" ".join(line + rng.choices(vocabulary, k=k)) for k in range(1, 40))]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i + 1, texts[j], "x") for i, j in enumerate(order)]
+    sets = {}
+    for i, text, _ in rows:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    name = {i: i for i in sets}
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
+                x, y = sorted((find(a), find(b)))
+                name[y] = x
+    kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame([*rows, (None, "one two", "x")], SCHEMA), "")
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, *sorted({find(i) for i in sets})]
+    assert kept.sparkSession is spark and corpus_pipeline.dedup_stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0

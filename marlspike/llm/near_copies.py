@@ -66,10 +66,8 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Members that a sample has in several sets, ascending, and their rank of frequency."""
-    rows = max(1, sets.count())
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE_ROWS / rows))))
-    often = sample.select(F.explode("members").alias("m")).groupBy("m").count().where("count > 1").orderBy(F.desc("count"), "m").limit(COMMON).collect()
+    """Members that a sample's sets have several times, ascending, and their rank of frequency."""
+    often = sets.select(F.explode("members").alias("m")).groupBy("m").count().where("count > 1").orderBy(F.desc("count"), "m").limit(COMMON).collect()
     members = np.array([r["m"] for r in often], np.int64)
     order = np.argsort(members)
     return members[order], np.array([r["count"] for r in often], np.int64)[order]
@@ -163,16 +161,24 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def components(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, component_id (the smallest key reached) of found (written rows of shingle_sets)."""
-    spark = found.sparkSession
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, component_id (the smallest key reached) of docs (with keys, the same each time they are read).
+
+    Sets are made anew from the texts where they are needed, rather than written: they are larger than the texts.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(key, text)
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    common = _common(shingle_sets(docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))), key, text))
+    found = table(shingle_sets(docs, key, text).select(key, "node"), "near-found")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = table(prefixes(found, _common(found)), "near-prefixes")
+    rows = table(prefixes(shingle_sets(docs, key, text), common), "near-prefixes")
     # buckets of several nodes alone: most members belong to one node; rows of equal sets repeat their node
     buckets = rows.groupBy("member").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("member", "least")
     shared = table(rows.join(buckets, "member").distinct(), "near-shared")
-    # whole sets are shuffled once, for the nodes that can have a link
-    sets = table(found.select("node", "members").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    # sets of the nodes that can have a link, from one text each; texts of one id that differ may bring other nodes along
+    chosen = found.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
+    sets = table(shingle_sets(docs.join(chosen, key, "left_semi"), key, text).select("node", "members"), "near-sets").dropDuplicates(["node"])
     stars = shared.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     links = table(_linked(stars, sets), "near-links")
     labels = connected(links)
@@ -190,7 +196,6 @@ def components(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each component: that of its smallest id. Rows without an id aren't judged and stay."""
     known = docs.where(F.col(key).isNotNull())
-    found = table(shingle_sets(known, key, text), "near-found")
-    kept = components(found, key).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = components(known, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
     named = known.join(kept, key, "left_semi").dropDuplicates([key])
     return named.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))

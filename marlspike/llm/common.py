@@ -17,10 +17,15 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, local mode), one temporary folder per application."""
+    """The folder named by spark.checkpoint.dir; where it is unset in local mode (tests), one temporary folder per application.
+
+    On a cluster the setting is needed: no folder of the driver's would be seen by the executors.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -36,7 +41,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.written_to = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of table() that nothing reads any more, in whatever store they are."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +78,9 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of at most BATCH_BYTES (a setting of the session), whatever the length of the texts.
+    """df.mapInArrow(run, schema) in batches of at most BATCH_BYTES, whatever the length of the texts.
 
-    A worker that has ended a task hands what it freed back to the system, so that idle workers don't keep it from others.
+    Spark reads the size when the plan runs, so it stays set in the session. A worker that has ended a task hands what it freed back to the system, so that idle workers don't keep it from others.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes of its words, adjacent word pairs and pairs with one word between. Shards of
-a bounded sample of labelled rows are trained side by side, each by FTRL-proximal (a learning rate of its own for each
+a sample of labelled rows, bounded in rows and in features, are trained side by side, each by FTRL-proximal (a learning rate of its own for each
 coordinate, L1 for sparsity); the shards' weights are averaged. What is broadcast are the non-zero weights: at most
 2**bits pairs of index and weight, in practice some thousands.
 
@@ -13,7 +13,6 @@ columns named like a result column are replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from marlspike.llm.common import map_arrow, table, without
 BITS = 22
 #: Bound of the sample of labelled rows that a model is fitted on (expected number of rows).
 FIT_ROWS = 16_384
+#: Bound of the features (distinct in their row) of all rows of that sample.
+FIT_FEATURES = 1 << 25
 #: Rows of the sample that one shard should hold, at most SHARDS shards.
 SHARD_ROWS, SHARDS = 2_048, 8
 EPOCHS = 3
@@ -53,16 +54,25 @@ def _distinct(rows: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarra
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def train_shard(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over the rows in the given order: indices and weights that aren't zero, and the bias."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    bias_z = bias_n = 0.0
-    data, offsets = textvec.text_buffers(pa.array(texts, pa.string()))
-    examples: list[np.ndarray] = []
+def row_features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
+    """The distinct feature indices of each row, ascending."""
+    out: list[np.ndarray] = []
     for first, last in textvec.slices(offsets):
         part = offsets[first : last + 1]
         rows, index = _distinct(*features(data[part[0] : part[-1]], part - part[0], bits), bits)
-        examples += np.split(index, np.searchsorted(rows, np.arange(1, last - first)))
+        out += np.split(index.astype(np.int32), np.searchsorted(rows, np.arange(1, last - first)))
+    return out
+
+
+def train_shard(examples: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over rows of feature indices in the given order: indices and weights that aren't zero, and the bias.
+
+    State is kept for the features that the rows have, not for all that there could be.
+    """
+    own, place = np.unique(np.concatenate([np.zeros(0, np.int32), *examples]), return_inverse=True)
+    examples = np.split(place.astype(np.int32), np.cumsum([len(e) for e in examples])[:-1])
+    z, n = np.zeros(len(own)), np.zeros(len(own))
+    bias_z = bias_n = 0.0
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
@@ -81,18 +91,20 @@ def train_shard(texts: list[str], labels: list[int], bits: int = BITS, epochs: i
             bias_z += g - (bias_root - bias_n**0.5) / ALPHA * bias
             bias_n += g * g
     kept = np.flatnonzero(np.abs(z) > L1)
-    return kept, weight(z[kept], n[kept]), float(-bias_z / ((BETA + bias_n**0.5) / ALPHA))
+    return own[kept].astype(np.int64), weight(z[kept], n[kept]), float(-bias_z / ((BETA + bias_n**0.5) / ALPHA))
 
 
-def margins(data: np.ndarray, offsets: np.ndarray, dense: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
-    """The model's log-odds of each row, before calibration."""
+def margins(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, weight: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
+    """The model's log-odds of each row, before calibration; index ascends."""
     total = np.full(len(offsets) - 1, bias)
+    known = np.zeros(1 << bits, bool)
+    known[index] = True
     for first, last in textvec.slices(offsets):
         part = offsets[first : last + 1]
         rows, found = features(data[part[0] : part[-1]], part - part[0], bits)
-        hit = dense[found] != 0
+        hit = known[found]
         rows, found = _distinct(rows[hit], found[hit], bits)
-        total[first:last] += np.bincount(rows, dense[found], last - first)
+        total[first:last] += np.bincount(rows, weight[np.searchsorted(index, found)], last - first)
     return total
 
 
@@ -114,38 +126,82 @@ Model = tuple[np.ndarray, np.ndarray, float, float, float]
 NO_MODEL: Model = (np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, bits: int = BITS) -> Model:
     """Weights averaged over shards and a calibrated curve, from labels (doc_id, toxic) joined with docs (doc_id, text).
 
     The sample holds the rows whose id hashes below fit_rows / labelled rows; its ids and labels are what is broadcast. A
-    CALIBRATION-th of it calibrates the margins, the rest trains.
+    CALIBRATION-th of it calibrates the margins, the rest trains; where its texts have more than fit_features features
+    in all, the sample is thinned once more in proportion. A shard's rows are trained in one task, as arrays of features.
     """
+    spark = docs.sparkSession
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = labelled.count()
     if not total:
         return NO_MODEL
+    order = F.xxhash64(F.lit("toxicity-fit"), F.col("doc_id"))
+    ranked = F.pmod(order, F.lit(1 << 30))
     share = min(1.0, fit_rows / total)
+    sample = labelled.where(ranked < F.lit(int(share * (1 << 30))))
+    texts = F.broadcast(sample).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+
+    def to_features(batches):
+        for batch in batches:
+            found = row_features(*textvec.text_buffers(batch.column("text")), bits)
+            limits = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "features"])
+
+    names = ["rank", "toxic", "shard"]
     shards = min(SHARDS, max(1, min(fit_rows, total) // SHARD_ROWS))
-    order = F.xxhash64(F.lit("toxicity-fit"), F.col("doc_id"))
     shard = F.when(F.pmod(F.shiftright(order, 48), F.lit(CALIBRATION)) == 0, F.lit(-1)).otherwise(F.pmod(F.shiftright(order, 32), F.lit(shards)))
-    sample = labelled.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).withColumn("shard", shard)
-    rows = table(F.broadcast(sample).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id"), "toxicity-sample")
+    numbered = texts.select(ranked.alias("rank"), F.col("toxic").cast("int").alias("toxic"), shard.cast("int").alias("shard"), "text")
+    rows = table(map_arrow(numbered, to_features, "rank long, toxic int, shard int, features array<int>"), "toxicity-sample")
+    held = rows.agg(F.sum(F.size("features"))).first()[0] or 0
+    if held > fit_features:
+        rows = rows.where(F.col("rank") < F.lit(int(share * (1 << 30) * fit_features / held)))
+
+    def train(batches):
+        at, examples, toxic = None, [], []
 
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.iloc[np.argsort(textvec.mix(group["doc_id"].to_numpy(np.int64).astype(np.uint64)), kind="stable")]
-        index, weight, bias = train_shard(group["text"].tolist(), group["toxic"].tolist(), bits)
-        return pd.DataFrame({"feature": np.append(index, -1), "weight": np.append(weight, bias), "shards": 1})
+        def trained():
+            index, weight, bias = train_shard(examples, toxic)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(index, -1)), pa.array(np.append(weight, bias)), pa.array(np.ones(len(index) + 1, np.int64))], names=["feature", "weight", "shards"])
 
-    trained = rows.where("shard >= 0").groupBy("shard").applyInPandas(train, "feature long, weight double, shards long")
-    summed = trained.groupBy("feature").agg(F.sum("weight").alias("weight"), F.sum("shards").alias("shards")).toPandas()
-    if summed.empty:
+        for batch in batches:
+            lists, numbers, marks = batch.column("features"), batch.column("shard").to_pylist(), batch.column("toxic").to_pylist()
+            limits, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(batch.num_rows):
+                if numbers[i] != at and examples:
+                    yield trained()
+                    examples, toxic = [], []
+                at = numbers[i]
+                examples.append(values[limits[i] : limits[i + 1]])
+                toxic.append(marks[i])
+        if examples:
+            yield trained()
+
+    dealt = rows.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard", "rank")
+    learned = map_arrow(dealt, train, "feature long, weight double, shards long").groupBy("feature").agg(F.sum("weight").alias("weight"), F.sum("shards").alias("shards"))
+    found = learned.toArrow().sort_by("feature")
+    if not found.num_rows:
         return NO_MODEL
-    summed = summed.set_index("feature").sort_index()
-    weights = summed["weight"] / summed.loc[-1, "shards"]
-    raw: Model = (weights.index.to_numpy()[1:], weights.to_numpy()[1:], float(weights.iloc[0]), 1.0, 0.0)
-    held = score(rows.where("shard < 0").select("doc_id", "toxic", "text"), raw, bits=bits).select("score", "toxic").toPandas()
-    p = np.clip(held["score"].to_numpy(), 1e-12, 1 - 1e-12)
-    return (*raw[:3], *calibrate(np.log(p / (1 - p)), held["toxic"].to_numpy()))
+    count = found["shards"][0].as_py()
+    feature, weight = found["feature"].to_numpy(), found["weight"].to_numpy() / count
+    raw: Model = (feature[1:], weight[1:], float(weight[0]), 1.0, 0.0)
+    sent = spark.sparkContext.broadcast(raw)
+
+    def held_out(batches):
+        index, weight, bias, _, _ = sent.value
+        for batch in batches:
+            lists = batch.column("features")
+            limits, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            at = np.minimum(np.searchsorted(index, values), max(len(index) - 1, 0))
+            sums = np.concatenate([[0.0], np.cumsum(np.where(index[at] == values, weight[at], 0.0))]) if len(index) else np.zeros(len(values) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[limits[1:]] - sums[limits[:-1]] + bias), batch.column("toxic")], names=["margin", "toxic"])
+
+    # as many rows as the sample's bound at most
+    margin = map_arrow(rows.where("shard < 0").select("features", "toxic"), held_out, "margin double, toxic int").toArrow()
+    return (*raw[:3], *calibrate(margin["margin"].to_numpy(), margin["toxic"].to_numpy()))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -156,10 +212,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, bits: int
 
     def run(batches):
         index, weight, bias, slope, shift = sent.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[index] = weight
         for batch in batches:
-            total = margins(*textvec.text_buffers(batch.column("text")), dense, bias, bits)
+            total = margins(*textvec.text_buffers(batch.column("text")), index, weight, bias, bits)
             p = 1 / (1 + np.exp(-np.clip(slope * total + shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 

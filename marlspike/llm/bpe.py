@@ -26,7 +26,7 @@ MAX_RANK_BYTES = 64 << 20
 #: Texts longer than this many characters are cut at safe boundaries.
 PIECE = 1 << 16
 #: Rows leave a worker in batches of about this many ids.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 
 #: Where every pattern of the GPT-2 kind ends a match, whatever follows: before white space that follows something
 #: else, or between an ASCII letter and a digit. The second form serves long runs without white space.
@@ -67,6 +67,19 @@ def _ranks(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
+def _encoded(batch: pa.RecordBatch, text: str, encoding, piece: int) -> Iterator[tuple[pa.RecordBatch, pa.ListArray, list[np.ndarray]]]:
+    """Runs of rows with about BATCH_IDS ids: the rows, their ids as lists, and the ids of each row."""
+    texts, first, n, parts = batch.column(text), 0, 0, []
+    for i in range(batch.num_rows):
+        parts.append(encode_text(encoding, texts[i].as_py() or "", piece))
+        n += len(parts[-1])
+        if n >= BATCH_IDS or i == batch.num_rows - 1:
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
+            yield batch.slice(first, len(parts)), lists, parts
+            first, n, parts = i + 1, 0, []
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True, piece: int = PIECE) -> DataFrame:
     """df with the array<int> column ids of each whole text."""
     df = without(df, ids)
@@ -77,16 +90,25 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
     def run(batches):
         encoding = _encoding(ranks.value, pattern)
         for batch in batches:
-            texts, first, n, parts = batch.column(text), 0, 0, []
-            for i in range(batch.num_rows):
-                parts.append(encode_text(encoding, texts[i].as_py() or "", piece))
-                n += len(parts[-1])
-                if n >= BATCH_IDS or i == batch.num_rows - 1:
-                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
-                    rows = batch.slice(first, len(parts))
-                    yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], lists], names=[*kept, ids])
-                    first, n, parts = i + 1, 0, []
+            for rows, lists, _ in _encoded(batch, text, encoding, piece):
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], lists], names=[*kept, ids])
+
+    return map_arrow(df, run, schema)
+
+
+def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = False, piece: int = PIECE) -> DataFrame:
+    """df with ids of each whole text and decoded, the raw bytes of those ids: encode and decode in one pass of one worker."""
+    df = without(df, ids, decoded)
+    kept = [c for c in df.columns if keep_text or c != text]
+    ranks = _ranks(df, rank_file)
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
+
+    def run(batches):
+        encoding = _encoding(ranks.value, pattern)
+        for batch in batches:
+            for rows, lists, parts in _encoded(batch, text, encoding, piece):
+                data = pa.array([encoding.decode_bytes(p.tolist()) for p in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], lists, data], names=schema.names)
 
     return map_arrow(df, run, schema)
 

@@ -27,8 +27,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), rank_file, pattern, keep_text=False)
-    return bpe.decode(encoded, rank_file, pattern).select(
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), rank_file, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -9,7 +9,7 @@ pytest.importorskip("marlspike.llm")
 import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from marlspike.llm import bpe, host_rules, licenses, mixing, ngram_lm, simhash, syncmers, token_edits, toxicity, warc  # noqa: E402
+from marlspike.llm import bpe, host_rules, licenses, mixing, near_copies, ngram_lm, simhash, syncmers, token_edits, toxicity, warc  # noqa: E402
 from marlspike.llm.queries import RANK_FILE  # noqa: E402
 
 RANKS, PATTERN = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
@@ -235,8 +235,10 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4] > 0
 
 
-def test_pipeline_near_duplicates_equal_brute_force(spark):
-    """The stage keeps the smallest id of each component of pairs whose five-word shingles are similar by 0.8 or more."""
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 2])
+def test_pipeline_near_duplicates_equal_brute_force(spark, monkeypatch, bucket):
+    """The stage keeps the smallest id of each component of pairs whose five-word shingles are similar by 0.8 or more, also
+    where buckets are dealt out in parts."""
     import random
 
     import corpus_pipeline
@@ -272,6 +274,7 @@ def test_pipeline_near_duplicates_equal_brute_force(spark):
             if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
                 x, y = sorted((find(a), find(b)))
                 name[y] = x
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
     kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame([*rows, (None, "one two", "x")], SCHEMA), "")
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, *sorted({find(i) for i in sets})]
     assert kept.sparkSession is spark and corpus_pipeline.dedup_stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0

@@ -40,8 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' count and digests of each row; the decoded bytes are those of the text."""
     rank_file, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), rank_file, pattern, keep_text=False)
-    return bpe.decode(encoded, rank_file, pattern).select(
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), rank_file, pattern).select(
         "doc_id",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,7 +1,9 @@
 """Quality rules of documents and hosts, in DataFrame functions alone.
 
 Each whole text is judged by base rules; failures are summed by host, each host's rate is shrunk towards the corpus by a
-beta prior fitted to the hosts' rates (moments), and hosts whose shrunk rate exceeds HOST_LIMIT lose all documents. The
+beta prior fitted to the hosts' rates (moments). A host loses all its documents if its posterior rate, less SURE posterior
+standard deviations, still exceeds FACTOR times the corpus's rate (or, in a corpus so bad that this is out of reach, half the
+way from the corpus's rate to 1): the more documents a host has, the less it must exceed that limit to be rejected. The
 table of hosts is written once and joined back; Spark broadcasts it only below its own size limit, and otherwise deals
 a hot host's rows out by its handling of skewed joins.
 
@@ -20,8 +22,8 @@ from marlspike.llm.common import table, without
 
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
-#: A host is rejected beyond this shrunk rate of failing documents.
-HOST_LIMIT = 0.5
+#: A host is rejected if its rate exceeds this multiple of the corpus's by so many standard deviations (one chance in 100).
+FACTOR, SURE = 3.0, 2.326
 #: Limits of the prior's weight in documents.
 LEAST_PRIOR, MOST_PRIOR = 1.0, 1e6
 
@@ -80,8 +82,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_base")
 
 
-def hosts(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """host, host_documents, host_failures, host_rate (shrunk), host_rejected; a row for each host, written in the shared folder."""
+def hosts(measured: DataFrame, host: str = "source", factor: float = FACTOR, sure: float = SURE) -> DataFrame:
+    """host, host_documents, host_failures, host_rate (shrunk), host_least (the rate that it surely has), host_rejected; a row for
+    each host, written in the shared folder."""
     counts = table(measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_documents"), F.count_if("base_failed").alias("host_failures")), "hosts")
     # over the hosts: documents, failures, the weighted square of the rates
     n, k, square, m = counts.agg(F.sum("host_documents"), F.sum("host_failures"), F.sum(F.col("host_failures") * F.col("host_failures") / F.col("host_documents")), F.count(F.lit(1))).first()
@@ -93,7 +96,9 @@ def hosts(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
         strength = (mean * (1 - mean) - between) / (between - noise) if between > noise else MOST_PRIOR
         strength = min(max(strength, LEAST_PRIOR), MOST_PRIOR)
     rate = (F.col("host_failures") + F.lit(mean * strength)) / (F.col("host_documents") + F.lit(strength))
-    return counts.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") > limit)
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_documents") + F.lit(strength + 1)))
+    judged = counts.withColumn("host_rate", rate).withColumn("host_least", F.col("host_rate") - F.lit(sure) * deviation)
+    return judged.withColumn("host_rejected", F.col("host_least") > F.lit(min(factor * mean, (1 + mean) / 2)))
 
 
 def judge(measured: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:

@@ -30,8 +30,10 @@ WITH base AS (
   SELECT sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 AS between_hosts, (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS noise FROM hosts
 ), strength AS (
   SELECT mean, CASE WHEN between_hosts > noise THEN least(greatest((mean * (1 - mean) - between_hosts) / (between_hosts - noise), 1.0), 1e6) ELSE 1e6 END AS s FROM prior
+), rates AS (
+  SELECT source, n, s, mean, (k + mean * s) / (n + s) AS rate FROM hosts, strength
 ), verdicts AS (
-  SELECT source, (k + mean * s) / (n + s) > 0.5 AS rejected FROM hosts, strength
+  SELECT source, rate - 2.326 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3 * mean, (1 + mean) / 2) AS rejected FROM rates
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source

@@ -1,15 +1,18 @@
 """WARC archives as a table of chunks.
 
-A payload leaves the JVM as rows (record, chunk number, bytes) of at most CHUNK bytes, and the archive is written and
-read chunk by chunk with running SHA-1 digests, so that no worker holds a whole oversized record. Archives are
-gzip files with one member per record; each task writes files of its own (a fresh name per attempt) into the shared
-folder, and the manifest, a Parquet table, names the files of the attempts that Spark committed.
-
-Of records with equal payloads of at least min_bytes, that with the largest key is a response and the others are revisits.
-
-Cases: a null payload is empty; rows with equal key and payload have a record each, told apart by a copy number in the
-record id, or with once are one capture with the url of any of them; a null key counts as the smallest; a key with several
-payloads has a record for each; an empty table gives no archive and an empty result.
+A payload leaves the scan as rows (record, chunk number, bytes) of at most CHUNK bytes; these are what is shuffled, sorted by
+record and chunk number. The archive is written and read chunk by chunk with running SHA-1 digests, so that no worker
+holds a whole oversized record. Archives are gzip files with one member per record; each task writes files of its own (a
+fresh name per attempt) into the shared folder, and the manifest, a Parquet table, names the files of the attempts that
+Spark committed.
+
+Of records with equal payloads of at least min_bytes, that with the largest key is a response and the others are revisits;
+this is decided from a light table of keys, digests and lengths alone.
+
+Cases: a null payload is empty; every row has a record, rows with equal key and payload are told apart by a row number in
+the record id; a null key counts as the smallest and stays null; any string is a key, kept exactly; a key with several
+payloads has a record for each; other columns of pages are left out, whatever their names; an empty table gives no
+archive and an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.llm.common import fresh_path, map_arrow, table
@@ -41,51 +45,60 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode("ascii")
 
 
-def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, once: bool = True) -> DataFrame:
-    """key, url, payload (binary, null in revisits), digest (hex), bytes, record_type, refers_to (key), copy; a row for each record.
+def _capture(key: str = "key") -> Column:
+    """One name for key and digest."""
+    return F.concat_ws(":", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n")), "digest")
 
-    Digests meet their largest key in a light table without payloads; the payloads are shuffled once, by key and digest.
-    """
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
-    # one name for key and digest: the join and the removal or numbering of repeated rows then share a shuffle of the payloads
-    rows = rows.withColumn("capture", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "digest"))
-    light = rows.select("capture", "key", "digest", "bytes")
-    largest = light.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("winner"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    verdicts = light.join(largest, "digest").where(~F.col("key").eqNullSafe(F.col("winner"))).select("capture", "winner", F.lit(True).alias("revisit")).distinct()
-    joined = rows.join(verdicts, "capture", "left")
-    if once:
-        joined = joined.dropDuplicates(["capture"]).withColumn("copy", F.lit(0))
-    else:
-        joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("capture").orderBy("url")) - 1)
-    revisit = F.coalesce("revisit", F.lit(False))
-    return joined.select(
-        "key", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"), "copy"
-    )
+
+def verdicts(light: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """capture, several (rows with that key and payload), and for revisits winner, several_winner; from rows (key, digest,
+    bytes). Captures that stand once and have no larger key are left out."""
+    each = light.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("several"), F.max("bytes").alias("bytes"))
+    largest = each.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct(F.col("key").alias("winner"), F.col("several").alias("several_winner"))).alias("most"), F.count(F.lit(1)).alias("keys"))
+    named = each.join(largest.where("keys > 1").select("digest", "most.*", F.lit(True).alias("shared")), "digest", "left")
+    revisit = F.coalesce("shared", F.lit(False)) & ~F.col("key").eqNullSafe(F.col("winner"))
+    return named.select(_capture().alias("capture"), "several", revisit.alias("revisit"), "winner", "several_winner").where("revisit or several > 1")
 
 
-def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of plan_records' rows; a record's chunks follow each other in one partition."""
-    size = F.coalesce(F.octet_length("payload"), F.lit(0))
-    last = F.greatest(F.ceil(size / F.lit(chunk)).cast("long") - 1, F.lit(0))
-    numbered = records.withColumn("last_chunk", last).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_chunk"))))
+def chunked(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The chunked record table: a row for each chunk, in order, of each row of pages, whose chunks stand in one partition."""
+    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
+    verdict = verdicts(rows.select("key", "digest", "bytes"), min_bytes)
+    last = F.greatest(F.ceil(F.col("bytes") / F.lit(chunk)).cast("long") - 1, F.lit(0))
+    numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "last_chunk": last}).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_chunk"))))
     data = F.substring(F.col("payload"), (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk))
-    return numbered.select(F.col("key").cast("string").alias("key"), "url", "digest", "bytes", "record_type", F.col("refers_to").cast("string").alias("refers_to"), "copy", F.coalesce(size.cast("long"), F.lit(0)).alias("body"), "chunk", data.alias("data"), (F.col("chunk") == F.col("last_chunk")).alias("last"))
+    pieces = numbered.select("key", "url", "digest", "bytes", "row", "chunk", data.alias("data"), (F.col("chunk") == F.col("last_chunk")).alias("last"), _capture().alias("capture"))
+    # a revisit is its first chunk's row, without data
+    joined = pieces.join(verdict, "capture", "left").where(~F.coalesce("revisit", F.lit(False)) | (F.col("chunk") == 0))
+    revisit = F.coalesce("revisit", F.lit(False))
+    out = joined.select(
+        "capture", F.col("key").cast("string").alias("key"), "url", "digest", "bytes", "row", (F.coalesce("several", F.lit(1)) > 1).alias("repeated"),
+        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("winner").cast("string")).alias("refers_to"), (F.coalesce("several_winner", F.lit(1)) > 1).alias("refers_to_repeated"),
+        "chunk", F.when(~revisit, F.col("data")).alias("data"), (F.col("last") | revisit).alias("last"),
+    )
+    return out.sortWithinPartitions("capture", "row", "chunk").drop("capture")
 
 
-def _record_id(key: str | None, digest: str, copy: int = 0) -> str:
-    return f"urn:page:{'null' if key is None else key}:{digest}" + (f":{copy}" if copy else "")
+def _record_id(key: str | None, digest: str, row: int | None = None) -> str:
+    return f"urn:page:{'' if key is None else 'k' + quote(key, safe='')}:{digest}" + ("" if row is None else f":{row}")
 
 
 def _head(row: dict) -> bytes:
     digest = _base32(bytes.fromhex(row["digest"]))
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_record_id(row['key'], digest, row['copy'])}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_record_id(row['key'], digest, row['row'] if row['repeated'] else None)}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if row["url"]:
         lines.append("WARC-Target-URI: " + row["url"].replace("\r", "%0D").replace("\n", "%0A"))
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {row['bytes']}"]
+    if row["key"] is not None:
+        lines.append("X-Key: " + quote(row["key"], safe=""))
     if row["record_type"] == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_record_id(row['refers_to'], digest)}>"]
-    body = len(HTTP_HEAD) + (row["body"] if row["record_type"] == "response" else 0)
+        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if not row["refers_to_repeated"]:
+            lines.append(f"WARC-Refers-To: <{_record_id(row['refers_to'], digest)}>")
+        if row["refers_to"] is not None:
+            lines.append("X-Refers-To-Key: " + quote(row["refers_to"], safe=""))
+    body = len(HTTP_HEAD) + (row["bytes"] if row["record_type"] == "response" else 0)
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {body}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + HTTP_HEAD
 
@@ -151,6 +164,10 @@ def _members(stream) -> Iterator[bytes | None]:
             inflate = zlib.decompressobj(31)
 
 
+def _field(fields: dict[str, str], name: str) -> str | None:
+    return unquote(fields[name]) if name in fields else None
+
+
 def _records(stream, chunk: int) -> Iterator[dict]:
     """The chunk rows of an archive, in order."""
     head, fields, left, skip = b"", None, 0, b""
@@ -162,9 +179,7 @@ def _records(stream, chunk: int) -> Iterator[dict]:
             revisit = fields["warc-type"] == "revisit"
             declared = fields["warc-payload-digest"].removeprefix("sha1:")
             final = declared if revisit else _base32(digest.digest())
-            refers = fields.get("warc-refers-to", "").strip("<>").split(":")[2:3]
-            own = fields["warc-record-id"].strip("<>").split(":")[2]
-            common = {"key": None if own == "null" else own, "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": None if not refers or refers[0] == "null" else refers[0], "declared_digest": declared}
+            common = {"key": _field(fields, "x-key"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": _field(fields, "x-refers-to-key"), "declared_digest": declared}
             yield common | {"chunk": number, "data": bytes(data), "payload_bytes": int(fields["x-payload-length"]) if revisit else total, "payload_digest": final, "last": True}
             head, fields, left = b"", None, 0
             continue
@@ -190,7 +205,7 @@ def _records(stream, chunk: int) -> Iterator[dict]:
         total += len(piece)
         data += piece
         while len(data) > chunk:
-            yield {"key": None, "url": None, "record_type": fields["warc-type"], "refers_to": None, "declared_digest": None, "chunk": number, "data": bytes(data[:chunk]), "payload_bytes": total, "payload_digest": _base32(digest.digest()), "last": False} | {"key": fields["warc-record-id"].strip("<>").split(":")[2]}
+            yield {"key": _field(fields, "x-key"), "url": None, "record_type": fields["warc-type"], "refers_to": None, "declared_digest": None, "chunk": number, "data": bytes(data[:chunk]), "payload_bytes": total, "payload_digest": _base32(digest.digest()), "last": False}
             del data[:chunk]
             number += 1
 
@@ -220,7 +235,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
     return map_arrow(manifest.select("path").repartition(n, "path"), run, schema)
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None, once: bool = True) -> tuple[DataFrame, str]:
-    """Writes every row (with once, every different key and payload) as a record; the manifest and the folder."""
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None) -> tuple[DataFrame, str]:
+    """Writes every row as a record; the manifest and the folder."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return write_archives(chunked(plan_records(pages, key, url, payload, min_bytes, once)), folder), folder
+    return write_archives(chunked(pages, key, url, payload, min_bytes), folder), folder

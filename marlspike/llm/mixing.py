@@ -3,12 +3,14 @@
 Each source's documents fall into BLOCKS hashed blocks. A source's quota is its target number of words: in each of two
 passes over its blocks, in an order permuted by hash, whole blocks are taken until the target lies within one; of that
 block the documents up to a hash limit are taken, and a few more documents of the source close the rest. The quota
-in blocks is split among the output shards by a binary tree: each node draws its left half's blocks from the sources
-without replacement (a multivariate hypergeometric draw, one source after another), so that the shards' quotas add up
-exactly; then shards receive disjoint runs of the permuted blocks, and each shard is ordered by hash.
+in blocks is split among the output shards by a binary tree: each node deals all its sources' blocks by hash and hands the
+lower half of them, exactly, to its left child, so that the sources' shares of that half are a multivariate hypergeometric
+draw; the shards' quotas add up exactly. Then shards receive disjoint runs of the permuted blocks, and each shard is
+ordered by hash.
 
 All draws are hashes of seed and ids: reruns agree. What grows with the data is summed by (source, block) before it is
-shuffled; tables of sources and blocks hold one row for each source, and BLOCKS at most for each source.
+shuffled. Sources may be many: they are ranked by ranges, a node is a row for each of its sources, and its middle is found
+by a histogram of the hashes and an order of the few blocks in one bin. To the driver go counts of ranges and bins.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; rows with equal ids share one fate; a
 source without words has target 0; an empty table gives an empty result; columns named like a result column are replaced.
@@ -29,6 +31,10 @@ BLOCKS = 1024
 RESERVE = 0.15
 SHARDS = 8
 SEED = 7
+#: A node's blocks are counted by so many first bits of their hashes.
+BIN_BITS = 12
+#: Documents of a block are summed by their hashes without so many last bits.
+INNER_BITS = 54
 ADDED = ("size", "source_size", "target", "taken", "shards")
 
 
@@ -36,13 +42,27 @@ def sizes(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranks(sources: DataFrame) -> DataFrame:
+    """sources with rank, from 1 in code point order of source, null last. Sources are dealt into ranges; the driver sees the
+    ranges' sizes alone."""
+    spark = sources.sparkSession
+    order = F.col("source").asc_nulls_last()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = table(sources.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    before = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
+    offsets = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_place", place).join(offsets, "_range").withColumn("rank", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """sources (source, source_size) with rank, target: the words that each gives.
 
     Weights repeat over the sources in code point order. A target stops at most x its source's size; what that leaves is
     dealt out again by weight until none is above. The loop hands three sums to the driver, no rows.
     """
-    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    ranked = ranks(sources)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = table(ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(most)), "mix-sources")
     level, capped = 0.0, -1
@@ -62,35 +82,40 @@ def _uniform(*parts: Column) -> Column:
 def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """rank, shard, n from quotas (rank, n): exact shares of the sources' quotas for each shard, for a power of two of shards.
 
-    A node is one row with its sources as an array; a draw walks over them: of a source's n blocks, each goes left with
-    the chance of what the left half still needs over what is still to come.
+    A node holds a row for each source. Each of its blocks has a hash; the half with the lowest hashes goes left. Blocks
+    aren't shuffled: they are counted by hash bin, then those of the bins below the middle by source, and the few of the
+    middle's bin are put in order.
     """
-    nodes = quotas.select(F.lit(0).alias("node"), F.struct("rank", F.col("n").cast("long").alias("n")).alias("s"))
-
-    def draw(node: Column, sources: Column, half: Column, total: Column) -> Column:
-        def source(acc: Column, s: Column) -> Column:
-            def block(a: Column, t: Column) -> Column:
-                left = _uniform(F.lit(seed), F.lit("tree"), node, s["rank"], t) * a["rest"] < a["need"]
-                one = F.when(left, F.lit(1)).otherwise(F.lit(0)).cast("long")
-                return F.struct((a["need"] - one).alias("need"), (a["rest"] - 1).alias("rest"), (a["x"] + one).alias("x"))
-
-            zero = F.struct(acc["need"].alias("need"), acc["rest"].alias("rest"), F.lit(0).cast("long").alias("x"))
-            drawn = F.when(s["n"] > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(s["n"], F.lit(1).cast("long"))), zero, block)).otherwise(zero)
-            return F.transform(F.array(drawn), lambda d: F.struct(d["need"].alias("need"), d["rest"].alias("rest"), F.array_append(acc["out"], d["x"]).alias("out")))[0]
-
-        start = F.struct(half.alias("need"), total.alias("rest"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(sources, start, source, lambda a: a["out"])
-
+    spark = quotas.sparkSession
+    nodes = quotas.select(F.lit(0).alias("node"), F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n")).where("n > 0")
     count = 1
     while count < shards:
-        grouped = nodes.groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("sources"), F.sum("s.n").alias("total"))
-        halves = grouped.withColumn("drawn", draw(F.col("node"), F.col("sources"), F.floor(F.col("total") / 2).cast("long"), F.col("total")))
-        both = F.explode(F.arrays_zip("sources", "drawn"))
-        each = halves.select("node", both.alias("b")).select("node", F.col("b.sources.rank").alias("rank"), F.col("b.sources.n").alias("n"), F.col("b.drawn").alias("x"))
+        nodes = table(nodes, "mix-tree")
+        blocks = nodes.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("hash", F.xxhash64(F.lit(seed), F.lit("tree"), F.lit(count), "node", "rank", "block"))
+        blocks = blocks.withColumn("bin", F.shiftrightunsigned("hash", 64 - BIN_BITS))
+        # at most 2 ** BIN_BITS counts for each of fewer nodes than shards
+        middles = []
+        histogram: dict[int, list[tuple[int, int]]] = {}
+        for r in blocks.groupBy("node", "bin").count().collect():
+            histogram.setdefault(r["node"], []).append((r["bin"], r["count"]))
+        for node, bins in histogram.items():
+            need = sum(n for _, n in bins) // 2
+            for at, n in sorted(bins):
+                if n > need:
+                    middles.append((node, at, need))
+                    break
+                need -= n
+        middle = F.broadcast(spark.createDataFrame(middles, "node int, middle long, need long"))
+        placed = blocks.join(middle, "node")
+        below = placed.where("bin < middle").groupBy("node", "rank").agg(F.count(F.lit(1)).alias("x"))
+        order = F.row_number().over(Window.partitionBy("node").orderBy("hash", "rank", "block"))
+        within = placed.where("bin = middle").withColumn("at", order).where("at <= need").groupBy("node", "rank").agg(F.count(F.lit(1)).alias("x"))
+        drawn = below.unionByName(within).groupBy("node", "rank").agg(F.sum("x").alias("x"))
+        each = nodes.join(drawn, ["node", "rank"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
         sides = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("x").alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("n") - F.col("x")).alias("n"))))
-        nodes = each.select("rank", sides.alias("c")).select(F.col("c.node").alias("node"), F.struct("rank", F.col("c.n").alias("n")).alias("s"))
+        nodes = each.select("rank", sides.alias("c")).select("c.node", "rank", "c.n").where("n > 0")
         count *= 2
-    return nodes.select(F.col("s.rank").alias("rank"), F.col("node").alias("shard"), F.col("s.n").alias("n"))
+    return table(nodes, "mix-leaves").select("rank", F.col("node").alias("shard"), "n")
 
 
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -122,9 +147,17 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     part = chosen.where("state = 'part'").select("source", "rank", "pass", "block", "rest", "reserve")
     inner_order = F.xxhash64(F.lit(seed), F.lit("document"), F.col("pass"), F.col("key"))
     inside = light.join(part, null_safe(light, part) & (light["block"] == part["block"])).drop(part["source"], part["block"]).withColumn("order", inner_order)
-    running = F.sum("size").over(Window.partitionBy("rank", "pass").orderBy("order"))
-    limits = inside.withColumn("running", running).groupBy("rank", "pass").agg(F.max(F.when(F.col("running") <= F.col("rest"), F.col("order"))).alias("limit"), F.max(F.when(F.col("running") <= F.col("rest"), F.col("running"))).alias("filled"), F.max(F.col("rest") + F.col("reserve")).alias("rest"))
-    limits = table(limits.select("rank", "pass", "limit", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("left")), "mix-limits")
+    # sums by the first bits of the order, then single documents where the target lies
+    inside = inside.withColumn("bin", F.shiftright("order", INNER_BITS))
+    of_pass = Window.partitionBy("rank", "pass")
+    bins = inside.groupBy("rank", "pass", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max("reserve").alias("reserve"))
+    bins = bins.withColumn("before", F.sum("words").over(of_pass.orderBy("bin")) - F.col("words")).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    edge = inside.drop("rest", "reserve").join(bins.drop("words"), ["rank", "pass", "bin"])
+    running = F.col("before") + F.sum("size").over(of_pass.orderBy("order"))
+    fits = F.col("running") <= F.col("rest")
+    limits = edge.withColumn("running", running).groupBy("rank", "pass").agg(F.max(F.when(fits, F.col("order"))).alias("limit"), F.max(F.when(fits, F.col("running"))).alias("filled"), *(F.max(c).alias(c) for c in ("before", "bin")), F.max(F.col("rest") + F.col("reserve")).alias("rest"))
+    lower = F.when(F.col("bin") > -(1 << (63 - INNER_BITS)), F.shiftleft("bin", INNER_BITS) - 1)
+    limits = table(limits.select("rank", "pass", F.coalesce("limit", lower).alias("limit"), (F.col("rest") - F.coalesce("filled", "before")).alias("left")), "mix-limits")
 
     # documents, of those not taken in the pass, that close the rest: of each size class (an eighth of a power of two) the largest and
     # the smallest are candidates; the largest that fits is taken until none does, then one that comes nearer, if any

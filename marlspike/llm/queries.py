@@ -36,13 +36,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), once=False)
+    manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     whole = warc.read_archives(spark, manifest, folder).where("last")
     return whole.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    return mixing.assign(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

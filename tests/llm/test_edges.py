@@ -79,20 +79,32 @@ def test_bpe(docs, empty):
 
 def test_warc(spark):
     big = "x" * (3 * warc.CHUNK + 7)
-    pages = spark.createDataFrame([(1, "http://a", "same"), (2, None, "same"), (3, "http://c\r\nX: y", None), (4, "http://d", big), (4, "http://d", big), (None, "http://n", "same"), (5, "http://e", "")], "page_id long, url string, html string")
-    manifest, folder = warc.archive(pages)
+    rows = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c\r\nX: y", None), (4, "http://d", big), (4, "http://d", big), (None, "http://n", "same"), (5, "http://e", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest, folder = warc.archive(pages.withColumns({"digest": F.lit("own"), "chunk": F.lit("own"), "key": F.lit("own"), "row": F.lit(1)}))
     chunks = warc.read_archives(spark, manifest, folder).collect()
-    last = {r["key"]: r for r in chunks if r["last"]}
+    last = [r for r in chunks if r["last"]]
     sha = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
-    assert {k: (r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for k, r in last.items()} == {
-        "1": ("revisit", "2", 4, sha("same")), "2": ("response", None, 4, sha("same")), None: ("revisit", "2", 4, sha("same")), "3": ("revisit", "5", 0, sha("")), "5": ("response", None, 0, sha("")), "4": ("response", None, len(big), sha(big)),
-    }
+    assert sorted(((r["key"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in last), key=str) == sorted([
+        ("1", "revisit", "2", 4, sha("same")), ("2", "response", None, 4, sha("same")), (None, "revisit", "2", 4, sha("same")), ("3", "revisit", "5", 0, sha("")), ("5", "response", None, 0, sha("")), ("4", "response", None, len(big), sha(big)), ("4", "response", None, len(big), sha(big)),
+    ], key=str)
     parts = sorted((r["chunk"], bytes(r["data"])) for r in chunks if r["key"] == "4")
-    assert len(parts) == 4 and b"".join(d for _, d in parts).decode() == big and max(len(d) for _, d in parts) <= warc.CHUNK
+    assert len(parts) == 8 and b"".join(d for _, d in parts[::2]).decode() == big and max(len(d) for _, d in parts) <= warc.CHUNK
     none, where = warc.archive(pages.where("false"))
     assert none.count() == 0 and warc.read_archives(spark, none, where).count() == 0
 
 
+def test_warc_keeps_any_key(spark):
+    """String keys come back as they were, with colons, blanks or line ends, and "null" is not null."""
+    keys = ["a:b", "null", "", None, "ü €\r\n<x>", "k", "n"]
+    pages = spark.createDataFrame([(k, "u", "same") for k in keys] + [(k, "u", f"own {k}") for k in keys], "page_id string, url string, html string")
+    manifest, folder = warc.archive(pages)
+    found = [(r["key"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, manifest, folder).collect()]
+    largest = max(k for k in keys if k is not None)
+    wanted = [(k, "response", None) for k in keys] + [(k, *(("response", None) if k == largest else ("revisit", largest))) for k in keys]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
 def test_mixing(docs, empty):
     rows = mixing.assign(docs.withColumn("target", F.lit("own"))).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
@@ -110,6 +122,27 @@ def test_split_tree(spark):
     assert sum(sizes) == 60 and max(sizes) - min(sizes) <= 1
 
 
+def test_split_tree_of_many_sources(spark):
+    """Quotas add up for each source and are as even as they can be for each shard; the draws are of the hypergeometric kind."""
+    quotas = spark.range(1, 100_001).select(F.col("id").alias("rank"), (F.col("id") % 5).alias("n"))
+    rows = mixing.split_tree(quotas, 8)
+    total = 200_000
+    by_rank = rows.groupBy("rank").agg(F.sum("n").alias("n"))
+    assert by_rank.where("n <> rank % 5").count() == 0 and by_rank.count() == 80_000
+    sizes = [r["n"] for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect()]
+    assert sum(sizes) == total and len(sizes) == 8 and max(sizes) - min(sizes) <= 1
+    # of four blocks of a source, none falls to shard 0 with a chance of (7 / 8) ** 4
+    hit = rows.where("shard = 0 and rank % 5 = 4").count()
+    assert abs(hit / 20_000 - (1 - (7 / 8) ** 4)) < 0.015
+
+
+def test_ranks_of_many_sources(spark):
+    names = [f"s{(i * 7919) % 5003}" for i in range(5003)] + [None, "\U0001f600", "\uffff"]
+    rows = mixing.ranks(spark.createDataFrame([(x,) for x in names], "source string").repartition(7)).collect()
+    assert [r["source"] for r in sorted(rows, key=lambda r: r["rank"])] == [*sorted(x for x in names if x is not None), None]
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(names) + 1))
+
+
 def test_host_rules(docs, empty):
     measured = host_rules.measure(docs.withColumn("n_words", F.lit("own")))
     verdicts = host_rules.hosts(measured)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.operators import analytics, audience, documents, leads, mail, planning
+from marlspike.operators import analytics, audience, documents, inbox, leads, mail, planning, rules
 
-MODULES: list = [analytics, audience, planning, leads, mail, documents]
+MODULES: list = [analytics, audience, planning, leads, mail, documents, inbox, rules]
 #: Queries whose rules SQL restates no better than they do: tested by golden vectors and loops.
-TESTED_BY_VECTORS = ("u01_page_class", "u02_entries", "u05_page_facts", "u06_research", "u09_site_lead", "s11_engagement_csv", "s12_company_csv", "p22_quality", "a18_batch_summary", "f13_phones")
+TESTED_BY_VECTORS = ("u01_page_class", "u02_entries", "u05_page_facts", "u06_research", "u09_site_lead", "s11_engagement_csv", "s12_company_csv", "p22_quality", "f13_phones")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlspike.functions.text import let
+
 # Day codes in calendar order, and defaults.
 DAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 DEFAULT_ZONE, DEFAULT_DAYS = "Asia/Kolkata", DAYS[:5]
@@ -27,12 +29,12 @@ def day_code(clock: Column) -> Column:
 
 
 def normalize_days(text: Column) -> Column:
-    """Day codes from a JSON array or a list with commas: upper case, first three letters; an unknown entry makes it empty."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), r'[\[\]"\s]', "")
-    parts = F.transform(F.filter(F.split(inner, ","), lambda x: x != ""), lambda x: F.upper(F.substring(x, 1, 3)))
-    known = F.array(*[F.lit(d) for d in DAYS])
-    ordered = F.filter(known, lambda d: F.array_contains(parts, d))
-    return F.when(F.size(F.array_except(parts, known)) == 0, ordered).otherwise(F.array().cast("array<string>"))
+    """Day codes from a JSON array, a list with commas or one day: by their first three letters, each once, in order of
+    appearance; unknown entries are left out, and text in brackets that isn't JSON has none."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    listed = F.when(raw.startswith("[") & raw.endswith("]"), F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))).otherwise(F.split(raw, ","))
+    codes = F.transform(listed, lambda x: F.upper(F.substring(F.trim(x), 1, 3)))
+    return F.array_distinct(F.filter(codes, lambda x: x.isin(*DAYS)))
 
 
 def common_days(first: Column, second: Column) -> Column:
@@ -66,34 +68,44 @@ def next_send_time(ts: Column, delay: Column, days: Column, zone: Column, start:
     Before the window: its start; behind it: its start on the next allowed day. Without delay on a day that isn't
     allowed: the start on the next allowed day. Null for a negative delay and for no allowed days.
     """
-    clock = local(ts, zone)
-    today = clock.cast("date")
-    time = F.date_format(clock, "HH:mm:ss")
     full = lambda c: F.when(c.isNotNull(), F.rpad(F.trim(c), 8, ":00"))
+    code = lambda d: F.element_at(F.array(*[F.lit(x) for x in DAYS]), F.weekday(d) + 1)
     opens, closes = full(start), full(end)
-    allowed = lambda d: F.array_contains(days, F.upper(F.date_format(d, "EEE")))
-    span = (F.greatest(delay, F.lit(0)) + 1) * 7 + 7
-    later = F.filter(F.transform(F.sequence(F.lit(1), span), lambda i: F.date_add(today, i)), allowed)
-    moved = F.when(delay == 0, F.lit(False)).otherwise(F.lit(True))
-    off_day = (delay == 0) & ~allowed(today)
-    # the day reached by the delay, and the allowed day behind it
-    day = F.when(moved, F.get(later, delay - 1)).when(off_day, F.get(later, F.lit(0))).otherwise(today)
-    following = F.when(moved, F.get(later, delay)).otherwise(F.get(later, F.lit(0)))
     bounded = opens.isNotNull() & closes.isNotNull()
-    expired, early = bounded & (time > closes) & ~off_day, bounded & (time < opens) & ~off_day
-    aligned = F.when(off_day, opens.isNotNull()).otherwise(expired | early)
-    target = F.when(expired, following).otherwise(day)
-    seconds = F.unix_micros(clock.cast("timestamp")) - F.unix_micros(F.date_trunc("day", clock).cast("timestamp"))
-    opening = (F.substring(opens, 1, 2).cast("long") * 3600 + F.substring(opens, 4, 2).cast("long") * 60 + F.substring(opens, 7, 2).cast("long")) * 1_000_000
-    offset = F.when(aligned, opening).otherwise(seconds)
-    wall = F.timestamp_micros(F.unix_micros(target.cast("timestamp")) + offset).cast("timestamp_ntz")
-    return F.when((delay >= 0) & (F.size(days) > 0), instant(wall, zone))
+
+    def of_clock(clock: Column) -> Column:
+        today = clock.cast("date")
+        # how many days ahead the allowed ones of as many weeks lie
+        ahead = F.filter(F.sequence(F.lit(1), (F.greatest(delay, F.lit(0)) + 1) * 7 + 7), lambda i: F.array_contains(days, code(F.date_add(today, i))))
+        return let(ahead, lambda later: of_days(clock, today, later))
+
+    def of_days(clock: Column, today: Column, later: Column) -> Column:
+        time = F.date_format(clock, "HH:mm:ss")
+        off_day = (delay == 0) & ~F.array_contains(days, code(today))
+        # the day reached by the delay, and the allowed day behind it
+        day = F.when(delay > 0, F.get(later, delay - 1)).when(off_day, F.get(later, F.lit(0))).otherwise(F.lit(0))
+        following = F.when(delay > 0, F.get(later, delay)).otherwise(F.get(later, F.lit(0)))
+        expired, early = bounded & (time > closes) & ~off_day, bounded & (time < opens) & ~off_day
+        aligned = F.when(off_day, opens.isNotNull()).otherwise(expired | early)
+        target = F.date_add(today, F.when(expired, following).otherwise(day))
+        seconds = F.unix_micros(clock.cast("timestamp")) - F.unix_micros(F.date_trunc("day", clock).cast("timestamp"))
+        opening = (F.substring(opens, 1, 2).cast("long") * 3600 + F.substring(opens, 4, 2).cast("long") * 60 + F.substring(opens, 7, 2).cast("long")) * 1_000_000
+        return F.timestamp_micros(F.unix_micros(target.cast("timestamp")) + F.when(aligned, opening).otherwise(seconds)).cast("timestamp_ntz")
+
+    return F.when((delay >= 0) & (F.size(days) > 0), instant(let(local(ts, zone), of_clock), zone))
 
 
 def minutes_left_in_hour(clock: Column) -> Column:
     return F.greatest(F.lit(1), 60 - F.minute(clock))
 
 
+def minutes_left_in_window(clock: Column, end: Column) -> Column:
+    """Minutes from the local clock to the end of the sending window on that day, 0 behind it."""
+    closes = F.trim(F.coalesce(end, F.lit(DEFAULT_END)))
+    part = lambda i: F.coalesce(F.get(F.split(closes, ":"), F.lit(i)).try_cast("int"), F.lit(0))
+    return F.greatest(F.lit(0), part(0) * 60 + part(1) - F.hour(clock) * 60 - F.minute(clock))
+
+
 def five_minutes(ts: Column) -> Column:
     """The number of the 5-minute bucket since the epoch."""
     return F.floor(F.unix_millis(ts.cast("timestamp")) / 300_000)
@@ -125,6 +137,10 @@ def batch_size(capacity: Column, hourly_limit: Column, minutes_hour: Column, min
     return F.when(force, F.least(F.lit(50), capacity)).when(capacity <= 0, F.lit(0)).otherwise(paced)
 
 
-def paced_delay(base_seconds: Column, jitter: float = 0.0) -> Column:
-    """Seconds to the next send: the interval with a share of jitter (-0.1 to 0.1, none by default), 15 at least."""
-    return F.greatest(F.lit(15.0), base_seconds * (1 + jitter))
+def paced_delay(hourly_limit: Column, sent: Column, left: Column, minutes: Column, force: Column, jitter: float = 0.0) -> Column:
+    """Seconds to the next send: the rest of the window over the mails that are left and those just sent, or all of it when
+    none are left; with a share (-1 to 1, none by default) of a jitter of a tenth, 2 to 15 seconds; 15 at least, 5 if forced."""
+    even = F.greatest(F.lit(15), F.floor(F.greatest(F.lit(15), minutes * 60) / (left + sent)).cast("int"))
+    base = F.when(left > 0, even).otherwise(F.greatest(F.lit(60), minutes * 60))
+    most = F.least(F.lit(15), F.greatest(F.lit(2), F.floor(base * 0.1).cast("int")))
+    return F.when(force, F.lit(5)).otherwise(F.greatest(F.lit(15), base + F.round(most * jitter).cast("int")))

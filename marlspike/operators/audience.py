@@ -48,10 +48,13 @@ def exclusions(audience: DataFrame, contacts: DataFrame, emails: DataFrame, supp
         .when(F.col("bounce_count") >= 2, "hard_bounce")
         .when(F.col("bounce_count") > 0, "soft_bounce")
     )
-    first = Window.partitionBy("normalized_email", F.col("early").isNull()).orderBy("contact_id")
-    ranked = joined.withColumn("early", early).withColumn("_n", F.row_number().over(first))
+    # only those who passed so far are ranked by address: the others, many of them without one, stay where they are
+    judged = joined.withColumn("early", early)
+    first = Window.partitionBy("normalized_email").orderBy("contact_id")
+    passed = judged.where("early is null").withColumn("_n", F.row_number().over(first))
+    rest = judged.where("early is not null").withColumn("_n", F.lit(1))
     reason = F.coalesce("early", F.when(F.col("_n") > 1, "duplicate"), F.when(F.col("suppression").isNotNull(), F.concat(F.lit("suppressed:"), "suppression")))
-    return ranked.select("contact_id", "normalized_email", reason.alias("reason"))
+    return passed.unionByName(rest).select("contact_id", "normalized_email", reason.alias("reason"))
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:

@@ -10,7 +10,7 @@ from marlspike.functions import pages as G
 from marlspike.functions import templates as T
 from marlspike.functions import text as X
 from marlspike.operators import analytics, leads
-from marlspike.operators.audience import contains, primary_email
+from marlspike.operators.audience import primary_email
 from marlspike.sources import exports as E
 from marlspike.sources import files as S
 from marlspike.views import with_views
@@ -125,16 +125,6 @@ def s15_contacts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", E.line(E.CONTACTS, cells, quote_all=True).alias("line"))
 
 
-def p05_lead_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads with a text in any of their columns that have an address."""
-    n = leads.f08_normalize(spark, sf_dir)
-    wanted = None
-    for c in ("company", "name", "domain", "email", "phone", "city"):
-        hit = F.coalesce(contains(F.col(c), "marine 1"), F.lit(False))
-        wanted = hit if wanted is None else wanted | hit
-    return n.where(wanted & F.col("email").isNotNull()).select("row_number", "company", "email")
-
-
 def p17_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by whether their made-up reader is automatic."""
     agents = ("Mozilla/5.0", "Googlebot/2.1", "curl/8", "Safari", "HeadlessChrome")
@@ -195,17 +185,6 @@ def a16_ai_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("day = 2").groupBy("user_id").agg(F.count_if("ok").alias("used")).withColumn("remaining", F.greatest(F.lit(0), 50 - F.col("used")))
 
 
-def a18_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a batch of leads; a stored counter counts where it isn't zero."""
-    n = leads.f08_normalize(spark, sf_dir).join(leads.d04_resolve(spark, sf_dir), "row_number").join(leads.d03_dedupe_batch(spark, sf_dir).select("row_number", "status"), "row_number")
-    found = n.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "DUPLICATE").alias("duplicates"), F.count_if(F.col("email").isNull()).alias("missing_email"), F.count_if(F.col("phone").isNull()).alias("missing_phone"),
-        F.count_if(F.col("resolution").isin("RESOLVED_HIGH", "RESOLVED_MEDIUM")).alias("resolved"), F.count_if(F.col("resolution") == "UNRESOLVED").alias("unresolved"), F.count_if(F.col("resolution") == "REVIEW_REQUIRED").alias("review"), F.count_if(F.col("source") == "DIRECTORY").alias("directory"),
-    )
-    stored = F.when(F.col("user_id") == 1, 7).otherwise(0)
-    return found.withColumn("resolved", F.coalesce(F.nullif(stored, F.lit(0)).cast("long"), F.col("resolved")))
-
-
 def mailbox_refs(campaigns: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """campaign_id, position, mailbox_id: mailboxes that a campaign names by id or by address, each once, at its first place.
 
@@ -263,8 +242,8 @@ def f13_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s03_csv, s06_pasted, s08_json, u01_page_class, u02_entries, u05_page_facts, u06_research, u09_site_lead, s11_engagement_csv, s12_company_csv, s13_leads_csv, s14_batch_csv, s15_contacts_csv, p05_lead_search, p17_bots,
-        p18_ips, p19_shared_hosts, p22_quality, x06_render, a21_template_audit, x07_balance, a16_ai_quota, a18_batch_summary, j09_mailbox_refs, a20_pool, j17_import_orgs, f13_phones,
+        s03_csv, s06_pasted, s08_json, u01_page_class, u02_entries, u05_page_facts, u06_research, u09_site_lead, s11_engagement_csv, s12_company_csv, s13_leads_csv, s14_batch_csv, s15_contacts_csv, p17_bots,
+        p18_ips, p19_shared_hosts, p22_quality, x06_render, a21_template_audit, x07_balance, a16_ai_quota, j09_mailbox_refs, a20_pool, j17_import_orgs, f13_phones,
     )
 }
 
@@ -288,7 +267,6 @@ SELECT source_id, row_number, CASE WHEN known THEN CASE WHEN trim(parts[1], ' ')
     "s14_batch_csv": """SELECT s_suppkey, s_name || ',,Ann van ' || s_suppkey || ',Ann,van ' || s_suppkey || ',,,,,,,,,,"Hall: ' || (s_suppkey % 7) || ', Stand #' || s_suppkey || '",,,,,,,,Trade Fair / Expo Directory,' || (s_suppkey % 7) || ',' || s_suppkey || ',,,,,,,,' || s_suppkey || ',,,0%,Missing,' AS line FROM supplier""",
     "s15_contacts_csv": with_views("contact contact_email", """WITH pick AS (SELECT * FROM contact_email QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY is_primary DESC, id) = 1)
 SELECT contact.id, '"","","' || full_name || '","' || coalesce(email, '') || '","","","' || industry || '","' || coalesce(city, '') || '","Cold"' AS line FROM contact LEFT JOIN pick ON pick.contact_id = contact.id"""),
-    "p05_lead_search": with_views("lead", f"WITH {leads._NORMAL} SELECT row_number, company, email FROM n WHERE email IS NOT NULL AND contains(lower(concat_ws(chr(1), company, name, domain, email, phone, city)), 'marine 1')"),
     "p17_bots": with_views("event", "SELECT id % 5 IN (1, 2, 4) OR id % 7 = 0 AS bot, count(*) AS events FROM event GROUP BY 1"),
     "p18_ips": "SELECT a AS first, count(*) FILTER (WHERE a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127)) AS restricted, count(*) AS addresses FROM (SELECT c_custkey % 224 AS a, c_custkey * 7 % 256 AS b FROM customer) GROUP BY 1",
     "p19_shared_hosts": "SELECT s_suppkey, s_suppkey % 4 <> 2 AS shared FROM supplier",

@@ -43,10 +43,10 @@ def match_existing(probes: DataFrame, existing: DataFrame) -> DataFrame:
         p = p.join(first, ["user_id", key], "left")
     place = F.row_number().over(Window.partitionBy("user_id", "block").orderBy("row_number"))
     block = F.when(F.length("name") >= 4, F.substring("name", 1, BLOCK))
-    firsts = existing.withColumn("block", F.substring("name", 1, BLOCK)).withColumn("place", place).where(F.col("place") <= CANDIDATES).select("user_id", "block", F.col("name").alias("other"), F.col("row_number").alias("other_row"))
+    firsts = existing.withColumn("block", F.substring("name", 1, BLOCK)).withColumn("place", place).where(F.col("place") <= CANDIDATES)
     # one comparison for each different name, whatever the number of its rows
     names = p.select("user_id", "name", block.alias("block")).where("block is not null").distinct()
-    alike = names.join(firsts, ["user_id", "block"]).withColumn("likeness", X.dice(F.col("name"), F.col("other"))).where(F.col("likeness") >= SIMILAR)
+    alike = _alike(names, firsts.select("user_id", "block", F.col("name").alias("other"), F.col("row_number").alias("other_row")))
     best = alike.groupBy("user_id", "name").agg(F.min(F.struct("other_row", "likeness")).alias("best"))
     p = p.join(best, ["user_id", "name"], "left")
     exact = F.coalesce("m_domain_key", "m_email_key", "m_name_key")
@@ -55,30 +55,46 @@ def match_existing(probes: DataFrame, existing: DataFrame) -> DataFrame:
     return p.select("row_number", status.alias("status"), confidence.alias("confidence"), F.coalesce(exact, "m_phone_key", "best.other_row").alias("match"))
 
 
-def dedupe_batch(leads: DataFrame) -> DataFrame:
-    """row_number, status, match within one batch, as if rows were taken one by one.
+def _alike(names: DataFrame, firsts: DataFrame) -> DataFrame:
+    """user_id, name, other_row, likeness of names (user_id, name, block) and the firsts (user_id, block, other, other_row) of
+    their block that are SIMILAR. Bigrams are made once for each name; lengths too different for the likeness go before."""
+    left = names.withColumn("grams", X.bigrams(F.col("name")))
+    right = firsts.withColumn("other_grams", X.bigrams(F.col("other")))
+    a, b = F.size("grams"), F.size("other_grams")
+    close = left.join(right, ["user_id", "block"]).where(2.0 * F.least(a, b) >= SIMILAR * (a + b))
+    return close.withColumn("likeness", X.dice_of(F.col("grams"), F.col("other_grams"))).where(F.col("likeness") >= SIMILAR).select("user_id", "name", "other_row", "likeness")
 
-    A row that shares a key of the exact tiers with an earlier accepted row is a DUPLICATE and is not itself compared
-    with later ones; accepted rows may be POSSIBLE_DUPLICATEs of earlier accepted ones. Rounds: a row that is the first open one under each of its keys is accepted; open rows that share a
-    key with it are duplicates. The number of rounds is that of the longest chain of decisions, not of rows.
+
+def greedy_duplicates(pairs: DataFrame) -> DataFrame:
+    """row_number, match: rows that share a key with an earlier kept row, as if rows were taken one by one, from pairs (row_number, key).
+
+    A row that is a duplicate isn't itself compared with later ones. Rounds: a row that is the first open one under each of
+    its keys is kept; open rows that share a key with it are duplicates. The number of rounds is that of the longest chain
+    of decisions (each row sharing a key with the one before alone), at most the number of rows; rows that share nothing
+    with open ones leave in the first round.
     """
-    keys = _keys()
-    long = F.explode(F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat_ws("=", F.lit(k), F.col("user_id").cast("string"), c)) for k, c in keys.items()])))
-    pairs = written(leads.select("row_number", long.alias("key")), "dedupe-keys")
-    accepted = leads.select("row_number").join(pairs.select("row_number").distinct(), "row_number", "left_anti")
-    gone = None
-    open_pairs = pairs
+    pairs = written(pairs, "greedy-keys")
+    gone, open_pairs = None, pairs
     while not open_pairs.isEmpty():
         first = open_pairs.groupBy("key").agg(F.min("row_number").alias("first"))
-        judged = written(open_pairs.join(first, "key"), "dedupe-round")
+        judged = written(open_pairs.join(first, "key"), "greedy-round")
         winners = judged.groupBy("row_number").agg(F.bool_and(F.col("row_number") == F.col("first")).alias("won")).where("won").select("row_number")
-        hit = judged.join(winners.select(F.col("row_number").alias("first")), "first").where("row_number <> first").groupBy("row_number").agg(F.min("first").alias("match"))
-        hit = written(hit, "dedupe-hit")
-        accepted = accepted.unionByName(winners)
+        hit = written(judged.join(winners.select(F.col("row_number").alias("first")), "first").where("row_number <> first").groupBy("row_number").agg(F.min("first").alias("match")), "greedy-hit")
         gone = hit if gone is None else gone.unionByName(hit)
-        open_pairs = written(open_pairs.join(winners, "row_number", "left_anti").join(hit.select("row_number"), "row_number", "left_anti"), "dedupe-open")
-    possible = _possible(leads.join(written(accepted, "dedupe-accepted"), "row_number"))
-    return possible if gone is None else possible.unionByName(gone.select("row_number", F.lit("DUPLICATE").alias("status"), "match"))
+        open_pairs = written(open_pairs.join(winners, "row_number", "left_anti").join(hit.select("row_number"), "row_number", "left_anti"), "greedy-open")
+    return gone if gone is not None else pairs.select("row_number", F.col("row_number").alias("match")).where("false")
+
+
+def dedupe_batch(leads: DataFrame) -> DataFrame:
+    """row_number, status, match within one batch, as if rows were taken one by one.
+
+    A row that shares a key of the exact tiers with an earlier accepted row is a DUPLICATE and is not itself compared
+    with later ones; accepted rows may be POSSIBLE_DUPLICATEs of earlier accepted ones.
+    """
+    long = F.explode(F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat_ws("=", F.lit(k), F.col("user_id").cast("string"), c)) for k, c in _keys().items()])))
+    gone = written(greedy_duplicates(leads.select("row_number", long.alias("key"))), "dedupe-gone")
+    possible = _possible(leads.join(gone.select("row_number"), "row_number", "left_anti"))
+    return possible.unionByName(gone.select("row_number", F.lit("DUPLICATE").alias("status"), "match"))
 
 
 def _possible(accepted: DataFrame) -> DataFrame:
@@ -93,27 +109,37 @@ def _possible(accepted: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("user_id", "prefix").orderBy("row_number"))
     firsts = rows.withColumn("prefix", F.substring("name", 1, BLOCK)).withColumn("place", place).where(F.col("place") <= CANDIDATES).select("user_id", F.col("prefix").alias("block"), F.col("name").alias("other"), F.col("row_number").alias("other_row"))
     names = rows.where("block is not null").select("user_id", "name", "block").distinct()
-    alike = names.join(firsts, ["user_id", "block"]).where(X.dice(F.col("name"), F.col("other")) >= SIMILAR).groupBy("user_id", "name").agg(F.min("other_row").alias("by_name"))
+    alike = _alike(names, firsts).groupBy("user_id", "name").agg(F.min("other_row").alias("by_name"))
     joined = rows.join(phones, ["user_id", "phone_key"], "left").join(alike, ["user_id", "name"], "left")
     earlier = lambda c: F.when(F.col(c) < F.col("row_number"), F.col(c))
     match = F.coalesce(earlier("by_phone"), earlier("by_name"))
     return joined.select("row_number", F.when(match.isNull(), "UNIQUE").otherwise("POSSIBLE_DUPLICATE").alias("status"), match.alias("match"))
 
 
-def resolve(leads: DataFrame, organizations: DataFrame, search: DataFrame) -> DataFrame:
-    """row_number, domain, source, resolution: a company's domain from its first own site, the known organizations, or the search table.
+def resolve(leads: DataFrame, organizations: DataFrame, prior: DataFrame, search: DataFrame) -> DataFrame:
+    """row_number, resolved, source, resolution: a company's domain from its first own site, the known organizations, leads that were
+    resolved before, or the search table.
 
-    One decision for each tenant and name, taken by the name's first row, and joined back to all its rows.
-    organizations: user_id, name, domain. search: name, domain, score.
+    One decision for each tenant and name, taken by the name's first row, and joined back to all its rows. Known names are
+    met by any of the name's variants (as given, without its relation, each also in comparable form), whatever the case.
+    organizations, prior: user_id, name, domain. search: name, domain, score.
     """
-    first = leads.withColumn("_n", F.row_number().over(Window.partitionBy("user_id", "name").orderBy("row_number"))).where("_n = 1").select("user_id", "name", F.col("domain").alias("own"))
-    known = organizations.groupBy("user_id", "name").agg(F.min("domain").alias("known"))
+    base = X.company_division(F.col("company"))["base"]
+    variants = F.array_distinct(F.array(F.lower(F.trim("company")), "name", F.lower(base), X.company_name(base)))
+    first = leads.withColumn("_n", F.row_number().over(Window.partitionBy("user_id", "name").orderBy("row_number"))).where("_n = 1").select("user_id", "name", F.col("domain").alias("own"), variants.alias("variants"))
+    forms = first.select("user_id", "name", F.explode("variants").alias("form"))
+
+    def met(known: DataFrame, to: str) -> DataFrame:
+        usable = known.withColumn("form", F.lower("name")).where(~X.is_shared_host(F.col("domain"))).groupBy("user_id", "form").agg(F.min("domain").alias(to))
+        return forms.join(usable, ["user_id", "form"]).groupBy("user_id", "name").agg(F.min(to).alias(to))
+
     found = search.groupBy("name").agg(F.max(F.struct("score", "domain")).alias("top"), F.count(F.lit(1)).alias("candidates"))
-    joined = first.join(known, ["user_id", "name"], "left").join(found, "name", "left")
+    joined = first.join(met(organizations, "known"), ["user_id", "name"], "left").join(met(prior, "before"), ["user_id", "name"], "left").join(found, "name", "left")
     weak = (F.col("candidates") == 1) & (F.col("top.score") < 0.75)
-    source = F.when(F.col("own").isNotNull(), "DIRECTORY").when(F.col("known").isNotNull(), "DATABASE").when(F.col("top").isNotNull(), "SEARCH")
-    level = F.when(F.coalesce("own", "known").isNotNull(), "RESOLVED_HIGH").when(F.col("top").isNull(), "UNRESOLVED").when(weak, "REVIEW_REQUIRED").when(F.col("top.score") >= 0.9, "RESOLVED_MEDIUM").otherwise("RESOLVED_LOW")
-    domain = F.coalesce("own", "known", F.when(level != "REVIEW_REQUIRED", F.col("top.domain")))
+    stored = F.coalesce("known", "before")
+    source = F.when(F.col("own").isNotNull(), "DIRECTORY").when(stored.isNotNull(), "DATABASE").when(F.col("top").isNotNull(), "SEARCH")
+    level = F.when(F.coalesce(F.col("own"), stored).isNotNull(), "RESOLVED_HIGH").when(F.col("top").isNull(), "UNRESOLVED").when(weak, "REVIEW_REQUIRED").when(F.col("top.score") >= 0.9, "RESOLVED_MEDIUM").otherwise("RESOLVED_LOW")
+    domain = F.coalesce(F.col("own"), stored, F.when(level != "REVIEW_REQUIRED", F.col("top.domain")))
     decided = joined.select("user_id", "name", domain.alias("resolved"), source.alias("source"), level.alias("resolution"))
     return leads.select("row_number", "user_id", "name").join(decided, ["user_id", "name"]).drop("user_id", "name")
 
@@ -127,10 +153,10 @@ def f08_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f09_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of each nation's name with the next one's."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    other = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("other"))
-    return n.join(other, "n_nationkey").select("n_nationkey", F.round(X.dice(F.concat("n_name", F.lit(" a")), F.concat("other", F.lit(" a"))), 6).alias("likeness"))
+    """Likeness of each lead's name, as given, with that of the lead seven rows on."""
+    n = views.lead(spark, sf_dir).select("row_number", "company")
+    other = n.select((F.col("row_number") - 7).alias("row_number"), F.col("company").alias("other"))
+    return n.join(other, "row_number").select("row_number", F.round(X.dice(F.col("company"), F.col("other")), 6).alias("likeness"))
 
 
 def f10_root_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +172,6 @@ def f20_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", X.string_hash(F.col("c_name")).alias("hashed"))
 
 
-def a17_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of leads under the current filter (a city), by facet in one pass."""
-    rows = _leads(spark, sf_dir).where("city like '%a%'")
-    there = lambda c: F.count_if(F.col(c).isNotNull())
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), there("domain").alias("with_domain"), there("email").alias("with_email"), there("phone").alias("with_phone"), F.count_if(F.col("completeness") >= 0.7).alias("complete"))
-
-
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     leads = _leads(spark, sf_dir)
     return leads.where("row_number % 3 = 0"), leads.where("row_number % 3 <> 0")
@@ -178,9 +197,11 @@ def d04_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
     label = F.concat(F.lit("nova "), F.element_at(F.array(*[F.lit(x) for x in ("textile", "software", "global", "marine", "solar")]), (k % 5 + 1).cast("int")), F.lit(" "), k % 211)
-    organizations = part.where("p_partkey % 4 = 0").select((k % 2).alias("user_id"), label.alias("name"), F.concat(F.lit("org"), k % 17, F.lit(".example")).alias("domain"))
+    spelled = F.when(k % 8 == 4, F.concat(F.upper(label), F.lit(" LTD"))).otherwise(label)
+    organizations = part.where("p_partkey % 4 = 0").select((k % 2).alias("user_id"), spelled.alias("name"), F.when(k % 20 == 0, "www.facebook.com").otherwise(F.concat(F.lit("org"), k % 17, F.lit(".example"))).alias("domain"))
+    prior = part.where("p_partkey % 4 = 3").select((k % 2).alias("user_id"), label.alias("name"), F.concat(F.lit("prior"), k % 13, F.lit(".example")).alias("domain"))
     search = part.where("p_partkey % 4 = 1").select(label.alias("name"), F.concat(F.lit("found"), k % 19, F.lit(".example")).alias("domain"), ((k * 37 % 100) / 100.0).alias("score"))
-    return resolve(leads, organizations, search)
+    return resolve(leads, organizations, prior, search)
 
 
 def d15_rerun_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +223,7 @@ def d14_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, "row_number", "left").select("row_number", *[F.coalesce(X.blank_to_null(F.col(c)), F.col(f"new_{c}")).alias(c) for c in ("domain", "email", "phone")])
 
 
-QUERIES = {f.__name__: f for f in (f08_normalize, f09_dice, f10_root_domain, f17_header_ids, f20_hash, a17_facets, j13_er_tiers, a27_ingest, d03_dedupe_batch, d04_resolve, d15_rerun_guard, d14_merge)}
+QUERIES = {f.__name__: f for f in (f08_normalize, f09_dice, f10_root_domain, f17_header_ids, f20_hash, j13_er_tiers, a27_ingest, d03_dedupe_batch, d04_resolve, d15_rerun_guard, d14_merge)}
 
 _NORMAL = """
 z AS (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(company, '(, LLC| GmbH & Co. KG| Pvt. Ltd.| Ltd)$', ''), '[^a-zA-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS raw_name FROM lead),
@@ -220,23 +241,27 @@ m AS (SELECT p.row_number, (SELECT min(e.row_number) FROM e WHERE e.user_id = p.
   (SELECT min(e.row_number) FROM e WHERE e.user_id = p.user_id AND e.name = p.name AND e.city = p.city) AS a3, (SELECT min(e.row_number) FROM e WHERE e.user_id = p.user_id AND e.phone = p.phone) AS a4, b.r AS a5, b.likeness FROM p LEFT JOIN b ON b.user_id = p.user_id AND b.name = p.name),
 matched AS (SELECT row_number, CASE WHEN coalesce(a1, a2, a3) IS NOT NULL THEN 'DUPLICATE' WHEN coalesce(a4, a5) IS NOT NULL THEN 'POSSIBLE_DUPLICATE' ELSE 'UNIQUE' END AS status,
   CASE WHEN coalesce(a1, a2) IS NOT NULL THEN 1.0 WHEN a3 IS NOT NULL THEN 0.95 WHEN a4 IS NOT NULL THEN 0.85 ELSE round(likeness, 2) END::DOUBLE AS confidence, coalesce(a1, a2, a3, a4, a5) AS match FROM m)"""
+_RESOLVED = """
+l AS (SELECT p_partkey AS k, 'nova ' || (['textile', 'software', 'global', 'marine', 'solar'])[p_partkey % 5 + 1] || ' ' || (p_partkey % 211) AS name FROM part),
+o AS (SELECT k % 2 AS user_id, CASE WHEN k % 8 = 4 THEN name || ' ltd' ELSE name END AS name, min('org' || (k % 17) || '.example') AS known FROM l WHERE k % 4 = 0 AND k % 20 <> 0 GROUP BY 1, 2),
+w AS (SELECT k % 2 AS user_id, name, min('prior' || (k % 13) || '.example') AS before FROM l WHERE k % 4 = 3 GROUP BY 1, 2),
+s AS (SELECT name, max((k * 37 % 100) / 100.0::DOUBLE) AS score, count(*) AS c FROM l WHERE k % 4 = 1 GROUP BY 1),
+t AS (SELECT l.name, max('found' || (k % 19) || '.example') AS domain FROM l JOIN s ON s.name = l.name AND (k * 37 % 100) / 100.0::DOUBLE = s.score WHERE k % 4 = 1 GROUP BY 1),
+first AS (SELECT user_id, name, domain AS own, lower(company) AS given FROM n QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY row_number) = 1),
+v AS (SELECT f.user_id, f.name, min(own) AS own, min(known) AS known, min(before) AS before FROM first f LEFT JOIN o ON o.user_id = f.user_id AND o.name IN (f.name, f.given) LEFT JOIN w ON w.user_id = f.user_id AND w.name IN (f.name, f.given) GROUP BY 1, 2),
+r AS (SELECT v.*, score, c, t.domain AS found, CASE WHEN coalesce(own, known, before) IS NOT NULL THEN 'RESOLVED_HIGH' WHEN score IS NULL THEN 'UNRESOLVED' WHEN c = 1 AND score < 0.75 THEN 'REVIEW_REQUIRED' WHEN score >= 0.9 THEN 'RESOLVED_MEDIUM' ELSE 'RESOLVED_LOW' END AS resolution
+  FROM v LEFT JOIN s ON s.name = v.name LEFT JOIN t ON t.name = v.name),
+resolutions AS (SELECT n.row_number, coalesce(own, known, before, CASE WHEN resolution <> 'REVIEW_REQUIRED' THEN found END) AS resolved, CASE WHEN own IS NOT NULL THEN 'DIRECTORY' WHEN coalesce(known, before) IS NOT NULL THEN 'DATABASE' WHEN score IS NOT NULL THEN 'SEARCH' END AS source, resolution FROM n JOIN r ON r.user_id = n.user_id AND r.name = n.name)"""
 ORACLES = {
     "f08_normalize": with_views("lead", f"WITH {_NORMAL} SELECT * FROM n"),
     "f10_root_domain": with_views("lead", "SELECT 'example.co.uk' AS root, count(*) AS leads FROM lead WHERE website IS NOT NULL"),
     "f17_header_ids": "SELECT DISTINCT s_suppkey, unnest([CASE WHEN s_suppkey % 2 = 0 THEN '<Msg' || s_suppkey || '@Mail.example>' ELSE 'Msg' || s_suppkey || '@Mail.example' END, 'Msg' || s_suppkey || '@Mail.example', 'msg' || s_suppkey || '@mail.example', '<Msg' || s_suppkey || '@Mail.example>', '<msg' || s_suppkey || '@mail.example>']) AS form FROM supplier",
     "f20_hash": "SELECT c_custkey, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INTEGER AS hashed FROM (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM customer)",
-    "a17_facets": with_views("lead", f"WITH {_NORMAL} SELECT user_id, count(*) AS total, count(nullif(domain, '')) AS with_domain, count(email) AS with_email, count(phone) AS with_phone, count(*) FILTER (WHERE completeness >= 0.7) AS complete FROM n WHERE city LIKE '%a%' GROUP BY 1"),
     "j13_er_tiers": with_views("lead", _TIERS + " SELECT * FROM matched"),
     "a27_ingest": with_views("lead", _TIERS + " SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'DUPLICATE') AS valid, count(*) FILTER (WHERE status = 'DUPLICATE') AS duplicate, count(*) FILTER (WHERE status = 'POSSIBLE_DUPLICATE') AS possible FROM matched"),
-    "d04_resolve": with_views("lead", f"""WITH {_NORMAL},
-l AS (SELECT p_partkey AS k, 'nova ' || (['textile', 'software', 'global', 'marine', 'solar'])[p_partkey % 5 + 1] || ' ' || (p_partkey % 211) AS name FROM part),
-o AS (SELECT k % 2 AS user_id, name, min('org' || (k % 17) || '.example') AS known FROM l WHERE k % 4 = 0 GROUP BY 1, 2),
-s AS (SELECT name, max((k * 37 % 100) / 100.0::DOUBLE) AS score, count(*) AS c FROM l WHERE k % 4 = 1 GROUP BY 1),
-t AS (SELECT l.name, max('found' || (k % 19) || '.example') AS domain FROM l JOIN s ON s.name = l.name AND (k * 37 % 100) / 100.0::DOUBLE = s.score WHERE k % 4 = 1 GROUP BY 1),
-first AS (SELECT user_id, name, domain AS own FROM n QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY row_number) = 1),
-r AS (SELECT f.user_id, f.name, own, known, score, c, t.domain AS found, CASE WHEN coalesce(own, known) IS NOT NULL THEN 'RESOLVED_HIGH' WHEN score IS NULL THEN 'UNRESOLVED' WHEN c = 1 AND score < 0.75 THEN 'REVIEW_REQUIRED' WHEN score >= 0.9 THEN 'RESOLVED_MEDIUM' ELSE 'RESOLVED_LOW' END AS resolution
-  FROM first f LEFT JOIN o ON o.user_id = f.user_id AND o.name = f.name LEFT JOIN s ON s.name = f.name LEFT JOIN t ON t.name = f.name)
-SELECT n.row_number, coalesce(own, known, CASE WHEN resolution <> 'REVIEW_REQUIRED' THEN found END) AS resolved, CASE WHEN own IS NOT NULL THEN 'DIRECTORY' WHEN known IS NOT NULL THEN 'DATABASE' WHEN score IS NOT NULL THEN 'SEARCH' END AS source, resolution FROM n JOIN r ON r.user_id = n.user_id AND r.name = n.name"""),
+    "f09_dice": with_views("lead", """WITH t AS (SELECT row_number AS r, lower(replace(company, ' ', '')) AS t FROM lead), g AS (SELECT r, bg, count(*) AS c FROM (SELECT r, substr(t, unnest(range(1, length(t)))::INTEGER, 2) AS bg FROM t) GROUP BY 1, 2),
+s AS (SELECT a.r, sum(least(a.c, b.c)) AS n FROM g a JOIN g b ON b.r = a.r + 7 AND b.bg = a.bg GROUP BY 1) SELECT a.r AS row_number, round(CASE WHEN a.t = b.t THEN 1 ELSE 2.0 * coalesce(n, 0) / (length(a.t) + length(b.t) - 2) END, 6)::DOUBLE AS likeness FROM t a JOIN t b ON b.r = a.r + 7 LEFT JOIN s ON s.r = a.r"""),
+    "d04_resolve": with_views("lead", f"WITH {_NORMAL}, {_RESOLVED} SELECT * FROM resolutions"),
     "d15_rerun_guard": with_views("lead", f"WITH {_NORMAL}, o AS (SELECT * FROM n WHERE row_number < 100), f AS (SELECT * FROM n WHERE row_number >= 100 AND name NOT IN (SELECT name FROM o) AND (domain IS NULL OR domain NOT IN (SELECT domain FROM o WHERE domain IS NOT NULL))) SELECT row_number FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.row_number < f.row_number AND (g.name = f.name OR g.domain = f.domain))"),
     "d14_merge": with_views("lead", f"WITH {_NORMAL} SELECT a.row_number, coalesce(a.domain, b.domain) AS domain, coalesce(a.email, b.email) AS email, coalesce(a.phone, b.phone) AS phone FROM n a LEFT JOIN n b ON b.row_number = a.row_number + 1 WHERE a.row_number % 2 = 0"),
 }

@@ -42,15 +42,6 @@ def j10_reply_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate(asked, sent)
 
 
-def j11_sender_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contact of each bounced message's recipient: by address, else by the latest message to it."""
-    m = views.message(spark, sf_dir)
-    direct = views.contact_email(spark, sf_dir).groupBy("normalized_email").agg(F.min("contact_id").alias("direct"))
-    latest = m.where("sent_at is not null").groupBy(F.lower("to_email").alias("normalized_email")).agg(F.max(F.struct("sent_at", "contact_id"))["contact_id"].alias("latest"))
-    senders = m.where("status = 'bounced'").select(F.lower("to_email").alias("normalized_email")).distinct()
-    return senders.join(direct, "normalized_email", "left").join(latest, "normalized_email", "left").select("normalized_email", F.coalesce("direct", "latest").alias("contact_id"))
-
-
 def j12_interval_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     mails = views.inbound(spark, sf_dir).select("id", F.col("conv_id").alias("sender"), F.col("direction").alias("subject"), "received_s")
     return streaming.recent_duplicates(mails)
@@ -63,13 +54,6 @@ def s09_last_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.inbound(spark, sf_dir).withColumn("n", place).where("n <= 50").select(box.alias("mailbox"), "id", "n")
 
 
-def p15_inbox_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations on each tab of the inbox."""
-    c = views.inbound(spark, sf_dir).groupBy("conv_id").agg(F.max(F.struct("turn", "direction"))["direction"].alias("last"), F.bool_or(F.col("direction") == "INBOUND").alias("has_inbound"), F.max("turn").alias("turns"))
-    tabs = F.array_compact(F.array(F.lit("all"), F.when(F.col("last") == "INBOUND", "unread"), F.when(F.col("has_inbound"), "replies"), F.when(F.col("turns") > 5, "interested"), F.when((F.col("last") == "INBOUND") & (F.col("turns") > 3), "needs-action")))
-    return c.select(F.explode(tabs).alias("tab")).groupBy("tab").agg(F.count(F.lit(1)).alias("conversations"))
-
-
 def f18_bounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery reports made from suppliers, classified."""
     k = F.col("s_suppkey")
@@ -89,48 +73,45 @@ def a28_sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st1_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider ids (two events share one) after idempotent ingestion."""
     e = _event_stream(spark, sf_dir).select(F.floor(F.col("id") / 2).alias("provider_event_id"), "event_at")
-    return streaming.run(streaming.ingest_once(e).select("provider_event_id"), "append")
+    return streaming.run(streaming.ingest_once(e).select("provider_event_id"))
 
 
 def st2_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _event_stream(spark, sf_dir).select("id", (F.col("message_id") * 2).alias("message_id"))
-    return streaming.run(streaming.known_only(e, views.message(spark, sf_dir)), "append")
+    return streaming.run(streaming.known_only(e, views.message(spark, sf_dir)))
 
 
 def st3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _event_stream(spark, sf_dir).select((F.col("message_id") % 2000).alias("message_id"), "event_type", "event_at")
-    return streaming.run(streaming.message_state(e), "complete")
+    return streaming.merge_state(streaming.run(streaming.message_state(_event_stream(spark, sf_dir)), ["day", "message_id"]))
 
 
 def st4_hard_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.run(streaming.hard_stops(_event_stream(spark, sf_dir)), "complete")
+    return streaming.merge_stops(streaming.run(streaming.hard_stops(_event_stream(spark, sf_dir)), ["day", "enrollment_id"]))
 
 
 def st5_click_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _event_stream(spark, sf_dir).select((F.col("message_id") % 100).alias("message_id"), "link_no", "event_type")
-    return streaming.run(streaming.click_counts(e), "complete")
+    e = _event_stream(spark, sf_dir).withColumn("message_id", F.floor(F.col("message_id") / 40))
+    return streaming.merge_clicks(streaming.run(streaming.click_counts(e), ["day", "message_id", "link_no"]))
 
 
 def st_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.run(streaming.hourly(_event_stream(spark, sf_dir)), "complete")
+    return streaming.run(streaming.hourly(_event_stream(spark, sf_dir)), ["hour", "kind"])
 
 
-QUERIES = {f.__name__: f for f in (j10_reply_match, j11_sender_contact, j12_interval_dup, s09_last_mails, p15_inbox_tabs, f18_bounce, a28_sync_summary, st1_dedup, st2_known, st3_status, st4_hard_stop, st5_click_count, st_hourly)}
+QUERIES = {f.__name__: f for f in (j10_reply_match, j12_interval_dup, s09_last_mails, f18_bounce, a28_sync_summary, st1_dedup, st2_known, st3_status, st4_hard_stop, st5_click_count, st_hourly)}
 
 _DUP = "dup AS (SELECT id, conv_id AS sender, direction AS subject, received_s, EXISTS (SELECT 1 FROM inbound b WHERE b.conv_id = i.conv_id AND b.direction = i.direction AND (b.received_s, b.id) < (i.received_s, i.id) AND i.received_s - b.received_s <= 60) AS is_duplicate FROM inbound i)"
 _KIND = "replace(lower(event_type), 'email.', '')"
 ORACLES = {
     "j10_reply_match": with_views("inbound", "WITH a AS (SELECT * FROM (SELECT id, direction, lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM inbound) WHERE direction = 'INBOUND' AND before IS NOT NULL), s AS (SELECT id, received_s FROM inbound WHERE direction <> 'INBOUND'), h AS (SELECT a.id AS inbound_id, s.id AS message_id, 0 AS rank, received_s FROM a JOIN s ON s.id = a.before UNION ALL SELECT a.id, s.id, 1, received_s FROM a JOIN s ON s.id + 1 = a.before) SELECT inbound_id, message_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY inbound_id ORDER BY rank, received_s DESC, message_id) = 1"),
-    "j11_sender_contact": with_views("message contact_email", "SELECT DISTINCT lower(to_email) AS normalized_email, coalesce((SELECT min(contact_id) FROM contact_email e WHERE e.normalized_email = lower(m.to_email)), (SELECT arg_max(contact_id, (sent_at, contact_id)) FROM message l WHERE lower(l.to_email) = lower(m.to_email) AND l.sent_at IS NOT NULL)) AS contact_id FROM message m WHERE status = 'bounced'"),
     "j12_interval_dup": with_views("inbound", f"WITH {_DUP} SELECT * FROM dup"),
     "s09_last_mails": with_views("inbound", "SELECT conv_id % 5 AS mailbox, id, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY received_s DESC, id DESC)::INTEGER AS n FROM inbound QUALIFY n <= 50"),
-    "p15_inbox_tabs": with_views("inbound", "WITH c AS (SELECT conv_id, arg_max(direction, turn) AS last, bool_or(direction = 'INBOUND') AS has_inbound, max(turn) AS turns FROM inbound GROUP BY 1) SELECT 'all' AS tab, count(*) AS conversations FROM c UNION ALL SELECT 'unread', count(*) FROM c WHERE last = 'INBOUND' HAVING count(*) > 0 UNION ALL SELECT 'replies', count(*) FROM c WHERE has_inbound HAVING count(*) > 0 UNION ALL SELECT 'interested', count(*) FROM c WHERE turns > 5 HAVING count(*) > 0 UNION ALL SELECT 'needs-action', count(*) FROM c WHERE last = 'INBOUND' AND turns > 3 HAVING count(*) > 0"),
     "f18_bounce": "SELECT s_suppkey, is_bounce, CASE WHEN NOT is_bounce THEN 'unknown' WHEN s_suppkey % 5 = 0 THEN 'hard' WHEN s_suppkey % 5 = 1 THEN 'soft' ELSE 'unknown' END AS kind, CASE WHEN is_bounce THEN 'contact' || s_suppkey || '@corp.example' END AS target, CASE WHEN is_bounce AND s_suppkey % 5 = 0 THEN '5.1.1' WHEN is_bounce AND s_suppkey % 5 = 1 THEN '4.2.2' END AS code FROM (SELECT s_suppkey, s_suppkey % 3 <> 1 OR s_suppkey % 4 = 0 AS is_bounce FROM supplier)",
     "a28_sync_summary": with_views("inbound", f"WITH {_DUP} SELECT sender % 5 AS mailbox, count(*) AS seen, count(*) FILTER (WHERE is_duplicate) AS duplicates, count(*) FILTER (WHERE subject = 'INBOUND' AND NOT is_duplicate) AS replies FROM dup GROUP BY 1"),
     "st1_dedup": "SELECT DISTINCT event_id // 2 AS provider_event_id FROM events",
     "st2_known": with_views("message event", "SELECT event.message_id * 2 AS message_id, event.id, message.status AS sent_status FROM event JOIN message ON message.id = event.message_id * 2"),
-    "st3_status": with_views("event", f"SELECT *, CASE WHEN bounced_at IS NOT NULL THEN 'bounced' WHEN replied_at IS NOT NULL THEN 'replied' WHEN clicked_at IS NOT NULL THEN 'clicked' WHEN opened_at IS NOT NULL THEN 'opened' ELSE 'sent' END AS status FROM (SELECT message_id % 2000 AS message_id, min(event_at) FILTER (WHERE {_KIND} = 'opened') AS opened_at, min(event_at) FILTER (WHERE {_KIND} = 'clicked') AS clicked_at, min(event_at) FILTER (WHERE {_KIND} = 'replied') AS replied_at, min(event_at) FILTER (WHERE {_KIND} = 'bounced') AS bounced_at, max(event_at) AS last_event_at, count(*) AS events FROM event GROUP BY 1)"),
+    "st3_status": with_views("event", f"SELECT *, CASE WHEN bounced_at IS NOT NULL THEN 'bounced' WHEN replied_at IS NOT NULL THEN 'replied' WHEN clicked_at IS NOT NULL THEN 'clicked' WHEN opened_at IS NOT NULL THEN 'opened' ELSE 'sent' END AS status FROM (SELECT message_id, min(event_at) FILTER (WHERE {_KIND} = 'opened') AS opened_at, min(event_at) FILTER (WHERE {_KIND} = 'clicked') AS clicked_at, min(event_at) FILTER (WHERE {_KIND} = 'replied') AS replied_at, min(event_at) FILTER (WHERE {_KIND} = 'bounced') AS bounced_at, max(event_at) AS last_event_at, count(*) AS events FROM event GROUP BY 1)"),
     "st4_hard_stop": with_views("event", f"SELECT enrollment_id, event_at AS stopped_at, {_KIND} AS stop_reason FROM event WHERE {_KIND} IN ('bounced', 'complained', 'replied', 'unsubscribed') AND enrollment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY enrollment_id ORDER BY event_at, {_KIND}) = 1"),
-    "st5_click_count": with_views("event", f"SELECT message_id % 100 AS message_id, link_no, count(*) AS clicks FROM event WHERE {_KIND} = 'clicked' GROUP BY 1, 2"),
+    "st5_click_count": with_views("event", f"SELECT message_id // 40 AS message_id, link_no, count(*) AS clicks FROM event WHERE {_KIND} = 'clicked' GROUP BY 1, 2"),
     "st_hourly": with_views("event", f"SELECT date_trunc('hour', event_at) AS hour, {_KIND} AS kind, count(*) AS events FROM event GROUP BY 1, 2"),
 }

@@ -83,15 +83,6 @@ def interleave(jobs: DataFrame, user: str, order: list[str], turn: int = 5) -> D
     return jobs.withColumn("_n", n).withColumn("turn", F.floor(F.col("_n") / turn).cast("int")).withColumn("place", (F.col("_n") % turn).cast("int")).drop("_n")
 
 
-def reserve(candidates: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Plans of one tick: each mailbox's candidates, follow-ups before new leads, up to its own budget and its campaign's.
-
-    candidates: mailbox, campaign_id, id, follow_up, due. budgets: mailbox, budget.
-    """
-    place = F.row_number().over(Window.partitionBy("mailbox").orderBy(F.desc("follow_up"), "due", "id"))
-    return candidates.join(budgets, "mailbox").withColumn("place", place).where(F.col("place") <= F.col("budget"))
-
-
 def _zone() -> Column:
     return F.lit("Asia/Kolkata")
 
@@ -184,13 +175,6 @@ def o03_activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("_n", first).where("_n = 1").orderBy(F.desc("event_at"), "feed", F.desc("id")).limit(8).select("kind", "campaign_id", "id", "event_at")
 
 
-def d09_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = views.enrollment(spark, sf_dir).where("status in ('active', 'pending')")
-    candidates = n.select(((F.col("contact_id") + F.col("campaign_id")) % views.MAILBOXES).alias("mailbox"), "campaign_id", "id", (F.col("current_step") > 1).alias("follow_up"), (F.col("contact_id") * 31 % 997).alias("due"))
-    budgets = spark.range(views.MAILBOXES).select(F.col("id").alias("mailbox"), (F.col("id") * 3).cast("int").alias("budget"))
-    return reserve(candidates, budgets).select("mailbox", "id", "follow_up", "due", "place")
-
-
 def d11_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do with a message that already exists for a plan: by status and age in minutes at a given time."""
     age = F.col("contact_id") * 7 % 2000
@@ -211,7 +195,7 @@ def d10_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("enrollments"))
 
 
-QUERIES = {f.__name__: f for f in (a13_quota, dt1_buckets, dt5_next_send, dt7_five_minutes, t03_common_days, m03_capacity, a25_step_progress, d08_rotation, a26_send_plan, w08_round_robin, w10_references, w11_latest_preview, o03_activity_feed, d09_reservation, d11_reconcile, d10_stop)}
+QUERIES = {f.__name__: f for f in (a13_quota, dt1_buckets, dt5_next_send, dt7_five_minutes, t03_common_days, m03_capacity, a25_step_progress, d08_rotation, a26_send_plan, w08_round_robin, w10_references, w11_latest_preview, o03_activity_feed, d11_reconcile, d10_stop)}
 
 _K = "s_suppkey::INTEGER"
 _MINUTES = "INTERVAL 330 MINUTE"
@@ -256,7 +240,6 @@ SELECT * EXCLUDE (first), CASE WHEN planned > 0 THEN round(100.0 * sent / planne
     "w10_references": with_views("inbound", "SELECT id, conv_id, coalesce((SELECT string_agg('<' || e.id || '@mail.example>', ' ' ORDER BY e.turn) FROM inbound e WHERE e.conv_id = i.conv_id AND e.turn < i.turn), '') AS thread_references FROM inbound i WHERE direction = 'OUTBOUND'"),
     "w11_latest_preview": with_views("inbound", "SELECT conv_id, turn, direction, left(body, 60) AS preview FROM inbound QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"),
     "o03_activity_feed": with_views("event", "WITH k AS (SELECT *, replace(event_type, 'email.', '') AS kind FROM event WHERE event_type <> upper(event_type)), t AS (SELECT *, CASE kind WHEN 'opened' THEN 0 WHEN 'clicked' THEN 1 WHEN 'replied' THEN 2 ELSE 3 END AS feed FROM k WHERE kind IN ('opened', 'clicked', 'replied', 'bounced') QUALIFY row_number() OVER (PARTITION BY kind ORDER BY event_at DESC, id DESC) <= CASE kind WHEN 'opened' THEN 25 WHEN 'clicked' THEN 20 ELSE 10 END), d AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY feed, campaign_id, epoch_ms(event_at) // 300000 ORDER BY event_at DESC, id DESC) = 1) SELECT kind, campaign_id, id, event_at FROM d ORDER BY event_at DESC, feed, id DESC LIMIT 8"),
-    "d09_reservation": with_views("enrollment", "SELECT * FROM (SELECT (contact_id + campaign_id) % 7 AS mailbox, id, current_step > 1 AS follow_up, contact_id * 31 % 997 AS due, row_number() OVER (PARTITION BY (contact_id + campaign_id) % 7 ORDER BY current_step > 1 DESC, contact_id * 31 % 997, id)::INTEGER AS place FROM enrollment WHERE status IN ('active', 'pending')) WHERE place <= mailbox * 3"),
     "d11_reconcile": with_views("message", "SELECT status, CASE WHEN status IN ('sent', 'delivered', 'opened', 'clicked', 'replied', 'bounced') THEN 'ADVANCE' WHEN status IN ('pending', 'queued') THEN CASE WHEN contact_id * 7 % 2000 < 10 THEN 'IN_FLIGHT' ELSE 'STALE_RETRY' END WHEN status = 'failed' THEN CASE WHEN contact_id * 7 % 2000 >= 1440 THEN 'RETRY' ELSE 'WAIT' END ELSE 'SKIP' END AS action, count(*) AS messages FROM message GROUP BY 1, 2"),
     "d10_stop": with_views("enrollment contact contact_email suppression event message", """SELECT CASE WHEN status IN ('replied', 'bounced', 'soft_bounced', 'unsubscribed', 'stopped', 'completed') THEN 'status:' || status WHEN (SELECT do_not_contact FROM contact c WHERE c.id = n.contact_id) THEN 'do_not_contact'
   WHEN contact_id IN (SELECT contact_id FROM contact_email JOIN suppression USING (normalized_email)) THEN 'suppressed' WHEN contact_id IN (SELECT contact_id FROM event WHERE event_type IN ('replied', 'email.replied', 'REPLIED')) THEN 'replied'

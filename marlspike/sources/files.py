@@ -121,14 +121,19 @@ def is_table(content: Column) -> Column:
 
 
 def text_rows(sources: DataFrame) -> DataFrame:
-    """The same columns (fewer fields) from lines of free text: one lead for each line with an address, phone, site or separator."""
+    """The same columns (fewer fields) from lines of free text: one lead for each line with an address, phone, site or separator.
+
+    A pattern is tried only on lines that have the characters it needs; what it finds is computed once.
+    """
     rows = sources.select("source_id", F.posexplode(lines_of(F.col("content"))).alias("pos", "line"))
-    parts = F.split("line", r"[|\t,-]")
-    first = F.trim(parts[0])
+    digits = F.length("line") - F.length(F.translate("line", "0123456789", ""))
+    dot = F.contains(F.col("line"), F.lit("."))
+    tried = {"email": (dot & F.contains(F.col("line"), F.lit("@")), EMAIL), "phone": (digits >= 8, PHONE), "website": (dot, SITE)}
+    found = rows.select("*", *[F.when(needed, first_match(F.col("line"), p)).alias(name) for name, (needed, p) in tried.items()], F.split("line", r"[|\t,-]").alias("parts"))
+    first = F.trim(F.col("parts")[0])
     company = F.when((first != "") & (F.length(first) < 80), first).otherwise(F.concat(F.lit("Company "), F.col("pos") + 1))
-    email, phone, site = (first_match(F.col("line"), p) for p in (EMAIL, PHONE, SITE))
-    known = F.coalesce(email, phone, site).isNotNull() | (F.size(parts) > 1)
-    return rows.select("source_id", (F.col("pos") + 1).alias("row_number"), F.when(known, company).alias("company"), email.alias("email"), phone.alias("phone"), site.alias("website"), F.when(known, "PARSED").otherwise("FAILED").alias("parse_status"))
+    known = F.coalesce("email", "phone", "website").isNotNull() | (F.size("parts") > 1)
+    return found.select("source_id", (F.col("pos") + 1).alias("row_number"), F.when(known, company).alias("company"), "email", "phone", "website", F.when(known, "PARSED").otherwise("FAILED").alias("parse_status"))
 
 
 def pasted_rows(sources: DataFrame) -> DataFrame:

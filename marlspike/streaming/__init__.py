@@ -1,46 +1,79 @@
 """Structured Streaming forms of the event handlers: idempotent ingestion, message state, hard stops, counters, windows.
 
-Each function turns a streaming (or batch) frame of events into a streaming (or batch) result; run() drives a stream over
-what is there now and returns its final table, with the checkpoint and the result in the shared folder.
+What is kept for each key (a message, an enrollment, a link) is summed by day of event time behind a watermark, so that the
+stream's state holds the days within LATENESS alone; the days' sums go out in update mode and are merged when the result
+is read (merge_...). run() drives a stream over what is there now, with the checkpoint and the result in the shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: How late events may come: the look-back of the mail sync.
+from marlspike.plans import shared_folder
+
+#: How late events may come: the look-back of the mail sync. Later ones are dropped.
 LATENESS = "14 days"
 TERMINAL = ("bounced", "complained", "replied", "unsubscribed")
 
 
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream, with the schema of the table."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def source(spark: SparkSession, sf_dir: str, name: str, files_at_once: int | None = None) -> DataFrame:
+    """A table's files as a stream, with the schema of the table: a folder of parts, or a single file."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Processes all that is available and returns the result: appended rows, or the last complete table."""
+def run(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Processes all that is available and returns the result: appended rows, or with keys the last row of each (update mode)."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
-    written: list[str] = []
+    written: dict[int, str] = {}
 
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that is run again writes the same folder
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch-{number}")
-        if mode == "complete":
-            written.clear()
-        if f"batch-{number}" not in written:
-            written.append(f"batch-{number}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        written[number] = f"{path}/out/batch={number}"
+
+    stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    if not written:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", f"{path}/out").parquet(*written.values())
+    if not keys:
+        return rows.select(schema.names)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), F.col("batch")).alias("l"))
+    return last.select("l.*")
+
+
+def observed(stream: DataFrame, metrics: dict) -> DataFrame:
+    """One row of metrics (named aggregates of numbers: counts add up, first_ and last_ are the least and the largest) observed while the
+    stream runs over what is available; its rows go nowhere."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}"
+    named = stream.observe("run", *[c.alias(n) for n, c in metrics.items()])
+    query = named.writeStream.format("noop").option("checkpointLocation", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p.observedMetrics["run"].asDict() for p in query.recentProgress if "run" in p.observedMetrics]
+    combine = {n: min if n.startswith("first_") else max if n.startswith("last_") else sum for n in metrics}
+    row = {n: combine[n]([x[n] for x in seen if x[n] is not None] or [None if f is not sum else 0]) for n, f in combine.items()}
+    schema = stream.limit(0).groupBy().agg(*[c.alias(n) for n, c in metrics.items()]).schema
+    return spark.createDataFrame([tuple(row[f.name] for f in schema)], schema)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(*[f"{path}/out/{b}" for b in written]) if written else spark.createDataFrame([], schema)
+
+def _by_day(events: DataFrame, keys: list[str], *sums) -> DataFrame:
+    """sums by day and keys; grouping by the window itself lets the watermark end its state."""
+    timed = events.withColumn("_at", F.col("event_at").cast("timestamp")).withWatermark("_at", LATENESS)
+    days = timed.groupBy(F.window("_at", "1 day").alias("w"), *keys).agg(*sums)
+    return days.select(F.col("w.start").alias("day"), *[c for c in days.columns if c != "w"])
 
 
 def _plain(event_type):
@@ -58,28 +91,44 @@ def known_only(events: DataFrame, messages: DataFrame) -> DataFrame:
     return events.join(messages.select(F.col("id").alias("message_id"), F.col("status").alias("sent_status")), "message_id")
 
 
+KINDS = ("opened", "clicked", "replied", "bounced")
+
+
 def message_state(events: DataFrame) -> DataFrame:
-    """Per message: first open, click, reply and bounce, last event, and the status they lead to.
+    """Per message and day: first open, click, reply and bounce, last event, number of events."""
+    kind = _plain(F.col("event_type"))
+    return _by_day(events, ["message_id"], *[F.min(F.when(kind == k, F.col("event_at"))).alias(f"{k}_at") for k in KINDS], F.max("event_at").alias("last_event_at"), F.count(F.lit(1)).alias("events"))
+
+
+def merge_state(days: DataFrame) -> DataFrame:
+    """Per message its state over all days and the status that it leads to.
 
     Opens and clicks promote alone from sent; the strongest event counts whatever the order of arrival.
     """
-    kind = _plain(F.col("event_type"))
-    first = lambda k: F.min(F.when(kind == k, F.col("event_at")))
-    state = events.groupBy("message_id").agg(first("opened").alias("opened_at"), first("clicked").alias("clicked_at"), first("replied").alias("replied_at"), first("bounced").alias("bounced_at"), F.max("event_at").alias("last_event_at"), F.count(F.lit(1)).alias("events"))
-    status = F.when(F.col("bounced_at").isNotNull(), "bounced").when(F.col("replied_at").isNotNull(), "replied").when(F.col("clicked_at").isNotNull(), "clicked").when(F.col("opened_at").isNotNull(), "opened").otherwise("sent")
+    state = days.groupBy("message_id").agg(*[F.min(f"{k}_at").alias(f"{k}_at") for k in KINDS], F.max("last_event_at").alias("last_event_at"), F.sum("events").alias("events"))
+    status = F.coalesce(*[F.when(F.col(f"{k}_at").isNotNull(), k) for k in reversed(KINDS)], F.lit("sent"))
     return state.withColumn("status", status)
 
 
 def hard_stops(events: DataFrame) -> DataFrame:
-    """Per enrollment the first terminal event by event time (ties by name): when and why it stopped."""
+    """Per enrollment and day the first terminal event by event time (ties by name): stop, a struct of at and kind."""
     kind = _plain(F.col("event_type"))
     ended = events.where(kind.isin(*TERMINAL) & F.col("enrollment_id").isNotNull())
-    return ended.groupBy("enrollment_id").agg(F.min(F.struct(F.col("event_at").alias("at"), kind.alias("kind"))).alias("s")).select("enrollment_id", F.col("s.at").alias("stopped_at"), F.col("s.kind").alias("stop_reason"))
+    return _by_day(ended, ["enrollment_id"], F.min(F.struct(F.col("event_at").alias("at"), kind.alias("kind"))).alias("stop"))
+
+
+def merge_stops(days: DataFrame) -> DataFrame:
+    """When and why each enrollment stopped first."""
+    return days.groupBy("enrollment_id").agg(F.min("stop").alias("s")).select("enrollment_id", F.col("s.at").alias("stopped_at"), F.col("s.kind").alias("stop_reason"))
 
 
 def click_counts(events: DataFrame) -> DataFrame:
-    """The running click counter of each link."""
-    return events.where(_plain(F.col("event_type")) == "clicked").groupBy("message_id", "link_no").agg(F.count(F.lit(1)).alias("clicks"))
+    """Clicks of each link and day."""
+    return _by_day(events.where(_plain(F.col("event_type")) == "clicked"), ["message_id", "link_no"], F.count(F.lit(1)).alias("clicks"))
+
+
+def merge_clicks(days: DataFrame) -> DataFrame:
+    return days.groupBy("message_id", "link_no").agg(F.sum("clicks").alias("clicks"))
 
 
 def hourly(events: DataFrame) -> DataFrame:
@@ -89,7 +138,7 @@ def hourly(events: DataFrame) -> DataFrame:
 
 
 def recent_duplicates(mails: DataFrame, seconds: int = 60) -> DataFrame:
-    """Batch: mails with an earlier one of the same sender and subject at most so many seconds before."""
+    """Batch: a flag for mails with an earlier one of the same sender and subject at most so many seconds before."""
     from pyspark.sql import Window
 
     before = F.lag("received_s").over(Window.partitionBy("sender", "subject").orderBy("received_s", "id"))

@@ -146,6 +146,46 @@ def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def team(spark: SparkSession) -> DataFrame:
+    """user_id, name, email: the four users."""
+    k = F.col("id")
+    return spark.range(4).select(k.alias("user_id"), F.concat(F.lit("User "), k).alias("name"), F.concat(F.lit("User"), k, F.lit("@team.example")).alias("email"))
+
+
+def campaign(spark: SparkSession) -> DataFrame:
+    """campaign_id (0 to 4), user_id?, owner? (a user's name or address), budget."""
+    k = F.col("id")
+    owner = F.when(k == 1, "User 1").when(k == 2, "User2@team.example")
+    return spark.range(5).select(k.alias("campaign_id"), F.when(k.isin(0, 4), F.lit(0).cast("long")).alias("user_id"), owner.alias("owner"), (k * 7 + 3).alias("budget"))
+
+
+def mailbox(spark: SparkSession) -> DataFrame:
+    """mailbox_id (0 to 6), user_id, email."""
+    k = F.col("id")
+    return spark.range(MAILBOXES).select(k.alias("mailbox_id"), (k % 4).alias("user_id"), F.concat(F.lit("Mailbox"), k, F.lit("@sender.example")).alias("email"))
+
+
+def conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, mailbox_id, campaign_id?, contact_id, assigned_to? (a user's id or address), status, interest, unread, has_inbound."""
+    k = F.col("conv_id")
+    user = F.concat(F.lit("User"), k % 4, F.lit("@team.example"))
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "user").alias("has_inbound"))
+    return turns.select(
+        "conv_id", (k % MAILBOXES).alias("mailbox_id"), F.when(k % 3 != 0, k % 5).alias("campaign_id"), (k * 13 % 150).alias("contact_id"),
+        F.when(k % 6 == 0, (k % 4).cast("string")).when(k % 6 == 1, user).alias("assigned_to"), _pick(("OPEN", "NEEDS_ACTION", "CLOSED"), k % 3).alias("status"), F.when(k % 4 == 0, "INTERESTED").otherwise("NONE").alias("interest"), (k % 5).alias("unread"), "has_inbound",
+    )
+
+
+def reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reply_id, sender, mailbox, header?, received_s: inbound turns as mails of contacts, aliases, own mailboxes and strangers."""
+    k, c = F.col("id"), F.col("conv_id") * 31 + F.col("turn") * 7
+    contact = F.when(k % 5 == 2, c % 138 - c % 138 % 23).otherwise(c % 150)
+    sender = F.when(k % 5 == 1, F.concat(F.lit("alias"), k, F.lit("@else.example"))).when(k % 5 == 3, F.concat(F.lit("MAILBOX"), k % MAILBOXES, F.lit("@sender.example"))).when(k % 5 == 4, "nobody@else.example")
+    sender = F.coalesce(sender, F.concat(F.lit("contact"), contact, F.lit("@corp"), contact % 97, F.lit(".example")))
+    header = F.when(k % 5 < 2, F.concat(F.lit("<MSG"), (F.col("conv_id") * 37 + F.col("turn") * 11) % 1500, F.lit("@mail.example>")))
+    return inbound(spark, sf_dir).where("direction = 'INBOUND'").select(k.alias("reply_id"), sender.alias("sender"), F.concat(F.lit("Mailbox"), F.col("conv_id") % MAILBOXES, F.lit("@sender.example")).alias("mailbox"), header.alias("header"), "received_s")
+
+
 _STATUSES = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 #: The same tables as SQL; with_views() puts the named ones in front of a query.
@@ -189,6 +229,15 @@ VIEWS: dict[str, str] = {
   FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "inbound": """SELECT conv_id * 100 + turn AS id, conv_id, turn, CASE role WHEN 'user' THEN 'INBOUND' WHEN 'assistant' THEN 'OUTBOUND' ELSE 'SYSTEM' END AS direction,
   text AS body, conv_id * 1000 + turn * turn * 20 AS received_s FROM conversations""",
+    "team": "SELECT k AS user_id, 'User ' || k AS name, 'User' || k || '@team.example' AS email FROM (SELECT unnest(range(4)) AS k)",
+    "campaign": "SELECT k AS campaign_id, CASE WHEN k IN (0, 4) THEN 0 END AS user_id, CASE k WHEN 1 THEN 'User 1' WHEN 2 THEN 'User2@team.example' END AS owner, k * 7 + 3 AS budget FROM (SELECT unnest(range(5)) AS k)",
+    "mailbox": f"SELECT k AS mailbox_id, k % 4 AS user_id, 'Mailbox' || k || '@sender.example' AS email FROM (SELECT unnest(range({MAILBOXES})) AS k)",
+    "conversation": f"""SELECT conv_id, conv_id % {MAILBOXES} AS mailbox_id, CASE WHEN conv_id % 3 <> 0 THEN conv_id % 5 END AS campaign_id, conv_id * 13 % 150 AS contact_id,
+  CASE conv_id % 6 WHEN 0 THEN (conv_id % 4)::VARCHAR WHEN 1 THEN 'User' || (conv_id % 4) || '@team.example' END AS assigned_to, (['OPEN', 'NEEDS_ACTION', 'CLOSED'])[conv_id % 3 + 1] AS status,
+  CASE WHEN conv_id % 4 = 0 THEN 'INTERESTED' ELSE 'NONE' END AS interest, conv_id % 5 AS unread, bool_or(role = 'user') AS has_inbound FROM conversations GROUP BY conv_id""",
+    "reply": f"""SELECT id AS reply_id, CASE id % 5 WHEN 1 THEN 'alias' || id || '@else.example' WHEN 3 THEN 'MAILBOX' || (id % {MAILBOXES}) || '@sender.example' WHEN 4 THEN 'nobody@else.example' ELSE 'contact' || n || '@corp' || (n % 97) || '.example' END AS sender,
+  'Mailbox' || (conv_id % {MAILBOXES}) || '@sender.example' AS mailbox, CASE WHEN id % 5 < 2 THEN '<MSG' || ((conv_id * 37 + turn * 11) % 1500) || '@mail.example>' END AS header, conv_id * 1000 + turn * turn * 20 AS received_s
+  FROM (SELECT *, conv_id * 100 + turn AS id, CASE WHEN (conv_id * 100 + turn) % 5 = 2 THEN (conv_id * 31 + turn * 7) % 138 - (conv_id * 31 + turn * 7) % 138 % 23 ELSE (conv_id * 31 + turn * 7) % 150 END AS n FROM conversations WHERE role = 'user')""",
 }
 
 

@@ -128,3 +128,14 @@ def test_queries_run_over_whole_tables(spark, name):
         assert len(rows) == pages
     if name in ("s11_engagement_csv", "s12_company_csv"):
         assert rows and all(r["line"].count(",") >= 10 for r in rows)
+
+
+@pytest.mark.parametrize("depth", [1, 4, 5, 6, 12])
+def test_conditions_nested_to_any_depth(spark, depth):
+    """The innermost condition fails: only its else branch and what stands around it is shown."""
+    opened = "".join(f"{{{{#if a{i}}}}}{i}" for i in range(depth))
+    template = opened + "{{#if city}}x{{else}}c{{/if}}" + "".join("{{else}}no{{/if}}" for _ in range(depth))
+    context = {f"a{i}": F.lit("v") for i in range(depth)} | {"city": F.lit(" ")}
+    assert one(spark, T.render(F.lit(template), context)) == "".join(map(str, range(depth))) + "c"
+    hidden = context | {"a0": F.lit(None).cast("string")}
+    assert one(spark, T.render(F.lit(template + "{{city}}|{{/if}}{{#if city}}y"), hidden)) == "no |"

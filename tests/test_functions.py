@@ -26,7 +26,10 @@ def values(spark, function, inputs, kind="string"):
         (X.phone, {"+1 (555) 234-5678": "+15552345678", "080-1234567": "0801234567", "123": None}),
         (X.is_restricted_ip, {"127.0.0.1": True, "10.0.1.5": True, "172.16.0.1": True, "172.31.255.255": True, "192.168.1.1": True, "169.254.169.254": True, "0.0.0.0": True, "::1": True, "8.8.8.8": False, "142.250.190.46": False}),
         (X.root_domain, {"a.b.example.co.uk": "example.co.uk", "www.example.com": "example.com", "localhost": "localhost"}),
-        (X.string_hash, {"": 0, "a": 97, "polygenelubricants": -2147483648}),
+        (X.string_hash, {"": 0, "a": 97, "polygenelubricants": -2147483648, "a\U0001f600": 1866116}),
+        (X.capital_words, {"o'neil-smith 2nd": "O'Neil-Smith 2nd", "élan vital": "éLan Vital", "a_b c": "A_b C"}),
+        (X.name_from_email, {"JO.van@x.example": "Jo Van", "jo1.van@x.example": None, "jo.van.x@y.example": None, "jo": None}),
+        (X.clean_url, {"HTTP://Site.Example/Path/?utm_source=a&x=1&REF=2#top": "http://site.example/Path?x=1", "site.example": "https://site.example", "": None}),
     ],
 )
 def test_vectors(spark, function, vectors):
@@ -34,7 +37,7 @@ def test_vectors(spark, function, vectors):
 
 
 def test_division(spark):
-    wanted = {"Nova (A Division of Digital Infotech Pvt Ltd)": ("Nova", "Digital Infotech Pvt Ltd", "DIVISION"), "Acme Dynamics [Div. of Apex Global]": ("Acme Dynamics", "Apex Global", "DIVISION"), "Simple Enterprise Ltd": ("Simple Enterprise Ltd", None, None)}
+    wanted = {"Nova (A Division of Digital Infotech Pvt Ltd)": ("Nova", "Digital Infotech Pvt Ltd", "DIVISION"), "Acme Dynamics [Div. of Apex Global]": ("Acme Dynamics", "Apex Global", "DIVISION"), "Simple Enterprise Ltd": ("Simple Enterprise Ltd", None, None), "Amada America Inc (Laser & Sheet Metal Machinery Division)": ("Amada America Inc", "Amada America Inc", "DIVISION"), "Agrayan - A Division of Digite Infotech": ("Agrayan", "Digite Infotech", "DIVISION"), "Acme Corp (Subsidiary of Global Conglomerate)": ("Acme Corp", "Global Conglomerate", "SUBSIDIARY"), "NexGen Travel (formerly Orbitz Media)": ("NexGen Travel", None, "FORMER_NAME")}
     assert dict(zip(wanted, map(tuple, values(spark, X.company_division, wanted)), strict=True)) == wanted
 
 
@@ -69,7 +72,8 @@ def test_business_days_over_clock_changes_and_windows(spark):
     assert next_send(spark, "Asia/Kolkata", "2026-09-10 14:25:14.695", 2, week, ("09:30", "17:30")) == dt.datetime(2026, 9, 14, 14, 25, 14, 695000)
     assert next_send(spark, "Asia/Kolkata", "2026-09-10 18:00", 0, week, ("09:30", "17:30")) == dt.datetime(2026, 9, 11, 9, 30)
     assert next_send(spark, "Asia/Kolkata", "2026-09-10 10:00", -1, week) is None
-    assert next_send(spark, "Asia/Kolkata", "2026-09-10 10:00", 1, "MON,XYZ") is None
+    assert next_send(spark, "Asia/Kolkata", "2026-09-10 10:00", 1, "MON,XYZ") == dt.datetime(2026, 9, 14, 10)
+    assert next_send(spark, "Asia/Kolkata", "2026-09-10 10:00", 1, "XYZ") is None
 
 
 @pytest.mark.parametrize(("loads", "rooms", "n"), [((0, 0, 0, 0), (999,) * 4, 101), ((0, 0, 0, 0), (10, 0, 10, 10), 30), ((5, 5, 0, 5), (99,) * 4, 15), ((3, 3, 0, 3), (99,) * 4, 3), ((12, 12, 11), (99,) * 3, 1), ((2, 0), (1, 1), 5)])
@@ -188,6 +192,14 @@ def test_greedy_batch_is_the_loop(spark):
         kept.append(row)
 
 
+def test_greedy_rounds_follow_a_chain(spark):
+    """Each row shares a key with the next one alone: every second row is kept, in as many rounds as half the chain has rows."""
+    n = 24
+    pairs = spark.createDataFrame([(i, f"k{j}") for i in range(n) for j in (i, i + 1)], "row_number long, key string")
+    found = {r["row_number"]: r["match"] for r in L.greedy_duplicates(pairs).collect()}
+    assert found == {i: i - 1 for i in range(1, n, 2)}
+
+
 def test_upsert_takes_the_later_row(spark):
     old = spark.createDataFrame([("a", 1, "old"), ("b", 5, "old")], "k string, at int, v string")
     new = spark.createDataFrame([("a", 1, "new"), ("b", 4, "new"), ("c", 1, "new")], "k string, at int, v string")

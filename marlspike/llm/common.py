@@ -54,6 +54,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for a shuffle that Spark can't split by itself: the session's number, or more where a task would get over each rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

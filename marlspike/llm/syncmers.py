@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import map_arrow, without
+from marlspike.llm.common import map_arrow, tasks_for, without
 from marlspike.llm.textvec import mix
 
 K, S = 12, 4
@@ -36,7 +36,9 @@ K, S = 12, 4
 CHUNK = 1 << 21
 
 #: Rows that one range of ids should hold, and the largest number of ranges (its heads are broadcast: 16 bytes each).
-RANGE_ROWS, MAX_RANGES = 2_000, 200_000
+RANGE_ROWS, MAX_RANGES = 100, 200_000
+#: Rows that a task gets at most on average.
+TASK_ROWS = 25_000
 
 
 def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,10 +202,11 @@ def _range_of(key: Column, cuts: list[int], parts: int) -> Column:
     return tree(0, len(cuts) - 1)
 
 
-def with_next(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Column]:
+def with_next(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Column, int]:
     """df dealt into ranges of the integer key: a column _range, and a copy of each range's first row for the range before it
     (_copy true; that of the first range goes to the last one). Sorted by the returned order, each row's successor follows
-    it within its range. One shuffle of the rows; the cut points and heads come from the keys alone.
+    it within its range. One shuffle of the rows; the cut points and heads come from the keys alone. Ranges are small, so
+    that partitions of many get about the same. Also returned: the number of rows.
     """
     spark = df.sparkSession
     keys = df.select(key)
@@ -226,7 +229,7 @@ def with_next(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Column]:
         F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("c")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("c")))
     )
     out = joined.withColumn("_to", F.explode(both)).select(*df.columns, F.col("_to.r").alias("_range"), F.col("_to.c").alias("_copy"))
-    return out, F.col("_range")
+    return out, F.col("_range"), rows
 
 
 def successor_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 4) -> DataFrame:
@@ -234,9 +237,8 @@ def successor_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     The edited text replaces the last n_chars // share code points by the first as many (or all) of the next row's text.
     """
-    dealt, by = with_next(docs.select(key, F.coalesce(text, F.lit("")).alias(text)), key)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, by).sortWithinPartitions("_range", "_copy", F.col(key).asc_nulls_last(), text)
+    dealt, by, rows_in = with_next(docs.select(key, F.coalesce(text, F.lit("")).alias(text)), key)
+    ordered = dealt.repartition(tasks_for(docs.sparkSession, rows_in, TASK_ROWS), by).sortWithinPartitions("_range", "_copy", F.col(key).asc_nulls_last(), text)
     schema = T.StructType([docs.schema[key], *(T.StructField(n, t) for n, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())))])
 
     def rows(batches) -> Iterator[tuple]:

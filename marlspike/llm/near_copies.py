@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.llm import textvec
-from marlspike.llm.common import discard, map_arrow, table
+from marlspike.llm.common import discard, map_arrow, table, tasks_for
 from marlspike.llm.simhash import connected, near_links
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ BITMAP = 256
 WORDS = BITMAP // 64
 #: Bytes of text whose sets are made at once.
 SLICE = 1 << 20
+#: Texts whose prefixes a task gets at most on average.
+TASK_ROWS = 25_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -297,9 +299,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     by_index = named.join(named.groupBy("label").agg(F.min("node").alias("v")), "label").select(F.col("node").alias("u"), "v")
 
     # buckets of several nodes alone: most members belong to one node
-    scale = max(1.0, found.count() / SAMPLE_ROWS)
+    total = found.count()
+    scale = max(1.0, total / SAMPLE_ROWS)
     common = _common(docs.where(F.pmod(F.xxhash64(key, "same"), F.lit(1_000_000)) < F.lit(int(1_000_000 / scale))), text)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(spark, total, TASK_ROWS)
     dealt = prefixes(docs, common, scale, text).repartition(n, "member", "salt").sortWithinPartitions("member", "salt", "node")
     shared = table(shared_members(dealt), "near-shared")
     by_part = shared.select(F.col("node").alias("u"), F.col("least").alias("v"))

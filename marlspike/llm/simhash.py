@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import map_arrow, table, without
+from marlspike.llm.common import map_arrow, table, tasks_for, without
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 BUCKET, LEAF, FAN = 4_096, 16, 8
 #: Node or item pairs that are looked at in one step of a join.
 PAIRS = 1 << 20
+#: Fingerprints in their buckets that a task gets at most on average.
+TASK_ROWS = 2_000_000
 #: Shingles whose bits are summed at once.
 SUM_AT_ONCE = 1 << 17
 
@@ -183,7 +185,6 @@ def _links(rows: DataFrame) -> DataFrame:
             if size >= 200_000:
                 bucket, fp = (np.concatenate([held, *(w[k] for w in waiting)]) for k, held in enumerate((held_bucket, held_fp)))
                 waiting, size = [], 0
-                open_from = int(np.searchsorted(bucket != bucket[-1], False)) if bucket[0] != bucket[-1] else 0
                 open_from = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if bucket[0] != bucket[-1] else 0
                 if open_from:
                     yield links(bucket[:open_from], fp[:open_from])
@@ -217,7 +218,7 @@ def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     dealt = ready[0]
     for more in ready[1:]:
         dealt = dealt.unionByName(more)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(spark, 4 * nodes.count(), TASK_ROWS)
     ordered = dealt.select("bucket", "fp", gray_rank(F.col("fp")).alias("gray")).repartition(n, "bucket").sortWithinPartitions("bucket", "gray")
     return _links(ordered.select("bucket", "fp"))
 
@@ -256,7 +257,8 @@ def components(found: DataFrame, key: str = "doc_id", fp: str = "simhash") -> Da
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each component: that of its smallest id. Rows without an id aren't judged and stay."""
+    """One row for each component: that of its smallest id. Rows without an id aren't judged and stay; of rows that have one id
+    one stays, any of them where their texts differ."""
     found = table(fingerprints(docs.where(F.col(key).isNotNull()).select(key, text), text), "simhash-found")
     kept = components(found, key).where(F.col(key) == F.col("component_id")).select(key).distinct()
     named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])

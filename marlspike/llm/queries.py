@@ -57,7 +57,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumn("score", F.round("score", 9))
 
 
 def op9_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,35 @@ def sketches(texts: list[str], k: int = K, s: int = S) -> list[Sketch]:
     return out
 
 
+_HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
+
+
+def to_texts(found: list[Sketch]) -> list[str]:
+    """The fingerprint of each sketch; digits are set for all anchors at once."""
+    sizes = np.array([len(h) for h, _ in found], np.int64)
+    if not sizes.sum():
+        return [""] * len(found)
+    hashes, positions = np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found]).astype(np.uint32)
+    order = np.lexsort((hashes, np.repeat(np.arange(len(found)), sizes)))
+    hashes, positions = hashes[order], positions[order]
+    width = max(1, -(-int(positions.max()).bit_length() // 4))
+    digits = lambda values, n: _HEX[(values[:, None] >> np.arange(4 * (n - 1), -1, -4, dtype=np.uint32)).astype(np.uint8) & 15]
+    cells = np.empty((len(hashes), 10 + width), np.uint8)
+    cells[:, :8], cells[:, 8], cells[:, 9 : 9 + width], cells[:, -1] = digits(hashes, 8), ord("."), digits(positions, width), ord(",")
+    # leading zeros of positions go
+    lengths = np.ones(len(hashes), np.int64)
+    shown = np.ones(cells.shape, bool)
+    for n in range(1, width):
+        there = positions >> np.uint32(4 * n) > 0
+        shown[:, 8 + width - n] = there
+        lengths += there
+    flat = cells[shown].tobytes().decode("ascii")
+    ends = np.concatenate([[0], np.cumsum(lengths + 10)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [flat[a : max(a, z - 1)] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def to_text(sketch: Sketch) -> str:
-    order = np.argsort(sketch[0], kind="stable")
-    return ",".join([f"{h:08x}.{p:x}" for h, p in zip(sketch[0][order].tolist(), sketch[1][order].tolist(), strict=True)])
+    return to_texts([sketch])[0]
 
 
 def from_text(fingerprint: str) -> Sketch:
@@ -167,7 +193,9 @@ def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint") -> D
     def run(batches):
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([to_text(x) for x in sketches(texts)], pa.string())], names=[*batch.schema.names, to])
+            for first in range(0, len(texts), 512):
+                rows = batch.slice(first, 512)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(to_texts(sketches(texts[first : first + 512])), pa.string())], names=[*rows.schema.names, to])
 
     return map_arrow(df, run, schema)
 
@@ -254,8 +282,9 @@ def successor_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
         def flush():
             edited = sketches([w[2] for w in waiting])
-            for (doc, own, changed, sketch, following), e in zip(waiting, edited, strict=True):
-                done.append([doc, len(own), hashlib.sha256(changed.encode()).hexdigest(), to_text(sketch), to_text(e), likeness(sketch, e), likeness(sketch, following)])
+            shown, shown_edited = to_texts([w[3] for w in waiting]), to_texts(edited)
+            for (doc, own, changed, sketch, following), e, a, b in zip(waiting, edited, shown, shown_edited, strict=True):
+                done.append([doc, len(own), hashlib.sha256(changed.encode()).hexdigest(), a, b, likeness(sketch, e), likeness(sketch, following)])
             waiting.clear()
             out = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
             done.clear()

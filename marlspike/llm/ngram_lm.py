@@ -1,19 +1,24 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Level 1 holds the words of the training texts as sorted 64-bit hashes, with their counts as differences of a running sum;
-level 2 holds, for each word as context, its successors. Both are monotone sequences in Elias-Fano form: words by their
+level 2 holds, for each word as context, its successors; each further level, for each entry of the level above that was
+seen CONTEXT_COUNT times or more, the words that follow it. All are monotone sequences in Elias-Fano form: words by their
 hash; pointers to each context's range; successor ids relative to their context, added to the last value of the range
 before, so that the whole level ascends. Beside the successors stand their smoothed probabilities, (count - DISCOUNT) /
-count of the context, as 16-bit logarithms. A query finds the word's id, the context's range, and the successor within it.
+count of the context, as 16-bit logarithms. A query finds the word's id, the context's range, and the successor within it;
+the place where it was found is the context of the next word one level deeper.
 
-p(w | c) = max(n(c, w) - DISCOUNT, 0) / n(c) + DISCOUNT * kinds(c) / n(c) * p(w), p(w) = (n(w) + 0.1) / (N + 0.1 (V + 1));
-p(w) alone where the context wasn't seen. Sentences are texts: a start context before, an end token after the words.
+p(w | c) = max(n(c, w) - DISCOUNT, 0) / n(c) + DISCOUNT * kinds(c) / n(c) * p(w | c without its first word), and for no context
+p(w) = (n(w) + 0.1) / (N + 0.1 (V + 1)); the shorter context alone where the longer one has no successors stored.
+Sentences are texts: a start context before, an end token after the words.
 
-Levels are cut into shards by the highest bits of the context's hash, files in the shared folder, which workers map into
-memory (stores other than local or mounted paths are copied to an unlinked file first). The at most 4 x shards contexts
-with over a 4 x shards-th of all tokens, the start among them, have their successors dealt over all shards. Word and pair counts are summed
-in each task before they are shuffled; pairs travel as sorted, compressed blocks. No shard, word or pair goes through the driver:
-it holds each shard's number of words, and numbers of kinds of the few frequent contexts.
+Levels are cut into shards by the highest bits of the first context word's hash, files in the shared folder, which workers
+map into memory (stores other than local or mounted paths are copied to an unlinked file first): an n-gram and all its
+prefixes lie in one shard, so that one gathering of the longest n-grams builds every level. The at most 4 x shards
+contexts with over a 4 x shards-th of all tokens, the start among them, have their n-grams dealt over all shards by the
+second word. Counts are summed in each task before they are shuffled; n-grams travel as sorted, compressed blocks. No
+shard, word or n-gram goes through the driver: it holds each shard's number of words, and numbers of kinds of the few
+frequent contexts.
 
 Words are told apart by 64-bit hashes alone. Cases: a null text is empty (the end token alone); rows without an id are
 scored and not learned from; repeated rows count as often as they stand; without training rows all scores are those of
@@ -35,20 +40,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspike.llm import textvec
-from marlspike.llm.common import fresh_path, map_arrow, table, without
+from marlspike.llm.common import discard, fresh_path, map_arrow, table, without
 
 DISCOUNT, ADD = 0.75, 0.1
-#: Words that a shard should hold.
-SHARD_WORDS = 250_000
-#: Shards of small vocabularies.
+#: Words of the longest n-grams, and how often a context of two or more words must have been seen to have a level of its own.
+ORDER, CONTEXT_COUNT = 3, 2
+#: Training tokens that a shard should hold.
+SHARD_TOKENS = 4_000_000
+#: Shards of small corpora.
 LEAST_SHARDS = 16
-#: Distinct words or pairs that a task gathers before it hands them on.
+#: Distinct words, or n-grams, that a task gathers before it hands them on.
 GATHER = 1 << 20
+#: Bytes of text that are looked up at once.
+SLICE = 1 << 21
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 #: Logarithms are kept in steps of 1 / STEPS, from 0 to -16.
 STEPS = 4095
 U1, U64 = np.uint64(1), np.uint64(64)
+#: The place of the k-th one in a byte.
+_IN_BYTE = np.array([[next((i for i in range(8) if v >> i & 1 and bin(v & ((1 << i) - 1)).count("1") == k), 0) for k in range(8)] for v in range(256)], np.uint8)
 
 
 class EliasFano:
@@ -92,25 +103,18 @@ class EliasFano:
         ranks = self.zero_ranks if zeros else self.ranks
         block = np.searchsorted(ranks, k, side="right") - 1
         rest = k - ranks[block]
-        word = block * 8
-        flip = np.uint64(0xFFFFFFFFFFFFFFFF) if zeros else np.uint64(0)
-        value = self.upper[word] ^ flip
-        for _ in range(7):
-            count = np.bitwise_count(value).astype(np.int64)
-            on = rest >= count
-            if not on.any():
-                break
-            rest = np.where(on, rest - count, rest)
-            word = word + on
-            value = np.where(on, self.upper[word] ^ flip, value)
-        place = word * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(value & np.uint64((1 << width) - 1)).astype(np.int64)
-            on = rest >= count
-            rest = np.where(on, rest - count, rest)
-            value = np.where(on, value >> np.uint64(width), value)
-            place = place + on * width
-        return place
+        words = self.upper.reshape(-1, 8)[block]
+        if zeros:
+            words = ~words
+        every = np.arange(len(k))
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = (upto <= rest[:, None]).sum(axis=1)
+        rest -= np.where(word > 0, upto[every, np.maximum(word - 1, 0)], 0)
+        byte = words[every, word].view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(byte), axis=1, dtype=np.int64)
+        at = (upto <= rest[:, None]).sum(axis=1)
+        rest -= np.where(at > 0, upto[every, np.maximum(at - 1, 0)], 0)
+        return block * 512 + word * 64 + at * 8 + _IN_BYTE[byte[every, at], rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -125,6 +129,11 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         return ((self._select(i, False) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
+    def ends(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1 (the last one again behind the end)."""
+        both = self.access(np.concatenate([i, np.minimum(i + 1, max(self.n - 1, 0))])).astype(np.int64)
+        return both[: len(i)], both[len(i) :]
+
     def find(self, value: np.ndarray, begin: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
         """The index of value within [begin, end), or -1."""
         if not self.n or not len(value):
@@ -133,8 +142,9 @@ class EliasFano:
         most = len(self.upper) * 64 - self.n - 1
         possible = high < most
         high = np.minimum(high, most - 1)
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) - (high - 1), 0)
-        hi = np.minimum(self._select(high, True) - high, end)
+        limits = self._select(np.concatenate([np.maximum(high - 1, 0), high]), True)
+        lo = np.where(high > 0, limits[: len(high)] - (high - 1), 0)
+        hi = np.minimum(limits[len(high) :] - high, end)
         lo = np.maximum(lo, begin)
         hi = np.where(possible, hi, lo)
         want = value & np.uint64((1 << self.low_bits) - 1)
@@ -173,7 +183,7 @@ def _save(folder: str, name: str, sequences: dict[str, EliasFano], plain: dict[s
     return path
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=1 << 16)
 def _open(folder: str, path: str) -> tuple[dict[str, EliasFano], dict[str, np.ndarray]]:
     """The file's levels, mapped into memory."""
     store, root = pafs.FileSystem.from_uri(folder)
@@ -213,9 +223,9 @@ class Vocabulary:
                 words = _open(self.folder, path)[0]
                 at = words["words"].find(hashes[a:b], 0, words["words"].n)
                 hit = np.flatnonzero(at >= 0)
-                upto = words["counts"].access(at[hit])
-                below = np.where(at[hit] > 0, words["counts"].access(np.maximum(at[hit] - 1, 0)), np.uint64(0))
-                ids[a + hit], counts[a + hit] = at[hit] + self.offsets[s], (upto - below).astype(np.int64)
+                below, upto = words["counts"].ends(np.maximum(at[hit] - 1, 0))
+                below, upto = np.where(at[hit] > 0, below, 0), np.where(at[hit] > 0, upto, below)
+                ids[a + hit], counts[a + hit] = at[hit] + self.offsets[s], upto - below
         return ids, counts
 
 
@@ -232,7 +242,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _parts(column: pa.Array):
     data, offsets = textvec.text_buffers(column)
-    for first, last in textvec.slices(offsets):
+    for first, last in textvec.slices(offsets, SLICE):
         part = offsets[first : last + 1]
         yield first, last, *_tokens(data[part[0] : part[-1]], part - part[0])
 
@@ -269,8 +279,8 @@ class _Counts:
 class Model:
     """What scoring needs on each worker: names of the shards' files and some numbers."""
 
-    def __init__(self, folder: str, vocabulary: Vocabulary, tokens: int, kinds: int, texts: int):
-        self.folder, self.vocabulary, self.tokens, self.kinds, self.texts = folder, vocabulary, tokens, kinds, texts
+    def __init__(self, folder: str, vocabulary: Vocabulary, tokens: int, kinds: int, texts: int, order: int = ORDER):
+        self.folder, self.vocabulary, self.tokens, self.kinds, self.texts, self.order = folder, vocabulary, tokens, kinds, texts, order
         self.frequent = np.zeros(0, np.int64)
         self.frequent_counts = np.zeros(0, np.int64)
         self.frequent_kinds = np.zeros(0, np.int64)
@@ -363,140 +373,255 @@ def _contexts(ids: np.ndarray, limits: np.ndarray, start: int) -> np.ndarray:
     return context
 
 
-def _build_successors(docs: DataFrame, text: str, model: Model) -> DataFrame:
-    """Writes each shard's level 2: a row for each shard with path, and the frequent contexts' kinds there."""
+def _sorted_rows(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """The order of rows by their columns, whose values have so many bits; columns that fit are packed into one word."""
+    keys, width = [columns[0].astype(np.uint64)], bits
+    for c in columns[1:]:
+        if width + bits <= 64:
+            keys[-1] = (keys[-1] << np.uint64(bits)) | c.astype(np.uint64)
+            width += bits
+        else:
+            keys.append(c.astype(np.uint64))
+            width = bits
+    return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+
+
+def _summed(columns: list[np.ndarray], counts: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows in order, and their counts."""
+    order = _sorted_rows(columns, bits)
+    columns, counts = [c[order] for c in columns], counts[order]
+    if not len(counts):
+        return columns, counts
+    new = np.ones(len(counts), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(counts, first)
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest width bytes of the values, all first bytes before all second ones."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _from_planes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def _level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> tuple[dict[str, EliasFano], np.ndarray, np.ndarray]:
+    """pointers and successors of a level, its quantised shares, and the number of kinds of each context, from rows in order of
+    context and word; totals has a count for each context."""
+    pointers = np.searchsorted(contexts, np.arange(len(totals) + 1))
+    kinds = np.diff(pointers)
+    # relative ids: each context's values start behind the last value of the context before
+    last = pointers[1:][kinds > 0] - 1
+    ends = np.cumsum(words[last].astype(np.uint64) + U1)
+    base = np.repeat(np.concatenate([np.zeros(1, np.uint64), ends[:-1]])[: len(last)], np.diff(np.concatenate([[-1], last])))
+    share = np.maximum(counts - DISCOUNT, 1e-9) / totals[contexts]
+    stored = np.clip(np.round(-np.log10(share) * STEPS), 0, 65535).astype(np.uint16)
+    return {"pointers": EliasFano.build(pointers), "successors": EliasFano.build(base + words.astype(np.uint64))}, stored, kinds
+
+
+def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
+    """Writes each shard's levels from 2 on: a row for each shard with path, and the frequent contexts' kinds there."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    shards = len(model.levels)
+    shards, order = len(model.levels), model.order
+    # ids travel as id + 1: 0 stands for no word
+    bits = (model.start + 1).bit_length()
+    width = -(-bits // 8)
 
     def gather(batches):
         m = sent.value
-        gathered = _Counts()
+        waiting: list[list[np.ndarray]] = []
+        size = 0
 
         def out():
-            keys, counts = gathered.take()
-            context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            shard = m.pair_shard(context, word)
-            order = np.argsort(shard, kind="stable")
-            limits = np.searchsorted(shard[order], np.arange(shards + 1))
+            columns = [np.concatenate([w[k] for w in waiting]) for k in range(order)]
+            columns, counts = _summed(columns, np.ones(len(columns[0]), np.int64), bits)
+            shard = m.pair_shard(columns[0] - 1, columns[1] - 1)
+            dealt = np.argsort(shard, kind="stable")
+            limits = np.searchsorted(shard[dealt], np.arange(shards + 1))
             for s in range(shards):
-                mine = order[limits[s] : limits[s + 1]]
+                mine = dealt[limits[s] : limits[s + 1]]
                 if len(mine):
-                    columns = [np.diff(context[mine], prepend=0).astype(np.uint32), word[mine].astype(np.uint32), np.minimum(counts[mine], 0xFFFFFFFF).astype(np.uint32)]
-                    raw = b"".join(c.view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "pairs": [len(mine)], "block": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
+                    wide = -(-int(counts[mine].max()).bit_length() // 8)
+                    raw = b"".join([_planes(np.diff(columns[0][mine], prepend=0), width), *(_planes(c[mine], width) for c in columns[1:]), _planes(counts[mine], wide)])
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "grams": [len(mine)], "wide": pa.array([wide], pa.int32()), "block": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
 
         for batch in batches:
             for _, _, tokens, limits in _parts(batch.column(text)):
                 ids, _ = _ids(m.vocabulary, tokens)
-                keys = (_contexts(ids, limits, m.start).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-                if gathered.add(keys):
+                columns = [_contexts(ids, limits, m.start) + 1, ids + 1]
+                row = textvec.row_of(limits)
+                for gap in range(1, order - 1):
+                    after = np.zeros(len(ids), np.int64)
+                    after[:-gap] = np.where(row[gap:] == row[:-gap], ids[gap:] + 1, 0)
+                    columns.append(after)
+                waiting.append(columns)
+                size += len(ids)
+                if size >= GATHER:
                     yield from out()
-        if gathered.waiting:
+                    waiting, size = [], 0
+        if waiting:
             yield from out()
 
     def build(batches):
         m = sent.value
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
         at = None
 
         def out():
-            keys, counts = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
-            context = m.local(at, (keys >> np.uint64(32)).astype(np.int64))
-            word = keys & np.uint64(0xFFFFFFFF)
-            order = np.lexsort((word, context))
-            context, word, counts = context[order], word[order], counts[order]
-            new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-            first = np.flatnonzero(new)
-            context, word, counts = context[first], word[first], np.add.reduceat(counts, first)
+            columns = [np.concatenate([w[0][k] for w in waiting]) for k in range(order)]
+            counts = np.concatenate([w[1] for w in waiting])
+            waiting.clear()
+            columns[0] = m.local(at, columns[0].astype(np.int64) - 1)
+            columns, counts = _summed(columns, counts, bits)
             own = int(m.vocabulary.offsets[at + 1] - m.vocabulary.offsets[at])
-            pointers = np.searchsorted(context, np.arange(own + len(m.frequent) + 1))
-            # relative ids: each context's values start behind the last value of the context before
-            last = pointers[1:][np.diff(pointers) > 0] - 1
-            ends = np.cumsum(word[last].astype(np.uint64) + U1)
-            base = np.repeat(np.concatenate([[np.uint64(0)], ends[:-1]]), np.diff(np.concatenate([[-1], last])))
             words = _open(m.folder, m.vocabulary.paths[at])[0]["counts"] if m.vocabulary.paths[at] else None
             totals = np.zeros(own + len(m.frequent), np.int64)
             if own:
                 totals[:own] = np.diff(words.access(np.arange(own)).astype(np.int64), prepend=0)
             totals[own:] = m.frequent_counts
-            share = np.maximum(counts - DISCOUNT, 1e-9) / totals[context]
-            stored = np.clip(np.round(-np.log10(share) * STEPS), 0, 65535).astype(np.uint16)
-            path = _save(m.folder, f"pairs-{at}", {"pointers": EliasFano.build(pointers), "successors": EliasFano.build(base + word)}, {"shares": stored})
-            kinds = np.diff(pointers)[own:]
-            return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [path], "kinds": pa.array([kinds.tolist()], pa.list_(pa.int64()))})
+            # entries of each level: runs of rows that are alike up to its word
+            context, sequences, plain, frequent_kinds = columns[0], {}, {}, None
+            for k in range(2, order + 1):
+                word = columns[k - 1]
+                if k > 2:
+                    there = word > 0
+                    columns, context, counts, word = [c[there] for c in columns], context[there], counts[there], word[there]
+                if not len(word):
+                    break
+                new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+                first = np.flatnonzero(new)
+                summed = np.add.reduceat(counts, first)
+                found, shares, kinds = _level(context[first], word[first].astype(np.uint64) - U1, summed, totals)
+                sequences |= {f"{name}{k}": sequence for name, sequence in found.items()}
+                plain[f"shares{k}"] = shares
+                if k == 2:
+                    frequent_kinds = kinds[own:]
+                else:
+                    weight = np.clip(np.round(-np.log10(DISCOUNT * np.maximum(kinds, 1) / np.maximum(totals, 1)) * STEPS), 0, 65534)
+                    plain[f"weights{k}"] = np.where(kinds > 0, weight, 65535).astype(np.uint16)
+                # contexts of the next level: entries seen often enough
+                entry = np.cumsum(new) - 1
+                often = (summed >= CONTEXT_COUNT)[entry]
+                columns, context, counts = [c[often] for c in columns], entry[often], counts[often]
+                totals = np.zeros(len(first), np.int64)
+                if k < order:
+                    follows = columns[k] > 0
+                    totals += np.bincount(context[follows], counts[follows], len(first)).astype(np.int64)
+            path = _save(m.folder, f"grams-{at}", sequences, plain)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [path], "kinds": pa.array([frequent_kinds.tolist()], pa.list_(pa.int64()))})
 
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, n = batch.column("shard")[i].as_py(), batch.column("pairs")[i].as_py()
+                shard, n, wide = (batch.column(c)[i].as_py() for c in ("shard", "grams", "wide"))
                 if at is not None and shard != at:
                     yield out()
-                    waiting = []
                 at = shard
-                raw = np.frombuffer(pa.decompress(batch.column("block")[i].as_buffer(), 12 * n, "zstd"), np.uint8).reshape(3, 4, n)
-                step, word, count = (np.ascontiguousarray(raw[k].T).view(np.uint32).reshape(-1) for k in range(3))
-                waiting.append(((np.cumsum(step.astype(np.uint64)) << np.uint64(32)) | word, count.astype(np.int64)))
+                raw = np.frombuffer(pa.decompress(batch.column("block")[i].as_buffer(), (order * width + wide) * n, "zstd"), np.uint8)
+                columns = [_from_planes(raw[k * width * n : (k + 1) * width * n], n, width) for k in range(order)]
+                columns[0] = np.cumsum(columns[0])
+                if bits <= 32:
+                    columns = [c.astype(np.uint32) for c in columns]
+                waiting.append((columns, _from_planes(raw[order * width * n :], n, wide).astype(np.int64)))
         if waiting:
             yield out()
 
-    blocks = map_arrow(docs.select(text), gather, "shard int, pairs long, block binary")
+    blocks = map_arrow(docs.select(text), gather, "shard int, grams long, wide int, block binary")
     dealt = blocks.repartition(shards, "shard").sortWithinPartitions("shard")
-    return table(map_arrow(dealt, build, "shard int, path string, kinds array<long>"), "lm-successors")
+    return table(map_arrow(dealt, build, "shard int, path string, kinds array<long>"), "lm-levels")
 
 
-def fit(docs: DataFrame, text: str = "text", shard_words: int = SHARD_WORDS) -> Model:
-    """The trie of all rows of docs; counts and files are written in the shared folder."""
+def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """The trie of all rows of docs, with n-grams of order words (2 or more); counts and files are written in the shared folder."""
+    if order < 2:
+        raise ValueError("n-grams have two words at least")
     spark = docs.sparkSession
     folder = fresh_path(spark, "lm-trie")
     words = table(_count_words(docs, text), "lm-words")
-    kinds = words.count()
+    kinds, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = LEAST_SHARDS
-    while shards * shard_words < kinds:
+    while shards * shard_tokens < tokens:
         shards *= 2
     vocabulary, tokens = _build_vocabulary(words, folder, shards)
     ends = words.where(F.col("word") == int(END.view(np.int64))).agg(F.sum("n")).first()[0] or 0
-    model = Model(folder, vocabulary, tokens, kinds, ends)
+    model = Model(folder, vocabulary, tokens, kinds, ends, order)
     if not kinds:
         return model
     # contexts with over a (4 x shards)-th of all tokens: fewer than 4 x shards, whatever the input
     often = words.where((F.col("n") > tokens / (4 * shards)) & (F.col("word") != int(END.view(np.int64)))).collect()
+    discard(words)
     hashes = np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
     ids, counts = vocabulary.look_up(hashes)
     model.frequent, model.frequent_counts = np.append(ids, model.start), np.append(counts, ends)
-    order = np.argsort(model.frequent)
-    model.frequent, model.frequent_counts = model.frequent[order], model.frequent_counts[order]
-    built = _build_successors(docs, text, model).collect()
+    by_id = np.argsort(model.frequent)
+    model.frequent, model.frequent_counts = model.frequent[by_id], model.frequent_counts[by_id]
     model.frequent_kinds = np.zeros(len(model.frequent), np.int64)
-    for r in built:
+    for r in _build_levels(docs, text, model).collect():
         model.levels[r["shard"]] = r["path"]
         model.frequent_kinds += np.array(r["kinds"], np.int64)
     return model
 
 
-def _pair_shares(model: Model, context: np.ndarray, word: np.ndarray, context_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each seen context and word: the discounted share of the pair (0 if unseen) and the weight of p(w)."""
-    share, weight = np.zeros(len(context)), np.ones(len(context))
-    shard = model.pair_shard(context, word)
-    order = np.argsort(shard, kind="stable")
-    limits = np.searchsorted(shard[order], np.arange(len(model.levels) + 1))
-    for s, path in enumerate(model.levels):
-        mine = order[limits[s] : limits[s + 1]]
-        if not len(mine) or not path:
-            continue
-        sequences, arrays = _open(model.folder, path)
-        pointers, successors = sequences["pointers"], sequences["successors"]
-        local, place = np.unique(model.local(s, context[mine]), return_inverse=True)
-        begin, end = pointers.access(local).astype(np.int64), pointers.access(local + 1).astype(np.int64)
-        base = np.where(begin > 0, successors.access(np.maximum(begin - 1, 0)) + U1, np.uint64(0))
-        kinds = end - begin
-        own = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])
-        often = local >= own
-        kinds[often] = model.frequent_kinds[local[often] - own]
-        weight[mine] = DISCOUNT * kinds[place] / context_count[mine]
-        known = np.flatnonzero(word[mine] >= 0)
-        at = successors.find(base[place][known] + word[mine][known].astype(np.uint64), begin[place][known], end[place][known])
-        hit = at >= 0
-        share[mine[known[hit]]] = 10.0 ** (-arrays["shares"][at[hit]].astype(np.float64) / STEPS)
-    return share, weight
+def _probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """p of each token after the words before it."""
+    p = model.unigram(counts)
+    context = _contexts(ids, limits, model.start)
+    total = np.empty_like(counts)
+    total[1:] = counts[:-1]
+    total[limits[:-1]] = model.texts
+    # where each token was found on the level before, as the context of the token behind it
+    place, shard = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
+    seen = np.flatnonzero((context >= 0) & (total > 0))
+    shard[seen] = model.pair_shard(context[seen], ids[seen])
+    for k in range(2, model.order + 1):
+        if k > 2:
+            before = np.full(len(ids), -1, np.int64)
+            before[1:] = place[:-1]
+            before[limits[:-1]] = -1
+            home = np.full(len(ids), -1, np.int64)
+            home[1:] = shard[:-1]
+            seen = np.flatnonzero(before >= 0)
+            place, shard = np.full(len(ids), -1, np.int64), home
+        by_shard = seen[np.argsort(shard[seen], kind="stable")]
+        bounds = np.searchsorted(shard[by_shard], np.arange(len(model.levels) + 1))
+        for s, path in enumerate(model.levels):
+            mine = by_shard[bounds[s] : bounds[s + 1]]
+            if not len(mine):
+                continue
+            if not path:
+                # no n-gram fell to this shard, but words behind frequent contexts, unseen there, may be looked for in it
+                words = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])
+                number = model.local(s, context[mine]) - words
+                p[mine] *= np.where(number >= 0, DISCOUNT * model.frequent_kinds[np.maximum(number, 0)] / total[mine], 1.0)
+                continue
+            sequences, arrays = _open(model.folder, path)
+            if f"pointers{k}" not in sequences:
+                continue
+            own = model.local(s, context[mine]) if k == 2 else before[mine]
+            local, back = np.unique(own, return_inverse=True)
+            begin, end = sequences[f"pointers{k}"].ends(local)
+            kinds = end - begin
+            if k == 2:
+                words = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])
+                kinds[local >= words] = model.frequent_kinds[local[local >= words] - words]
+                weight = DISCOUNT * kinds[back] / total[mine]
+            else:
+                stored = arrays[f"weights{k}"][local]
+                weight = np.where(stored < 65535, 10.0 ** (-stored.astype(np.float64) / STEPS), 1.0)[back]
+            base = np.zeros(len(local), np.uint64)
+            some = begin > 0
+            base[some] = sequences[f"successors{k}"].access(begin[some] - 1) + U1
+            known = np.flatnonzero((ids[mine] >= 0) & (begin[back] < end[back]))
+            at = sequences[f"successors{k}"].find(base[back[known]] + ids[mine[known]].astype(np.uint64), begin[back[known]], end[back[known]])
+            share = np.zeros(len(mine))
+            hit = at >= 0
+            share[known[hit]] = 10.0 ** (-arrays[f"shares{k}"][at[hit]].astype(np.float64) / STEPS)
+            p[mine] = share + weight * p[mine]
+            place[mine[known[hit]]] = at[hit]
+    return p
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -512,17 +637,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for first, last, tokens, limits in _parts(batch.column(text)):
                 ids, counts = _ids(m.vocabulary, tokens)
-                p = m.unigram(counts)
-                base = np.log10(p)
-                context = _contexts(ids, limits, m.start)
-                context_count = np.empty_like(counts)
-                context_count[1:] = counts[:-1]
-                context_count[limits[:-1]] = m.texts
-                seen = np.flatnonzero((context >= 0) & (context_count > 0))
-                share, weight = _pair_shares(m, context[seen], ids[seen], context_count[seen])
-                full = p.copy()
-                full[seen] = share + weight * p[seen]
-                log = np.log10(full)
+                base, log = np.log10(m.unigram(counts)), np.log10(_probabilities(m, ids, counts, limits))
                 sums = [np.add.reduceat(x, limits[:-1]) for x in ((counts > 0).astype(np.int64), base, log)]
                 rows = batch.slice(first, last - first)
                 columns = [pa.array(np.diff(limits)), pa.array(sums[0]), pa.array(np.full(last - first, m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]

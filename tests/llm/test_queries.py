@@ -285,13 +285,20 @@ def test_op9(spark, docs, encoding):
 
 
 def test_op10(spark, docs):
+    from marlspike.llm.ngram_lm import CONTEXT_COUNT
+
     tokens = {k: lower(d["text"] or "").encode().split() + [None] for k, d in docs.items()}
     train = [k for k in docs if zlib.crc32(str(k).encode()) % 10]
     count = Counter(t for k in train for t in tokens[k])
     pairs = Counter(p for k in train for p in zip([0, *tokens[k]], tokens[k]))
-    kinds = Counter(c for c, _ in pairs)
+    triples = Counter(x for k in train for x in zip([0, *tokens[k]], tokens[k], tokens[k][1:]))
+    kinds, longer = Counter(c for c, _ in pairs), Counter(x[:2] for x in triples)
     total = sum(count.values())
-    context = Counter(c for c, _ in pairs.elements())
+    context, followed = Counter(), Counter()
+    for (c, _), n in pairs.items():
+        context[c] += n
+    for x, n in triples.items():
+        followed[x[:2]] += n
     p = lambda w: (count[w] + 0.1) / (total + 0.1 * (len(count) + 1))
 
     def pair(c, w):
@@ -299,10 +306,39 @@ def test_op10(spark, docs):
             return p(w)
         return max(pairs[c, w] - 0.75, 0) / context[c] + 0.75 * kinds[c] / context[c] * p(w)
 
+    def triple(b, c, w):
+        if b is None or pairs[b, c] < CONTEXT_COUNT or not followed[b, c]:
+            return pair(c, w)
+        return max(triples[b, c, w] - 0.75, 0) / followed[b, c] + 0.75 * longer[b, c] / followed[b, c] * pair(c, w)
+
     rows = Q.op10_ngram_lm(spark, SF).collect()
     assert len(rows) == len(docs)
     for r in rows:
         own = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] not in set(train), len(own), sum(count[t] > 0 for t in own), total)
         assert r["base_score"] == pytest.approx(sum(math.log10(p(t)) for t in own))
-        assert r["score"] == pytest.approx(sum(math.log10(pair(c, w)) for c, w in zip([0, *own], own)), rel=1e-3)
+        assert r["score"] == pytest.approx(sum(math.log10(triple(b, c, w)) for b, c, w in zip([None, 0, *own], [0, *own], own)), rel=1e-3)
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_ngram_orders(spark, docs, order):
+    """The probabilities of all words (and the end) after a context add up to 1 on every order."""
+    import numpy as np
+
+    from marlspike.llm import ngram_lm as N
+
+    model = N.fit(spark.createDataFrame([("a b a b a c",), ("a b a b d",), ("b a b a",)], "text string"), order=order)
+    words = [b"a", b"b", b"c", b"d"]
+    for before in ([], [b"a"], [b"a", b"b"], [b"a", b"b", b"a"], [b"b", b"a", b"b", b"a"], [b"d", b"zz", b"a"]):
+        sums = 0.0
+        for w in [*words, None]:
+            import pyarrow as pa
+
+            text = b" ".join([*before, *([w] if w else [])]).decode()
+            _, _, tokens, limits = next(N._parts(pa.array([text])))
+            ids, counts = N._ids(model.vocabulary, tokens)
+            sums += float(N._probabilities(model, ids, counts, limits)[len(before)])
+        # p(w) keeps a share of 0.1 / (N + 0.1 (V + 1)) for words that weren't seen
+        unseen = 0.1 / (model.tokens + 0.1 * (model.kinds + 1))
+        assert 1 - unseen - 2e-3 < sums < 1 + 2e-3
+    assert np.all([path is None or path.endswith(".trie") for path in model.levels])

@@ -268,6 +268,29 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4] > 0
 
 
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, an empty table, and columns named like those that operators add."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i}" for i in range(40))
+    long = " ".join(f"token{i % 977}x{i}" for i in range(60_000))
+    rows = [(1, good, "a"), (1, good, "a"), (2, None, "a"), (3, "", None), (4, long, "b"), (None, good + " more", "b"), (5, "too short", None), (6, good.upper(), "c"), (7, " ".join(f"other{i}" for i in range(30)), None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit("own-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("score", "predicted", "n_words", "kept", "host_rate", "same", "node", "size", "shards", "place", "target", "ids", "n_tokens", "_rest_of_row", "_same")})
+    spark.createDataFrame([(1, 0), (5, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        kept[name] = out.collect()
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        if name != "bpe":
+            assert out.columns == docs.columns and all(r[c] == f"own-{'none' if r['doc_id'] is None else r['doc_id']}" for r in kept[name] for c in docs.columns[3:])
+    ids = lambda name: sorted(r["doc_id"] or 0 for r in kept[name])
+    assert ids("quality rules") == [0, 1, 1, 4, 6, 7]
+    assert ids("near-duplicates") == [0, 1, 2, 4, 5, 7]  # 6 is 1 in capitals, 3 as empty as 2
+    assert set(ids("mixing")) <= {0, 1, 4, 5, 6, 7} and len(kept["bpe"]) == len(rows)
+    assert len(kept["toxicity"]) <= len(rows)
+
+
 @pytest.mark.parametrize("bucket", [near_copies.BUCKET, 2])
 def test_pipeline_near_duplicates_equal_brute_force(spark, monkeypatch, bucket):
     """The stage keeps the smallest id of each component of pairs whose five-word shingles are similar by 0.8 or more, also

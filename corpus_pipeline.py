@@ -1,6 +1,12 @@
 """A corpus pipeline: toxicity, quality rules, near-duplicates, mixing, BPE. Each stage reads what its predecessor kept.
 
-All stages but the last return the columns of documents; the last returns the token counts and digests.
+All stages but the last return the columns of documents, others that docs may have included, whatever their names; the last
+returns the token counts and digests.
+
+Cases: a null text is an empty one: it has the score of the bias, fails the quality rules, and otherwise (as a stage's own
+input) is a copy of other empty texts, is never mixed in, and has no tokens. Texts may be of any length. Rows without an id
+aren't learned from and aren't judged as copies; rows of equal id and text are copies of each other, and share one fate in
+the mix. A null source is a host and a source of its own. An empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
@@ -13,28 +19,39 @@ from marlspike.llm import bpe, host_rules, mixing, near_copies, toxicity
 from marlspike.llm.common import table
 from marlspike.llm.queries import RANK_FILE
 
+#: Columns that the stages work on; the others travel as one, so that no result column clashes with them.
+USED, REST = ("doc_id", "source", "text"), "_rest_of_row"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.select(*USED, F.struct(*[c for c in docs.columns if c not in USED], F.lit(True).alias(REST)).alias(REST))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    return packed.select(*[F.col(c) if c in USED else F.col(REST)[c].alias(c) for c in docs.columns])
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier, fitted on the labelled rows of docs, doesn't predict to be toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where("predicted = 0").select(docs.columns)
+    scored = toxicity.score(_packed(docs), toxicity.fit(docs.select("doc_id", "text"), labels))
+    return _unpacked(scored.where("predicted = 0"), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rules and whose host isn't rejected."""
     verdicts = host_rules.hosts(host_rules.measure(docs.select("source", "text")).select("source", "base_failed"))
-    return host_rules.judge(host_rules.measure(docs), verdicts).where("kept").select(docs.columns)
+    return _unpacked(host_rules.judge(host_rules.measure(_packed(docs)), verdicts).where("kept"), docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.deduplicate(docs).select(docs.columns)
+    return near_copies.deduplicate(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in the order of its shard."""
-    return mixing.mix(docs).select(docs.columns)
+    return _unpacked(mixing.mix(_packed(docs)), docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +74,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: The classifier's training can't be expressed in SQL; tests compare the stages with brute force.
+#: The classifier's training can't be expressed in SQL; tests compare the stages with brute force (tests/llm).
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ All stages but the last return the columns of documents, others that docs may ha
 returns the token counts and digests.
 
 Cases: a null text is an empty one: it has the score of the bias, fails the quality rules, and otherwise (as a stage's own
-input) is a copy of other empty texts, is never mixed in, and has no tokens. Texts may be of any length. Rows without an id
+input) is a copy of other empty texts, comes into the mix along with its block, and has no tokens. Texts may be of any length. Rows without an id
 aren't learned from and aren't judged as copies; rows of equal id and text are copies of each other, and share one fate in
 the mix. A null source is a host and a source of its own. An empty table gives an empty result at each stage.
 """
@@ -24,11 +24,13 @@ USED, REST = ("doc_id", "source", "text"), "_rest_of_row"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    return docs.select(*USED, F.struct(*[c for c in docs.columns if c not in USED], F.lit(True).alias(REST)).alias(REST))
+    others = [c for c in docs.columns if c not in USED]
+    return docs.select(*USED, F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias(REST))
 
 
 def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
-    return packed.select(*[F.col(c) if c in USED else F.col(REST)[c].alias(c) for c in docs.columns])
+    place = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c not in USED)}
+    return packed.select(*[F.col(REST)[place[c]].alias(c) if c in place else F.col(c) for c in docs.columns])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

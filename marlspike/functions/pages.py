@@ -14,6 +14,8 @@ from marlspike.sources.files import EMAIL, PHONE, first_match
 
 # Words of listings in paths, fragments and titles.
 LISTING_WORDS = ("directory", "exhibitor", "exhibitors", "catalog", "catalogue", "members", "member-directory", "participants", "attendees", "vendors", "companies", "fair-directory", "expo", "delegates")
+# What the class of a listing's entries contains.
+ENTRY_CLASSES = ("card", "item", "exhibitor", "listing", "tile", "directory-row")
 # Blocks without text of their own.
 SILENT = ("script", "style", "noscript", "svg", "nav", "footer", "header")
 MOST_TEXT, MOST_CONTACTS, MOST_LINKS = 10_000, 10, 20
@@ -68,11 +70,11 @@ def links(html: Column, url: Column) -> Column:
     return F.array_distinct(F.transform(own, lambda h: absolute(h, url)))
 
 
-def facts(pages: DataFrame) -> DataFrame:
-    """page_id, url with title, description, text_content, emails, phones, links (arrays joined by a blank)."""
+def facts(pages: DataFrame, *more: Column) -> DataFrame:
+    """page_id, url, more columns, with title, description, text_content, emails, phones, links (arrays joined by a blank)."""
     html, body = F.coalesce("html", F.lit("")), without_silent(F.col("html"))
     inside = F.coalesce(block(body, "body"), body)
-    out = pages.select("page_id", "url", title(body).alias("title"), description(html).alias("description"), F.substring(plain(inside), 1, MOST_TEXT).alias("text_content"), emails(html).alias("emails"), phones(html).alias("phones"), F.slice(links(body, F.col("url")), 1, MOST_LINKS).alias("links"))
+    out = pages.select("page_id", "url", *more, title(body).alias("title"), description(html).alias("description"), F.substring(plain(inside), 1, MOST_TEXT).alias("text_content"), emails(html).alias("emails"), phones(html).alias("phones"), F.slice(links(body, F.col("url")), 1, MOST_LINKS).alias("links"))
     return out.withColumns({c: F.array_join(c, " ") for c in ("emails", "phones", "links")})
 
 
@@ -121,12 +123,13 @@ def classify(pages: DataFrame) -> DataFrame:
 
 
 def entries(pages: DataFrame) -> DataFrame:
-    """A row for each list item, table row or article (or block of class card) of a page: place, name, link, email, phone, booth.
+    """A row for each list item, table row, article, or block of one of ENTRY_CLASSES of a page: place, name, link, email, phone, booth.
 
     The name is the first heading, else the first link's text, else the text itself up to 80 characters.
     """
     body = without_silent(F.col("html"))
-    blocks = F.regexp_extract_all(body, F.lit(r"""(?is)(<(?:li|tr|article)\b[^>]*>.*?</(?:li|tr|article)>|<div\b[^>]*\bclass=["'][^"']*card[^"']*["'][^>]*>.*?</div>)"""), F.lit(1))
+    named = rf"""<([a-z][a-z0-9]*)\b[^>]*\bclass=["'][^"']*(?:{"|".join(ENTRY_CLASSES)})[^"']*["'][^>]*>.*?</\2>"""
+    blocks = F.regexp_extract_all(body, F.lit(rf"(?is)<(li|tr|article)\b[^>]*>.*?</\1>|{named}"), F.lit(0))
     cards = pages.select("page_id", "url", F.posexplode(blocks).alias("place", "card"))
     text = plain(F.col("card"))
     name = F.coalesce(*[F.nullif(plain(first_match(F.col("card"), p, 1)), F.lit("")) for p in (r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", r"(?is)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>", r"(?is)<a\b[^>]*>(.*?)</a>")], F.nullif(F.substring(text, 1, 80), F.lit("")))

@@ -76,10 +76,10 @@ def u06_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u09_site_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lead for each page: the title up to the first separator, else its domain; first address and phone."""
-    f = G.facts(_pages(spark, sf_dir))
+    f = G.facts(_pages(spark, sf_dir), F.get(G.phones(F.coalesce("html", F.lit(""))), F.lit(0)).alias("phone"))
     name = F.nullif(F.trim(F.split("title", r" - | \| |: ")[0]), F.lit(""))
     first = lambda c: F.nullif(F.split(c, " ")[0], F.lit(""))
-    return f.select("page_id", F.coalesce(name, X.domain(F.col("url"))).alias("company"), X.domain(F.col("url")).alias("domain"), first("emails").alias("email"))
+    return f.select("page_id", F.coalesce(name, X.domain(F.col("url"))).alias("company"), X.domain(F.col("url")).alias("domain"), first("emails").alias("email"), "phone")
 
 
 def s11_engagement_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +252,11 @@ _ISO = lambda c: f"coalesce(strftime({c}, '%Y-%m-%dT%H:%M:%S.') || lpad((millise
 _BOXES = "boxes AS (SELECT i, 'box-' || i AS mailbox_id, 10 + i * 5 AS hourly, 100 + i * 50 AS daily, i * 40 AS sent_today, i <> 3 AS connected FROM (SELECT unnest(range(7)) AS i)), refs AS (SELECT k AS campaign_id, i AS box, min(p) AS position FROM (SELECT unnest(range(5)) AS k) c, (SELECT unnest([0, 1, 2]) AS p) q JOIN boxes ON i = CASE p WHEN 1 THEN (k + 2) % 7 ELSE k END GROUP BY 1, 2)"
 _EMAIL, _PHONE, _SITE = S.EMAIL, S.PHONE, S.SITE
 _KIND = lambda k: f"first_{k}_at, last_{k}_at, {k}_count"
+_ANY = lambda values: "|".join(__import__("re").escape(v).replace("\\ ", " ").replace("\\'", "'").replace("'", "''") for v in values)
+_DIGITS = lambda c: f"length(regexp_replace({c}, '[^0-9]', '', 'g'))"
+_CLEAN = lambda c: f"nullif(trim(regexp_replace({c}, '[^0-9+ \\t\\n\\x0B\\f\\r().-]', '', 'g'), ' '), '')"
+_LED, _WITHIN = (f"nullif(regexp_extract(x, '{p}', 1), '')" for p in (T.PHONE_LED, T.PHONE_WITHIN))
+_ABROAD = f"trim(nullif(regexp_extract(x, '{T.PHONE_ABROAD}', 1), ''), ' ')"
 ORACLES = {
     "s03_csv": """SELECT s_suppkey AS source_id, r::INTEGER AS row_number, CASE r WHEN 2 THEN s_name || ' "A", B; C' WHEN 3 THEN 'site' || s_suppkey END AS company, CASE r WHEN 2 THEN 'Ann' WHEN 3 THEN 'Bo' ELSE 'Nobody' END AS contact, CASE r WHEN 2 THEN 'Head' END AS title,
   CASE r WHEN 2 THEN 'a' || s_suppkey || '@x.example' END AS email, NULL::VARCHAR AS phone, CASE r WHEN 2 THEN 'Oslo' WHEN 4 THEN 'Rome' END AS city, CASE r WHEN 3 THEN 'https://www.site' || s_suppkey || '.example/x' END AS website, CASE r WHEN 4 THEN 'FAILED' ELSE 'PARSED' END AS parse_status
@@ -263,6 +268,14 @@ k AS (SELECT *, coalesce(email, phone, website) IS NOT NULL OR len(parts) > 1 AS
 SELECT source_id, row_number, CASE WHEN known THEN CASE WHEN trim(parts[1], ' ') <> '' AND length(trim(parts[1], ' ')) < 80 THEN trim(parts[1], ' ') ELSE 'Company ' || row_number END END AS company, email, phone, website, CASE WHEN known THEN 'PARSED' ELSE 'FAILED' END AS parse_status FROM k""",
     "s08_json": """SELECT s_suppkey AS source_id, r::INTEGER AS row_number, s_name AS company, CASE r WHEN 1 THEN 'a@x.example' END AS email, CASE r WHEN 2 THEN 'Oslo' END AS city, CASE r WHEN 1 THEN 'H1' END AS hall, CASE r WHEN 1 THEN s_suppkey::VARCHAR END AS stall,
   CASE r WHEN 1 THEN 'H1 / ' || s_suppkey END AS address FROM supplier, (SELECT unnest([1, 2]) AS r)""",
+    "s12_company_csv": with_views("lead", f"WITH {leads._NORMAL}, {leads._RESOLVED}, c AS (SELECT row_number, CASE WHEN contains(company, ',') THEN '\"' || company || '\"' ELSE company END AS q, name, coalesce(resolved, '') AS d, resolution, coalesce(source, '') AS s FROM n JOIN resolutions USING (row_number)) SELECT row_number, q || ',' || name || ',,' || d || ',' || resolution || ',' || s || ',,,,,' AS line FROM c"),
+    "p22_quality": f"""WITH t AS (SELECT trim(coalesce(text, ''), ' ') AS x FROM conversations WHERE role = 'assistant'), m AS (SELECT x, lower(x) AS low, greatest(1, len(regexp_extract_all(x, '[^.!?]+[.!?]+(\\s|$)'))) AS sentences, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS words FROM t)
+SELECT CASE WHEN x = '' THEN 'EMPTY' WHEN low = 'no_useful_personalization' THEN 'NO_USEFUL_DATA' WHEN regexp_matches(low, '{_ANY(T.PLACEHOLDERS)}') THEN 'PLACEHOLDER' WHEN regexp_matches(low, '{_ANY(T.CLICHES)}') THEN 'CLICHE' WHEN regexp_matches(low, '{_ANY(T.ASSUMPTIONS)}') THEN 'ASSUMPTION'
+  WHEN sentences > {T.MOST_SENTENCES} THEN 'TOO_MANY_SENTENCES' WHEN words < {T.LEAST_WORDS} THEN 'TOO_SHORT' WHEN words > {T.MOST_WORDS} THEN 'TOO_LONG' ELSE 'OK' END AS outcome, count(*) AS texts FROM m GROUP BY 1""",
+    "f13_phones": f"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), lambda x: trim(x, ' ') <> '') AS lines FROM documents), e AS (SELECT doc_id, unnest(range(len(lines)))::INTEGER AS place, trim(unnest(lines), ' ') AS x FROM l),
+p AS (SELECT doc_id, place, x, {_LED} AS led, {_WITHIN} AS within, {_ABROAD} AS abroad FROM e)
+SELECT doc_id, place, coalesce(CASE WHEN {_DIGITS('led')} BETWEEN 7 AND 15 THEN {_CLEAN('led')} END, CASE WHEN regexp_matches(x, '{T.PHONE_ALONE}') AND ((x LIKE '+%' AND {_DIGITS('x')} BETWEEN 8 AND 15) OR {_DIGITS('x')} BETWEEN 10 AND 13) THEN x END,
+  CASE WHEN {_DIGITS('within')} BETWEEN 7 AND 15 THEN {_CLEAN('within')} END, CASE WHEN {_DIGITS('abroad')} BETWEEN 9 AND 15 THEN abroad END) AS phone FROM p WHERE phone IS NOT NULL""",
     "s13_leads_csv": with_views("lead", f"WITH {leads._NORMAL}, c AS (SELECT row_number, CASE WHEN contains(company, ',') THEN '\"' || company || '\"' ELSE company END AS q, name, coalesce(domain, '') AS d, coalesce(email, '') AS e, coalesce(phone, '') AS p, city, round(completeness * 100)::INTEGER AS s FROM n) SELECT row_number, row_number || ',' || q || ',' || name || ',' || d || ',,,,' || e || ',' || p || ',' || city || ',,,,,,,,,,' || s || '%,' AS line FROM c"),
     "s14_batch_csv": """SELECT s_suppkey, s_name || ',,Ann van ' || s_suppkey || ',Ann,van ' || s_suppkey || ',,,,,,,,,,"Hall: ' || (s_suppkey % 7) || ', Stand #' || s_suppkey || '",,,,,,,,Trade Fair / Expo Directory,' || (s_suppkey % 7) || ',' || s_suppkey || ',,,,,,,,' || s_suppkey || ',,,0%,Missing,' AS line FROM supplier""",
     "s15_contacts_csv": with_views("contact contact_email", """WITH pick AS (SELECT * FROM contact_email QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY is_primary DESC, id) = 1)

@@ -47,11 +47,16 @@ def j12_interval_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.recent_duplicates(mails)
 
 
+#: A made-up now, in the seconds of the made-up times (200 of them for each of theirs), and how far a sync looks back.
+NOW_S, LOOK_BACK_S, LAST_MAILS = 3_000_000, 14 * 86_400, 50
+
+
 def s09_last_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 50 mails of each mailbox."""
-    box = F.col("conv_id") % 5
+    """The last 50 mails of each mailbox within two weeks of a given time."""
+    box, at = F.col("conv_id") % 5, F.col("received_s") * 200
     place = F.row_number().over(Window.partitionBy(box).orderBy(F.desc("received_s"), F.desc("id")))
-    return views.inbound(spark, sf_dir).withColumn("n", place).where("n <= 50").select(box.alias("mailbox"), "id", "n")
+    recent = views.inbound(spark, sf_dir).where(at.between(NOW_S - LOOK_BACK_S, NOW_S))
+    return recent.withColumn("n", place).where(F.col("n") <= LAST_MAILS).select(box.alias("mailbox"), "id", "n")
 
 
 def f18_bounce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +110,7 @@ _KIND = "replace(lower(event_type), 'email.', '')"
 ORACLES = {
     "j10_reply_match": with_views("inbound", "WITH a AS (SELECT * FROM (SELECT id, direction, lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM inbound) WHERE direction = 'INBOUND' AND before IS NOT NULL), s AS (SELECT id, received_s FROM inbound WHERE direction <> 'INBOUND'), h AS (SELECT a.id AS inbound_id, s.id AS message_id, 0 AS rank, received_s FROM a JOIN s ON s.id = a.before UNION ALL SELECT a.id, s.id, 1, received_s FROM a JOIN s ON s.id + 1 = a.before) SELECT inbound_id, message_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY inbound_id ORDER BY rank, received_s DESC, message_id) = 1"),
     "j12_interval_dup": with_views("inbound", f"WITH {_DUP} SELECT * FROM dup"),
-    "s09_last_mails": with_views("inbound", "SELECT conv_id % 5 AS mailbox, id, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY received_s DESC, id DESC)::INTEGER AS n FROM inbound QUALIFY n <= 50"),
+    "s09_last_mails": with_views("inbound", f"SELECT conv_id % 5 AS mailbox, id, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY received_s DESC, id DESC)::INTEGER AS n FROM inbound WHERE received_s * 200 BETWEEN {NOW_S - LOOK_BACK_S} AND {NOW_S} QUALIFY n <= {LAST_MAILS}"),
     "f18_bounce": "SELECT s_suppkey, is_bounce, CASE WHEN NOT is_bounce THEN 'unknown' WHEN s_suppkey % 5 = 0 THEN 'hard' WHEN s_suppkey % 5 = 1 THEN 'soft' ELSE 'unknown' END AS kind, CASE WHEN is_bounce THEN 'contact' || s_suppkey || '@corp.example' END AS target, CASE WHEN is_bounce AND s_suppkey % 5 = 0 THEN '5.1.1' WHEN is_bounce AND s_suppkey % 5 = 1 THEN '4.2.2' END AS code FROM (SELECT s_suppkey, s_suppkey % 3 <> 1 OR s_suppkey % 4 = 0 AS is_bounce FROM supplier)",
     "a28_sync_summary": with_views("inbound", f"WITH {_DUP} SELECT sender % 5 AS mailbox, count(*) AS seen, count(*) FILTER (WHERE is_duplicate) AS duplicates, count(*) FILTER (WHERE subject = 'INBOUND' AND NOT is_duplicate) AS replies FROM dup GROUP BY 1"),
     "st1_dedup": "SELECT DISTINCT event_id // 2 AS provider_event_id FROM events",

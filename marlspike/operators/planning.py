@@ -164,15 +164,30 @@ def w11_latest_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.inbound(spark, sf_dir).groupBy("conv_id").agg(last.alias("l")).select("conv_id", "l.turn", "l.direction", "l.preview")
 
 
-def o03_activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest of four feeds (25, 20, 10, 10 rows), one for each feed, campaign and 5-minute bucket; the newest 8."""
-    e = views.event(spark, sf_dir)
+FEEDS = (("opened", 25), ("clicked", 20), ("replied", 10), ("bounced", 10))
+
+
+def activity_feed(events: DataFrame, most: int = 8) -> DataFrame:
+    """The newest of four feeds (25, 20, 10, 10 rows), one for each feed, campaign and 5-minute bucket; the newest of these."""
     out = None
-    for feed, (kind, size) in enumerate((("opened", 25), ("clicked", 20), ("replied", 10), ("bounced", 10))):
-        top = e.where(F.col("event_type").isin(kind, f"email.{kind}")).orderBy(F.desc("event_at"), F.desc("id")).limit(size).select(F.lit(feed).alias("feed"), F.lit(kind).alias("kind"), "campaign_id", "id", "event_at")
+    for feed, (kind, size) in enumerate(FEEDS):
+        top = events.where(F.col("event_type").isin(kind, f"email.{kind}")).orderBy(F.desc("event_at"), F.desc("id")).limit(size).select(F.lit(feed).alias("feed"), F.lit(kind).alias("kind"), "campaign_id", "id", "event_at")
         out = top if out is None else out.unionByName(top)
     first = F.row_number().over(Window.partitionBy("feed", "campaign_id", C.five_minutes(F.col("event_at"))).orderBy(F.desc("event_at"), F.desc("id")))
-    return out.withColumn("_n", first).where("_n = 1").orderBy(F.desc("event_at"), "feed", F.desc("id")).limit(8).select("kind", "campaign_id", "id", "event_at")
+    return out.withColumn("_n", first).where("_n = 1").orderBy(F.desc("event_at"), "feed", F.desc("id")).limit(most).select("kind", "campaign_id", "id", "event_at")
+
+
+def recent_activity(events: DataFrame, today: str) -> DataFrame:
+    """Today's activity, or that of all time where today has none."""
+    own = activity_feed(events.where(F.col("event_at") >= F.lit(today).cast("timestamp_ntz")))
+    none = own.agg(F.count(F.lit(1)).alias("_there"))
+    return own.unionByName(activity_feed(events).join(F.broadcast(none), F.col("_there") == 0).drop("_there"))
+
+
+def o03_activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds of a day with activity and of one without."""
+    e = views.event(spark, sf_dir)
+    return recent_activity(e, "2024-01-30").withColumn("asked", F.lit("2024-01-30")).unionByName(recent_activity(e, "2024-03-01").withColumn("asked", F.lit("2024-03-01")))
 
 
 def d11_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +254,7 @@ SELECT * EXCLUDE (first), CASE WHEN planned > 0 THEN round(100.0 * sent / planne
     "w08_round_robin": with_views("enrollment", "SELECT user_id, id, contact_id, (n // 5)::INTEGER AS turn, (n % 5)::INTEGER AS place FROM (SELECT contact_id % 4 AS user_id, id, contact_id, row_number() OVER (PARTITION BY contact_id % 4 ORDER BY contact_id, id) - 1 AS n FROM enrollment WHERE status = 'pending')"),
     "w10_references": with_views("inbound", "SELECT id, conv_id, coalesce((SELECT string_agg('<' || e.id || '@mail.example>', ' ' ORDER BY e.turn) FROM inbound e WHERE e.conv_id = i.conv_id AND e.turn < i.turn), '') AS thread_references FROM inbound i WHERE direction = 'OUTBOUND'"),
     "w11_latest_preview": with_views("inbound", "SELECT conv_id, turn, direction, left(body, 60) AS preview FROM inbound QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"),
-    "o03_activity_feed": with_views("event", "WITH k AS (SELECT *, replace(event_type, 'email.', '') AS kind FROM event WHERE event_type <> upper(event_type)), t AS (SELECT *, CASE kind WHEN 'opened' THEN 0 WHEN 'clicked' THEN 1 WHEN 'replied' THEN 2 ELSE 3 END AS feed FROM k WHERE kind IN ('opened', 'clicked', 'replied', 'bounced') QUALIFY row_number() OVER (PARTITION BY kind ORDER BY event_at DESC, id DESC) <= CASE kind WHEN 'opened' THEN 25 WHEN 'clicked' THEN 20 ELSE 10 END), d AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY feed, campaign_id, epoch_ms(event_at) // 300000 ORDER BY event_at DESC, id DESC) = 1) SELECT kind, campaign_id, id, event_at FROM d ORDER BY event_at DESC, feed, id DESC LIMIT 8"),
+    "o03_activity_feed": with_views("event", "WITH " + ", ".join(f"k{n} AS (SELECT *, replace(event_type, 'email.', '') AS kind FROM event WHERE event_type <> upper(event_type) AND event_at >= TIMESTAMP '{since}'), t{n} AS (SELECT *, CASE kind WHEN 'opened' THEN 0 WHEN 'clicked' THEN 1 WHEN 'replied' THEN 2 ELSE 3 END AS feed FROM k{n} WHERE kind IN ('opened', 'clicked', 'replied', 'bounced') QUALIFY row_number() OVER (PARTITION BY kind ORDER BY event_at DESC, id DESC) <= CASE kind WHEN 'opened' THEN 25 WHEN 'clicked' THEN 20 ELSE 10 END), d{n} AS (SELECT * FROM t{n} QUALIFY row_number() OVER (PARTITION BY feed, campaign_id, epoch_ms(event_at) // 300000 ORDER BY event_at DESC, id DESC) = 1), f{n} AS (SELECT kind, campaign_id, id, event_at FROM d{n} ORDER BY event_at DESC, feed, id DESC LIMIT 8)" for n, since in ((0, "1970-01-01"), (1, "2024-01-30"), (2, "2024-03-01"))) + " SELECT *, '2024-01-30' AS asked FROM f1 UNION ALL SELECT *, '2024-01-30' FROM f0 WHERE NOT EXISTS (FROM f1) UNION ALL SELECT *, '2024-03-01' FROM f2 UNION ALL SELECT *, '2024-03-01' FROM f0 WHERE NOT EXISTS (FROM f2)"),
     "d11_reconcile": with_views("message", "SELECT status, CASE WHEN status IN ('sent', 'delivered', 'opened', 'clicked', 'replied', 'bounced') THEN 'ADVANCE' WHEN status IN ('pending', 'queued') THEN CASE WHEN contact_id * 7 % 2000 < 10 THEN 'IN_FLIGHT' ELSE 'STALE_RETRY' END WHEN status = 'failed' THEN CASE WHEN contact_id * 7 % 2000 >= 1440 THEN 'RETRY' ELSE 'WAIT' END ELSE 'SKIP' END AS action, count(*) AS messages FROM message GROUP BY 1, 2"),
     "d10_stop": with_views("enrollment contact contact_email suppression event message", """SELECT CASE WHEN status IN ('replied', 'bounced', 'soft_bounced', 'unsubscribed', 'stopped', 'completed') THEN 'status:' || status WHEN (SELECT do_not_contact FROM contact c WHERE c.id = n.contact_id) THEN 'do_not_contact'
   WHEN contact_id IN (SELECT contact_id FROM contact_email JOIN suppression USING (normalized_email)) THEN 'suppressed' WHEN contact_id IN (SELECT contact_id FROM event WHERE event_type IN ('replied', 'email.replied', 'REPLIED')) THEN 'replied'

@@ -26,7 +26,7 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(k % 3 == 0, ";").when(k % 3 == 1, "\t").otherwise(",")
     lines = [
         F.concat_ws("|", F.lit("Organization"), F.lit("Contact Person"), F.lit("Designation"), F.lit("Work Email"), F.lit("Telephone"), F.lit("HQ City"), F.lit("Website"), F.lit("Notes")),
-        F.concat_ws("|", F.concat(F.lit('"'), "s_name", F.lit(' ""A"", B; C"')), F.lit(" Ann "), F.lit("Head"), F.concat(F.lit("a"), k, F.lit("@x.example")), F.lit(""), F.lit("Oslo"), F.lit(""), F.lit("n")),
+        F.concat_ws("|", F.concat(F.lit('"'), "s_name", F.lit(' ""A"",\nB; C"')), F.lit(" Ann "), F.lit("Head"), F.concat(F.lit("a"), k, F.lit("@x.example")), F.lit(""), F.lit("Oslo"), F.lit(""), F.lit("n")),
         F.lit(""),
         F.concat_ws("|", F.lit(""), F.lit("Bo"), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.concat(F.lit("https://www.site"), k, F.lit(".example/x"))),
         F.concat_ws("|", F.lit(""), F.lit("Nobody"), F.lit(""), F.lit(""), F.lit(""), F.lit("Rome"), F.lit(""), F.lit("x"), F.lit("ragged")),
@@ -258,7 +258,7 @@ _CLEAN = lambda c: f"nullif(trim(regexp_replace({c}, '[^0-9+ \\t\\n\\x0B\\f\\r()
 _LED, _WITHIN = (f"nullif(regexp_extract(x, '{p}', 1), '')" for p in (T.PHONE_LED, T.PHONE_WITHIN))
 _ABROAD = f"trim(nullif(regexp_extract(x, '{T.PHONE_ABROAD}', 1), ''), ' ')"
 ORACLES = {
-    "s03_csv": """SELECT s_suppkey AS source_id, r::INTEGER AS row_number, CASE r WHEN 2 THEN s_name || ' "A", B; C' WHEN 3 THEN 'site' || s_suppkey END AS company, CASE r WHEN 2 THEN 'Ann' WHEN 3 THEN 'Bo' ELSE 'Nobody' END AS contact, CASE r WHEN 2 THEN 'Head' END AS title,
+    "s03_csv": """SELECT s_suppkey AS source_id, r::INTEGER AS row_number, CASE r WHEN 2 THEN s_name || ' "A",' || chr(10) || 'B; C' WHEN 3 THEN 'site' || s_suppkey END AS company, CASE r WHEN 2 THEN 'Ann' WHEN 3 THEN 'Bo' ELSE 'Nobody' END AS contact, CASE r WHEN 2 THEN 'Head' END AS title,
   CASE r WHEN 2 THEN 'a' || s_suppkey || '@x.example' END AS email, NULL::VARCHAR AS phone, CASE r WHEN 2 THEN 'Oslo' WHEN 4 THEN 'Rome' END AS city, CASE r WHEN 3 THEN 'https://www.site' || s_suppkey || '.example/x' END AS website, CASE r WHEN 4 THEN 'FAILED' ELSE 'PARSED' END AS parse_status
   FROM supplier, (SELECT unnest([2, 3, 4]) AS r)""",
     "s06_pasted": f"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), lambda x: trim(x, ' ') <> '') AS lines FROM documents),

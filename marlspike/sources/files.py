@@ -1,7 +1,7 @@
 """Lead rows from uploaded tables, pasted text and JSON payloads, as column expressions over (source_id, content).
 
 A content is one upload (bounded by the upload limit of whoever stores it); its lines become rows at once, so that
-everything behind the split runs line by line in parallel. Line ends inside quoted cells aren't supported.
+everything behind the split runs line by line in parallel.
 """
 
 from __future__ import annotations
@@ -71,6 +71,16 @@ def lines_of(content: Column) -> Column:
     return F.filter(F.split(F.coalesce(content, F.lit("")), r"\r?\n"), lambda line: F.trim(line) != "")
 
 
+#: What stands for the line ends within quoted cells while a table is split into lines.
+_HELD = ("\u0001\u0002", "\n\r")
+
+
+def records_of(content: Column) -> Column:
+    """A table's lines that aren't blank; line ends within quotes are held back until cells() gives them out."""
+    held = F.transform(F.split(F.coalesce(content, F.lit("")), '"', -1), lambda part, i: F.when(i % 2 == 1, F.translate(part, _HELD[1], _HELD[0])).otherwise(part))
+    return lines_of(F.array_join(held, '"'))
+
+
 def delimiter(content: Column) -> Column:
     """The most frequent of comma, tab and semicolon in the first 2,000 characters; a tie is a comma."""
     sample = F.substring(content, 1, 2000)
@@ -87,7 +97,8 @@ def cells(line: Column, mark: Column) -> Column:
         return F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(pattern), F.lit(1))
 
     raw = F.when(mark == "\t", split_at("\t")).when(mark == ";", split_at(";")).otherwise(split_at(","))
-    return F.transform(raw, lambda x: F.trim(F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)))
+    unquoted = lambda x: F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.trim(F.when(x.startswith('"'), F.translate(unquoted(x), *_HELD)).otherwise(x)))
 
 
 def field_of(header: Column) -> Column:
@@ -98,7 +109,7 @@ def field_of(header: Column) -> Column:
 
 def table_rows(sources: DataFrame) -> DataFrame:
     """source_id, row_number (the header is row 1), the lead fields and parse_status (PARSED or FAILED) of delimited contents."""
-    opened = sources.select("source_id", delimiter(F.col("content")).alias("mark"), lines_of(F.col("content")).alias("lines"))
+    opened = sources.select("source_id", delimiter(F.col("content")).alias("mark"), records_of(F.col("content")).alias("lines"))
     headed = opened.where(F.size("lines") > 0).select("source_id", "mark", "lines", F.transform(cells(F.col("lines")[0], F.col("mark")), field_of).alias("fields"))
     rows = headed.select("source_id", "mark", "fields", F.posexplode("lines").alias("pos", "line")).where("pos > 0")
     rows = rows.withColumn("pairs", F.zip_with("fields", cells(F.col("line"), F.col("mark")), lambda f, v: F.struct(f.alias("f"), v.alias("v"))))

@@ -165,22 +165,73 @@ def a23_list_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.unionByName(views.suppression(spark, sf_dir).agg(F.lit("suppression").alias("name"), F.count(F.lit(1)).alias("members")))
 
 
+def bulk_import(rows: DataFrame, known: DataFrame, members: DataFrame) -> DataFrame:
+    """rows (row_number, email, domain, company) with outcome and contact_id (of known contacts): invalid, duplicate (an earlier row
+    has its address, or its contact is on the list, maybe by an earlier row), updated (known, put on the list) or new.
+
+    known: normalized_email, contact_id. members: contact_id of the list that is imported to.
+    """
+    email = F.lower(F.trim("email"))
+    valid = F.coalesce(F.contains(email, F.lit("@")) & F.contains(email, F.lit(".")) & (F.length(email) <= 254), F.lit(False))
+    judged = rows.withColumns({"email": email, "_valid": valid})
+    good = judged.where("_valid").withColumn("_n", F.row_number().over(Window.partitionBy("email").orderBy("row_number")))
+    first = good.where("_n = 1").join(known.groupBy(F.col("normalized_email").alias("email")).agg(F.max("contact_id").alias("contact_id")), "email", "left").join(members.select("contact_id", F.lit(True).alias("_member")).distinct(), "contact_id", "left")
+    # only rows of known contacts are ranked by contact
+    by_contact = F.row_number().over(Window.partitionBy("contact_id").orderBy("row_number"))
+    there = first.where("contact_id is not null").withColumn("outcome", F.when(F.col("_member") | (by_contact > 1), "duplicate").otherwise("updated"))
+    out = there.unionByName(first.where("contact_id is null").withColumn("outcome", F.lit("new")))
+    columns = ["row_number", "email", "domain", "company", "contact_id", "outcome"]
+    other = good.where("_n > 1").withColumn("outcome", F.lit("duplicate")).unionByName(judged.where("not _valid").withColumn("outcome", F.lit("invalid")), allowMissingColumns=True)
+    return out.select(columns).unionByName(other.withColumn("contact_id", F.lit(None).cast("long")).select(columns))
+
+
+def import_writes(outcomes: DataFrame, organizations: DataFrame) -> DataFrame:
+    """target, row_number, name of what an import writes: contacts with their address, list members, and organizations.
+
+    A new row's organization is that of its domain, else that of its company's name, else a new one, which later rows of the
+    same domain or name find. So only the first new row of an unknown domain (or one without a domain) can make one, and it
+    does unless an earlier one made one of its company's name. organizations: domain, name.
+    """
+    new = outcomes.where("outcome = 'new'")
+    keyed = new.where("domain is not null").withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy("row_number"))).where("_n = 1").drop("_n")
+    keyed = keyed.join(organizations.select("domain").distinct(), "domain", "left_anti").select(new.columns)
+    makers = keyed.unionByName(new.where("domain is null and company is not null")).withColumn("name", F.coalesce("company", "domain"))
+    makers = makers.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("row_number"))).where("_n = 1 or company is null")
+    taken = organizations.select(F.col("name").alias("company")).distinct()
+    made = makers.where("company is not null").join(taken, "company", "left_anti").select("row_number", "name").unionByName(makers.where("company is null").select("row_number", "name"))
+    as_target = lambda df, target, name: df.select(F.lit(target).alias("target"), "row_number", F.col(name).alias("name"))
+    parts = [as_target(new, "contact", "email"), as_target(new, "contact_email", "email"), as_target(outcomes.where("outcome in ('new', 'updated')"), "list_member", "email"), as_target(made, "organization", "name")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+#: The list that the import goes to.
+IMPORT_LIST = 3
+
+
 def _import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to import: made from suppliers, some of them known, repeated or without a valid address."""
+    """Rows to import: made from suppliers, some of them known, repeated or without a valid address, domain or company."""
+    from marlspike.functions.templates import import_domain
+
     k = F.col("s_suppkey")
     owner = k % 60
-    email = F.when(k % 13 == 0, "not-an-address").otherwise(F.concat(F.lit("contact"), owner * 3, F.lit("@corp"), (owner * 3) % 97, F.when(k % 2 == 0, ".example").otherwise(".test")))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("row_number"), email.alias("email"))
+    email = F.when(k % 13 == 0, "not-an-address").otherwise(F.concat(F.lit(" Contact"), owner * 3, F.lit("@corp"), (owner * 3) % 97, F.when(k % 2 == 0, ".example").otherwise(".test")))
+    own = F.when(k % 5 == 0, F.concat(F.lit("https://www.Org"), k % 8, F.lit(".example/x")))
+    company = F.when(k % 3 != 0, F.concat(F.lit("Firm "), k % 11))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("row_number"), email.alias("email"), import_domain(own, F.lower(F.trim(email))).alias("domain"), company.alias("company"))
 
 
 def d13_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row's outcome: invalid, duplicate (an earlier row has its address), updated (known) or new."""
-    rows = _import_rows(spark, sf_dir)
-    valid = F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
-    place = F.row_number().over(Window.partitionBy("email").orderBy("row_number"))
-    known = views.contact_email(spark, sf_dir).select(F.col("normalized_email").alias("email")).distinct().withColumn("known", F.lit(True))
-    joined = rows.withColumn("_n", place).join(known, "email", "left")
-    return joined.select("row_number", "email", F.when(~valid, "invalid").when(F.col("_n") > 1, "duplicate").when(F.col("known").isNotNull(), "updated").otherwise("new").alias("outcome"))
+    """Each imported row's outcome."""
+    members = views.list_member(spark, sf_dir).where(F.col("list_id") == IMPORT_LIST)
+    return bulk_import(_import_rows(spark, sf_dir), views.contact_email(spark, sf_dir), members)
+
+
+def d13_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    organizations = spark.range(12).select(F.concat(F.lit("corp"), F.col("id") * 6, F.lit(".test")).alias("domain"), F.concat(F.lit("Firm "), F.col("id") * 4).alias("name"))
+    return import_writes(d13_import(spark, sf_dir), organizations)
 
 
 def a24_import_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +288,7 @@ def o04_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.orderBy("next_at", "id").limit(5).select("id", "next_at")
 
 
-QUERIES = {f.__name__: f for f in (t01_audience_union, t02_audience_diff, t05_reply_union, j07_suppression_anti, j20_rule_members, p04_contact_search, p09_some_child, p10_no_child, p12_is_sent, p13_due, w03_primary_pick, d05_exclusion, a19_preflight, a22_personalization, a23_list_cards, d13_import, a24_import_stats, s17_insert_ignore, s18_upsert, s19_cascade, s20_copy, f25_suppression_input, o01_page, o04_upcoming)}
+QUERIES = {f.__name__: f for f in (t01_audience_union, t02_audience_diff, t05_reply_union, j07_suppression_anti, j20_rule_members, p04_contact_search, p09_some_child, p10_no_child, p12_is_sent, p13_due, w03_primary_pick, d05_exclusion, a19_preflight, a22_personalization, a23_list_cards, d13_import, d13_writes, a24_import_stats, s17_insert_ignore, s18_upsert, s19_cascade, s20_copy, f25_suppression_input, o01_page, o04_upcoming)}
 
 _PRIMARY = "pick AS (SELECT * FROM contact_email QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY is_primary DESC, id) = 1)"
 _AUDIENCE = "audience AS (SELECT DISTINCT contact_id FROM list_member WHERE list_id IN (0, 3))"
@@ -247,9 +298,11 @@ j AS (SELECT a.contact_id, p.normalized_email, suppression, CASE WHEN do_not_con
   WHEN verification = 'invalid' THEN 'invalid_status' WHEN bounce_count >= 2 THEN 'hard_bounce' WHEN bounce_count > 0 THEN 'soft_bounce' END AS early
   FROM audience a LEFT JOIN contact c ON c.id = a.contact_id LEFT JOIN pick p ON p.contact_id = a.contact_id LEFT JOIN own ON own.normalized_email = p.normalized_email),
 excluded AS (SELECT contact_id, normalized_email, coalesce(early, CASE WHEN EXISTS (SELECT 1 FROM j k WHERE k.early IS NULL AND k.normalized_email = j.normalized_email AND k.contact_id < j.contact_id) THEN 'duplicate' END, 'suppressed:' || suppression) AS reason FROM j)"""
-_IMPORT = """WITH n AS (SELECT s_suppkey AS row_number, CASE WHEN s_suppkey % 13 = 0 THEN 'not-an-address' ELSE 'contact' || (s_suppkey % 60 * 3) || '@corp' || ((s_suppkey % 60 * 3) % 97) || CASE WHEN s_suppkey % 2 = 0 THEN '.example' ELSE '.test' END END AS email FROM supplier),
-outcomes AS (SELECT row_number, email, CASE WHEN NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') THEN 'invalid' WHEN EXISTS (SELECT 1 FROM n m WHERE m.email = n.email AND m.row_number < n.row_number) THEN 'duplicate'
-  WHEN email IN (SELECT normalized_email FROM contact_email) THEN 'updated' ELSE 'new' END AS outcome FROM n)"""
+_IMPORT = """WITH i AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 13 = 0 THEN 'not-an-address' ELSE 'contact' || (s_suppkey % 60 * 3) || '@corp' || ((s_suppkey % 60 * 3) % 97) || CASE WHEN s_suppkey % 2 = 0 THEN '.example' ELSE '.test' END END AS email,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'org' || (s_suppkey % 8) || '.example' WHEN s_suppkey % 13 <> 0 THEN 'corp' || ((s_suppkey % 60 * 3) % 97) || CASE WHEN s_suppkey % 2 = 0 THEN '.example' ELSE '.test' END END AS domain, CASE WHEN s_suppkey % 3 <> 0 THEN 'Firm ' || (s_suppkey % 11) END AS company FROM supplier),
+f AS (SELECT *, email NOT LIKE '%@%.%' AS bad, row_number() OVER (PARTITION BY email ORDER BY k) AS n, (SELECT max(contact_id) FROM contact_email e WHERE e.normalized_email = i.email) AS found FROM i),
+g AS (SELECT *, row_number() OVER (PARTITION BY found ORDER BY k) AS m, found IN (SELECT contact_id FROM list_member WHERE list_id = 3) AS member FROM f WHERE NOT bad AND n = 1),
+outcomes AS (SELECT f.k AS row_number, f.email, f.domain, f.company, g.found AS contact_id, CASE WHEN f.bad THEN 'invalid' WHEN g.k IS NULL THEN 'duplicate' WHEN g.found IS NULL THEN 'new' WHEN g.member OR g.m > 1 THEN 'duplicate' ELSE 'updated' END AS outcome FROM f LEFT JOIN g ON g.k = f.k)"""
 _TEXT = "corp7.ex"
 ORACLES = {
     "t01_audience_union": with_views("list_member", "SELECT DISTINCT contact_id FROM list_member WHERE list_id = 0 OR list_id = 3"),
@@ -267,8 +320,12 @@ ORACLES = {
     "a19_preflight": with_views("contact contact_email suppression list_member", _EXCLUDED + " SELECT coalesce(split_part(reason, ':', 1), 'eligible') AS outcome, count(*) AS members FROM excluded GROUP BY 1"),
     "a22_personalization": with_views("list_member", "SELECT list_id, count(*) AS total, count(*) FILTER (WHERE p = 'failed') AS failed, count(*) FILTER (WHERE p = 'completed') AS completed, count(*) FILTER (WHERE p = 'processing') AS processing, count(*) FILTER (WHERE p = 'queued') AS queued, count(*) FILTER (WHERE p = 'missing') AS missing FROM (SELECT list_id, CASE WHEN contact_id % 11 = 0 THEN 'failed' WHEN contact_id % 5 = 0 THEN 'completed' WHEN contact_id % 7 = 0 THEN 'processing' WHEN contact_id % 3 = 0 THEN 'queued' ELSE 'missing' END AS p FROM list_member) GROUP BY 1"),
     "a23_list_cards": with_views("list_member suppression", "SELECT 'list-' || list_id AS name, count(*) AS members FROM list_member GROUP BY 1 UNION ALL SELECT 'suppression', count(*) FROM suppression"),
-    "d13_import": with_views("contact_email", _IMPORT + " SELECT * FROM outcomes"),
-    "a24_import_stats": with_views("contact_email", _IMPORT + " SELECT outcome, count(*) AS n_rows FROM outcomes GROUP BY 1"),
+    "d13_import": with_views("contact_email list_member", _IMPORT + " SELECT * FROM outcomes"),
+    "d13_writes": with_views("contact_email list_member", _IMPORT + """, orgs AS (SELECT 'corp' || (i * 6) || '.test' AS domain, 'Firm ' || (i * 4) AS name FROM (SELECT unnest(range(12)) AS i)),
+c AS (SELECT *, coalesce(company, domain) AS name FROM outcomes o WHERE outcome = 'new' AND CASE WHEN domain IS NULL THEN company IS NOT NULL ELSE domain NOT IN (SELECT domain FROM orgs) AND NOT EXISTS (SELECT 1 FROM outcomes p WHERE p.outcome = 'new' AND p.domain = o.domain AND p.row_number < o.row_number) END)
+SELECT 'contact' AS target, row_number, email AS name FROM outcomes WHERE outcome = 'new' UNION ALL SELECT 'contact_email', row_number, email FROM outcomes WHERE outcome = 'new' UNION ALL SELECT 'list_member', row_number, email FROM outcomes WHERE outcome IN ('new', 'updated')
+UNION ALL SELECT 'organization', row_number, name FROM c WHERE company IS NULL OR (company NOT IN (SELECT name FROM orgs) AND NOT EXISTS (SELECT 1 FROM c d WHERE d.name = c.name AND d.row_number < c.row_number))"""),
+    "a24_import_stats": with_views("contact_email list_member", _IMPORT + " SELECT outcome, count(*) AS n_rows FROM outcomes GROUP BY 1"),
     "s17_insert_ignore": with_views("list_member enrollment", "SELECT campaign_id, contact_id, status FROM enrollment WHERE campaign_id = 2 UNION ALL SELECT 2, contact_id, 'pending' FROM (SELECT DISTINCT contact_id FROM list_member WHERE list_id IN (0, 3)) WHERE contact_id NOT IN (SELECT contact_id FROM enrollment WHERE campaign_id = 2)"),
     "s18_upsert": with_views("contact_email suppression", "SELECT normalized_email, reason, at_ AS at FROM (SELECT normalized_email, reason, 1 AS at_, 0 AS new_ FROM suppression UNION ALL SELECT normalized_email, 'hard_bounce', max(bounce_count), 1 FROM contact_email WHERE bounce_count > 0 GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY normalized_email ORDER BY at_ DESC, new_ DESC) = 1").replace("at_ AS at", 'at_ AS "at"'),
     "s19_cascade": with_views("contact contact_email list_member enrollment message event", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t} WHERE {c} NOT IN (SELECT id FROM contact WHERE id % 7 = 0)" for t, c in (("contact", "id"), ("contact_email", "contact_id"), ("list_member", "contact_id"), ("enrollment", "contact_id"), ("message", "contact_id"), ("event", "contact_id")))),

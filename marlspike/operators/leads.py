@@ -261,6 +261,20 @@ ORACLES = {
     "a27_ingest": with_views("lead", _TIERS + " SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'DUPLICATE') AS valid, count(*) FILTER (WHERE status = 'DUPLICATE') AS duplicate, count(*) FILTER (WHERE status = 'POSSIBLE_DUPLICATE') AS possible FROM matched"),
     "f09_dice": with_views("lead", """WITH t AS (SELECT row_number AS r, lower(replace(company, ' ', '')) AS t FROM lead), g AS (SELECT r, bg, count(*) AS c FROM (SELECT r, substr(t, unnest(range(1, length(t)))::INTEGER, 2) AS bg FROM t) GROUP BY 1, 2),
 s AS (SELECT a.r, sum(least(a.c, b.c)) AS n FROM g a JOIN g b ON b.r = a.r + 7 AND b.bg = a.bg GROUP BY 1) SELECT a.r AS row_number, round(CASE WHEN a.t = b.t THEN 1 ELSE 2.0 * coalesce(n, 0) / (length(a.t) + length(b.t) - 2) END, 6)::DOUBLE AS likeness FROM t a JOIN t b ON b.r = a.r + 7 LEFT JOIN s ON s.r = a.r"""),
+    # one row after the other for the keys, then phones and names of those that were kept
+    "d03_dedupe_batch": with_views("lead", f"WITH {_NORMAL}," + """
+ks AS (SELECT row_number, row_number() OVER (ORDER BY row_number) AS k, list_filter([CASE WHEN length(domain) > 3 THEN 'd' || user_id || domain END, CASE WHEN contains(email, '@') THEN 'e' || user_id || email END, CASE WHEN length(name) >= 3 AND length(city) >= 2 THEN 'n' || user_id || name || '|' || city END], lambda x: x IS NOT NULL) AS keys FROM n),
+fold AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS row_number, []::VARCHAR[] AS seen, []::BIGINT[] AS owner, NULL::BIGINT AS match
+  UNION ALL SELECT k, row_number, CASE WHEN hit IS NULL THEN list_concat(seen, keys) ELSE seen END, CASE WHEN hit IS NULL THEN list_concat(owner, list_transform(keys, lambda x: row_number)) ELSE owner END, hit
+  FROM (SELECT s.*, fold.seen, fold.owner, list_min(list_transform(s.keys, lambda x: fold.owner[list_position(fold.seen, x)])) AS hit FROM fold JOIN ks s ON s.k = fold.k + 1)),
+a AS (SELECT * FROM n WHERE row_number IN (SELECT row_number FROM fold WHERE match IS NULL AND k > 0)),
+first AS (SELECT user_id, left(name, 3) AS block, name, row_number AS r FROM a QUALIFY row_number() OVER (PARTITION BY user_id, left(name, 3) ORDER BY row_number) <= 50),
+g AS (SELECT s, count(*) AS c, bg FROM (SELECT s, substr(t, i::INTEGER, 2) AS bg FROM (SELECT DISTINCT s, t, unnest(range(1, length(t))) AS i FROM (SELECT name AS s, replace(name, ' ', '') AS t FROM a))) GROUP BY ALL),
+likeness AS (SELECT q.user_id, q.name, f.r, CASE WHEN replace(q.name, ' ', '') = replace(f.name, ' ', '') THEN 1.0 ELSE 2.0 * coalesce((SELECT sum(least(x.c, y.c)) FROM g x JOIN g y USING (bg) WHERE x.s = q.name AND y.s = f.name), 0) / (length(replace(q.name, ' ', '')) + length(replace(f.name, ' ', '')) - 2) END AS alike
+  FROM (SELECT DISTINCT user_id, name FROM a WHERE length(name) >= 4) q JOIN first f ON f.user_id = q.user_id AND f.block = left(q.name, 3)),
+m AS (SELECT a.row_number, (SELECT min(b.row_number) FROM a b WHERE b.user_id = a.user_id AND b.phone = a.phone) AS by_phone, (SELECT min(r) FROM likeness l WHERE l.user_id = a.user_id AND l.name = a.name AND alike >= 0.88) AS by_name FROM a),
+e AS (SELECT row_number, coalesce(CASE WHEN by_phone < row_number THEN by_phone END, CASE WHEN by_name < row_number THEN by_name END) AS match FROM m)
+SELECT row_number, CASE WHEN match IS NULL THEN 'UNIQUE' ELSE 'POSSIBLE_DUPLICATE' END AS status, match FROM e UNION ALL SELECT row_number, 'DUPLICATE', match FROM fold WHERE match IS NOT NULL""").replace("WITH lead AS", "WITH RECURSIVE lead AS", 1),
     "d04_resolve": with_views("lead", f"WITH {_NORMAL}, {_RESOLVED} SELECT * FROM resolutions"),
     "d15_rerun_guard": with_views("lead", f"WITH {_NORMAL}, o AS (SELECT * FROM n WHERE row_number < 100), f AS (SELECT * FROM n WHERE row_number >= 100 AND name NOT IN (SELECT name FROM o) AND (domain IS NULL OR domain NOT IN (SELECT domain FROM o WHERE domain IS NOT NULL))) SELECT row_number FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.row_number < f.row_number AND (g.name = f.name OR g.domain = f.domain))"),
     "d14_merge": with_views("lead", f"WITH {_NORMAL} SELECT a.row_number, coalesce(a.domain, b.domain) AS domain, coalesce(a.email, b.email) AS email, coalesce(a.phone, b.phone) AS phone FROM n a LEFT JOIN n b ON b.row_number = a.row_number + 1 WHERE a.row_number % 2 = 0"),

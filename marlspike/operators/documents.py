@@ -269,6 +269,10 @@ SELECT source_id, row_number, CASE WHEN known THEN CASE WHEN trim(parts[1], ' ')
     "s08_json": """SELECT s_suppkey AS source_id, r::INTEGER AS row_number, s_name AS company, CASE r WHEN 1 THEN 'a@x.example' END AS email, CASE r WHEN 2 THEN 'Oslo' END AS city, CASE r WHEN 1 THEN 'H1' END AS hall, CASE r WHEN 1 THEN s_suppkey::VARCHAR END AS stall,
   CASE r WHEN 1 THEN 'H1 / ' || s_suppkey END AS address FROM supplier, (SELECT unnest([1, 2]) AS r)""",
     "s12_company_csv": with_views("lead", f"WITH {leads._NORMAL}, {leads._RESOLVED}, c AS (SELECT row_number, CASE WHEN contains(company, ',') THEN '\"' || company || '\"' ELSE company END AS q, name, coalesce(resolved, '') AS d, resolution, coalesce(source, '') AS s FROM n JOIN resolutions USING (row_number)) SELECT row_number, q || ',' || name || ',,' || d || ',' || resolution || ',' || s || ',,,,,' AS line FROM c"),
+    "u06_research": """WITH h AS (SELECT page_id, left(coalesce(html, ''), 50000) AS head FROM pages),
+d AS (SELECT page_id, trim(replace(replace(replace(trim(coalesce(nullif(regexp_extract(head, '(?is)<meta\\s+(?:name=["'']description["'']|property=["'']og:description["''])\\s+content=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(head, '(?is)<meta\\s+content=["'']([^"'']+)["'']\\s+(?:name=["'']description["'']|property=["'']og:description["''])', 1), '')), ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), ' ') AS s,
+  trim(replace(nullif(regexp_extract(head, '(?i)<title>([^<]+)</title>', 1), ''), '&amp;', '&'), ' ') AS name, list_filter(list_transform(regexp_extract_all(head, '(?i)<h[12][^>]*>([^<]+)</h[12]>', 1), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), lambda x: length(x) BETWEEN 6 AND 99)[1:3] AS hs FROM h)
+SELECT page_id, CASE WHEN length(s) BETWEEN 11 AND 349 THEN s END AS summary, CASE WHEN NOT regexp_matches(lower(name), 'just a moment|403') THEN name END AS site_title, array_to_string(hs, '; ') AS headings FROM d""",
     "p22_quality": f"""WITH t AS (SELECT trim(coalesce(text, ''), ' ') AS x FROM conversations WHERE role = 'assistant'), m AS (SELECT x, lower(x) AS low, greatest(1, len(regexp_extract_all(x, '[^.!?]+[.!?]+(\\s|$)'))) AS sentences, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS words FROM t)
 SELECT CASE WHEN x = '' THEN 'EMPTY' WHEN low = 'no_useful_personalization' THEN 'NO_USEFUL_DATA' WHEN regexp_matches(low, '{_ANY(T.PLACEHOLDERS)}') THEN 'PLACEHOLDER' WHEN regexp_matches(low, '{_ANY(T.CLICHES)}') THEN 'CLICHE' WHEN regexp_matches(low, '{_ANY(T.ASSUMPTIONS)}') THEN 'ASSUMPTION'
   WHEN sentences > {T.MOST_SENTENCES} THEN 'TOO_MANY_SENTENCES' WHEN words < {T.LEAST_WORDS} THEN 'TOO_SHORT' WHEN words > {T.MOST_WORDS} THEN 'TOO_LONG' ELSE 'OK' END AS outcome, count(*) AS texts FROM m GROUP BY 1""",

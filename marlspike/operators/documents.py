@@ -76,7 +76,7 @@ def u06_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u09_site_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lead for each page: the title up to the first separator, else its domain; first address and phone."""
-    f = G.facts(_pages(spark, sf_dir), F.get(G.phones(F.coalesce("html", F.lit(""))), F.lit(0)).alias("phone"))
+    f = G.facts(_pages(spark, sf_dir), X.phone(F.get(G.phones(F.coalesce("html", F.lit(""))), F.lit(0))).alias("phone"))
     name = F.nullif(F.trim(F.split("title", r" - | \| |: ")[0]), F.lit(""))
     first = lambda c: F.nullif(F.split(c, " ")[0], F.lit(""))
     return f.select("page_id", F.coalesce(name, X.domain(F.col("url"))).alias("company"), X.domain(F.col("url")).alias("domain"), first("emails").alias("email"), "phone")
@@ -255,6 +255,8 @@ _KIND = lambda k: f"first_{k}_at, last_{k}_at, {k}_count"
 _ANY = lambda values: "|".join(__import__("re").escape(v).replace("\\ ", " ").replace("\\'", "'").replace("'", "''") for v in values)
 _DIGITS = lambda c: f"length(regexp_replace({c}, '[^0-9]', '', 'g'))"
 _CLEAN = lambda c: f"nullif(trim(regexp_replace({c}, '[^0-9+ \\t\\n\\x0B\\f\\r().-]', '', 'g'), ' '), '')"
+_BARE = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+_SILENT = "|".join(f"<{b}\\b[^>]*>.*?</{b}>" for b in G.SILENT)
 _LED, _WITHIN = (f"nullif(regexp_extract(x, '{p}', 1), '')" for p in (T.PHONE_LED, T.PHONE_WITHIN))
 _ABROAD = f"trim(nullif(regexp_extract(x, '{T.PHONE_ABROAD}', 1), ''), ' ')"
 ORACLES = {
@@ -273,6 +275,11 @@ SELECT source_id, row_number, CASE WHEN known THEN CASE WHEN trim(parts[1], ' ')
 d AS (SELECT page_id, trim(replace(replace(replace(trim(coalesce(nullif(regexp_extract(head, '(?is)<meta\\s+(?:name=["'']description["'']|property=["'']og:description["''])\\s+content=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(head, '(?is)<meta\\s+content=["'']([^"'']+)["'']\\s+(?:name=["'']description["'']|property=["'']og:description["''])', 1), '')), ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), ' ') AS s,
   trim(replace(nullif(regexp_extract(head, '(?i)<title>([^<]+)</title>', 1), ''), '&amp;', '&'), ' ') AS name, list_filter(list_transform(regexp_extract_all(head, '(?i)<h[12][^>]*>([^<]+)</h[12]>', 1), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), lambda x: length(x) BETWEEN 6 AND 99)[1:3] AS hs FROM h)
 SELECT page_id, CASE WHEN length(s) BETWEEN 11 AND 349 THEN s END AS summary, CASE WHEN NOT regexp_matches(lower(name), 'just a moment|403') THEN name END AS site_title, array_to_string(hs, '; ') AS headings FROM d""",
+    "u09_site_lead": f"""WITH b AS (SELECT page_id, url, coalesce(html, '') AS h, regexp_replace(coalesce(html, ''), '(?is){_SILENT}', ' ', 'g') AS c FROM pages),
+t AS (SELECT page_id, coalesce(nullif({_BARE("regexp_extract(c, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")}, ''), nullif({_BARE("regexp_extract(c, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")}, ''), '') AS title, nullif(regexp_extract(lower(url), '^https?://(?:www\\.)?([^/:?#]+[.][^/:?#]+)', 1), '') AS domain,
+  list_filter(list_transform(regexp_extract_all(h, '{_EMAIL}'), lambda x: trim(x, ' ')), lambda x: NOT regexp_matches(x, '\\.(png|jpg|gif|svg)$'))[1] AS email, list_filter(list_transform(regexp_extract_all(h, '{_PHONE}'), lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 8 AND 20)[1] AS call FROM b),
+p AS (SELECT *, CASE WHEN call LIKE '+%' THEN '+' ELSE '' END || regexp_replace(call, '[^0-9]', '', 'g') AS phone FROM t)
+SELECT page_id, coalesce(nullif(trim(regexp_split_to_array(title, ' - | \\| |: ')[1], ' '), ''), domain) AS company, domain, email, CASE WHEN regexp_full_match(phone, '[+]?[0-9]{{7,15}}') THEN phone END AS phone FROM p""",
     "p22_quality": f"""WITH t AS (SELECT trim(coalesce(text, ''), ' ') AS x FROM conversations WHERE role = 'assistant'), m AS (SELECT x, lower(x) AS low, greatest(1, len(regexp_extract_all(x, '[^.!?]+[.!?]+(\\s|$)'))) AS sentences, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS words FROM t)
 SELECT CASE WHEN x = '' THEN 'EMPTY' WHEN low = 'no_useful_personalization' THEN 'NO_USEFUL_DATA' WHEN regexp_matches(low, '{_ANY(T.PLACEHOLDERS)}') THEN 'PLACEHOLDER' WHEN regexp_matches(low, '{_ANY(T.CLICHES)}') THEN 'CLICHE' WHEN regexp_matches(low, '{_ANY(T.ASSUMPTIONS)}') THEN 'ASSUMPTION'
   WHEN sentences > {T.MOST_SENTENCES} THEN 'TOO_MANY_SENTENCES' WHEN words < {T.LEAST_WORDS} THEN 'TOO_SHORT' WHEN words > {T.MOST_WORDS} THEN 'TOO_LONG' ELSE 'OK' END AS outcome, count(*) AS texts FROM m GROUP BY 1""",

@@ -10,7 +10,7 @@ from marlspike.operators import analytics, audience, documents, inbox, leads, ma
 
 MODULES: list = [analytics, audience, planning, leads, mail, documents, inbox, rules]
 #: Queries whose rules SQL restates no better than they do: tested by golden vectors and loops.
-TESTED_BY_VECTORS = ("u01_page_class", "u02_entries", "u05_page_facts", "s11_engagement_csv")
+TESTED_BY_VECTORS = ("u01_page_class", "u02_entries", "u05_page_facts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

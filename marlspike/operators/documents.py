@@ -251,7 +251,6 @@ _STEPS = """steps AS (SELECT s_suppkey AS id, s_suppkey % 3 AS step, CASE WHEN s
 _ISO = lambda c: f"coalesce(strftime({c}, '%Y-%m-%dT%H:%M:%S.') || lpad((millisecond({c}) % 1000)::VARCHAR, 3, '0') || 'Z', '')"
 _BOXES = "boxes AS (SELECT i, 'box-' || i AS mailbox_id, 10 + i * 5 AS hourly, 100 + i * 50 AS daily, i * 40 AS sent_today, i <> 3 AS connected FROM (SELECT unnest(range(7)) AS i)), refs AS (SELECT k AS campaign_id, i AS box, min(p) AS position FROM (SELECT unnest(range(5)) AS k) c, (SELECT unnest([0, 1, 2]) AS p) q JOIN boxes ON i = CASE p WHEN 1 THEN (k + 2) % 7 ELSE k END GROUP BY 1, 2)"
 _EMAIL, _PHONE, _SITE = S.EMAIL, S.PHONE, S.SITE
-_KIND = lambda k: f"first_{k}_at, last_{k}_at, {k}_count"
 _ANY = lambda values: "|".join(__import__("re").escape(v).replace("\\ ", " ").replace("\\'", "'").replace("'", "''") for v in values)
 _DIGITS = lambda c: f"length(regexp_replace({c}, '[^0-9]', '', 'g'))"
 _CLEAN = lambda c: f"nullif(trim(regexp_replace({c}, '[^0-9+ \\t\\n\\x0B\\f\\r().-]', '', 'g'), ' '), '')"
@@ -270,6 +269,9 @@ k AS (SELECT *, coalesce(email, phone, website) IS NOT NULL OR len(parts) > 1 AS
 SELECT source_id, row_number, CASE WHEN known THEN CASE WHEN trim(parts[1], ' ') <> '' AND length(trim(parts[1], ' ')) < 80 THEN trim(parts[1], ' ') ELSE 'Company ' || row_number END END AS company, email, phone, website, CASE WHEN known THEN 'PARSED' ELSE 'FAILED' END AS parse_status FROM k""",
     "s08_json": """SELECT s_suppkey AS source_id, r::INTEGER AS row_number, s_name AS company, CASE r WHEN 1 THEN 'a@x.example' END AS email, CASE r WHEN 2 THEN 'Oslo' END AS city, CASE r WHEN 1 THEN 'H1' END AS hall, CASE r WHEN 1 THEN s_suppkey::VARCHAR END AS stall,
   CASE r WHEN 1 THEN 'H1 / ' || s_suppkey END AS address FROM supplier, (SELECT unnest([1, 2]) AS r)""",
+    "s11_engagement_csv": f"""SELECT a.id, concat_ws(',', coalesce(c.full_name, ''), coalesce(p.email, ''), coalesce(c.industry, ''), 'Campaign ' || a.campaign_id, 'Step ' || a.current_step, {_ISO('a.last_sent_at')}, {_ISO('a.last_sent_at')}, {", ".join(f"CASE WHEN {k}_count > 0 THEN 'YES' ELSE 'NO' END, {k}_count, {_ISO(f'first_{k}_at')}, {_ISO(f'last_{k}_at')}" for k in ("opened", "clicked", "replied"))},
+  CASE WHEN engagement_status = 'BOUNCED' THEN 'BOUNCED' ELSE 'NONE' END, CASE WHEN engagement_status = 'UNSUBSCRIBED' THEN 'UNSUBSCRIBED' ELSE 'ACTIVE' END, {_ISO('a.last_activity_at')}) AS line
+FROM ({analytics.ORACLES["a06_contact_engagement"]}) a LEFT JOIN ({views.VIEWS["contact"]}) c ON c.id = a.contact_id LEFT JOIN (SELECT * FROM ({views.VIEWS["contact_email"]}) QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY is_primary DESC, id) = 1) p ON p.contact_id = a.contact_id""",
     "s12_company_csv": with_views("lead", f"WITH {leads._NORMAL}, {leads._RESOLVED}, c AS (SELECT row_number, CASE WHEN contains(company, ',') THEN '\"' || company || '\"' ELSE company END AS q, name, coalesce(resolved, '') AS d, resolution, coalesce(source, '') AS s FROM n JOIN resolutions USING (row_number)) SELECT row_number, q || ',' || name || ',,' || d || ',' || resolution || ',' || s || ',,,,,' AS line FROM c"),
     "u06_research": """WITH h AS (SELECT page_id, left(coalesce(html, ''), 50000) AS head FROM pages),
 d AS (SELECT page_id, trim(replace(replace(replace(trim(coalesce(nullif(regexp_extract(head, '(?is)<meta\\s+(?:name=["'']description["'']|property=["'']og:description["''])\\s+content=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(head, '(?is)<meta\\s+content=["'']([^"'']+)["'']\\s+(?:name=["'']description["'']|property=["'']og:description["''])', 1), '')), ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), ' ') AS s,

@@ -78,4 +78,20 @@ FROM documents_ LEFT JOIN base USING (r) LEFT JOIN found USING (r)
 """
 
 
-SQL: dict[str, str] = {"op4_warc": WARC, "op6_host_rules": HOST_RULES, "op8_licenses": _licenses()}
+SUBSTRINGS = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS w FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM base WHERE len(words) >= 50)
+), owners AS (
+  SELECT w, min(doc_id) AS owner FROM windows GROUP BY w
+), lost AS (
+  SELECT r, list_distinct(flatten(list(range(i, i + 50)))) AS places FROM windows JOIN owners USING (w) WHERE doc_id > owner GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)))) END, ' ')) AS kept_sha256
+FROM base LEFT JOIN lost USING (r)
+"""
+
+
+SQL: dict[str, str] = {"op4_warc": WARC, "op6_host_rules": HOST_RULES, "op8_licenses": _licenses(), "op11_substrings": SUBSTRINGS}

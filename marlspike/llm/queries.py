@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm import bpe, host_rules, licenses, mixing, ngram_lm, oracles, simhash, syncmers, token_edits, toxicity, warc
+from marlspike.llm import bpe, host_rules, licenses, mixing, ngram_lm, oracles, simhash, substrings, syncmers, token_edits, toxicity, warc
 from marlspike.llm.common import crc_mod, documents, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -83,8 +83,13 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_syncmers, op3_byte_bpe, op4_warc, op5_mixing, op6_host_rules, op7_simhash, op8_licenses, op9_token_edits, op10_ngram_lm)
+    found = (op1_toxicity, op2_syncmers, op3_byte_bpe, op4_warc, op5_mixing, op6_host_rules, op7_simhash, op8_licenses, op9_token_edits, op10_ngram_lm, op11_substrings)
     return {f.__name__: f for f in found}
 
 

@@ -12,6 +12,7 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+UNCHANGED = np.arange(256, dtype=np.uint8)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -59,14 +60,14 @@ def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words, in order, and n + 1 offsets of each row's words.
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word and the byte behind it, in order.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D; rows are limits too.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~SPACE[data]
     limits = offsets[1:-1]
     limits = limits[(limits > 0) & (limits < n)]
@@ -76,12 +77,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop = inside.copy()
     stop[:-1] &= ~inside[1:]
     stop[limits - 1] = inside[limits - 1]
-    first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hashes of the words at first to last, each byte replaced by fold[byte]."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64)
     powers, inverses = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    hashes = (sums[last] - sums[first]) * inverses[first]
-    return mix(hashes), np.searchsorted(first, offsets).astype(np.int64)
+    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    return mix((sums[last] - sums[first]) * inverses[first])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words, in order, and n + 1 offsets of each row's words."""
+    first, last = word_spans(data, offsets)
+    return span_hashes(data, first, last), np.searchsorted(first, offsets).astype(np.int64)
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:

@@ -94,4 +94,53 @@ FROM base LEFT JOIN lost USING (r)
 """
 
 
-SQL: dict[str, str] = {"op4_warc": WARC, "op6_host_rules": HOST_RULES, "op8_licenses": _licenses(), "op11_substrings": SUBSTRINGS}
+# components are whole numbers in doubles, so that sums are exact
+NEGATIVES = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (
+  SELECT * FROM vectors WHERE vec_id % 100 = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score FROM anchors a, vectors v
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
+
+# crc32 bit by bit; a prefix is named by the digest of its turns' digests
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, length(coalesce(text, '')) AS len FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, k, turn, len FROM convs c JOIN own ON own.conv_id = c.base AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, turn, len FROM convs c JOIN own ON own.conv_id = c.conv_id AND k > h
+), placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, len, md5(string_agg(turn, ',') OVER w) AS prefix, lag(1) OVER (PARTITION BY conv_id ORDER BY part DESC, k DESC) IS NULL AS is_last
+  FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+), members AS (
+  SELECT conv_id, depth, len, prefix, coalesce(lag(prefix) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent, is_last FROM placed
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL, NOT EXISTS (SELECT 1 FROM placed p WHERE p.conv_id = convs.conv_id) FROM convs
+), nodes AS (
+  SELECT prefix, any_value(depth) AS depth, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * any_value(len) AS saved,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE is_last), '')) AS ends_sha256 FROM members GROUP BY prefix
+), children AS (
+  SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT top, count(*) FILTER (WHERE n IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT DISTINCT a.prefix AS top, b.prefix AS prefix FROM members a JOIN members b ON a.conv_id = b.conv_id AND b.depth >= a.depth) JOIN nodes USING (prefix) LEFT JOIN children ON children.parent = nodes.prefix GROUP BY top
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.top = n.prefix LEFT JOIN nodes p ON p.prefix = n.parent LEFT JOIN children c ON c.parent = n.prefix
+"""
+
+
+SQL: dict[str, str] = {"op4_warc": WARC, "op6_host_rules": HOST_RULES, "op8_licenses": _licenses(), "op11_substrings": SUBSTRINGS, "op12_negatives": NEGATIVES, "op13_prefix_trie": PREFIX_TRIE}

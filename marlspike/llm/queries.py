@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm import bpe, host_rules, licenses, mixing, ngram_lm, oracles, simhash, substrings, syncmers, token_edits, toxicity, warc
+from marlspike.llm import bpe, host_rules, licenses, mixing, negatives, ngram_lm, oracles, prefix_trie, simhash, substrings, syncmers, token_edits, toxicity, warc
 from marlspike.llm.common import crc_mod, documents, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -88,8 +88,19 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0, label=label)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = prefix_trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    nodes = prefix_trie.nodes(prefix_trie.rebuilt(found))
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_syncmers, op3_byte_bpe, op4_warc, op5_mixing, op6_host_rules, op7_simhash, op8_licenses, op9_token_edits, op10_ngram_lm, op11_substrings)
+    found = (op1_toxicity, op2_syncmers, op3_byte_bpe, op4_warc, op5_mixing, op6_host_rules, op7_simhash, op8_licenses, op9_token_edits, op10_ngram_lm, op11_substrings, op12_negatives, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 

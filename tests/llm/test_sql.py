@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     wanted = con.execute(oracles.SQL[name])
     names = sorted(d[0] for d in wanted.description)

@@ -10,14 +10,19 @@ from marlspike.functions import text as X
 from marlspike.views import with_views
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """views.event over a stream of its table."""
+def _streams(spark: SparkSession, sf_dir: str):
+    """What views read tables through: streams of them."""
 
     class _Streams:
         class read:  # noqa: N801
             parquet = staticmethod(lambda path: streaming.source(spark, sf_dir, path.rsplit("/", 1)[1].removesuffix(".parquet")))
 
-    return views.event(_Streams, sf_dir)  # type: ignore[arg-type]
+    return _Streams
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """views.event over a stream of its table."""
+    return views.event(_streams(spark, sf_dir), sf_dir)
 
 
 def correlate(inbound: DataFrame, sent: DataFrame) -> DataFrame:
@@ -42,9 +47,18 @@ def j10_reply_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate(asked, sent)
 
 
+def _mails(inbound: DataFrame) -> DataFrame:
+    """Turns as mails; every fourth turn has the provider id of the one two before."""
+    return inbound.select("id", F.col("conv_id").alias("sender"), F.col("direction").alias("subject"), "received_s", F.concat(F.lit("p"), F.when(F.col("turn") % 4 == 3, F.col("id") - 2).otherwise(F.col("id"))).alias("provider_id"))
+
+
 def j12_interval_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mails = views.inbound(spark, sf_dir).select("id", F.col("conv_id").alias("sender"), F.col("direction").alias("subject"), "received_s")
-    return streaming.recent_duplicates(mails)
+    return streaming.imports(_mails(views.inbound(spark, sf_dir)))
+
+
+def st6_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mails that a stream imports."""
+    return streaming.import_mails(_mails(views.inbound(_streams(spark, sf_dir), sf_dir)), streaming.new_folder(spark))
 
 
 #: A made-up now, in the seconds of the made-up times (200 of them for each of theirs), and how far a sync looks back.
@@ -76,47 +90,61 @@ def a28_sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st1_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider ids (two events share one) after idempotent ingestion."""
-    e = _event_stream(spark, sf_dir).select(F.floor(F.col("id") / 2).alias("provider_event_id"), "event_at")
-    return streaming.run(streaming.ingest_once(e).select("provider_event_id"))
+    """Provider ids (two events share one) after idempotent ingestion, and which event is taken: the earliest."""
+    e = _event_stream(spark, sf_dir).select(F.floor(F.col("id") / 2).alias("provider_event_id"), "event_at", "id")
+    return streaming.ingest_once(e, streaming.new_folder(spark), order=("event_at", "id"))
 
 
 def st2_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _event_stream(spark, sf_dir).select("id", (F.col("message_id") * 2).alias("message_id"))
-    return streaming.run(streaming.known_only(e, views.message(spark, sf_dir)))
+    return streaming.appended(streaming.known_only(e, views.message(spark, sf_dir)))
 
 
 def st3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.merge_state(streaming.run(streaming.message_state(_event_stream(spark, sf_dir)), ["day", "message_id"]))
+    return streaming.with_status(streaming.summed(_event_stream(spark, sf_dir), streaming.message_state()))
 
 
 def st4_hard_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.merge_stops(streaming.run(streaming.hard_stops(_event_stream(spark, sf_dir)), ["day", "enrollment_id"]))
+    return streaming.stops(streaming.summed(_event_stream(spark, sf_dir), streaming.hard_stops()))
+
+
+def st4_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppression rows for the addresses of bounced messages, those that are known."""
+    to = views.message(spark, sf_dir).select(F.col("id").alias("message_id"), "to_email")
+    return streaming.suppressed(streaming.summed(_event_stream(spark, sf_dir).join(to, "message_id"), streaming.suppressions()))
 
 
 def st5_click_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _event_stream(spark, sf_dir).withColumn("message_id", F.floor(F.col("message_id") / 40))
-    return streaming.merge_clicks(streaming.run(streaming.click_counts(e), ["day", "message_id", "link_no"]))
+    return streaming.summed(e, streaming.click_counts())
 
 
 def st_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.run(streaming.hourly(_event_stream(spark, sf_dir)), ["hour", "kind"])
+    return streaming.summed(_event_stream(spark, sf_dir), streaming.hourly())
 
 
-QUERIES = {f.__name__: f for f in (j10_reply_match, j12_interval_dup, s09_last_mails, f18_bounce, a28_sync_summary, st1_dedup, st2_known, st3_status, st4_hard_stop, st5_click_count, st_hourly)}
+QUERIES = {f.__name__: f for f in (j10_reply_match, j12_interval_dup, s09_last_mails, f18_bounce, a28_sync_summary, st1_dedup, st2_known, st3_status, st4_hard_stop, st4_suppressions, st5_click_count, st6_imports, st_hourly)}
 
-_DUP = "dup AS (SELECT id, conv_id AS sender, direction AS subject, received_s, EXISTS (SELECT 1 FROM inbound b WHERE b.conv_id = i.conv_id AND b.direction = i.direction AND (b.received_s, b.id) < (i.received_s, i.id) AND i.received_s - b.received_s <= 60) AS is_duplicate FROM inbound i)"
+# one mail after the other: what was imported so far decides
+_DUP = """m AS (SELECT id, conv_id AS sender, direction AS subject, received_s, 'p' || CASE WHEN turn % 4 = 3 THEN id - 2 ELSE id END AS provider_id FROM inbound),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY received_s, id) AS k FROM m),
+fold AS (SELECT *, [provider_id] AS ids, map([subject], [received_s]) AS seen, FALSE AS is_duplicate FROM ordered WHERE k = 1
+  UNION ALL SELECT id, sender, subject, received_s, provider_id, k, CASE WHEN hit THEN ids ELSE list_append(ids, provider_id) END, CASE WHEN hit THEN seen ELSE map_concat(seen, map([subject], [received_s])) END, hit
+  FROM (SELECT o.*, f.ids, f.seen, list_contains(f.ids, o.provider_id) OR coalesce(o.received_s - f.seen[o.subject] <= 60, FALSE) AS hit FROM fold f JOIN ordered o ON o.sender = f.sender AND o.k = f.k + 1)),
+dup AS (SELECT id, sender, subject, received_s, provider_id, is_duplicate FROM fold)"""
 _KIND = "replace(lower(event_type), 'email.', '')"
 ORACLES = {
     "j10_reply_match": with_views("inbound", "WITH a AS (SELECT * FROM (SELECT id, direction, lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM inbound) WHERE direction = 'INBOUND' AND before IS NOT NULL), s AS (SELECT id, received_s FROM inbound WHERE direction <> 'INBOUND'), h AS (SELECT a.id AS inbound_id, s.id AS message_id, 0 AS rank, received_s FROM a JOIN s ON s.id = a.before UNION ALL SELECT a.id, s.id, 1, received_s FROM a JOIN s ON s.id + 1 = a.before) SELECT inbound_id, message_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY inbound_id ORDER BY rank, received_s DESC, message_id) = 1"),
-    "j12_interval_dup": with_views("inbound", f"WITH {_DUP} SELECT * FROM dup"),
+    "j12_interval_dup": with_views("inbound", f"WITH {_DUP} SELECT * FROM dup").replace("WITH", "WITH RECURSIVE", 1),
+    "st6_imports": with_views("inbound", f"WITH {_DUP} SELECT id, sender, subject, received_s, provider_id FROM dup WHERE NOT is_duplicate").replace("WITH", "WITH RECURSIVE", 1),
     "s09_last_mails": with_views("inbound", f"SELECT conv_id % 5 AS mailbox, id, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY received_s DESC, id DESC)::INTEGER AS n FROM inbound WHERE received_s * 200 BETWEEN {NOW_S - LOOK_BACK_S} AND {NOW_S} QUALIFY n <= {LAST_MAILS}"),
     "f18_bounce": "SELECT s_suppkey, is_bounce, CASE WHEN NOT is_bounce THEN 'unknown' WHEN s_suppkey % 5 = 0 THEN 'hard' WHEN s_suppkey % 5 = 1 THEN 'soft' ELSE 'unknown' END AS kind, CASE WHEN is_bounce THEN 'contact' || s_suppkey || '@corp.example' END AS target, CASE WHEN is_bounce AND s_suppkey % 5 = 0 THEN '5.1.1' WHEN is_bounce AND s_suppkey % 5 = 1 THEN '4.2.2' END AS code FROM (SELECT s_suppkey, s_suppkey % 3 <> 1 OR s_suppkey % 4 = 0 AS is_bounce FROM supplier)",
-    "a28_sync_summary": with_views("inbound", f"WITH {_DUP} SELECT sender % 5 AS mailbox, count(*) AS seen, count(*) FILTER (WHERE is_duplicate) AS duplicates, count(*) FILTER (WHERE subject = 'INBOUND' AND NOT is_duplicate) AS replies FROM dup GROUP BY 1"),
-    "st1_dedup": "SELECT DISTINCT event_id // 2 AS provider_event_id FROM events",
+    "a28_sync_summary": with_views("inbound", f"WITH {_DUP} SELECT sender % 5 AS mailbox, count(*) AS seen, count(*) FILTER (WHERE is_duplicate) AS duplicates, count(*) FILTER (WHERE subject = 'INBOUND' AND NOT is_duplicate) AS replies FROM dup GROUP BY 1").replace("WITH", "WITH RECURSIVE", 1),
+    "st1_dedup": "SELECT event_id // 2 AS provider_event_id, ts AS event_at, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 2 ORDER BY ts, event_id) = 1",
     "st2_known": with_views("message event", "SELECT event.message_id * 2 AS message_id, event.id, message.status AS sent_status FROM event JOIN message ON message.id = event.message_id * 2"),
     "st3_status": with_views("event", f"SELECT *, CASE WHEN bounced_at IS NOT NULL THEN 'bounced' WHEN replied_at IS NOT NULL THEN 'replied' WHEN clicked_at IS NOT NULL THEN 'clicked' WHEN opened_at IS NOT NULL THEN 'opened' ELSE 'sent' END AS status FROM (SELECT message_id, min(event_at) FILTER (WHERE {_KIND} = 'opened') AS opened_at, min(event_at) FILTER (WHERE {_KIND} = 'clicked') AS clicked_at, min(event_at) FILTER (WHERE {_KIND} = 'replied') AS replied_at, min(event_at) FILTER (WHERE {_KIND} = 'bounced') AS bounced_at, max(event_at) AS last_event_at, count(*) AS events FROM event GROUP BY 1)"),
-    "st4_hard_stop": with_views("event", f"SELECT enrollment_id, event_at AS stopped_at, {_KIND} AS stop_reason FROM event WHERE {_KIND} IN ('bounced', 'complained', 'replied', 'unsubscribed') AND enrollment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY enrollment_id ORDER BY event_at, {_KIND}) = 1"),
+    "st4_hard_stop": with_views("event", f"SELECT enrollment_id, event_at AS stopped_at, {_KIND} AS status, CASE {_KIND} WHEN 'replied' THEN 'REPLY_RECEIVED' ELSE upper({_KIND}) END AS stop_reason FROM event WHERE {_KIND} IN ('bounced', 'complained', 'replied') AND enrollment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY enrollment_id ORDER BY event_at, {_KIND}) = 1"),
+    "st4_suppressions": with_views("message event", f"SELECT to_email AS email, lower(to_email) AS normalized_email, upper({_KIND}) AS reason, 'WEBHOOK' AS source, event_at AS suppressed_at FROM event JOIN message ON message.id = event.message_id WHERE {_KIND} IN ('bounced', 'complained') AND event.contact_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(to_email) ORDER BY event_at, {_KIND}, to_email) = 1"),
     "st5_click_count": with_views("event", f"SELECT message_id // 40 AS message_id, link_no, count(*) AS clicks FROM event WHERE {_KIND} = 'clicked' GROUP BY 1, 2"),
     "st_hourly": with_views("event", f"SELECT date_trunc('hour', event_at) AS hour, {_KIND} AS kind, count(*) AS events FROM event GROUP BY 1, 2"),
 }

@@ -1,22 +1,33 @@
-"""Structured Streaming forms of the event handlers: idempotent ingestion, message state, hard stops, counters, windows.
+"""Structured Streaming forms of the event handlers: idempotent ingestion, message state, hard stops, suppressions, counters, windows, imports of mail.
 
-What is kept for each key (a message, an enrollment, a link) is summed by day of event time behind a watermark, so that the
-stream's state holds the days within LATENESS alone; the days' sums go out in update mode and are merged when the result
-is read (merge_...). run() drives a stream over what is there now, with the checkpoint and the result in the shared folder.
+No watermark, and no state store that grows: what a stream knows is a table in a named folder beside its checkpoint.
+
+- Sums (state of a message, stops, counters) are commutative: each micro-batch adds one immutable set of partial sums, `part=N`, and a
+  reader merges them. The result is the same however the events are cut into batches and however late they come.
+- Ingestion looks new rows up in the table of what was taken before, by hash bucket, and adds those that aren't there.
+- A batch that is run again after a failure replaces its own part; a stream that is started again goes on from its checkpoint.
+- compact() merges the parts into `base=N`; it counts as soon as it is complete, and what it replaces goes with the next compaction.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from marlspike.plans import shared_folder
+from marlspike.plans import complete, delete, shared_folder, written
 
-#: How late events may come: the look-back of the mail sync. Later ones are dropped.
-LATENESS = "14 days"
-TERMINAL = ("bounced", "complained", "replied", "unsubscribed")
+#: Kinds of events that stop an enrollment, and those that suppress an address.
+TERMINAL = ("bounced", "complained", "replied")
+SUPPRESSING = ("bounced", "complained")
+KINDS = ("opened", "clicked", "replied", "bounced")
+#: Hash buckets of tables of known ids.
+BUCKETS = 64
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_at_once: int | None = None) -> DataFrame:
@@ -32,58 +43,137 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_at_once: int | Non
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Processes all that is available and returns the result: appended rows, or with keys the last row of each (update mode)."""
-    spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = stream.schema
-    written: dict[int, str] = {}
-
-    def keep(batch: DataFrame, number: int) -> None:
-        # a batch that is run again writes the same folder
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-        written[number] = f"{path}/out/batch={number}"
-
-    stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    if not written:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.option("basePath", f"{path}/out").parquet(*written.values())
-    if not keys:
-        return rows.select(schema.names)
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), F.col("batch")).alias("l"))
-    return last.select("l.*")
-
-
-def observed(stream: DataFrame, metrics: dict) -> DataFrame:
-    """One row of metrics (named aggregates of numbers: counts add up, first_ and last_ are the least and the largest) observed while the
-    stream runs over what is available; its rows go nowhere."""
-    spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}"
-    named = stream.observe("run", *[c.alias(n) for n, c in metrics.items()])
-    query = named.writeStream.format("noop").option("checkpointLocation", path).trigger(availableNow=True).start()
+def new_folder(spark: SparkSession) -> str:
+    """A folder for a stream that nobody goes on with later."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def advance(stream: DataFrame, folder: str, take: Callable[[DataFrame, int], None]) -> None:
+    """take(batch, number) for all that has come since the folder's checkpoint; it must be repeatable for one number."""
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    seen = [p.observedMetrics["run"].asDict() for p in query.recentProgress if "run" in p.observedMetrics]
-    combine = {n: min if n.startswith("first_") else max if n.startswith("last_") else sum for n in metrics}
-    row = {n: combine[n]([x[n] for x in seen if x[n] is not None] or [None if f is not sum else 0]) for n, f in combine.items()}
-    schema = stream.limit(0).groupBy().agg(*[c.alias(n) for n, c in metrics.items()]).schema
-    return spark.createDataFrame([tuple(row[f.name] for f in schema)], schema)
 
 
-def _by_day(events: DataFrame, keys: list[str], *sums) -> DataFrame:
-    """sums by day and keys; grouping by the window itself lets the watermark end its state."""
-    timed = events.withColumn("_at", F.col("event_at").cast("timestamp")).withWatermark("_at", LATENESS)
-    days = timed.groupBy(F.window("_at", "1 day").alias("w"), *keys).agg(*sums)
-    return days.select(F.col("w.start").alias("day"), *[c for c in days.columns if c != "w"])
+class Parts:
+    """Rows in `base=N` and `part=N` folders: those behind the last complete base, and that base."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def paths(self, before: int | None = None) -> list[str]:
+        bases, parts = complete(self.spark, f"{self.folder}/bases"), complete(self.spark, f"{self.folder}/parts")
+        upto = max((n for n in bases if before is None or n < before), default=-1)
+        return [*([bases[upto]] if upto >= 0 else []), *[p for n, p in parts.items() if n > upto and (before is None or n < before)]]
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of batches before a number."""
+        paths = self.paths(before)
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """The rows of a batch; the same number again replaces them."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/parts/part={number}")
+
+    def compact(self, merged: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """One base in place of all parts so far. What an earlier compaction replaced is deleted: readers of then have ended by now."""
+        bases, parts = complete(self.spark, f"{self.folder}/bases"), complete(self.spark, f"{self.folder}/parts")
+        upto = max([*bases, -1])
+        newest = max([*parts, -1])
+        if newest > upto:
+            merged(self.read()).write.mode("overwrite").parquet(f"{self.folder}/bases/base={newest}")
+        for n, path in parts.items():
+            if n <= upto:
+                delete(self.spark, path)
+        for n, path in bases.items():
+            if n < upto:
+                delete(self.spark, path)
+
 
+@dataclass(frozen=True)
+class Sums:
+    """Commutative sums: of the events that rows() picks and shapes, first each batch's aggregates by key, then those merged."""
 
-def _plain(event_type):
+    keys: tuple[str, ...]
+    rows: Callable[[DataFrame], DataFrame]
+    partial: dict[str, Column]
+    merge: dict[str, Column]
+
+    def of(self, events: DataFrame) -> DataFrame:
+        """Partial sums of some events."""
+        return self.rows(events).groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.partial.items()])
+
+    def merged(self, parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.merge.items()])
+
+
+def _parts(stream: DataFrame, sums: Sums, folder: str) -> Parts:
+    return Parts(stream.sparkSession, folder, sums.of(stream).schema)
+
+
+def summed(stream: DataFrame, sums: Sums, folder: str | None = None) -> DataFrame:
+    """Advances the sums in a folder by what has come since, and returns them over all that ever came."""
+    folder = folder or new_folder(stream.sparkSession)
+    parts = _parts(stream, sums, folder)
+    advance(stream, folder, lambda batch, number: parts.add(sums.of(batch), number))
+    return sums.merged(parts.read())
+
+
+def compact(stream: DataFrame, sums: Sums, folder: str) -> None:
+    """Merges the partial sums in a folder; between two advances."""
+    _parts(stream, sums, folder).compact(sums.merged)
+
+
+def plain(event_type: Column) -> Column:
     return F.lower(F.regexp_replace(event_type, r"(?i)^email\.", ""))
 
 
-def ingest_once(events: DataFrame, key: str = "provider_event_id", at: str = "event_at") -> DataFrame:
-    """Each provider id once; copies within the lateness are dropped."""
-    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, LATENESS)
-    return timed.dropDuplicatesWithinWatermark([key]) if events.isStreaming else timed.dropDuplicates([key])
+def _kind() -> Column:
+    return plain(F.col("event_type"))
+
+
+def message_state() -> Sums:
+    """Per message: first open, click, reply and bounce, last event, number of events."""
+    firsts = {f"{k}_at": F.min(F.when(_kind() == k, F.col("event_at"))) for k in KINDS}
+    merged = {n: F.min(n) for n in firsts}
+    return Sums(("message_id",), lambda events: events, firsts | {"last_event_at": F.max("event_at"), "events": F.count(F.lit(1))}, merged | {"last_event_at": F.max("last_event_at"), "events": F.sum("events")})
+
+
+def hard_stops() -> Sums:
+    """Per enrollment the first terminal event by event time (ties by name)."""
+    ending = lambda events: events.where(_kind().isin(*TERMINAL) & F.col("enrollment_id").isNotNull())
+    return Sums(("enrollment_id",), ending, {"stop": F.min(F.struct(F.col("event_at").alias("at"), _kind().alias("kind")))}, {"stop": F.min("stop")})
+
+
+def suppressions() -> Sums:
+    """Per address (to_email, lower-cased) the first event of a known contact that suppresses it."""
+    ending = lambda events: events.where(_kind().isin(*SUPPRESSING) & F.col("contact_id").isNotNull() & F.col("to_email").isNotNull()).withColumn("normalized_email", F.lower("to_email"))
+    return Sums(("normalized_email",), ending, {"first": F.min(F.struct(F.col("event_at").alias("at"), _kind().alias("kind"), "to_email"))}, {"first": F.min("first")})
+
+
+def click_counts() -> Sums:
+    return Sums(("message_id", "link_no"), lambda events: events.where(_kind() == "clicked"), {"clicks": F.count(F.lit(1))}, {"clicks": F.sum("clicks")})
+
+
+def hourly() -> Sums:
+    """Extension: events by hour and kind."""
+    timed = lambda events: events.select(F.date_trunc("hour", F.col("event_at")).cast("timestamp_ntz").alias("hour"), _kind().alias("kind"))
+    return Sums(("hour", "kind"), timed, {"events": F.count(F.lit(1))}, {"events": F.sum("events")})
+
+
+def with_status(state: DataFrame) -> DataFrame:
+    """The status that a message's state leads to: opens and clicks promote alone from sent; the strongest event counts whatever the order of arrival."""
+    return state.withColumn("status", F.coalesce(*[F.when(F.col(f"{k}_at").isNotNull(), k) for k in reversed(KINDS)], F.lit("sent")))
+
+
+def stops(found: DataFrame) -> DataFrame:
+    """When and why each enrollment stopped first."""
+    return found.select("enrollment_id", F.col("stop.at").alias("stopped_at"), F.col("stop.kind").alias("status"), F.when(F.col("stop.kind") == "replied", "REPLY_RECEIVED").otherwise(F.upper("stop.kind")).alias("stop_reason"))
+
+
+def suppressed(found: DataFrame) -> DataFrame:
+    """Rows of the suppression list."""
+    return found.select(F.col("first.to_email").alias("email"), "normalized_email", F.upper("first.kind").alias("reason"), F.lit("WEBHOOK").alias("source"), F.col("first.at").alias("suppressed_at"))
 
 
 def known_only(events: DataFrame, messages: DataFrame) -> DataFrame:
@@ -91,55 +181,167 @@ def known_only(events: DataFrame, messages: DataFrame) -> DataFrame:
     return events.join(messages.select(F.col("id").alias("message_id"), F.col("status").alias("sent_status")), "message_id")
 
 
-KINDS = ("opened", "clicked", "replied", "bounced")
+def appended(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows of a stream without aggregates, over all that ever came."""
+    folder = folder or new_folder(stream.sparkSession)
+    parts = Parts(stream.sparkSession, folder, stream.schema)
+    advance(stream, folder, parts.add)
+    return parts.read()
+
 
+def ingest_once(stream: DataFrame, folder: str, key: str = "provider_event_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """All rows taken so far, each key once: within a batch the first by order, over batches the first that came. Rows without a key aren't taken.
 
-def message_state(events: DataFrame) -> DataFrame:
-    """Per message and day: first open, click, reply and bounce, last event, number of events."""
-    kind = _plain(F.col("event_type"))
-    return _by_day(events, ["message_id"], *[F.min(F.when(kind == k, F.col("event_at"))).alias(f"{k}_at") for k in KINDS], F.max("event_at").alias("last_event_at"), F.count(F.lit(1)).alias("events"))
+    The taken rows are the table of known keys: a batch reads the keys alone, of the hash buckets that it touches.
+    """
+    spark = stream.sparkSession
+    schema = stream.withColumn("bucket", F.lit(0)).schema
+    parts = Parts(spark, folder, schema)
 
+    def take(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        place = F.row_number().over(Window.partitionBy("bucket", key).orderBy(*(order or (key,))))
+        first = rows.withColumn("_n", place).where("_n = 1").drop("_n")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        known = parts.read(before=number).where(F.col("bucket").isin(touched)).select("bucket", key)
+        first.join(known, ["bucket", key], "left_anti").select(schema.names).write.mode("overwrite").parquet(f"{folder}/parts/part={number}")
 
-def merge_state(days: DataFrame) -> DataFrame:
-    """Per message its state over all days and the status that it leads to.
+    advance(stream, folder, take)
+    return parts.read().drop("bucket")
 
-    Opens and clicks promote alone from sent; the strongest event counts whatever the order of arrival.
-    """
-    state = days.groupBy("message_id").agg(*[F.min(f"{k}_at").alias(f"{k}_at") for k in KINDS], F.max("last_event_at").alias("last_event_at"), F.sum("events").alias("events"))
-    status = F.coalesce(*[F.when(F.col(f"{k}_at").isNotNull(), k) for k in reversed(KINDS)], F.lit("sent"))
-    return state.withColumn("status", status)
 
+def compact_rows(stream: DataFrame, folder: str) -> None:
+    """Merges the files of ingest_once; rows of a bucket lie together, so that Parquet's statistics skip the others."""
+    Parts(stream.sparkSession, folder, stream.withColumn("bucket", F.lit(0)).schema).compact(lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket"))
 
-def hard_stops(events: DataFrame) -> DataFrame:
-    """Per enrollment and day the first terminal event by event time (ties by name): stop, a struct of at and kind."""
-    kind = _plain(F.col("event_type"))
-    ended = events.where(kind.isin(*TERMINAL) & F.col("enrollment_id").isNotNull())
-    return _by_day(ended, ["enrollment_id"], F.min(F.struct(F.col("event_at").alias("at"), kind.alias("kind"))).alias("stop"))
 
+class _Observer(StreamingQueryListener):
+    """Adds up the observed metrics of the queries that observe a name, as progress arrives."""
 
-def merge_stops(days: DataFrame) -> DataFrame:
-    """When and why each enrollment stopped first."""
-    return days.groupBy("enrollment_id").agg(F.min("stop").alias("s")).select("enrollment_id", F.col("s.at").alias("stopped_at"), F.col("s.kind").alias("stop_reason"))
+    def __init__(self, query: str, combine: dict):
+        self.query, self.combine, self.triggers = query, combine, 0
+        self.row: dict = dict.fromkeys(combine)
+        self.over: set[str] = set()
+        self.changed = threading.Condition()
 
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
 
-def click_counts(events: DataFrame) -> DataFrame:
-    """Clicks of each link and day."""
-    return _by_day(events.where(_plain(F.col("event_type")) == "clicked"), ["message_id", "link_no"], F.count(F.lit(1)).alias("clicks"))
+    def onQueryProgress(self, event):  # noqa: N802
+        seen = event.progress.observedMetrics.get(self.query)
+        if seen is None:
+            return
+        self.triggers += 1
+        for n, f in self.combine.items():
+            known = [x for x in (self.row[n], seen[n]) if x is not None]
+            self.row[n] = f(known) if known else None
 
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
 
-def merge_clicks(days: DataFrame) -> DataFrame:
-    return days.groupBy("message_id", "link_no").agg(F.sum("clicks").alias("clicks"))
+    def onQueryTerminated(self, event):  # noqa: N802
+        with self.changed:
+            self.over.add(str(event.runId))
+            self.changed.notify_all()
 
+    def wait(self, run: str, seconds: int) -> bool:
+        """Whether the run has ended, with all of its progress, which comes behind the query but in order."""
+        with self.changed:
+            return self.changed.wait_for(lambda: run in self.over, seconds)
 
-def hourly(events: DataFrame) -> DataFrame:
-    """Extension: events by hour and kind."""
-    timed = events.withColumn("at", F.col("event_at").cast("timestamp")).withWatermark("at", LATENESS)
-    return timed.groupBy(F.window("at", "1 hour").alias("w"), _plain(F.col("event_type")).alias("kind")).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "kind", "events")
 
+def observed(stream: DataFrame, metrics: dict, seconds: int = 600) -> DataFrame:
+    """One row of metrics (named aggregates of numbers: counts add up, first_ and last_ are the least and the largest) observed while the
+    stream runs over what is available; its rows go nowhere. Every trigger counts, however many there are."""
+    spark = stream.sparkSession
+    path, name = f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}", f"run-{uuid.uuid4().hex}"
+    combine = {n: min if n.startswith("first_") else max if n.startswith("last_") else sum for n in metrics}
+    observer = _Observer(name, combine)
+    spark.streams.addListener(observer)
+    try:
+        named = stream.observe(name, *[c.alias(n) for n, c in metrics.items()])
+        query = named.writeStream.format("noop").option("checkpointLocation", path).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not observer.wait(str(query.runId), seconds):
+            raise TimeoutError("the query has ended, but its progress hasn't come")
+    finally:
+        spark.streams.removeListener(observer)
+    row = {n: 0 if v is None and combine[n] is sum else v for n, v in observer.row.items()}
+    schema = stream.limit(0).groupBy().agg(*[c.alias(n) for n, c in metrics.items()]).schema
+    return spark.createDataFrame([tuple(row[f.name] for f in schema)], schema)
+
+
+#: Seconds within which a mail of the same sender and subject is the same mail.
+SAME_MAIL_S = 60
 
-def recent_duplicates(mails: DataFrame, seconds: int = 60) -> DataFrame:
-    """Batch: a flag for mails with an earlier one of the same sender and subject at most so many seconds before."""
-    from pyspark.sql import Window
 
-    before = F.lag("received_s").over(Window.partitionBy("sender", "subject").orderBy("received_s", "id"))
-    return mails.withColumn("is_duplicate", F.coalesce(F.col("received_s") - before <= seconds, F.lit(False)))
+def _reached(mails: DataFrame, seconds: int) -> DataFrame:
+    """The mails that are imported by time alone: the first of a sender and subject, then always the next one more than so many seconds later.
+
+    Runs of mails without a gap beyond that are independent. In a run each mail points at the first one beyond its seconds; those that
+    the first mail reaches are found by doubling: as many rounds as the binary logarithm of the most imports of a run.
+    """
+    group = ["sender", "subject"]
+    order = [F.col("received_s"), F.col("id")]
+    w = Window.partitionBy(*group).orderBy(*order)
+    gap = F.col("received_s") - F.lag("received_s").over(w) > seconds
+    # from the latest on, each mail's probe at its limit sees the last mail that came before it there: the next one in time
+    nodes = mails.select(*group, "id", "received_s", F.lit(True).alias("is_mail"), F.col("received_s").alias("s"))
+    probes = mails.select(*group, "id", "received_s", F.lit(False).alias("is_mail"), (F.col("received_s") + seconds).alias("s"))
+    back = Window.partitionBy(*group).orderBy(F.desc("s"), F.col("is_mail").cast("int"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # of mails at one time the first: the last one seen backwards
+    following = F.last(F.when(F.col("is_mail"), F.struct("s", "id")), ignorenulls=True).over(back)
+    pointers = nodes.unionByName(probes).withColumn("to", following).where("not is_mail").select("id", F.col("to.id").alias("to"))
+    heads = written(mails.withColumn("head", F.coalesce(gap, F.lit(True))).select("id", "head"), "mail-heads")
+    reached = heads.where("head").select("id")
+    # a pointer out of its run leads to a head, which is reached anyway
+    jump = written(pointers.join(heads.where("not head").select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"), "mail-jumps")
+    while not jump.isEmpty():
+        fresh = reached.join(jump, "id").select(F.col("to").alias("id"))
+        reached = written(reached.unionByName(fresh).distinct(), "mail-reached")
+        jump = written(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "mail-jumps")
+    return reached
+
+
+def imports(mails: DataFrame, before: DataFrame | None = None, seconds: int = SAME_MAIL_S) -> DataFrame:
+    """mails with is_duplicate, as if they came one by one in the order of time (ties by id) behind those that were imported before.
+
+    A mail is a duplicate if an imported one has its provider id, or its sender and subject within so many seconds on either side;
+    only imported mails count, so that a duplicate opens no window of its own. mails and before: id, sender, subject, received_s,
+    provider_id; ids differ. A null provider id, sender or subject is met by none.
+    """
+    mails = written(mails, "mails")
+    open_ = mails.select("id", F.coalesce(F.col("sender").cast("string"), F.concat(F.lit("\x00"), "id")).alias("sender"), F.coalesce(F.col("subject").cast("string"), F.concat(F.lit("\x00"), "id")).alias("subject"), "received_s", "provider_id")
+    if before is not None:
+        known = before.select(F.col("sender").cast("string").alias("sender"), F.col("subject").cast("string").alias("subject"), F.col("received_s").alias("at"), "provider_id")
+        open_ = open_.join(known.select("provider_id").where("provider_id is not null").distinct(), "provider_id", "left_anti")
+        # cells of the window's width: an import within it lies in the mail's cell or one beside it
+        cell = lambda c: F.floor(F.col(c) / seconds)
+        near = known.select("sender", "subject", "at", F.explode(F.array(cell("at") - 1, cell("at"), cell("at") + 1)).alias("cell")).distinct()
+        hit = open_.withColumn("cell", cell("received_s")).join(near, ["sender", "subject", "cell"]).where(F.abs(F.col("at") - F.col("received_s")) <= seconds).select("id").distinct()
+        open_ = open_.join(hit, "id", "left_anti")
+    open_ = written(open_.select("id", "sender", "subject", "received_s", "provider_id"), "mails-open")
+    # copies by provider id: each later one goes if an earlier one is imported
+    place = F.row_number().over(Window.partitionBy("provider_id").orderBy("received_s", "id"))
+    copies = written(open_.where("provider_id is not null").withColumn("place", place).select("id", "provider_id", "place", F.max("place").over(Window.partitionBy("provider_id")).alias("copies")).where("copies > 1").drop("copies"), "mail-copies")
+    # assumed first: every copy but the first goes. Then what the imports say, until both agree: the earliest mistake of a round is mended in the next
+    assumed = copies.where("place > 1").select("id")
+    while True:
+        taken = _reached(open_.join(assumed, "id", "left_anti"), seconds)
+        least = copies.join(taken, "id", "left_semi").groupBy("provider_id").agg(F.min("place").alias("first"))
+        agreed = written(copies.join(least, "provider_id").where("place > first").select("id"), "mail-assumed")
+        wrong = agreed.join(assumed, "id", "left_anti").unionByName(assumed.join(agreed, "id", "left_anti"))
+        if wrong.isEmpty():
+            break
+        assumed = agreed
+    return mails.join(taken.withColumn("_taken", F.lit(True)), "id", "left").withColumn("is_duplicate", F.col("_taken").isNull()).select(*mails.columns, "is_duplicate")
+
+
+_MAIL = ["id", "sender", "subject", "received_s", "provider_id"]
+
+
+def import_mails(stream: DataFrame, folder: str, seconds: int = SAME_MAIL_S) -> DataFrame:
+    """All mails imported so far: each batch is judged against itself and what was imported before, in the order of arrival."""
+    parts = Parts(stream.sparkSession, folder, stream.select(*_MAIL).schema)
+    advance(stream.select(*_MAIL), folder, lambda batch, number: parts.add(imports(batch, parts.read(before=number), seconds).where("not is_duplicate").select(*_MAIL), number))
+    return parts.read()

@@ -93,20 +93,35 @@ def reserve(candidates: DataFrame, slots: DataFrame, budgets: DataFrame) -> Data
     """
     counts = candidates.groupBy("campaign_id", "mailbox").agg(F.count(F.lit(1)).alias("candidates"))
     rows = slots.join(counts, ["campaign_id", "mailbox"]).join(budgets, "campaign_id")
-    ordered = rows.groupBy("tenant").agg(F.array_sort(F.collect_list(F.struct("n", "campaign_id", "mailbox", F.least("batch", "candidates").cast("long").alias("wanted"), F.col("budget").cast("long").alias("budget")))).alias("slots"))
-
-    def step(acc: Column, s: Column) -> Column:
-        used = F.aggregate(F.filter(acc, lambda p: p["campaign_id"] == s["campaign_id"]), F.lit(0).cast("long"), lambda n, p: n + p["size"])
-        taken = F.exists(acc, lambda p: (p["mailbox"] == s["mailbox"]) & (p["size"] > 0))
-        size = F.when(taken, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(s["wanted"], s["budget"] - used)))
-        return F.array_append(acc, F.struct(s["campaign_id"].alias("campaign_id"), s["mailbox"].alias("mailbox"), size.alias("size")))
-
-    start = F.array().cast("array<struct<campaign_id:bigint,mailbox:bigint,size:bigint>>")
-    plans = ordered.select(F.explode(F.aggregate("slots", start, step)).alias("p")).select("p.*").where("size > 0")
+    in_order = rows.select("tenant", "n", "campaign_id", "mailbox", F.least("batch", "candidates").cast("long").alias("wanted"), F.col("budget").cast("long").alias("budget"))
+    plans = _scanned(in_order.repartition("tenant").sortWithinPartitions("tenant", "n", "campaign_id", "mailbox"))
     place = F.row_number().over(Window.partitionBy("campaign_id", "mailbox").orderBy(F.desc("follow_up"), "due", "id"))
     return candidates.join(plans, ["campaign_id", "mailbox"]).withColumn("place", place).where("place <= size").select("campaign_id", "mailbox", "id", "place")
 
 
+def _scanned(slots: DataFrame) -> DataFrame:
+    """campaign_id, mailbox, size: one pass over each tenant's slots in order, which remembers what is left of its campaigns' budgets and
+    which mailboxes serve; a slot's size depends on both, across campaigns."""
+    import pyarrow as pa
+
+    def run(batches):
+        tenant, left, serving = None, {}, set()
+        for batch in batches:
+            out = ([], [], [])
+            for t, campaign, mailbox, wanted, budget in zip(*[batch.column(c).to_pylist() for c in ("tenant", "campaign_id", "mailbox", "wanted", "budget")]):
+                if t != tenant:
+                    tenant, left, serving = t, {}, set()
+                size = min(wanted or 0, left.setdefault(campaign, budget or 0))
+                if size > 0 and mailbox not in serving:
+                    left[campaign] -= size
+                    serving.add(mailbox)
+                    for column, value in zip(out, (campaign, mailbox, size)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["campaign_id", "mailbox", "size"])
+
+    return slots.mapInArrow(run, "campaign_id long, mailbox long, size long")
+
+
 def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.message(spark, sf_dir)
     seconds = F.unix_micros(F.col("sent_at").cast("timestamp"))

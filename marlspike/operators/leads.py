@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlspike import views
 from marlspike.functions import text as X
 from marlspike.plans import written
+from marlspike.plans.components import components
 from marlspike.views import with_views
 
 BLOCK, SIMILAR, CANDIDATES = 3, 0.88, 50
@@ -65,24 +66,82 @@ def _alike(names: DataFrame, firsts: DataFrame) -> DataFrame:
     return close.withColumn("likeness", X.dice_of(F.col("grams"), F.col("other_grams"))).where(F.col("likeness") >= SIMILAR).select("user_id", "name", "other_row", "likeness")
 
 
+#: Rows and keys of a component that one task goes through; larger ones are decided in rounds.
+FOLD_PAIRS = 1 << 17
+
+
 def greedy_duplicates(pairs: DataFrame) -> DataFrame:
     """row_number, match: rows that share a key with an earlier kept row, as if rows were taken one by one, from pairs (row_number, key).
 
-    A row that is a duplicate isn't itself compared with later ones. Rounds: a row that is the first open one under each of
-    its keys is kept; open rows that share a key with it are duplicates. The number of rounds is that of the longest chain
-    of decisions (each row sharing a key with the one before alone), at most the number of rows; rows that share nothing
-    with open ones leave in the first round.
+    A row that is a duplicate isn't itself compared with later ones. Rows that no chain of keys connects don't concern each other: rows that
+    share keys are put into components, and each component is gone through in order by one task. Components of over FOLD_PAIRS
+    pairs, such as that of a key which a third of the rows have, are decided in rounds.
     """
-    pairs = written(pairs, "greedy-keys")
-    gone, open_pairs = None, pairs
+    pairs = written(pairs.where("row_number is not null and key is not null").distinct(), "greedy-keys")
+    firsts = pairs.groupBy("key").agg(F.min("row_number").alias("first"))
+    edges = pairs.join(firsts, "key").select(F.col("row_number").alias("a"), F.col("first").alias("b"))
+    placed = written(pairs.join(components(edges), pairs["row_number"] == F.col("node")).select("component", "row_number", "key"), "greedy-components")
+    large = placed.groupBy("component").count().where(F.col("count") > FOLD_PAIRS).select("component")
+    folded = _folded(placed.join(large, "component", "left_anti"))
+    rest = placed.join(large, "component", "left_semi").select("row_number", "key")
+    return folded if large.isEmpty() else folded.unionByName(_by_rounds(rest))
+
+
+def _folded(placed: DataFrame) -> DataFrame:
+    """greedy_duplicates of components: each one's rows in order, with the keys of the kept ones in memory."""
+    import pyarrow as pa
+
+    def run(batches):
+        component, row, keys, owner, out = None, None, [], {}, ([], [])
+
+        def decide():
+            known = [owner[k] for k in keys if k in owner]
+            if known:
+                out[0].append(row)
+                out[1].append(min(known))
+            else:
+                owner.update(dict.fromkeys(keys, row))
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row_number", "match"])
+            for x in out:
+                x.clear()
+            return batch
+
+        for batch in batches:
+            for c, r, k in zip(*[batch.column(n).to_pylist() for n in ("component", "row_number", "key")]):
+                if r != row or c != component:
+                    decide()
+                    if c != component:
+                        component, owner = c, {}
+                    row, keys = r, []
+                keys.append(k)
+            if out[0]:
+                yield flush()
+        decide()
+        if out[0]:
+            yield flush()
+
+    return placed.repartition("component").sortWithinPartitions("component", "row_number").mapInArrow(run, "row_number long, match long")
+
+
+def _by_rounds(pairs: DataFrame) -> DataFrame:
+    """greedy_duplicates in rounds: a row that is the first open one under each of its keys is kept; open rows that share a key with it are
+    duplicates. As many rounds as the longest chain of decisions; a row behind a hot key leaves in the first."""
+    pairs = written(pairs, "greedy-pairs")
+    kept, open_pairs = None, pairs
     while not open_pairs.isEmpty():
         first = open_pairs.groupBy("key").agg(F.min("row_number").alias("first"))
         judged = written(open_pairs.join(first, "key"), "greedy-round")
-        winners = judged.groupBy("row_number").agg(F.bool_and(F.col("row_number") == F.col("first")).alias("won")).where("won").select("row_number")
-        hit = written(judged.join(winners.select(F.col("row_number").alias("first")), "first").where("row_number <> first").groupBy("row_number").agg(F.min("first").alias("match")), "greedy-hit")
-        gone = hit if gone is None else gone.unionByName(hit)
-        open_pairs = written(open_pairs.join(winners, "row_number", "left_anti").join(hit.select("row_number"), "row_number", "left_anti"), "greedy-open")
-    return gone if gone is not None else pairs.select("row_number", F.col("row_number").alias("match")).where("false")
+        winners = written(judged.groupBy("row_number").agg(F.bool_and(F.col("row_number") == F.col("first")).alias("won")).where("won").select("row_number"), "greedy-kept")
+        kept = winners if kept is None else kept.unionByName(winners)
+        hit = judged.join(winners.select(F.col("row_number").alias("first")), "first").select("row_number").distinct()
+        open_pairs = written(open_pairs.join(hit, "row_number", "left_anti"), "greedy-open")
+    if kept is None:
+        return pairs.select("row_number", F.col("row_number").alias("match")).where("false")
+    # a key has one kept row at most; of those before a row the first is its match
+    owners = pairs.join(kept, "row_number", "left_semi").select("key", F.col("row_number").alias("match"))
+    return pairs.join(kept, "row_number", "left_anti").join(owners, "key").where("match < row_number").groupBy("row_number").agg(F.min("match").alias("match"))
 
 
 def dedupe_batch(leads: DataFrame) -> DataFrame:

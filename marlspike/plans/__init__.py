@@ -25,11 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there."""
+    """df as a Parquet table in the shared folder: lineage ends there. written_to is its path, for delete()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.written_to = path
+    return again
 
 
 def _store(spark: SparkSession, path: str):
@@ -69,7 +71,7 @@ def lines_of(spark: SparkSession, path: str) -> list[str]:
     return [r.value for r in spark.read.text(path).collect()]
 
 
-def files(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the plain files in a folder; none if there is no folder."""
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder; none if there is no folder."""
     place, store = _store(spark, folder)
-    return sorted(s.getPath().getName() for s in store.listStatus(place) if s.isFile()) if store.exists(place) else []
+    return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []

@@ -345,3 +345,35 @@ def import_mails(stream: DataFrame, folder: str, seconds: int = SAME_MAIL_S) ->
     parts = Parts(stream.sparkSession, folder, stream.select(*_MAIL).schema)
     advance(stream.select(*_MAIL), folder, lambda batch, number: parts.add(imports(batch, parts.read(before=number), seconds).where("not is_duplicate").select(*_MAIL), number))
     return parts.read()
+
+
+def stalled(changes: DataFrame, working: tuple[str, ...], seconds: int = 300) -> DataFrame:
+    """A stream of batch_id, status, changed_at of the batches that haven't changed for so many seconds of the clock while they were worked on: each
+    once, until it changes again. changes: batch_id (string), status, changed_at.
+
+    State is the last change of each batch that is worked on; it goes with the batch's end or when the batch has been named. A change that
+    is older than one that came before counts for nothing.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            status, at = state.get
+            state.remove()
+            yield pd.DataFrame({"batch_id": [key[0]], "status": [status], "changed_at": [pd.Timestamp(at, unit="us")]})
+            return
+        known = state.get if state.exists else None
+        for frame in frames:
+            for status, at in zip(frame["status"], frame["changed_at"]):
+                at = int(pd.Timestamp(at).value // 1000)
+                if known is None or at >= known[1]:
+                    known = (status, at)
+        if known and known[0] in working:
+            state.update(known)
+            state.setTimeoutDuration(seconds * 1000)
+        elif state.exists:
+            state.remove()
+
+    rows = changes.where("batch_id is not null").groupBy("batch_id")
+    return rows.applyInPandasWithState(step, "batch_id string, status string, changed_at timestamp_ntz", "status string, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -151,3 +151,31 @@ def test_imports_equal_one_by_one(spark, tmp_path, seed):
     orders = {tuple(one_by_one(list(itertools.chain(*order)))) for order in itertools.permutations(arrived)}  # files of one second come in any order
     assert tuple(sorted(r["id"] for r in imported.collect())) in orders
     assert streaming.imports(spark.createDataFrame([], MAILS)).count() == 0
+
+
+def test_stalled_batches_fire_once_by_the_clock(spark, tmp_path):
+    """A batch that stays as it is fires once; one that goes on or ends doesn't; a change arms it again."""
+    import time
+
+    schema = "batch_id string, status string, changed_at timestamp_ntz"
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    add(spark, tmp_path, [("stays", "EXTRACTING", at(0)), ("ends", "EXTRACTING", at(0)), ("stays", "QUEUED", at(-9)), (None, "QUEUED", at(0))], schema)
+    add(spark, tmp_path, [("ends", "COMPLETED", at(1))], schema)
+    folder, fired = str(tmp_path / "checkpoint"), []
+    found = streaming.stalled(stream(spark, tmp_path), ("QUEUED", "EXTRACTING"), seconds=4)
+    query = found.writeStream.foreachBatch(lambda batch, n: fired.extend(map(tuple, batch.collect()))).option("checkpointLocation", folder).trigger(processingTime="1 second").start()
+    try:
+        def until(n):
+            limit = time.time() + 90
+            while len(fired) < n and time.time() < limit:
+                time.sleep(1)
+
+        until(1)
+        time.sleep(6)
+        assert fired == [("stays", "EXTRACTING", at(0))]
+        add(spark, tmp_path, [("stays", "QUEUED", at(5))], schema)
+        until(2)
+        time.sleep(6)
+        assert fired[1:] == [("stays", "QUEUED", at(5))]
+    finally:
+        query.stop()

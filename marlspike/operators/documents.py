@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike import views
@@ -186,14 +186,15 @@ def a16_ai_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mailbox_refs(campaigns: DataFrame, mailboxes: DataFrame) -> DataFrame:
-    """campaign_id, position, mailbox_id: mailboxes that a campaign names by id or by address, each once, at its first place.
+    """campaign_id, position, mailbox_id: mailboxes that a campaign names by id or by address, each once, at the place of its id, else of its address.
 
     Two equi-joins instead of one with OR. campaigns: campaign_id, refs (ordered array). mailboxes: mailbox_id (text), email.
     """
     refs = campaigns.select("campaign_id", F.posexplode("refs").alias("position", "ref"))
-    by_id = refs.join(mailboxes.select("mailbox_id", F.col("mailbox_id").alias("ref")), "ref")
-    by_mail = refs.join(mailboxes.select("mailbox_id", F.col("email").alias("ref")), "ref")
-    return by_id.unionByName(by_mail).groupBy("campaign_id", "mailbox_id").agg(F.min("position").alias("position"))
+    met = lambda name, by_id, by_mail: refs.join(mailboxes.select("mailbox_id", F.col(name).alias("ref")), "ref").select("campaign_id", "mailbox_id", by_id.alias("by_id"), by_mail.alias("by_mail"))
+    place, none = F.col("position"), F.lit(None).cast("int")
+    both = met("mailbox_id", place, none).unionByName(met("email", none, place))
+    return both.groupBy("campaign_id", "mailbox_id").agg(F.coalesce(F.min("by_id"), F.min("by_mail")).alias("position"))
 
 
 def _boxes(spark: SparkSession) -> DataFrame:
@@ -209,12 +210,19 @@ def _campaign_refs(spark: SparkSession) -> DataFrame:
 
 
 def j09_mailbox_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox_refs(_campaign_refs(spark), _boxes(spark))
+    """The connected mailboxes that each customer's orders name, by id or address, in the order in which they are named first."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") * 7 % 40
+    ref = F.when(k % 3 == 0, F.concat(F.lit("box-"), n)).otherwise(F.concat(F.lit("mailbox"), n, F.lit("@sender.example")))
+    campaigns = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("campaign_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), ref.alias("ref")))), lambda x: x["ref"]).alias("refs"))
+    s = F.col("s_suppkey")
+    boxes = _table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.concat(F.lit("box-"), s).alias("mailbox_id"), F.concat(F.lit("mailbox"), s, F.lit("@sender.example")).alias("email"))
+    place = F.row_number().over(Window.partitionBy("campaign_id").orderBy("position", "mailbox_id"))
+    return mailbox_refs(campaigns, boxes).withColumn("n", place)
 
 
 def a20_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per campaign: limits of its mailboxes together, what is left today, the rate an hour, hours for its active enrollments, whether all are connected."""
-    used = j09_mailbox_refs(spark, sf_dir).join(_boxes(spark), "mailbox_id")
+    used = mailbox_refs(_campaign_refs(spark), _boxes(spark)).join(_boxes(spark), "mailbox_id")
     pool = used.groupBy("campaign_id").agg(F.sum("hourly").alias("pool_hourly"), F.sum("daily").alias("pool_daily"), F.sum("sent_today").alias("sent_today"), F.bool_and("connected").alias("all_connected"))
     n = views.enrollment(spark, sf_dir).where("status = 'active'").groupBy("campaign_id").agg(F.count(F.lit(1)).alias("eligible"))
     rate = F.least(F.col("hourly_limit"), F.coalesce(F.nullif("pool_hourly", F.lit(0)), F.lit(1)))
@@ -300,7 +308,9 @@ SELECT contact.id, '"","","' || full_name || '","' || coalesce(email, '') || '",
     "a21_template_audit": f"WITH {_STEPS} SELECT id, concat_ws(',', CASE WHEN step = 1 AND subject = '' THEN 'SUBJECT_MISSING' END, CASE WHEN b = 0 THEN 'BODY_EMPTY' END) AS errors, CASE b WHEN 1 THEN 'UNSUBSCRIBE_MISSING,UNKNOWN:nickname,UNKNOWN:Zip' WHEN 3 THEN '' WHEN 4 THEN '' ELSE 'UNSUBSCRIBE_MISSING' END AS warnings FROM steps",
     "x07_balance": f"WITH {_STEPS} SELECT id, CASE b WHEN 0 THEN '' WHEN 1 THEN 'Hi {{{{firstName}}}} {{{{nickname}}}} {{{{nickname}}}} {{{{Zip}}}}' WHEN 2 THEN '{{{{#if city}}}}Hi{{{{#if title}}}} x' || chr(10) || '{{{{/if}}}}' || chr(10) || '{{{{/if}}}}' ELSE 'Hi {{{{firstName}}}}, {{{{unsubscribeLink}}}}' END AS balanced FROM steps",
     "a16_ai_quota": with_views("inbound", "SELECT conv_id % 5 AS user_id, count(*) FILTER (WHERE conv_id % 7 <> 0) AS used, greatest(0, 50 - count(*) FILTER (WHERE conv_id % 7 <> 0)) AS remaining FROM inbound WHERE direction = 'OUTBOUND' AND received_s * 60 // 86400 = 2 GROUP BY 1"),
-    "j09_mailbox_refs": f"WITH {_BOXES} SELECT campaign_id, 'box-' || box AS mailbox_id, position FROM refs",
+    "j09_mailbox_refs": """WITH refs AS (SELECT o_custkey AS campaign_id, o_orderkey * 7 % 40 AS box, o_orderkey % 3 = 0 AS by_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS position FROM orders),
+placed AS (SELECT campaign_id, 'box-' || box AS mailbox_id, coalesce(min(position) FILTER (WHERE by_id), min(position)) AS position FROM refs JOIN supplier ON s_suppkey = box AND s_suppkey % 5 <> 0 GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY position, mailbox_id)::INTEGER AS n FROM placed""",
     "a20_pool": with_views("enrollment", f"WITH {_BOXES}, p AS (SELECT campaign_id, sum(hourly)::BIGINT AS pool_hourly, sum(daily)::BIGINT AS pool_daily, sum(sent_today)::BIGINT AS s, bool_and(connected) AS all_connected FROM refs JOIN boxes ON box = i GROUP BY 1), e AS (SELECT campaign_id, count(*) AS eligible FROM enrollment WHERE status = 'active' GROUP BY 1) SELECT campaign_id, pool_hourly, pool_daily, greatest(0, pool_daily - s) AS remaining, least(20 + campaign_id * 10, pool_hourly) AS rate, round(coalesce(eligible, 0) / least(20 + campaign_id * 10, pool_hourly), 1) AS hours, all_connected FROM p LEFT JOIN e USING (campaign_id)"),
     "j17_import_orgs": "WITH r AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'org' || (s_suppkey % 30) || '.example' WHEN s_suppkey % 3 <> 0 THEN 'org' || (s_suppkey % 50) || '.example' END AS domain, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 30 WHEN s_suppkey % 3 <> 0 AND s_suppkey % 50 < 40 THEN s_suppkey % 50 WHEN s_suppkey % 60 < 40 THEN s_suppkey % 60 END AS org_id FROM supplier) SELECT k AS row_number, domain, org_id FROM r",
 }

@@ -68,7 +68,12 @@ def put(spark: SparkSession, path: str, text: str) -> None:
 
 def lines_of(spark: SparkSession, path: str) -> list[str]:
     """The lines of a small file of put()."""
-    return [r.value for r in spark.read.text(path).collect()]
+    place, store = _store(spark, path)
+    stream = store.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:

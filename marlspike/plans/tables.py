@@ -44,7 +44,7 @@ class Table:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def _known(self, rows: DataFrame) -> DataFrame:
-        return rows.dropna(subset=self.keys).select(self.schema.names).to(self.schema)
+        return rows.dropna(subset=self.keys).select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
 
     def _touched(self, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # as many as there are buckets at most
@@ -55,7 +55,7 @@ class Table:
         data = f"data/{before + 1:010d}-{uuid.uuid4().hex}"
         content.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{data}")
         # a bucket without rows has no folder
-        filled = [r["bucket"] for r in self.spark.read.parquet(f"{self.folder}/{data}").select("bucket").distinct().collect()] if not content.isEmpty() else []
+        filled = [int(n.split("=")[1]) for n in names(self.spark, f"{self.folder}/{data}") if n.startswith("bucket=")]
         manifest = {b: p for b, p in self.manifest(before).items() if b not in touched} | {b: f"{data}/bucket={b}" for b in filled}
         try:
             put(self.spark, f"{self.folder}/manifest/{before + 1:010d}", "\n".join(f"{b} {p}" for b, p in sorted(manifest.items())))

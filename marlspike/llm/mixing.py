@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import table, without
+from marlspike.llm.common import table, tasks_for, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,6 +30,8 @@ BLOCKS = 1024
 #: Share of a target, 3 times the source's largest document at most, that single documents fill.
 RESERVE = 0.15
 SHARDS = 8
+#: Rows of a mix behind one partition.
+RUN_ROWS = 1 << 17
 SEED = 7
 #: A node's blocks are counted by so many first bits of their hashes.
 BIN_BITS = 12
@@ -211,11 +213,12 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """A row for each copy taken, with shard and place; partitions hold runs of a shard's places in order.
 
-    A shard is shuffled by hash: place is its order, whose 16 runs, by its highest bits, may lie in different partitions.
+    A shard is shuffled by hash: place is its order, whose runs, by its highest bits, may lie in different partitions. There are
+    16 runs at least, and four for each partition, of which there are as many as the rows need.
     """
     taken = assign(docs, key, text, source, shards, blocks, seed).select(*without(docs, *ADDED, "shard", "place").columns, F.posexplode("shards").alias("_copy", "shard"))
     place = F.xxhash64(F.lit(seed), F.lit("place"), F.col(key), F.col("_copy"))
     placed = taken.withColumn("place", place).drop("_copy")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = F.shiftright("place", 60)
+    n = tasks_for(docs.sparkSession, docs.count() * MOST_COPIES, RUN_ROWS)
+    run = F.shiftright("place", 64 - max(4, (4 * n // shards).bit_length()))
     return placed.repartition(n, "shard", run).sortWithinPartitions("shard", "place")

@@ -247,7 +247,7 @@ def nodes(found: DataFrame) -> DataFrame:
     different = found.groupBy("name", "ids", "lens").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv"))
     different = table(different, "different")
     parts = tasks_for(spark, different.count(), TASK_ROWS // 8)
-    active = different.select(F.array().cast("array<long>").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("above"), "ids", "lens", "n", "conv")
+    active = different.select(F.slice("ids", F.lit(1), F.lit(0)).alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("above"), "ids", "lens", "n", "conv")
     rounds, local = [], None
     while True:
         large = table(_large(active), "trie-large")

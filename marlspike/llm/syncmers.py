@@ -230,7 +230,7 @@ def _range_of(key: Column, cuts: list[int], parts: int) -> Column:
     return tree(0, len(cuts) - 1)
 
 
-def with_next(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Column, int]:
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Column, int]:
     """df dealt into ranges of the integer key: a column _range, and a copy of each range's first row for the range before it
     (_copy true; that of the first range goes to the last one). Sorted by the returned order, each row's successor follows
     it within its range. One shuffle of the rows; the cut points and heads come from the keys alone. Ranges are small, so
@@ -246,13 +246,18 @@ def with_next(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Column, in
         quantiles = min(ranges, 256)
         cuts = keys.agg(F.percentile_approx(key, [i / quantiles for i in range(1, quantiles)] or [0.5], 10_000)).first()[0]
         cuts = sorted({low, *(c for c in cuts if c is not None), high + 1})
-        placed = F.coalesce(_range_of(F.col(key), cuts, max(1, ranges // quantiles)), F.lit(len(cuts) * max(1, ranges // quantiles)).cast("long"))
+        inner = max(1, ranges // quantiles)
+        # nulls have a range of their own, the last: least() and greatest() would skip them
+        placed = F.when(F.col(key).isNotNull(), _range_of(F.col(key), cuts, inner)).otherwise(F.lit(len(cuts) * inner).cast("long"))
     # the heads are as many as the ranges, at most MAX_RANGES plus one
     heads = sorted(((r[0], r[1]) for r in keys.groupBy(placed.alias("r")).agg(F.min(key)).collect()), key=lambda x: x[0])
     before = [(heads[i][0], heads[i][1], heads[i - 1][0]) for i in range(len(heads))]
     small = F.broadcast(spark.createDataFrame(before, f"_range long, _head {df.schema[key].dataType.simpleString()}, _before long"))
     ranged = df.withColumn("_range", placed)
-    joined = ranged.join(small, (ranged["_range"] == small["_range"]) & ranged[key].eqNullSafe(small["_head"]), "left").drop(small["_range"])
+    # of rows without a key the one with the least text is the head
+    null_head = df.where(F.col(key).isNull()).agg(F.min_by(F.xxhash64(text), text)).first()[0]
+    is_head = (ranged[key] == small["_head"]) | (ranged[key].isNull() & small["_head"].isNull() & (F.xxhash64(ranged[text]) == F.lit(null_head)))
+    joined = ranged.join(small, (ranged["_range"] == small["_range"]) & is_head, "left").drop(small["_range"])
     both = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("c")))).otherwise(
         F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("c")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("c")))
     )
@@ -265,7 +270,7 @@ def successor_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     The edited text replaces the last n_chars // share code points by the first as many (or all) of the next row's text.
     """
-    dealt, by, rows_in = with_next(docs.select(key, F.coalesce(text, F.lit("")).alias(text)), key)
+    dealt, by, rows_in = with_next(docs.select(key, F.coalesce(text, F.lit("")).alias(text)), key, text)
     ordered = dealt.repartition(tasks_for(docs.sparkSession, rows_in, TASK_ROWS), by).sortWithinPartitions("_range", "_copy", F.col(key).asc_nulls_last(), text)
     schema = T.StructType([docs.schema[key], *(T.StructField(n, t) for n, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())))])
 

@@ -334,3 +334,28 @@ def test_pipeline_near_duplicates_equal_brute_force(spark, monkeypatch, bucket):
     kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame([*rows, (None, "one two", "x")], SCHEMA), "")
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, *sorted({find(i) for i in sets})]
     assert kept.sparkSession is spark and corpus_pipeline.dedup_stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_syncmers_successors_with_null_ids_and_many_ranges(spark, monkeypatch):
+    """Ids in many ranges and parts of them, repeated ids, several null ids: each row's successor is the next one, nulls last."""
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 2)
+    rows = [(k * 3 % 5000, f"text {k * 7919 % 1201} of {k}") for k in range(2500)] + [(k, f"again {k}") for k in (0, 300, 300, 4998)] + [(None, f"none {k}") for k in (4, 2, 9)] + [(None, None), (None, "none 2")]
+    found = syncmers.successor_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    edited = []
+    for (i, own), (_, following) in zip(order, order[1:] + order[:1]):
+        cut = len(own) // 4
+        edited.append((i, hashlib.sha256((own[: len(own) - cut] + following[:cut]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in found), key=repr) == sorted(edited, key=repr)
+
+
+def test_mixing_uses_as_many_partitions_as_asked_for(spark, monkeypatch):
+    """Runs of shards follow the number of partitions; places ascend within each shard of a partition."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    monkeypatch.setattr(mixing, "RUN_ROWS", 20)
+    parts = mixing.mix(docs).select("shard", "place", F.spark_partition_id().alias("part")).collect()
+    assert len({r["part"] for r in parts}) > 300
+    seen = {}
+    for r in parts:
+        assert seen.get((r["part"], r["shard"]), -(1 << 63)) <= r["place"]
+        seen[r["part"], r["shard"]] = r["place"]

@@ -1,14 +1,15 @@
 """Facts of web pages as column expressions: title, texts, contacts, links, research signals, kind of page, list entries.
 
-Pages are read with patterns, not as trees: blocks are matched from their opening to their next closing tag, so that
-nested blocks of one name end at the inner one.
+Entries of listings are read by tag intervals (markup), so that nested blocks end where they end. The other facts are read with patterns:
+blocks are matched from their opening to their next closing tag.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspike.functions import markup as M
 from marlspike.functions import text as X
 from marlspike.sources.files import EMAIL, PHONE, first_match
 
@@ -18,6 +19,8 @@ LISTING_WORDS = ("directory", "exhibitor", "exhibitors", "catalog", "catalogue",
 ENTRY_CLASSES = ("card", "item", "exhibitor", "listing", "tile", "directory-row")
 # Blocks without text of their own.
 SILENT = ("script", "style", "noscript", "svg", "nav", "footer", "header")
+# What a listing's own controls say.
+NO_NAMES = ("explore", "view all", "show more", "read more", "click here", "home", "about us", "contact us", "past exhibitors", "confirmed exhibitors", "exhibitor directory", "directory", "back")
 MOST_TEXT, MOST_CONTACTS, MOST_LINKS = 10_000, 10, 20
 
 
@@ -122,18 +125,72 @@ def classify(pages: DataFrame) -> DataFrame:
     return scored.select("page_id", "score", kind.alias("page_type"), confidence.alias("confidence"))
 
 
+def _class(*words: str) -> Column:
+    """Whether a class contains one of these words."""
+    return F.col("class").rlike("|".join(words))
+
+
+def containers(pages: DataFrame) -> DataFrame:
+    """The tokens (markup.tokens, with end) of a listing's entries: page_id, url, k, card (the entry's own token number), whether the token's
+    text stands directly in the entry, and the token's columns.
+
+    Menus, controls and blocks of SILENT are left out. The scope is the element that the address's fragment names; else the exhibitor sections
+    where they hold ten elements of an exhibitor class; else the page, as also where the scope has no container. A container that holds
+    another one is a wrapper and no entry.
+    """
+    rows = M.elements(M.tokens(pages))
+    opened, name, k, end = F.col("end").isNotNull(), F.col("name"), F.col("k"), F.col("end")
+    menu = name.isin("nav", "header", "footer", "button") | _class("menu", "nav", "sidebar", "btn", "filter") | F.col("id").rlike("menu|nav|sidebar")
+    fragment = F.regexp_extract(F.coalesce("url", F.lit("")), "#(.+)$", 1)
+    section = (name.isin("section", "div") & F.contains("id", F.lit("exhibitor"))) | ((name == "section") & _class("exhibitor")) | _class("exhibitor-section")
+    rows = rows.withColumns({"_out": M.inside(opened & menu), "_at": opened & (F.col("id") != "") & (F.col("id") == fragment), "_section": opened & section, "_list": opened & (name == "ul") & _class(r"(^|\s)directory-list(\s|$)")})
+    rows = rows.where("not _out").withColumns({"_in_fragment": M.inside(F.col("_at"), itself=False), "_in_section": M.inside(F.col("_section"), itself=False), "_in_list": M.inside(F.col("_list"), itself=False)})
+    page = Window.partitionBy("page_id")
+    enough = F.count_if(F.col("_in_section") & opened & _class("exhibitor")).over(page) >= 10
+    scoped = F.when(M.on_page(F.col("_at")), F.col("_in_fragment")).when(enough, F.col("_in_section")).otherwise(True)
+    kind = name.isin("article", "tr") | _class(*ENTRY_CLASSES) | ((name == "li") & F.col("_in_list"))
+    rows = rows.withColumn("_container", opened & kind).withColumn("_scoped", F.col("_container") & scoped)
+    following = F.lead("k").over(Window.partitionBy("page_id", "_container").orderBy("k"))
+    leaf = F.col("_container") & (F.col("_scoped") | ~M.on_page(F.col("_scoped"))) & F.coalesce(following > end, F.lit(True))
+    rows = rows.withColumn("_leaf", leaf)
+    so_far = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_card", F.last(F.when(F.col("_leaf"), F.struct("k", "end")), ignorenulls=True).over(so_far)).where(k < F.col("_card.end"))
+    rows = rows.withColumn("card", F.col("_card.k"))
+    below = F.max(F.when(k > F.col("card"), end)).over(Window.partitionBy("page_id", "card").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("direct", F.coalesce(below <= k, F.lit(True))).select("page_id", "url", "k", "card", "end", "name", "class", "href", "text", "direct")
+
+
 def entries(pages: DataFrame) -> DataFrame:
-    """A row for each list item, table row, article, or block of one of ENTRY_CLASSES of a page: place, name, link, email, phone, booth.
+    """A row for each entry of a listing page: place, name, link, email, phone, category, city, booth.
 
-    The name is the first heading, else the first link's text, else the text itself up to 80 characters.
+    The name is the first heading's text (or that of an element whose class says name or title, or of a strong one), else the first link's,
+    else the text that stands directly in the entry, else all of it up to 100 characters; a tag parts words. The link stays on the page's own domain.
     """
-    body = without_silent(F.col("html"))
-    named = rf"""<([a-z][a-z0-9]*)\b[^>]*\bclass=["'][^"']*(?:{"|".join(ENTRY_CLASSES)})[^"']*["'][^>]*>.*?</\2>"""
-    blocks = F.regexp_extract_all(body, F.lit(rf"(?is)<(li|tr|article)\b[^>]*>.*?</\1>|{named}"), F.lit(0))
-    cards = pages.select("page_id", "url", F.posexplode(blocks).alias("place", "card"))
-    text = plain(F.col("card"))
-    name = F.coalesce(*[F.nullif(plain(first_match(F.col("card"), p, 1)), F.lit("")) for p in (r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", r"(?is)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>", r"(?is)<a\b[^>]*>(.*?)</a>")], F.nullif(F.substring(text, 1, 80), F.lit("")))
-    href = first_match(F.col("card"), r"""(?is)<a\b[^>]*\bhref=["']([^"'#][^"']*)["']""", 1)
-    booth = first_match(text, r"(?i)(?:booth|stall|stand|hall)\s*[:#]?\s*([a-z]?-?\d+[a-z]?)", 1)
-    out = cards.select("page_id", "place", name.alias("name"), absolute(href, F.col("url")).alias("link"), first_match(F.col("card"), EMAIL).alias("email"), first_match(text, PHONE).alias("phone"), booth.alias("booth"))
-    return out.where("name is not null")
+    token = F.struct("k", "end", "name", "class", "href", "text", "direct")
+    cards = containers(pages).groupBy("page_id", "url", "card").agg(F.array_sort(F.collect_list(token)).alias("t"))
+    t, one_line = F.col("t"), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    joined = lambda tokens: F.array_join(F.transform(tokens, lambda x: x["text"]), " ")
+
+    def first_text(flag):
+        """The text of the first element with a flag; empty without one. The entry itself is none of its elements."""
+        e = F.get(F.filter(t, lambda x: x["end"].isNotNull() & (x["k"] > F.col("card")) & flag(x)), F.lit(0))
+        return F.coalesce(one_line(joined(F.filter(t, lambda x: (x["k"] >= e["k"]) & (x["k"] < e["end"])))), F.lit(""))
+
+    says = lambda x, words: x["class"].rlike(words)
+    whole = one_line(joined(t))
+    direct = one_line(joined(F.filter(t, lambda x: x["direct"])))
+    fallback = F.coalesce(F.nullif(direct, F.lit("")), whole)
+    name = F.coalesce(
+        F.nullif(first_text(lambda x: x["name"].rlike("^(h[1-5]|strong)$") | says(x, "name|title")), F.lit("")), F.nullif(first_text(lambda x: x["name"] == "a"), F.lit("")), F.when(F.length(fallback).between(2, 100), fallback)
+    )
+    name = F.trim(F.regexp_replace(name, r"(?i)^(exhibitor|company|name):\s*", ""))
+    hrefs = F.filter(F.transform(F.filter(t, lambda x: x["href"] != ""), lambda x: x["href"]), lambda h: ~h.rlike("^(#|javascript:|mailto:|tel:)"))
+    own = F.filter(F.transform(hrefs, lambda h: absolute(h, F.col("url"))), lambda u: X.is_related(u, F.col("url")))
+    with_scheme = lambda scheme: F.regexp_replace(F.get(F.filter(F.transform(t, lambda x: x["href"]), lambda h: F.startswith(h, F.lit(scheme))), F.lit(0)), f"^{scheme}", "")
+    email = F.lower(F.trim(F.coalesce(F.split(with_scheme("mailto:"), r"\?")[0], first_match(F.col("whole"), EMAIL))))
+    phone = F.trim(F.coalesce(with_scheme("tel:"), first_match(F.col("whole"), PHONE)))
+    booth = first_match(F.col("whole"), r"(?i)\b(?:booth|stall|stand|hall)\s*[:#]?\s*([a-z]?-?\d+[a-z]?)", 1)
+    out = cards.withColumns({"whole": whole, "company": name}).where(F.length("company") >= 2).where(F.length("whole") >= 2)
+    out = out.where(~F.lower("company").rlike("^(" + "|".join(NO_NAMES) + ")$"))
+    place = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("card")) - 1
+    return out.select("page_id", place.alias("place"), F.col("company").alias("name"), F.get(own, F.lit(0)).alias("link"), email.alias("email"), phone.alias("phone"), F.nullif(first_text(lambda x: says(x, "category|tag|badge|industry")), F.lit("")).alias("category"), F.nullif(first_text(lambda x: says(x, "location|city|address")), F.lit("")).alias("city"), booth.alias("booth"))

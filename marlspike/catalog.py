@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.operators import analytics, audience, documents, inbox, layers, leads, mail, planning, rules
+from marlspike.operators import analytics, audience, documents, inbox, layers, leads, mail, people, planning, rules
 
-MODULES: list = [analytics, audience, planning, leads, mail, documents, inbox, rules, layers]
+MODULES: list = [analytics, audience, planning, leads, mail, documents, inbox, rules, layers, people]
 #: Queries whose rules SQL restates no better than they do: tested by golden vectors and loops.
 TESTED_BY_VECTORS = ("u01_page_class", "u02_entries", "u05_page_facts")
 

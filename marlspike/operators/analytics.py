@@ -68,7 +68,11 @@ def overview(messages: DataFrame, events: DataFrame, enrollments: DataFrame) ->
         F.count_if(is_event("replied")).alias("reply_events"),
     )
     n = enrollments.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("total_enrolled"), F.count_if(F.col("status").isin(*STARTED)).alias("sequence_started"))
-    joined = n.join(m, "campaign_id", "left").join(u, "campaign_id", "left").join(e, "campaign_id", "left").na.fill(0)
+    return overview_rates(n.join(m, "campaign_id", "left").join(u, "campaign_id", "left").join(e, "campaign_id", "left").na.fill(0))
+
+
+def overview_rates(joined: DataFrame) -> DataFrame:
+    """The overview's columns, from its totals and unique people."""
     delivered, reached = F.greatest(F.lit(0), F.col("sent") - F.col("bounced_messages")), F.greatest(F.lit(0), F.col("unique_sent") - F.col("unique_bounced"))
     wide = joined.withColumns({"delivered": delivered, "unique_delivered": reached, "total_replies": F.greatest("reply_events", "unique_replied")})
     base = F.col("unique_delivered")
@@ -251,8 +255,13 @@ def bulk(messages: DataFrame, events: DataFrame, enrollments: DataFrame) -> Data
     kinds = ("opened", "clicked", "replied")
     people = events.where(F.col("event_type").isin(*kinds)).select("campaign_id", "contact_id", F.col("event_type").alias("kind")).unionByName(messages.where(F.col("status").isin(*kinds)).select("campaign_id", "contact_id", F.col("status").alias("kind")))
     u = people.groupBy("campaign_id").agg(*[_distinct("contact_id", F.col("kind") == k).alias(f"unique_{k}") for k in kinds])
-    out = n.join(m, "campaign_id", "left").join(u, "campaign_id", "left").na.fill(0).withColumn("delivered", F.greatest(F.lit(0), F.col("sent") - F.col("hard_bounces")))
-    for k in kinds:
+    return bulk_rates(n.join(m, "campaign_id", "left").join(u, "campaign_id", "left").na.fill(0))
+
+
+def bulk_rates(joined: DataFrame) -> DataFrame:
+    """The bulk surface's columns, from its totals and unique contacts."""
+    out = joined.withColumn("delivered", F.greatest(F.lit(0), F.col("sent") - F.col("hard_bounces")))
+    for k in ("opened", "clicked", "replied"):
         out = out.withColumn(f"{k}_rate", F.coalesce(rate(F.col(f"unique_{k}"), F.col("delivered"), clamp=False), F.lit(0.0)))
     return out
 

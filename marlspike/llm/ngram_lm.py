@@ -183,7 +183,7 @@ def _save(folder: str, name: str, sequences: dict[str, EliasFano], plain: dict[s
     return path
 
 
-@functools.lru_cache(maxsize=1 << 16)
+@functools.lru_cache(maxsize=1 << 15)  # a process may map 65,530 pieces on Linux
 def _open(folder: str, path: str) -> tuple[dict[str, EliasFano], dict[str, np.ndarray]]:
     """The file's levels, mapped into memory."""
     store, root = pafs.FileSystem.from_uri(folder)
@@ -216,10 +216,9 @@ class Vocabulary:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 where unseen) and counts of sorted hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        limits = np.searchsorted(self.shard_of(hashes), np.arange(len(self.paths) + 1))
-        for s, path in enumerate(self.paths):
-            a, b = limits[s], limits[s + 1]
-            if a < b and path:
+        touched, starts = np.unique(self.shard_of(hashes), return_index=True)
+        for s, a, b in zip(touched.tolist(), starts, np.append(starts[1:], len(hashes)), strict=False):
+            if path := self.paths[s]:
                 words = _open(self.folder, path)[0]
                 at = words["words"].find(hashes[a:b], 0, words["words"].n)
                 hit = np.flatnonzero(at >= 0)
@@ -441,13 +440,11 @@ def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
             columns, counts = _summed(columns, np.ones(len(columns[0]), np.int64), bits)
             shard = m.pair_shard(columns[0] - 1, columns[1] - 1)
             dealt = np.argsort(shard, kind="stable")
-            limits = np.searchsorted(shard[dealt], np.arange(shards + 1))
-            for s in range(shards):
-                mine = dealt[limits[s] : limits[s + 1]]
-                if len(mine):
-                    wide = -(-int(counts[mine].max()).bit_length() // 8)
-                    raw = b"".join([_planes(np.diff(columns[0][mine], prepend=0), width), *(_planes(c[mine], width) for c in columns[1:]), _planes(counts[mine], wide)])
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "grams": [len(mine)], "wide": pa.array([wide], pa.int32()), "block": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
+            touched, starts = np.unique(shard[dealt], return_index=True)
+            for s, mine in zip(touched.tolist(), np.split(dealt, starts[1:]), strict=False):
+                wide = -(-int(counts[mine].max()).bit_length() // 8)
+                raw = b"".join([_planes(np.diff(columns[0][mine], prepend=0), width), *(_planes(c[mine], width) for c in columns[1:]), _planes(counts[mine], wide)])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "grams": [len(mine)], "wide": pa.array([wide], pa.int32()), "block": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
 
         for batch in batches:
             for _, _, tokens, limits in _parts(batch.column(text)):
@@ -559,9 +556,12 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_tokens: i
     by_id = np.argsort(model.frequent)
     model.frequent, model.frequent_counts = model.frequent[by_id], model.frequent_counts[by_id]
     model.frequent_kinds = np.zeros(len(model.frequent), np.int64)
-    for r in _build_levels(docs, text, model).collect():
+    levels = _build_levels(docs, text, model)
+    # a path for each shard; the words seen behind a frequent context lie in many shards and are summed there
+    for r in levels.select("shard", "path").collect():
         model.levels[r["shard"]] = r["path"]
-        model.frequent_kinds += np.array(r["kinds"], np.int64)
+    for r in levels.select(F.posexplode("kinds").alias("at", "n")).where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        model.frequent_kinds[r["at"]] = r["n"]
     return model
 
 
@@ -586,11 +586,9 @@ def _probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, limits: np
             seen = np.flatnonzero(before >= 0)
             place, shard = np.full(len(ids), -1, np.int64), home
         by_shard = seen[np.argsort(shard[seen], kind="stable")]
-        bounds = np.searchsorted(shard[by_shard], np.arange(len(model.levels) + 1))
-        for s, path in enumerate(model.levels):
-            mine = by_shard[bounds[s] : bounds[s + 1]]
-            if not len(mine):
-                continue
+        touched, starts = np.unique(shard[by_shard], return_index=True)
+        for s, mine in zip(touched.tolist(), np.split(by_shard, starts[1:]), strict=False):
+            path = model.levels[s]
             if not path:
                 # no n-gram fell to this shard, but words behind frequent contexts, unseen there, may be looked for in it
                 words = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])

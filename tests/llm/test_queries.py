@@ -320,6 +320,18 @@ def test_op10(spark, docs):
         assert r["score"] == pytest.approx(sum(math.log10(triple(b, c, w)) for b, c, w in zip([None, 0, *own], [0, *own], own)), rel=1e-3)
 
 
+def test_ngram_shards(spark, docs):
+    """Many tiny shards, most of them without n-grams, score as a few large ones do."""
+    from marlspike.llm import ngram_lm as N
+
+    rows = spark.createDataFrame([(i, f"a b a c{i % 7} a b d{i}" if i % 9 else "") for i in range(60)], "doc_id long, text string")
+    few, many = N.fit(rows), N.fit(rows, shard_tokens=3)
+    assert len(many.levels) >= 128 > len(few.levels) and None in many.levels
+    asked = rows.unionByName(spark.createDataFrame([(-1, "d1 d2 a b b zz c3 a"), (-2, None)], "doc_id long, text string"))
+    scores = [{r["doc_id"]: (r["n_known"], round(r["score"], 6)) for r in N.score(asked, m).collect()} for m in (few, many)]
+    assert scores[0] == scores[1] and len(scores[0]) == 62
+
+
 @pytest.mark.parametrize("order", [2, 4])
 def test_ngram_orders(spark, docs, order):
     """The probabilities of all words (and the end) after a context add up to 1 on every order."""

@@ -203,6 +203,17 @@ def _open(folder: str, path: str) -> tuple[dict[str, EliasFano], dict[str, np.nd
     return sequences, arrays
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an ordered array, and where each begins."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[starts], starts
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Places in the order of their shards; short numbers are sorted by digits."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+
+
 class Vocabulary:
     """Words by hash over all shards: ids ascend with the hash, so that a shard's ids are a run from its offset."""
 
@@ -216,7 +227,7 @@ class Vocabulary:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 where unseen) and counts of sorted hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        touched, starts = np.unique(self.shard_of(hashes), return_index=True)
+        touched, starts = _runs(self.shard_of(hashes))
         for s, a, b in zip(touched.tolist(), starts, np.append(starts[1:], len(hashes)), strict=False):
             if path := self.paths[s]:
                 words = _open(self.folder, path)[0]
@@ -439,8 +450,8 @@ def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
             columns = [np.concatenate([w[k] for w in waiting]) for k in range(order)]
             columns, counts = _summed(columns, np.ones(len(columns[0]), np.int64), bits)
             shard = m.pair_shard(columns[0] - 1, columns[1] - 1)
-            dealt = np.argsort(shard, kind="stable")
-            touched, starts = np.unique(shard[dealt], return_index=True)
+            dealt = _by_shard(shard, shards)
+            touched, starts = _runs(shard[dealt])
             for s, mine in zip(touched.tolist(), np.split(dealt, starts[1:]), strict=False):
                 wide = -(-int(counts[mine].max()).bit_length() // 8)
                 raw = b"".join([_planes(np.diff(columns[0][mine], prepend=0), width), *(_planes(c[mine], width) for c in columns[1:]), _planes(counts[mine], wide)])
@@ -585,8 +596,8 @@ def _probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, limits: np
             home[1:] = shard[:-1]
             seen = np.flatnonzero(before >= 0)
             place, shard = np.full(len(ids), -1, np.int64), home
-        by_shard = seen[np.argsort(shard[seen], kind="stable")]
-        touched, starts = np.unique(shard[by_shard], return_index=True)
+        by_shard = seen[_by_shard(shard[seen], len(model.levels))]
+        touched, starts = _runs(shard[by_shard])
         for s, mine in zip(touched.tolist(), np.split(by_shard, starts[1:]), strict=False):
             path = model.levels[s]
             if not path:

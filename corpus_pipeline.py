@@ -42,7 +42,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rules and whose host isn't rejected."""
-    verdicts = host_rules.hosts(host_rules.measure(docs.select("source", "text")).select("source", "base_failed"))
+    verdicts = host_rules.hosts(host_rules.measure(docs.select("source", "text")))
     return _unpacked(host_rules.judge(host_rules.measure(_packed(docs)), verdicts).where("kept"), docs)
 
 

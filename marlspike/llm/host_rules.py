@@ -1,11 +1,13 @@
 """Quality rules of documents and hosts, in DataFrame functions alone.
 
-Each whole text is judged by base rules; failures are summed by host, each host's rate is shrunk towards the corpus by a
-beta prior fitted to the hosts' rates (moments). A host loses all its documents if its posterior rate, less SURE posterior
-standard deviations, still exceeds FACTOR times the corpus's rate (or, in a corpus so bad that this is out of reach, half the
-way from the corpus's rate to 1): the more documents a host has, the less it must exceed that limit to be rejected. The
-table of hosts is written once and joined back; Spark broadcasts it only below its own size limit, and otherwise deals
-a hot host's rows out by its handling of skewed joins.
+Each whole text is judged by rules; failures are summed by host and rule in one pass. Each rule has a beta prior of its own,
+fitted to the hosts' rates of that rule (moments), towards which it shrinks them. A rule speaks against a host if its posterior
+rate, less SURE posterior standard deviations, still exceeds FACTOR times the corpus's rate (or, in a corpus so bad that this
+is out of reach, half the way from the corpus's rate to 1): the more documents a host has, the less it must exceed that
+limit. A host loses all its documents if a rule on its texts' substance (few words, repeats, either) speaks against it, or
+two rules on their style (symbols, repeated lines, lengths of words) do: one alone also tells code, verse and scripts without
+spaces from prose. The table of hosts, a row for each, is written once and joined back; Spark broadcasts it only below its own
+size limit, and otherwise deals a hot host's rows out by its handling of skewed joins.
 
 Cases: a null text has no word and fails; null hosts form one host; repeated rows count as often as they stand; an empty
 table has no host and no result; columns named like a result column are replaced.
@@ -22,8 +24,14 @@ from marlspike.llm.common import table, without
 
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
+#: Average lengths of words within which prose lies.
+LEAST_LENGTH, MOST_LENGTH = 3, 10
+#: Rules of style that must speak against a host together.
+STYLE_RULES = 2
 #: A host is rejected if its rate exceeds this multiple of the corpus's by so many standard deviations (one chance in 100).
 FACTOR, SURE = 3.0, 2.326
+#: Columns that measure adds.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed")
 #: Limits of the prior's weight in documents.
 LEAST_PRIOR, MOST_PRIOR = 1.0, 1e6
 
@@ -61,44 +69,80 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
+def few_words() -> Column:
+    return F.col("n_words") < MIN_WORDS
+
+
+def many_repeats() -> Column:
+    return 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
+
+
+def substance() -> dict[str, Column]:
+    """Rules of substance, by name: whether a measured text fails them."""
+    return {"base": F.col("base_failed"), "few_words": few_words(), "repeats": many_repeats()}
+
+
+def style() -> dict[str, Column]:
+    """Rules of style, by name: over a symbol in ten words, over three in ten lines repeated, words too long or short on average."""
+    words, chars = F.col("n_words"), F.col("word_chars")
+    return {"symbols": 10 * F.col("n_symbols") > words, "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), "word_length": (chars < LEAST_LENGTH * words) | (chars > MOST_LENGTH * words)}
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed (boolean)."""
-    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_base")
+    """docs with the columns of MEASURED: counts (long; n_lines: lines with a word) and base_failed (boolean)."""
+    docs = without(docs, *MEASURED, "_base", "_lines")
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def base(words: Column) -> Column:
         return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated_words(words).alias("n_repeat_words"))
 
-    found = docs.withColumn("_base", let(words_of(whole), base))
-    return found.select(
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
+
+    found = docs.withColumns({"_base": let(words_of(whole), base), "_lines": let(lines, of_lines)})
+    wide = found.select(
         "*",
         F.col("_base.n_words").alias("n_words"),
         F.col("_base.word_chars").alias("word_chars"),
         F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        F.col("_lines.dup").alias("n_dup_lines"),
+        F.col("_lines.n").alias("n_lines"),
         F.col("_base.n_repeat_words").alias("n_repeat_words"),
-        ((F.col("_base.n_words") < MIN_WORDS) | (100 * F.col("_base.n_repeat_words") > REPEAT_PERCENT * F.col("_base.n_words"))).alias("base_failed"),
-    ).drop("_base")
+    )
+    return wide.withColumn("base_failed", few_words() | many_repeats()).drop("_base", "_lines")
+
+
+def _prior(n: int, k: int, square: float, m: int) -> tuple[float, float]:
+    """Mean and strength (in documents) of a rule's prior, from sums over m hosts: documents n, failures k, failures squared by documents."""
+    if not n:
+        return 0.0, LEAST_PRIOR
+    mean = k / n
+    between = square / n - mean * mean
+    noise = mean * (1 - mean) * m / n
+    strength = (mean * (1 - mean) - between) / (between - noise) if between > noise else MOST_PRIOR
+    return mean, min(max(strength, LEAST_PRIOR), MOST_PRIOR)
 
 
 def hosts(measured: DataFrame, host: str = "source", factor: float = FACTOR, sure: float = SURE) -> DataFrame:
-    """host, host_documents, host_failures, host_rate (shrunk), host_least (the rate that it surely has), host_rejected; a row for
-    each host, written in the shared folder."""
-    counts = table(measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_documents"), F.count_if("base_failed").alias("host_failures")), "hosts")
-    # over the hosts: documents, failures, the weighted square of the rates
-    n, k, square, m = counts.agg(F.sum("host_documents"), F.sum("host_failures"), F.sum(F.col("host_failures") * F.col("host_failures") / F.col("host_documents")), F.count(F.lit(1))).first()
-    mean, strength = 0.0, LEAST_PRIOR
-    if n:
-        mean = k / n
-        between = square / n - mean * mean
-        noise = mean * (1 - mean) * m / n
-        strength = (mean * (1 - mean) - between) / (between - noise) if between > noise else MOST_PRIOR
-        strength = min(max(strength, LEAST_PRIOR), MOST_PRIOR)
-    rate = (F.col("host_failures") + F.lit(mean * strength)) / (F.col("host_documents") + F.lit(strength))
-    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_documents") + F.lit(strength + 1)))
-    judged = counts.withColumn("host_rate", rate).withColumn("host_least", F.col("host_rate") - F.lit(sure) * deviation)
-    return judged.withColumn("host_rejected", F.col("host_least") > F.lit(min(factor * mean, (1 + mean) / 2)))
+    """A row for each host, written in the shared folder: host, host_documents, host_failures (of the base rules), host_rate (theirs, shrunk),
+    host_rules (array of the rules that speak against it, in their order), host_rejected."""
+    rules = substance() | style()
+    failed = lambda rule: F.col(f"failed_{rule}")
+    counts = table(measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_documents"), *[F.count_if(fails).alias(f"failed_{rule}") for rule, fails in rules.items()]), "hosts")
+    # one row of sums over the hosts
+    squares = [F.sum(failed(rule) * failed(rule) / F.col("host_documents")).alias(f"square_{rule}") for rule in rules]
+    sums = counts.agg(F.sum("host_documents").alias("n"), F.count(F.lit(1)).alias("m"), *[F.sum(failed(rule)).alias(f"failed_{rule}") for rule in rules], *squares).first()
+    rates, against = {}, {}
+    for rule in rules:
+        mean, strength = _prior(sums["n"], sums[f"failed_{rule}"], sums[f"square_{rule}"], sums["m"])
+        rate = (failed(rule) + F.lit(mean * strength)) / (F.col("host_documents") + F.lit(strength))
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("host_documents") + F.lit(strength + 1)))
+        rates[rule], against[rule] = rate, rate - F.lit(sure) * deviation > F.lit(min(factor * mean, (1 + mean) / 2))
+    speaking = lambda names: F.array_compact(F.array(*[F.when(against[rule], F.lit(rule)) for rule in names]))
+    judged = counts.select("host", "host_documents", failed("base").alias("host_failures"), rates["base"].alias("host_rate"), speaking(substance()).alias("_substance"), speaking(style()).alias("_style"))
+    rejected = (F.size("_substance") > 0) | (F.size("_style") >= STYLE_RULES)
+    return judged.select("host", "host_documents", "host_failures", "host_rate", F.concat("_substance", "_style").alias("host_rules"), rejected.alias("host_rejected"))
 
 
 def judge(measured: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:

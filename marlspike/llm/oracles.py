@@ -18,26 +18,32 @@ WITH base AS (
 ), covered AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, i + unnest(range(0, 8)) AS p FROM windows SEMI JOIN twice USING (r, w)) GROUP BY r
 ), lines AS (
-  SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+  SELECT r, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
 ), measured AS (
   SELECT t.doc_id, t.source, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(l.lines, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM tokens t LEFT JOIN lines l USING (r) LEFT JOIN covered c USING (r)
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+), rules AS (
+  SELECT source, unnest(['base', 'few_words', 'repeats', 'symbols', 'dup_lines', 'word_length']) AS rule,
+    unnest([base_failed, n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines, word_chars < 3 * n_words OR word_chars > 10 * n_words]) AS failed
+  FROM judged
 ), hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM judged GROUP BY source
+  SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM rules GROUP BY ALL
 ), prior AS (
-  SELECT sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 AS between_hosts, (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS noise FROM hosts
+  SELECT rule, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 AS between_hosts, (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS noise FROM hosts GROUP BY rule
 ), strength AS (
-  SELECT mean, CASE WHEN between_hosts > noise THEN least(greatest((mean * (1 - mean) - between_hosts) / (between_hosts - noise), 1.0), 1e6) ELSE 1e6 END AS s FROM prior
+  SELECT rule, mean, CASE WHEN between_hosts > noise THEN least(greatest((mean * (1 - mean) - between_hosts) / (between_hosts - noise), 1.0), 1e6) ELSE 1e6 END AS s FROM prior
 ), rates AS (
-  SELECT source, n, s, mean, (k + mean * s) / (n + s) AS rate FROM hosts, strength
+  SELECT source, rule, n, s, mean, (k + mean * s) / (n + s) AS rate FROM hosts JOIN strength USING (rule)
+), against AS (
+  SELECT source, rule, rate - 2.326 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3 * mean, (1 + mean) / 2) AS speaks FROM rates
 ), verdicts AS (
-  SELECT source, rate - 2.326 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3 * mean, (1 + mean) / 2) AS rejected FROM rates
+  SELECT source, count(*) FILTER (WHERE speaks AND rule IN ('base', 'few_words', 'repeats')) > 0 OR count(*) FILTER (WHERE speaks AND rule IN ('symbols', 'dup_lines', 'word_length')) > 1 AS rejected FROM against GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, n_lines
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 

@@ -46,9 +46,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    columns = ["doc_id", *host_rules.MEASURED]
     measured = table(host_rules.measure(documents(spark, sf_dir).select("doc_id", "source", "text")).select("source", *columns), "quality")
-    return host_rules.judge(measured, host_rules.hosts(measured)).select(*columns, "kept")
+    return host_rules.judge(measured, host_rules.hosts(measured)).select(*[c for c in columns if c != "n_lines"], "kept", "n_lines")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

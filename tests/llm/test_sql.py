@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 pytest.importorskip("marlspike.llm")
-from marlspike.llm import oracles, queries, warc  # noqa: E402
+from marlspike.llm import host_rules, oracles, queries, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,3 +66,24 @@ def test_hosts_that_fail_often_lose_their_good_documents(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     wanted = con.execute(f"SELECT doc_id, base_failed, kept FROM ({oracles.SQL['op6_host_rules']})").fetchall()
     assert {r[0]: r[1:] for r in wanted} == {i: (r["base_failed"], r["kept"]) for i, r in found.items()}
+
+
+def test_hosts_are_judged_by_rule(spark, tmp_path):
+    """A rule that seldom fails speaks against a host that the base rules together would spare; one rule of style alone doesn't, two do."""
+    good = lambda i: " ".join(f"w{(i * 31 + k * k) % 997}x{k}" for k in range(30))
+    repeated = lambda i: f"{good(i)} " + "one two three four five six seven eight " * 3
+    signs = lambda i: good(i) + " # $ % & |"
+    lines = lambda i: good(i) + "\nsame line" * 6 + " # $ % & | < >"
+    rows = []
+    for host, bad, failed, n in [*((f"h{i}", lambda _: "short", 20 + i % 5, 150) for i in range(20)), ("repeats", repeated, 20, 150), ("signs", signs, 150, 150), ("styled", lines, 140, 150)]:
+        rows += [(len(rows) + i, bad(i) if i < failed else good(len(rows) + i), host) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    measured = host_rules.measure(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    verdicts = {r["host"]: r for r in host_rules.hosts(measured).collect()}
+    assert {h: r["host_rules"] for h, r in verdicts.items() if r["host_rules"]} == {"repeats": ["repeats"], "signs": ["symbols"], "styled": ["symbols", "dup_lines"]}
+    assert {h for h, r in verdicts.items() if r["host_rejected"]} == {"repeats", "styled"}
+    found = {r["doc_id"]: r for r in queries.op6_host_rules(spark, str(tmp_path)).collect()}
+    assert all(r["kept"] == (not r["base_failed"] and rows[i][2] not in ("repeats", "styled")) for i, r in found.items())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({oracles.SQL['op6_host_rules']})").fetchall()} == {i: r["kept"] for i, r in found.items()}

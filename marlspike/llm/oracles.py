@@ -63,17 +63,18 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN winner = page_id THEN '
 
 def _licenses() -> str:
     """Every template at every place of its key phrase, scored by the words that stand at their places there."""
-    templates = ", ".join(f"({t}, '{label}', '{wording}', '{key}')" for t, (label, wording, key) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join(f"({t}, '{label}', '{' '.join(words)}', {[' '.join(phrase) for _, phrase in keys]})" for t, (label, words, keys) in enumerate(licenses.INDEX))
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.PHRASES.items())
     return f"""
 WITH documents_ AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), placed AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS at FROM documents_
-), templates AS (SELECT t, label, string_split(wording, ' ') AS words, string_split(key, ' ') AS phrase FROM (VALUES {templates}) x(t, label, wording, key)
+), templates AS (SELECT t, label, string_split(wording, ' ') AS words, keys FROM (VALUES {templates}) x(t, label, wording, keys)
 ), posting AS (SELECT t, unnest(words) AS word, unnest(range(len(words))) AS place FROM templates
 ), idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / ((SELECT count(DISTINCT r) FROM placed p WHERE p.word = v.word) + 0.5)) AS idf FROM (SELECT DISTINCT word FROM posting) v
 ), totals AS (SELECT t, sum(idf) AS total FROM posting JOIN idf USING (word) GROUP BY t
-), first AS (SELECT t, label, phrase, list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)[1] AS at FROM templates
-), keyed AS (SELECT p.r, f.t, f.label, p.at - f.at AS shift FROM placed p JOIN first f ON p.word = f.phrase[1] JOIN documents_ d ON d.r = p.r WHERE d.words[p.at + 1 : p.at + len(f.phrase)] = f.phrase
+), split AS (SELECT t, label, words, k, string_split(keys[k], ' ') AS phrase, len(keys) AS n FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS k FROM templates)
+), first AS (SELECT t, label, k, n, phrase, list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)[1] AS at FROM split
+), keyed AS (SELECT p.r, f.t, f.label, p.at - f.at AS shift FROM placed p JOIN first f ON p.word = f.phrase[1] JOIN documents_ d ON d.r = p.r WHERE d.words[p.at + 1 : p.at + len(f.phrase)] = f.phrase GROUP BY ALL HAVING count(DISTINCT k) = any_value(n)
 ), shares AS (SELECT k.r, k.t, k.label, k.shift, sum(idf) / any_value(total) AS share FROM keyed k JOIN posting g USING (t) JOIN placed p ON p.r = k.r AND p.at = k.shift + g.place AND p.word = g.word JOIN idf ON idf.word = g.word JOIN totals ON totals.t = k.t GROUP BY ALL
 ), found AS (SELECT r, list(DISTINCT label) AS more, least(1.0, max(share)) AS share FROM shares WHERE least(1.0, share) >= {licenses.LEAST_SCORE} GROUP BY r
 ), phrases AS (SELECT string_split(phrase, ' ') AS phrase, label FROM (VALUES {phrases}) x(phrase, label)

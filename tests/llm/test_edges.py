@@ -214,17 +214,40 @@ def test_licenses(spark, empty):
 def test_licenses_of_texts_with_many_licence_words(spark):
     """Verbatim notices keep their labels and full score, however many other licence words the text holds."""
     vocabulary = " ".join(w for w in licenses.VOCABULARY for _ in range(2))
-    every = [(i, f"{vocabulary} ; {wording} ; {vocabulary}", "x") for i, (_, wording, _) in enumerate(licenses.TEMPLATES)]
-    whole = " ; ".join(wording for _, wording, _ in licenses.TEMPLATES)
+    every = [(i, f"{vocabulary} ; {' '.join(words)} ; {vocabulary}", "x") for i, (_, words, _) in enumerate(licenses.INDEX)]
+    whole = " ; ".join(" ".join(words) for _, words, _ in licenses.INDEX)
     rows = [*every, (100, whole, "x"), (101, licenses.TEMPLATES[0][1], "x"), (102, vocabulary, "x"), (103, "no licence here", "x")]
     found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+    for i, (label, _, _) in enumerate(licenses.INDEX):
         assert label in found[i]["labels"].split(",") and found[i]["score"] == pytest.approx(1.0)
-    assert found[100]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert found[100]["labels"] == ",".join(sorted({label for label, _, _ in licenses.INDEX}))
     assert found[101]["labels"] == "mit" and found[101]["score"] == pytest.approx(1.0)
     assert (found[102]["labels"], found[102]["score"]) == (found[103]["labels"], found[103]["score"]) == ("", 0.0)
 
 
+def test_licenses_by_paragraph_and_name(spark):
+    """A single paragraph tells the licence, as do its name and version; words changed within it lower the score alone."""
+    warranty = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM"
+    texts = {
+        "This program is free software; you can redistribute it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl-2",
+        warranty: "mit",
+        "* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation": "bsd",
+        "available under the Eclipse Public License v2.0": "epl-2",
+        "Boost Software License - Version 1.0 - August 17th, 2003": "bsl-1",
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify": "ofl-1.1",
+        warranty.replace("MERCHANTABILITY", "USEFULNESS"): "mit",
+        warranty.replace("COPYRIGHT HOLDERS", "OWNERS"): "",
+        "the software is provided with a license": "",
+        "license MIT, identifier SPDX": "",
+    }
+    docs = spark.createDataFrame([(i, text, "x") for i, text in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [found[i]["labels"] for i in range(len(texts))] == list(texts.values())
+    assert found[1]["score"] > found[8]["score"] >= licenses.LEAST_SCORE and found[9]["score"] == 0.0
+
+
 def test_token_edits(docs, empty):
     edit = lambda start, removed, inserted: F.struct(F.lit(start).alias("start"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
     edits = F.array(edit(3, 2, "XY zed"), F.lit(None).cast("struct<start:int,removed:int,inserted:string>"), edit(10_000_000, 1, "end"))

@@ -6,7 +6,6 @@ everything behind the split runs line by line in parallel.
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +34,7 @@ SITE = r"(?:https?://)?(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:/[^\s]*)?"
 # Keys that hold the records of a payload, and keys that wrap another level, in order.
 RECORD_KEYS = ("items", "results", "data", "records", "exhibitors", "companies", "list", "rows", "members", "attendees")
 WRAPPERS = ("data", "response", "payload", "result")
+MOST_WRAPPERS = 3
 # Names under which a JSON record carries each field, in order.
 RECORD_FIELDS = {
     "contact": ("contactPerson", "contactPersonName", "contact_person", "contact_name", "contact", "person", "representative", "lead_name", "owner"),
@@ -153,37 +153,31 @@ def pasted_rows(sources: DataFrame) -> DataFrame:
     return table.unionByName(text_rows(sources.where(~is_table(F.coalesce("content", F.lit(""))))))
 
 
-def find_records(payload, depth: int = 0) -> list | None:
-    """The list of at least two records in a parsed payload: itself, under a known key, or within a wrapper."""
-    if depth > 3 or not isinstance(payload, (list, dict)):
-        return None
-    if isinstance(payload, list):
-        return payload if len(payload) >= 2 else None
-    for key in RECORD_KEYS:
-        if isinstance(payload.get(key), list) and len(payload[key]) >= 2:
-            return payload[key]
-    for key in WRAPPERS:
-        if found := find_records(payload.get(key), depth + 1):
-            return found
-    return None
+def find_records(payload: Column) -> Column:
+    """The list (array of variants) of at least two records in a parsed payload: itself, under a known key, or within up to three wrappers; the
+    keys of a level come before its wrappers, a wrapper with all within it before the next."""
+
+    def own(node: Column) -> Column:
+        lists = F.array(*[F.try_variant_get(node, path, "array<variant>") for path in ("$", *[f"$.{key}" for key in RECORD_KEYS])])
+        return F.get(F.filter(lists, lambda x: F.size(x) >= 2), 0)
+
+    def within(node: Column) -> Column:
+        return F.array(*[F.struct(F.concat(node["place"], F.lit(str(i))).alias("place"), F.try_variant_get(node["value"], f"$.{key}", "variant").alias("value")) for i, key in enumerate(WRAPPERS)])
+
+    level = F.array(F.struct(F.lit("").alias("place"), payload.alias("value")))
+    levels = [level]
+    for _ in range(MOST_WRAPPERS):
+        level = F.filter(F.flatten(F.transform(level, within)), lambda n: n["value"].isNotNull())
+        levels.append(level)
+    found = F.filter(F.transform(F.concat(*levels), lambda n: F.struct(n["place"].alias("place"), own(n["value"]).alias("records"))), lambda n: n["records"].isNotNull())
+    none = F.lit(None).cast("struct<place:string,records:array<variant>>")
+    return F.aggregate(found, none, lambda first, n: F.when(first.isNull() | (n["place"] < first["place"]), n).otherwise(first))["records"]
 
 
 def json_records(sources: DataFrame) -> DataFrame:
-    """source_id, row_number, record (JSON text): a row for each record of the payloads."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for source, content in zip(batch["source_id"], batch["content"], strict=True):
-                try:
-                    found = find_records(json.loads(content)) if content else None
-                except ValueError:
-                    found = None
-                out += [(source, i + 1, json.dumps(x)) for i, x in enumerate(found or [])]
-            if out:
-                yield type(batch)(out, columns=["source_id", "row_number", "record"])
-
-    return sources.select(F.col("source_id").cast("long").alias("source_id"), "content").mapInPandas(run, "source_id long, row_number int, record string")
+    """source_id, row_number, record (JSON text): a row for each record of the payloads; what isn't JSON, or has an object with a key twice, has none."""
+    found = sources.select(F.col("source_id").cast("long").alias("source_id"), find_records(F.try_parse_json("content")).alias("records"))
+    return found.select("source_id", F.posexplode("records").alias("place", "value")).select("source_id", (F.col("place") + 1).alias("row_number"), F.to_json("value").alias("record"))
 
 
 def is_listing_title(name: Column) -> Column:

@@ -1,5 +1,8 @@
 """Golden vectors of uploads, pages, templates and exports, and the queries that have no SQL."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,37 @@ def test_json_payloads(spark):
     assert {(r["source_id"], r["company"], r["email"]) for r in rows} == {(0, "Acme", None), (1, "Real", None)}
 
 
+def test_json_records_equal_a_walk(spark):
+    """Lists under keys and wrappers, nested, mixed and too deep, against a walk over the parsed payload."""
+    rng = random.Random(5)
+    names = [*S.RECORD_KEYS[:4], *S.WRAPPERS, "other"]
+
+    def payload(depth):
+        kind = rng.random()
+        if depth > 4 or kind < 0.2:
+            return rng.choice([None, 1, "x", True, [], [1], {}])
+        if kind < 0.45:
+            return [{"n": rng.randrange(100)} for _ in range(rng.randrange(4))]
+        return {key: payload(depth + 1) for key in rng.sample(names, rng.randrange(1, 5))}
+
+    def walk(node, depth=0):
+        if isinstance(node, list):
+            return node if len(node) >= 2 else None
+        if depth > S.MOST_WRAPPERS or not isinstance(node, dict):
+            return None
+        lists = [node[k] for k in S.RECORD_KEYS if isinstance(node.get(k), list) and len(node[k]) >= 2]
+        inner = [] if lists else [found for found in (walk(node[k], depth + 1) for k in S.WRAPPERS if k in node and depth < S.MOST_WRAPPERS) if found]
+        return lists[0] if lists else inner[0] if inner else None
+
+    payloads = [payload(0) for _ in range(400)]
+    found = {}
+    for r in S.json_records(sources(spark, *map(json.dumps, payloads))).orderBy("source_id", "row_number").collect():
+        found.setdefault(r["source_id"], []).append((r["row_number"], json.loads(r["record"])))
+    wanted = {i: [(k + 1, x) for k, x in enumerate(walk(p))] for i, p in enumerate(payloads) if walk(p)}
+    assert found == wanted and len(wanted) > 100
+    assert S.json_records(sources(spark, '[{"a": 1}, {"a": 2}', "", None, "[1]", "{")).count() == 0
+
+
 PAGE = """<html><head><title>Acme - home</title><meta name="description" content="We make &amp; sell anvils"></head><body><nav>menu a@nav.org</nav>
 <h1>Anvils for all</h1><script>var x = 1</script><p>Call +1 (555) 234-5678 or <b>mail</b> info@acme.org, logo@2x.png</p><a href="/about">About</a><a href="#x">no</a></body></html>"""
 

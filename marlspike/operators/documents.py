@@ -100,7 +100,7 @@ def s11_engagement_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_company_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = leads.f08_normalize(spark, sf_dir).join(leads.d04_resolve(spark, sf_dir), "row_number")
+    n = leads.resolved_leads(spark, sf_dir)
     cells = {"Company Name": F.col("company"), "Normalized Company Name": F.col("name"), "Domain": F.col("resolved"), "Resolution Status": F.col("resolution"), "Resolution Source": F.col("source")}
     return n.select("row_number", E.line(E.COMPANIES, cells).alias("line"))
 

@@ -231,14 +231,17 @@ def f20_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", X.string_hash(F.col("c_name")).alias("hashed"))
 
 
-def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    leads = _leads(spark, sf_dir)
-    return leads.where("row_number % 3 = 0"), leads.where("row_number % 3 <> 0")
+def normalized_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leads in normal form as a table, for queries that use them more than once."""
+    return written(_leads(spark, sf_dir), "normalized")
+
+
+def _matched(leads: DataFrame) -> DataFrame:
+    return match_existing(leads.where("row_number % 3 = 0"), leads.where("row_number % 3 <> 0"))
 
 
 def j13_er_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes, existing = _split(spark, sf_dir)
-    return match_existing(probes, existing)
+    return _matched(_leads(spark, sf_dir))
 
 
 def a27_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +254,7 @@ def d03_dedupe_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_batch(_leads(spark, sf_dir))
 
 
-def d04_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = _leads(spark, sf_dir)
+def _resolved(leads: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
     label = F.concat(F.lit("nova "), F.element_at(F.array(*[F.lit(x) for x in ("textile", "software", "global", "marine", "solar")]), (k % 5 + 1).cast("int")), F.lit(" "), k % 211)
@@ -263,6 +265,17 @@ def d04_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(leads, organizations, prior, search)
 
 
+def d04_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(_leads(spark, sf_dir), spark, sf_dir)
+
+
+def resolved_leads(spark: SparkSession, sf_dir: str, matched: bool = False) -> DataFrame:
+    """Leads in normal form with their resolution and, if asked for, their status against the known ones (probes alone then): normalised once."""
+    leads = normalized_once(spark, sf_dir)
+    out = leads.join(_resolved(leads, spark, sf_dir), "row_number")
+    return out.join(_matched(leads), "row_number") if matched else out
+
+
 def d15_rerun_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a rerun that stay: neither name nor domain is in the batch, and no earlier row of the run has them."""
     leads = _leads(spark, sf_dir)

@@ -63,6 +63,58 @@ def facet_counts(leads: DataFrame, dedupe: str | None = None, resolution: str |
     return leads.agg(F.count_if(d & r).alias("total"), *by_status, *by_resolution)
 
 
+def batch_summary(judged: DataFrame, stored: DataFrame, batch: str = "user_id") -> DataFrame:
+    """Ten counts of each batch of leads (status, resolution, source, email, phone); a stored counter counts where it isn't zero.
+
+    stored: batch, resolved, unresolved, review, found.
+    """
+    none = lambda c: F.count_if(F.col(c).isNull()).alias(f"missing_{c}")
+    by_status = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("UNIQUE", "DUPLICATE", "POSSIBLE_DUPLICATE")]
+    levels = {"resolved": ("RESOLVED_HIGH", "RESOLVED_MEDIUM"), "unresolved": ("UNRESOLVED",), "review": ("REVIEW_REQUIRED",)}
+    counted = {name: F.count_if(F.col("resolution").isin(*those)) for name, those in levels.items()} | {"found": F.count_if(F.col("source") == "DIRECTORY")}
+    n = judged.groupBy(batch).agg(F.count(F.lit(1)).alias("total"), *by_status, none("email"), none("phone"), *[c.alias(name) for name, c in counted.items()])
+    known = stored.select(batch, *[F.nullif(c, F.lit(0).cast("long")).alias(f"stored_{c}") for c in counted])
+    return n.join(known, batch, "left").withColumns({c: F.coalesce(f"stored_{c}", c) for c in counted}).select(*n.columns)
+
+
+def buffers(candidates: DataFrame, batch: Column, cap: int, by: str = "campaign_id") -> DataFrame:
+    """The candidates that a mailbox looks at for a batch of k: 10 k + k by due time and id, cap at most, with their place."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy("due", "id"))
+    return candidates.withColumn("place", place).where(F.col("place") <= F.least(F.lit(cap), batch * 10 + batch))
+
+
+def newest(rows: DataFrame, cap: int, by: str = "row_number") -> DataFrame:
+    """The newest rows up to the export's cap."""
+    return rows.orderBy(F.desc(by)).limit(cap)
+
+
+def allowed_days(pairs: DataFrame, own: Column, box: Column, by: str = "campaign_id") -> DataFrame:
+    """by, days: days on which each campaign can send through any of its mailboxes; a row of pairs for each mailbox. Without any day there is no row."""
+    shared = C.common_days(C.normalize_days(own), C.normalize_days(box))
+    # seven days at most a pair, distinct before they meet
+    days = pairs.select(by, F.explode(shared).alias("day")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("day")).alias("days"))
+    return days.select(by, F.array_join("days", ",").alias("days"))
+
+
+def lists_of(several: Column, single: Column) -> Column:
+    """The lists of a campaign: those named, else its single one, else none."""
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(F.coalesce(several, none)) > 0, several).when(single.isNotNull(), F.array(single)).otherwise(none)
+
+
+def contact_tiers(rows: DataFrame, contacts: DataFrame, emails: DataFrame) -> DataFrame:
+    """row_number, reason, contact_id of each imported row: the known contact by address, else by profile address, else by name and company; of
+    several the lowest id. rows: row_number, email, profile, full_name, company. contacts: id, profile, full_name, industry."""
+    first = lambda df, key, name: df.groupBy(key.alias(name)).agg(F.min("id").alias(f"by_{name}")).where(F.col(name).isNotNull())
+    by_email = first(emails.select(F.col("contact_id").alias("id"), "normalized_email"), F.col("normalized_email"), "address")
+    by_profile = first(contacts, F.lower("profile"), "page")
+    by_name = first(contacts, F.concat_ws("|", F.lower("full_name"), F.lower("industry")), "person")
+    keyed = rows.withColumns({"address": X.blank_to_null(F.lower("email")), "page": F.lower(X.clean_url(F.col("profile"))), "person": F.lower(F.concat_ws("|", F.trim("full_name"), F.trim("company")))})
+    joined = keyed.join(by_email, "address", "left").join(by_profile, "page", "left").join(by_name, "person", "left")
+    reason = F.when(F.col("by_address").isNotNull(), "EXACT_EMAIL").when(F.col("by_page").isNotNull(), "EXACT_LINKEDIN").when(F.col("by_person").isNotNull(), "CONTACT_AND_ORGANIZATION")
+    return joined.select("row_number", reason.alias("reason"), F.coalesce("by_address", "by_page", "by_person").alias("contact_id"))
+
+
 def search_leads(leads: DataFrame, text: str | None = None, columns: tuple[str, ...] = ("company", "contact", "email", "domain", "city", "booth", "hall", "category"), has: tuple[str, ...] = ()) -> DataFrame:
     """Leads with a text in any of the columns that they have, and with all of has (email, phone, domain)."""
     if text and text.strip():
@@ -188,25 +240,15 @@ def f02_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("row_number", X.company_division(F.col("company")).alias("d")).select("row_number", "d.*")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes with their status against the known leads and their resolution."""
-    return L.j13_er_tiers(spark, sf_dir).join(L.d04_resolve(spark, sf_dir), "row_number").join(L.f08_normalize(spark, sf_dir), "row_number")
-
-
 def a17_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets of leads with an a in their city under the filters UNIQUE and RESOLVED_HIGH."""
-    return facet_counts(search_leads(_judged(spark, sf_dir), "a", ("city",)), "UNIQUE", "RESOLVED_HIGH")
+    return facet_counts(search_leads(L.resolved_leads(spark, sf_dir, matched=True), "a", ("city",)), "UNIQUE", "RESOLVED_HIGH")
 
 
 def a18_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten counts of each user's batch; a stored counter counts where it isn't zero."""
-    n = _judged(spark, sf_dir).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("UNIQUE", "DUPLICATE", "POSSIBLE_DUPLICATE")], F.count_if(F.col("email").isNull()).alias("missing_email"), F.count_if(F.col("phone").isNull()).alias("missing_phone"),
-        F.count_if(F.col("resolution").isin("RESOLVED_HIGH", "RESOLVED_MEDIUM")).alias("resolved"), F.count_if(F.col("resolution") == "UNRESOLVED").alias("unresolved"), F.count_if(F.col("resolution") == "REVIEW_REQUIRED").alias("review"), F.count_if(F.col("source") == "DIRECTORY").alias("found"),
-    )
-    stored = spark.createDataFrame([(0, 0, 3, 0, 0), (1, 7, 0, 0, 9)], "user_id long, s_resolved long, s_unresolved long, s_review long, s_found long")
-    best = {c: F.coalesce(F.nullif(f"s_{c}", F.lit(0).cast("long")), c) for c in ("resolved", "unresolved", "review", "found")}
-    return n.join(F.broadcast(stored), "user_id", "left").withColumns(best).select(*n.columns)
+    """The ten counts of each user's batch."""
+    stored = spark.createDataFrame([(0, 0, 3, 0, 0), (1, 7, 0, 0, 9)], "user_id long, resolved long, unresolved long, review long, found long")
+    return batch_summary(L.resolved_leads(spark, sf_dir, matched=True), stored)
 
 
 def p05_lead_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,16 +274,12 @@ def o02_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o06_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that a mailbox looks at for a batch of k: 10 k + k by due time, 50 at most."""
     n = views.enrollment(spark, sf_dir).where("status in ('active', 'pending')").select("campaign_id", "id", (F.col("contact_id") * 31 % 997).alias("due"))
-    place = F.row_number().over(Window.partitionBy("campaign_id").orderBy("due", "id"))
-    batch = F.col("campaign_id") + 2
-    return n.withColumn("place", place).where(F.col("place") <= F.least(F.lit(BUFFER_CAP), batch * 10 + batch))
+    return buffers(n, F.col("campaign_id") + 2, BUFFER_CAP)
 
 
 def o07_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest leads up to the export's cap, a parameter."""
-    return L.f08_normalize(spark, sf_dir).orderBy(F.desc("row_number")).limit(EXPORT_CAP).select("row_number", "company")
+    return newest(L.f08_normalize(spark, sf_dir), EXPORT_CAP).select("row_number", "company")
 
 
 def t04_allowed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,8 +287,7 @@ def t04_allowed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.message(spark, sf_dir).select("campaign_id", F.pmod("contact_id", F.lit(views.MAILBOXES)).alias("box")).distinct()
     own = F.when(F.col("campaign_id") == 0, '["MON","tue","Saturday"]').when(F.col("campaign_id") == 1, "sun").otherwise("MON,TUE,WED,THU,FRI")
     box = F.when(F.col("box") % 2 == 0, "WED,MON,SAT").otherwise('["FRI", "TUE"]')
-    days = F.array_sort(F.array_distinct(F.flatten(F.collect_list(C.common_days(C.normalize_days(own), C.normalize_days(box))))))
-    return m.groupBy("campaign_id").agg(F.array_join(days, ",").alias("days")).where("days <> ''")
+    return allowed_days(m, own, box)
 
 
 def dt3_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,8 +315,7 @@ def x02_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     several = F.when(k % 3 == 0, F.array(k, k + 1)).when(k % 3 == 1, F.array().cast("array<bigint>"))
     single = F.when(k % 2 == 0, k * 10)
-    lists = F.when(F.size(F.coalesce(several, F.array().cast("array<bigint>"))) > 0, several).when(single.isNotNull(), F.array(single)).otherwise(F.array().cast("array<bigint>"))
-    return _supplier(spark, sf_dir).select("s_suppkey", F.array_join(lists.cast("array<string>"), ",").alias("lists"))
+    return _supplier(spark, sf_dir).select("s_suppkey", F.array_join(lists_of(several, single).cast("array<string>"), ",").alias("lists"))
 
 
 def x03_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,14 +383,7 @@ def j16_contact_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("customer#"), F.lpad((k % 120).cast("string"), 9, "0")).alias("full_name"), F.when(k % 3 != 0, "Automobile").otherwise("BUILDING").alias("company"),
     )
     c = views.contact(spark, sf_dir).withColumn("profile", F.when(F.col("id") % 5 == 0, F.concat(F.lit("https://LinkedIn.com/in/person-"), "id")))
-    first = lambda df, key, name: df.groupBy(key.alias(name)).agg(F.min("id").alias(f"by_{name}")).where(F.col(name).isNotNull())
-    by_email = first(views.contact_email(spark, sf_dir).select(F.col("contact_id").alias("id"), "normalized_email"), F.col("normalized_email"), "address")
-    by_profile = first(c, F.lower("profile"), "page")
-    by_name = first(c, F.concat_ws("|", F.lower("full_name"), F.lower("industry")), "person")
-    keyed = rows.withColumns({"address": X.blank_to_null(F.lower("email")), "page": F.lower(X.clean_url(F.col("profile"))), "person": F.lower(F.concat_ws("|", F.trim("full_name"), F.trim("company")))})
-    joined = keyed.join(by_email, "address", "left").join(by_profile, "page", "left").join(by_name, "person", "left")
-    reason = F.when(F.col("by_address").isNotNull(), "EXACT_EMAIL").when(F.col("by_page").isNotNull(), "EXACT_LINKEDIN").when(F.col("by_person").isNotNull(), "CONTACT_AND_ORGANIZATION")
-    return joined.select("row_number", reason.alias("reason"), F.coalesce("by_address", "by_page", "by_person").alias("contact_id"))
+    return contact_tiers(rows, c, views.contact_email(spark, sf_dir))
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,15 @@ sets of at least that similarity share one of the first n - ceil(4 n / 5) + 1 me
 sample of texts has often last, then goes by hash; any order gives the same groups, this one keeps buckets of the same
 leading member small.
 
-Two rounds of links. First the index's pairs, and every bucket's nodes with its smallest one, so that a group of many
-copies costs no pairs within itself. Then all pairs of a bucket that are not yet connected, but those whose sizes, places
-in the order or parity bitmaps rule it out. Each pair that is left is compared by its whole sets. A member that the sample
-has often is dealt out by a salt of its nodes, in parts of about BUCKET; in the second round as pairs of such parts.
+Rounds of links. First the index's pairs, and every bucket's nodes with its smallest one, so that a group of many
+copies costs no pairs within itself. Then the pairs of a bucket that are not yet connected, but those whose sizes, places
+in the order or parity bitmaps rule it out: each node with its nearest others by bitmap, NEAREST in the first of these
+rounds and MORE times as many in each further one. Groups grow together meanwhile, which settles most other pairs; the
+buckets that had more come again until none has, so no pair is left out. Each pair is compared by parity sketches as long as
+the sets, which rule out most of the unlike ones, then by its whole sets. A member that the sample has often is dealt out by
+a salt of its nodes, in parts of about BUCKET; in the later rounds as pairs of such parts.
+
+Texts aren't shuffled but where they are needed: rows are looked up in a bit filter of the wanted ones first (maybe_in).
 
 Cases: a null text is empty; texts without words are copies of each other; rows without an id aren't judged and stay;
 rows of one id with different texts are judged one by one, of equal ones (id and text) one stays; a very long text has a
@@ -39,6 +44,10 @@ PAIRS, BUCKET = 1 << 16, 4_096
 #: Bits of the parity bitmap of a set; sets differ in at least as many members as their bitmaps do in bits.
 BITMAP = 256
 WORDS = BITMAP // 64
+#: Others that a node is paired with in each bucket of the second round, and the factor from each round to the next.
+NEAREST, MORE = 2, 16
+#: Bits of a filter for each row in it, in blocks, and at most (32 MB); beyond that it lets more rows pass, which an exact join drops.
+FILTER_BITS, FILTER_BLOCK, FILTER_MOST = 64, 1 << 15, 1 << 28
 #: Bytes of text whose sets are made at once.
 SLICE = 1 << 20
 #: Texts whose prefixes a task gets at most on average.
@@ -108,6 +117,17 @@ def bitmap_of(members: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return _per_row(words, limits, np.bitwise_xor).view(np.int64)
 
 
+def sketch_of(members: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps as long as the sets: bits by the low end of the members, BITMAP of them or the next power of two from the
+    size on; longs, and the rows' offsets. One of twice the length is folded to another's by exclusive or of its halves."""
+    n = np.diff(limits)
+    bits = np.maximum(BITMAP, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    place = np.repeat(start[:-1], n) + (members & (np.repeat(bits, n) - 1))
+    parity = (np.bincount(place, minlength=start[-1]) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view(np.int64), start // 64
+
+
 def _sets(docs: DataFrame, text: str, schema: str, columns) -> DataFrame:
     """docs without text, and what columns(members, limits) gives for the sets of each slice of rows."""
     kept = [c for c in docs.columns if c != text]
@@ -215,26 +235,37 @@ def possible(n: np.ndarray, at: np.ndarray, bitmap: np.ndarray, i: int, j: np.nd
     return j[9 * (n[i] + n[j] - apart) >= 8 * (n[i] + n[j])]
 
 
-def candidate_pairs(ordered: DataFrame) -> DataFrame:
-    """u, v of the possible pairs of each bucket whose labels differ, from rows (member, i, j, salt, label, node, n, at,
-    bitmap) in order of member, i, j. A bucket of one part (i = j) has all its pairs, one of two those between them."""
+def candidate_pairs(ordered: DataFrame, nearest: int) -> DataFrame:
+    """u, v, rest of the possible pairs of each bucket whose labels differ, from rows (member, i, j, salt, label, node, n, at,
+    bitmap) in order of member, i, j. A bucket of one part (i = j) has all its pairs, one of two those between them. A node has
+    its nearest ones by bitmap; rest (with null u and v) names members whose buckets have more."""
     plain = ("member", "i", "j", "salt", "label", "node", "n", "at")
 
     def run(batches):
         found, size = [], 0
+        rest: set[int] = set()
 
         def batch_of():
             both = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["u", "v", "rest"])
+
+        def rest_of():
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()), pa.array(list(rest), pa.int64())], names=["u", "v", "rest"])
+            rest.clear()
+            return out
 
-        def bucket(rows):
+        def bucket(member, rows):
             first, second, salt, label, node, n, at, bitmap = rows
             every = np.arange(len(node))
-            for i in range(1, len(node)):
-                j = every[:i][label[:i] != label[i]]
+            for i in every:
+                j = every[label != label[i]]
                 if first[0] != second[0]:
                     j = j[salt[j] != salt[i]]
                 j = possible(n, at, bitmap, i, j)
+                if len(j) > nearest:
+                    rest.add(int(member))
+                    apart = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1, dtype=np.int64)
+                    j = j[np.argsort(apart, kind="stable")[:nearest]]
                 if len(j):
                     yield np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], axis=1)
 
@@ -243,7 +274,7 @@ def candidate_pairs(ordered: DataFrame) -> DataFrame:
             limits = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
             for a, z in zip(limits[:-1], limits[1:], strict=True):
                 if z - a > 1:
-                    yield from bucket([r[a:z] for r in rows[1:]])
+                    yield from bucket(rows[0][a], [r[a:z] for r in rows[1:]])
 
         held = [np.zeros(0, np.int64)] * len(plain) + [np.zeros((0, WORDS), np.uint64)]
         for batch in batches:
@@ -258,6 +289,8 @@ def candidate_pairs(ordered: DataFrame) -> DataFrame:
                     yield batch_of()
                     found, size = [], 0
             held = [h[cut:] for h in held]
+            if len(rest) >= PAIRS:
+                yield rest_of()
         for pairs in whole(held):
             found.append(pairs)
             size += len(pairs)
@@ -266,8 +299,10 @@ def candidate_pairs(ordered: DataFrame) -> DataFrame:
                 found, size = [], 0
         if found:
             yield batch_of()
+        if rest:
+            yield rest_of()
 
-    return map_arrow(ordered.select(*plain, "bitmap"), run, "u long, v long")
+    return map_arrow(ordered.select(*plain, "bitmap"), run, "u long, v long, rest long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,6 +312,20 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def maybe_in(docs: DataFrame, wanted: DataFrame, columns: list[str], flag: str) -> DataFrame:
+    """docs with flag, true for each row whose columns a row of wanted (written) has, and for few others."""
+    bits = FILTER_BLOCK
+    while bits < min(FILTER_MOST, FILTER_BITS * wanted.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits).cast("long"))
+    block, bit = (place / FILTER_BLOCK).cast("int"), (place % FILTER_BLOCK).cast("int")
+    at, inside, held = (f"_{name}_{len(max(docs.columns, key=len)) * '_'}" for name in ("block", "bit", "bits"))
+    blocks = wanted.groupBy(block.alias(at)).agg(F.bitmap_construct_agg(bit).alias(held))
+    marked = docs.withColumns({at: block, inside: bit}).join(F.broadcast(blocks), at, "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.col(inside) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.withColumn(flag, F.coalesce(F.getbit(byte, F.col(inside) % 8) == 1, F.lit(False))).drop(at, inside, held)
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, same (a hash of the text) and component_id (the smallest key reached) of docs (with keys, the same each time they are read).
 
@@ -287,11 +336,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def facts(m, at):
         bitmap = pa.ListArray.from_arrays(pa.array((np.arange(len(at)) * WORDS).astype(np.int32)), pa.array(bitmap_of(m, at).reshape(-1)))
-        return [pa.array(node_of(m, at)), pa.array(np.diff(at)), pa.array(fingerprint_of(m, at)), bitmap]
+        longs, limits = sketch_of(m, at)
+        sketch = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(longs))
+        return [pa.array(node_of(m, at)), pa.array(np.diff(at)), pa.array(fingerprint_of(m, at)), bitmap, sketch]
 
-    found = table(_sets(docs, text, "node bigint, size bigint, fp bigint, bitmap array<bigint>", facts), "near-found")
+    found = table(_sets(docs, text, "node bigint, size bigint, fp bigint, bitmap array<bigint>, sketch array<bigint>", facts), "near-found")
     # each node is stood for by one text
-    nodes = table(found.groupBy("node").agg(F.min(F.struct(key, "same")).alias("one"), *(F.first(c).alias(c) for c in ("size", "fp", "bitmap"))), "near-nodes")
+    nodes = table(found.groupBy("node").agg(F.min(F.struct(key, "same")).alias("one"), *(F.first(c).alias(c) for c in ("size", "fp", "bitmap", "sketch"))), "near-nodes")
 
     # what the SimHash index links: each node and the smallest of its component
     labels = connected(near_links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp")
@@ -310,38 +361,55 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     across = parts.join(parts.groupBy("member").agg(F.min("least").alias("v")), "member").select(F.col("least").alias("u"), "v")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that their whole sets confirm; sizes and bitmaps first."""
-        small = nodes.select("node", "size", "bitmap")
+        """Those of the pairs that their whole sets confirm; sizes and sketches first."""
+        small = nodes.select("node", "size", "sketch")
         both = pairs.where("u <> v").distinct()
         for side in ("u", "v"):
-            both = both.join(small.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_bitmap")), side)
-        apart = F.aggregate(F.zip_with("u_bitmap", "v_bitmap", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+            both = both.join(small.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch")), side)
         union = F.col("u_size") + F.col("v_size")
-        pairs = table(both.where((9 * F.least("u_size", "v_size") >= 4 * union) & (9 * (union - apart) >= 8 * union)).select("u", "v"), "near-pairs")
+        both = both.where(9 * F.least("u_size", "v_size") >= 4 * union)
+        xor = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+        half = F.least(F.size("u_sketch"), F.size("v_sketch"))
+        # sizes are so near here that one is twice as long as the other at most
+        folded = lambda c: F.when(F.size(c) > half, xor(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half))).otherwise(F.col(c))
+        apart = F.aggregate(xor(folded("u_sketch"), folded("v_sketch")), F.lit(0), lambda a, x: a + F.bit_count(x))
+        pairs = table(both.where(9 * (union - apart) >= 8 * union).select("u", "v"), "near-pairs")
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        ones = nodes.join(wanted, "node", "left_semi").select("node", "one.*")
-        sets = table(with_members(docs.join(ones, [key, "same"]).select("node", text), text), "near-sets")
+        ones = table(nodes.select("node", "one").join(wanted, "node", "left_semi").select("node", "one.*"), "near-ones")
+        near = maybe_in(docs, ones, [key, "same"], "_wanted").where("_wanted")
+        sets = table(with_members(near.join(ones, [key, "same"]).select("node", text), text), "near-sets")
         # a row that stands twice gives its set twice
         links = table(_linked(pairs, sets).distinct(), "near-links")
-        discard(sets, pairs)
+        discard(sets, pairs, ones)
         return links
 
     links = similar(by_index.unionByName(by_part).unionByName(across))
     labels = connected(links)
-    mixed = table(shared.drop("least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
-    discard(shared)
-    several = mixed.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("salt").alias("salts")).where("low <> high").select("member", "salts")
-    open_rows = mixed.join(several, "member").join(nodes.select("node", "bitmap"), "node")
     # parts of a dealt member meet in pairs; -1 alone is one part
     facing = F.explode(F.when(F.col("salts") < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), "salts")))
-    paired = open_rows.withColumn("facing", facing).withColumns({"i": F.least("salt", "facing"), "j": F.greatest("salt", "facing")})
-    ordered = paired.repartition(n, "member", "i", "j").sortWithinPartitions("member", "i", "j", "node")
-    more = table(candidate_pairs(ordered).distinct(), "near-more")
-    if not more.isEmpty():
-        links = links.unionByName(similar(more))
+    rows, nearest = shared.drop("least"), NEAREST
+    while True:
+        mixed = table(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
+        several = mixed.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("salt").alias("salts")).where("low <> high").select("member", "salts")
+        open_rows = mixed.join(several, "member").join(nodes.select("node", "bitmap"), "node")
+        paired = open_rows.withColumn("facing", facing).withColumns({"i": F.least("salt", "facing"), "j": F.greatest("salt", "facing")})
+        ordered = paired.repartition(n, "member", "i", "j").sortWithinPartitions("member", "i", "j", "node")
+        more = table(candidate_pairs(ordered, nearest), "near-more")
+        discard(mixed)
+        if more.isEmpty():
+            discard(more)
+            break
+        links = links.unionByName(similar(more.where("rest is null").select("u", "v")))
         labels = connected(links)
+        # what waits of other pairs
+        rows = table(rows.join(more.where("rest is not null").select(F.col("rest").alias("member")).distinct(), "member", "left_semi"), "near-open")
+        discard(more, shared)
+        shared, nearest = rows, nearest * MORE
+        if shared.isEmpty():
+            break
+    discard(shared)
     named = table(found.select(key, "same", "node").join(labels, "node", "left").select(key, "same", F.coalesce("label", "node").alias("label")), "near-named")
-    discard(found, nodes, mixed, more)
+    discard(found, nodes)
     return named.join(named.groupBy("label").agg(F.min(key).alias("component_id")), "label").select(key, "same", "component_id")
 
 
@@ -351,7 +419,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     same = "_same"
     while same in docs.columns:
         same += "_"
-    kept = components(known, key, text).where(F.col(key) == F.col("component_id")).select(key, F.col("same").alias(same)).distinct()
-    hashed = known.withColumn(same, F.xxhash64(F.coalesce(text, F.lit(""))))
-    named = hashed.join(kept, [key, same], "left_semi").dropDuplicates([key, same])
-    return named.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    judged = table(components(known, key, text).select(key, F.col("same").alias(same), "component_id"), "near-judged")
+    # texts of rows that surely stay aren't shuffled: alone with their id and text, and the smallest of their group
+    doubtful = table(judged.groupBy(key, same).agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least")).where((F.col("n") > 1) | (F.col(key) != F.col("least"))).select(key, same), "near-doubtful")
+    flag = same + "?"
+    while flag in docs.columns:
+        flag += "?"
+    marked = maybe_in(known.withColumn(same, F.xxhash64(F.coalesce(text, F.lit("")))), doubtful, [key, same], flag)
+    kept = judged.where(F.col(key) == F.col("component_id")).select(key, same).distinct()
+    settled = marked.where(F.col(f"`{flag}`")).join(kept, [key, same], "left_semi").dropDuplicates([key, same])
+    rest = marked.where(~F.col(f"`{flag}`"))
+    return rest.select(docs.columns).unionByName(settled.select(docs.columns)).unionByName(docs.where(F.col(key).isNull()))

@@ -382,3 +382,38 @@ def test_mixing_uses_as_many_partitions_as_asked_for(spark, monkeypatch):
     for r in parts:
         assert seen.get((r["part"], r["shard"]), -(1 << 63)) <= r["place"]
         seen[r["part"], r["shard"]] = r["place"]
+
+
+def test_near_copies_of_one_group_cost_few_pairs(spark, monkeypatch):
+    """Copies that are similar to one text, and to each other not quite: pairs grow with the copies, not with their square."""
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(300):
+        copy, at = list(words), rng.randrange(5, 110)
+        copy[at], copy[at + 2] = f"x{k}", f"y{k}"
+        rows.append((k + 2, " ".join(copy), "a"))
+    docs = spark.createDataFrame([*rows, (1, " ".join(words), "a")], SCHEMA)
+    tables, write = {}, near_copies.table
+    monkeypatch.setattr(near_copies, "table", lambda df, name: tables.setdefault(name, []).append((out := write(df, name)).count()) or out)
+    assert {r["component_id"] for r in near_copies.components(docs.select("doc_id", "text")).collect()} == {1}
+    assert sum(tables["near-more"]) <= 20 * len(rows)
+
+
+def test_near_copies_in_small_rounds_equal_those_in_one(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = []
+    for nearest, more in ((1, 2), (1 << 30, 2)):
+        monkeypatch.setattr(near_copies, "NEAREST", nearest)
+        monkeypatch.setattr(near_copies, "MORE", more)
+        found.append(sorted(map(tuple, near_copies.components(docs).collect())))
+    assert found[0] == found[1]
+
+
+def test_bit_filter_keeps_all_that_are_wanted(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"), (F.col("id") * 3).alias("same"))
+    flags = {(r["id"], r["same"]): r["in"] for r in near_copies.maybe_in(rows, rows.where("same % 40 = 0"), ["id", "same"], "in").collect()}
+    assert len(flags) == 20_000 and all(flags[k] for k in flags if k[1] % 40 == 0)
+    assert sum(flags[k] for k in flags if k[1] % 40) < 1_000

@@ -21,6 +21,8 @@ ENTRY_CLASSES = ("card", "item", "exhibitor", "listing", "tile", "directory-row"
 SILENT = ("script", "style", "noscript", "svg", "nav", "footer", "header")
 # What a listing's own controls say.
 NO_NAMES = ("explore", "view all", "show more", "read more", "click here", "home", "about us", "contact us", "past exhibitors", "confirmed exhibitors", "exhibitor directory", "directory", "back")
+#: Characters of pages whose tags a task gets on average.
+TASK_TEXT = 2 << 20
 MOST_TEXT, MOST_CONTACTS, MOST_LINKS = 10_000, 10, 20
 
 
@@ -130,6 +132,14 @@ def _class(*words: str) -> Column:
     return F.col("class").rlike("|".join(words))
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """Pages by page_id in as many parts as their text needs: the windows over tags sort in these parts, several at a time, so that
+    a task's memory doesn't grow with the table."""
+    length = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(least, -(-length // TASK_TEXT)), "page_id")
+
+
 def containers(pages: DataFrame) -> DataFrame:
     """The tokens (markup.tokens, with end) of a listing's entries: page_id, url, k, card (the entry's own token number), whether the token's
     text stands directly in the entry, and the token's columns.
@@ -138,7 +148,7 @@ def containers(pages: DataFrame) -> DataFrame:
     where they hold ten elements of an exhibitor class; else the page, as also where the scope has no container. A container that holds
     another one is a wrapper and no entry.
     """
-    rows = M.elements(M.tokens(pages))
+    rows = M.elements(M.tokens(dealt(pages)))
     opened, name, k, end = F.col("end").isNotNull(), F.col("name"), F.col("k"), F.col("end")
     menu = name.isin("nav", "header", "footer", "button") | _class("menu", "nav", "sidebar", "btn", "filter") | F.col("id").rlike("menu|nav|sidebar")
     fragment = F.regexp_extract(F.coalesce("url", F.lit("")), "#(.+)$", 1)

@@ -82,3 +82,14 @@ def test_scopes(spark):
     names = [sorted({r["name"] for r in rows if r["page_id"] == k}) for k in range(4)]
     assert names == [["Firm b0", "Firm b1"], ["Firm c0", "Firm c1"], ["Firm a0", "Firm a1", "Firm c0", "Firm c1"], ["Firm a0", "Firm a1"]]
     assert sum(r["page_id"] == 1 for r in rows) == 10
+
+
+def test_pages_are_dealt_by_their_text(spark, monkeypatch):
+    """No window deals them out again in the session's number of parts, and the parts change no entry."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    wanted = sorted(map(str, G.entries(pages).collect()))
+    monkeypatch.setattr(G, "TASK_TEXT", 1 << 16)
+    found = G.entries(pages)
+    length = sum(len(r["html"] or "") for r in pages.collect())
+    assert found.rdd.getNumPartitions() == -(-length // (1 << 16)) > 4
+    assert wanted and sorted(map(str, found.collect())) == wanted

@@ -16,9 +16,10 @@ Levels are cut into shards by the highest bits of the first context word's hash,
 map into memory (stores other than local or mounted paths are copied to an unlinked file first): an n-gram and all its
 prefixes lie in one shard, so that one gathering of the longest n-grams builds every level. The at most 4 x shards
 contexts with over a 4 x shards-th of all tokens, the start among them, have their n-grams dealt over all shards by the
-second word. Counts are summed in each task before they are shuffled; n-grams travel as sorted, compressed blocks. No
-shard, word or n-gram goes through the driver: it holds each shard's number of words, and numbers of kinds of the few
-frequent contexts.
+second word. Counts are summed in each task before they are shuffled; n-grams travel as sorted, compressed blocks, and a
+shard is built from runs of its contexts, one after the other. A query looks each different n-gram of some hundred thousand
+tokens up once, in the order of shards, contexts and words. No shard, word or n-gram
+goes through the driver: it holds each shard's number of words, and numbers of kinds of the few frequent contexts.
 
 Words are told apart by 64-bit hashes alone. Cases: a null text is empty (the end token alone); rows without an id are
 scored and not learned from; repeated rows count as often as they stand; without training rows all scores are those of
@@ -45,120 +46,149 @@ from marlspike.llm.common import discard, fresh_path, map_arrow, table, without
 DISCOUNT, ADD = 0.75, 0.1
 #: Words of the longest n-grams, and how often a context of two or more words must have been seen to have a level of its own.
 ORDER, CONTEXT_COUNT = 3, 2
-#: Training tokens that a shard should hold.
-SHARD_TOKENS = 4_000_000
+#: Training tokens that a shard should hold; each slice of texts is looked up in every shard, so small ones cost time by their number.
+SHARD_TOKENS = 16_000_000
+#: Runs of contexts into which a shard is cut while it is built, one in memory at a time.
+PARTS = 8
 #: Shards of small corpora.
 LEAST_SHARDS = 16
 #: Distinct words, or n-grams, that a task gathers before it hands them on.
 GATHER = 1 << 20
-#: Bytes of text that are looked up at once.
+#: Bytes of text that are hashed at once.
 SLICE = 1 << 21
+#: Tokens that are scored at once.
+SCORED = 1 << 19
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 #: Logarithms are kept in steps of 1 / STEPS, from 0 to -16.
 STEPS = 4095
 U1, U64 = np.uint64(1), np.uint64(64)
-#: The place of the k-th one in a byte.
-_IN_BYTE = np.array([[next((i for i in range(8) if v >> i & 1 and bin(v & ((1 << i) - 1)).count("1") == k), 0) for k in range(8)] for v in range(256)], np.uint8)
+#: The place of the k-th one in byte v, at 8 v + k.
+_IN_BYTE = np.array([next((i for i in range(8) if v >> i & 1 and bin(v & ((1 << i) - 1)).count("1") == k), 0) for v in range(256) for k in range(8)], np.uint8)
+#: The lowest and the highest bit of each byte.
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: The number behind each stored logarithm.
+_POWERS = 10.0 ** (-np.arange(1 << 16, dtype=np.float64) / STEPS)
 
 
 class EliasFano:
-    """A sequence of ascending unsigned integers: high parts as a bit vector, low parts packed; lookups on arrays."""
+    """A sequence of ascending unsigned integers: high parts as a bit vector, low parts packed; lookups on arrays.
 
-    def __init__(self, n: int, low_bits: int, upper: np.ndarray, ranks: np.ndarray, low: np.ndarray):
-        self.n, self.low_bits, self.upper, self.ranks, self.low = n, low_bits, upper, ranks, low
-        self.zero_ranks = None
+    Bit high(i) + i + 1 of the vector stands for value i, so that values of one high part lie side by side behind its zero.
+    """
+
+    def __init__(self, n: int, low_bits: int, upper: np.ndarray, ranks: np.ndarray, zeros: np.ndarray, low: np.ndarray):
+        self.n, self.low_bits, self.upper, self.ranks, self.zeros, self.low = n, low_bits, upper, ranks, zeros, low
+        self.most: int | None = None
 
     @classmethod
-    def build(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(np.uint64)
+    def build(cls, values: np.ndarray, finds: bool = False) -> EliasFano:
+        """finds: whether find() will be called, which needs the ranks of zeros too."""
+        values = values.astype(np.uint64, copy=False)
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        high = values >> np.uint64(low_bits)
-        size = (int(high[-1]) if n else 0) + n + 1
-        words = -(-size // 512) * 8 + 8
+        words = -(-((top >> low_bits) + n + 2) // 64) + 2
         bits = np.zeros(words * 8, np.uint8)
-        at = high.astype(np.int64) + np.arange(n)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        upper = bits.view(np.uint64)
-        ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(upper).reshape(-1, 8).sum(axis=1, dtype=np.int64))])
         low = np.zeros((n * low_bits + 63) // 64 + 2, np.uint64)
-        if low_bits:
-            part = values & np.uint64((1 << low_bits) - 1)
-            bit = np.arange(n, dtype=np.uint64) * np.uint64(low_bits)
-            word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift + np.uint64(low_bits) > U64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64 - shift[over]))
-        return cls(n, low_bits, upper, ranks, low)
+        for begin in range(0, n, GATHER):
+            piece = values[begin : begin + GATHER]
+            at = (piece >> np.uint64(low_bits)).astype(np.int64) + np.arange(begin + 1, begin + 1 + len(piece))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            if low_bits:
+                part = piece & np.uint64((1 << low_bits) - 1)
+                bit = np.arange(begin, begin + len(piece), dtype=np.uint64) * np.uint64(low_bits)
+                word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+                np.bitwise_or.at(low, word, part << shift)
+                over = shift + np.uint64(low_bits) > U64
+                np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64 - shift[over]))
+        upper = bits.view(np.uint64)
+        ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)])
+        zeros = np.arange(words + 1) * 64 - ranks if finds else ranks[:0]
+        narrow = np.uint32 if words < 1 << 26 else np.int64
+        return cls(n, low_bits, upper, ranks.astype(narrow), zeros.astype(narrow), low)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"upper": self.upper, "ranks": self.ranks, "low": self.low}
+        return {"upper": self.upper, "ranks": self.ranks, "zeros": self.zeros, "low": self.low}
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Positions of the k-th (from 0) one or zero in the upper bits."""
-        if zeros and self.zero_ranks is None:
-            self.zero_ranks = np.arange(len(self.ranks), dtype=np.int64) * 512 - self.ranks
-        ranks = self.zero_ranks if zeros else self.ranks
-        block = np.searchsorted(ranks, k, side="right") - 1
-        rest = k - ranks[block]
-        words = self.upper.reshape(-1, 8)[block]
+        ranks = self.zeros if zeros else self.ranks
+        k = k.astype(ranks.dtype)
+        word = np.searchsorted(ranks, k, side="right") - 1
+        rest = (k - ranks[word]).astype(np.uint64)
+        bits = self.upper[word]
         if zeros:
-            words = ~words
-        every = np.arange(len(k))
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (upto <= rest[:, None]).sum(axis=1)
-        rest -= np.where(word > 0, upto[every, np.maximum(word - 1, 0)], 0)
-        byte = words[every, word].view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(byte), axis=1, dtype=np.int64)
-        at = (upto <= rest[:, None]).sum(axis=1)
-        rest -= np.where(at > 0, upto[every, np.maximum(at - 1, 0)], 0)
-        return block * 512 + word * 64 + at * 8 + _IN_BYTE[byte[every, at], rest]
+            bits = ~bits
+        # ones up to each byte, side by side in one word; the byte sought is the first with more than rest
+        upto = bits - ((bits >> U1) & np.uint64(0x5555555555555555))
+        upto = (upto & np.uint64(0x3333333333333333)) + ((upto >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        upto = ((upto + (upto >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+        at = np.bitwise_count(((rest * _BYTES | _TOPS) - upto) & _TOPS).astype(np.uint64) << np.uint64(3)
+        rest -= ((upto << np.uint64(8)) >> at) & np.uint64(255)
+        return (word << 6) + at.astype(np.int64) + _IN_BYTE[((((bits >> at) & np.uint64(255)) << np.uint64(3)) | rest).astype(np.int64)]
+
+    def _window(self, at: np.ndarray) -> np.ndarray:
+        """The 64 upper bits from each position on."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        return (self.upper[word] >> shift) | ((self.upper[word + 1] << U1) << (np.uint64(63) - shift))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
-        bit = i.astype(np.uint64) * np.uint64(self.low_bits)
-        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        high = np.where(shift > 0, self.low[word + 1] << ((U64 - shift) & np.uint64(63)), np.uint64(0))
-        return ((self.low[word] >> shift) | high) & np.uint64((1 << self.low_bits) - 1)
+        bit = i * self.low_bits
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        return ((self.low[word] >> shift) | ((self.low[word + 1] << U1) << (np.uint64(63) - shift))) & np.uint64((1 << self.low_bits) - 1)
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((at - i - 1).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        if not self.n:
-            return np.zeros(len(i), np.uint64)
-        return ((self._select(i, False) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+        return self._value(i, self._select(i, False)) if self.n else np.zeros(len(i), np.uint64)
 
     def ends(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values at i and at i + 1 (the last one again behind the end)."""
-        both = self.access(np.concatenate([i, np.minimum(i + 1, max(self.n - 1, 0))])).astype(np.int64)
-        return both[: len(i)], both[len(i) :]
+        if not self.n:
+            return np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        at = self._select(i, False)
+        rest = self._window(at + 1)
+        after = at + 1 + np.bitwise_count((rest & (~rest + U1)) - U1)
+        more = i + 1 < self.n
+        if len(far := np.flatnonzero((rest == 0) & more)):
+            after[far] = self._select(i[far] + 1, False)
+        value = self._value(i, at).astype(np.int64)
+        return value, np.where(more, self._value(np.minimum(i + 1, self.n - 1), after).astype(np.int64), value)
 
     def find(self, value: np.ndarray, begin: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
         """The index of value within [begin, end), or -1."""
+        found = np.full(len(value), -1, np.int64)
         if not self.n or not len(value):
-            return np.full(len(value), -1, np.int64)
+            return found
         high = (value >> np.uint64(self.low_bits)).astype(np.int64)
-        most = len(self.upper) * 64 - self.n - 1
-        possible = high < most
-        high = np.minimum(high, most - 1)
-        limits = self._select(np.concatenate([np.maximum(high - 1, 0), high]), True)
-        lo = np.where(high > 0, limits[: len(high)] - (high - 1), 0)
-        hi = np.minimum(limits[len(high) :] - high, end)
+        if self.most is None:
+            self.most = int(self._select(np.array([self.n - 1]), False)[0]) - self.n
+        # a high part beyond the last one has no zero of its own
+        possible = (high >= 0) & (high <= self.most)
+        high = np.clip(high, 0, self.most)
+        at = self._select(high, True) + 1
+        same = self._window(at)
+        size = np.bitwise_count((~same & (same + U1)) - U1).astype(np.int64)
+        if len(wide := np.flatnonzero(size == 64)):
+            size[wide] = self._select(high[wide] + 1, True) - at[wide]
+        lo = at - high - 1
+        hi = np.where(possible, np.minimum(lo + size, end), lo)
         lo = np.maximum(lo, begin)
-        hi = np.where(possible, hi, lo)
-        want = value & np.uint64((1 << self.low_bits) - 1)
-        found = np.full(len(value), -1, np.int64)
         live = np.flatnonzero(lo < hi)
-        lo, hi = lo.copy(), np.array(hi)
+        lo, hi, want = lo[live], hi[live], value[live] & np.uint64((1 << self.low_bits) - 1)
         while len(live):
-            middle = (lo[live] + hi[live]) >> 1
+            middle = (lo + hi) >> 1
             low = self._low(middle)
-            same, less = low == want[live], low < want[live]
-            found[live[same]] = middle[same]
-            lo[live] = np.where(less, middle + 1, lo[live])
-            hi[live] = np.where(less, hi[live], middle)
-            live = live[~same & (lo[live] < hi[live])]
+            hit = low == want
+            found[live[hit]] = middle[hit]
+            less = low < want
+            lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, middle)
+            on = np.flatnonzero(~hit & (lo < hi))
+            live, lo, hi, want = live[on], lo[on], hi[on], want[on]
         return found
 
 
@@ -199,7 +229,7 @@ def _open(folder: str, path: str) -> tuple[dict[str, EliasFano], dict[str, np.nd
     head = json.loads(data[8 : 8 + size].tobytes())
     start = -(-(8 + size) // 64) * 64
     arrays = {k: np.asarray(data[start + at : start + at + n * np.dtype(kind).itemsize]).view(kind) for k, (kind, n, at) in head["arrays"].items()}
-    sequences = {n: EliasFano(*facts, *(arrays[f"{n}.{k}"] for k in ("upper", "ranks", "low"))) for n, facts in head["sequences"].items()}
+    sequences = {n: EliasFano(*facts, *(arrays[f"{n}.{k}"] for k in ("upper", "ranks", "zeros", "low"))) for n, facts in head["sequences"].items()}
     return sequences, arrays
 
 
@@ -257,6 +287,27 @@ def _parts(column: pa.Array):
         yield first, last, *_tokens(data[part[0] : part[-1]], part - part[0])
 
 
+def _together(batches, text: str, least: int):
+    """Tokens and limits of whole rows, at least so many tokens at once where there are more; and the rows."""
+    waiting, size = [], 0
+
+    def out():
+        tokens, limits, rows = (list(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        return np.concatenate(tokens), np.concatenate([np.zeros(1, np.int64), *limits]), rows
+
+    for batch in batches:
+        kept = batch.select([c for c in batch.schema.names if c != text])
+        for first, last, part, at in _parts(batch.column(text)):
+            waiting.append((part, at[1:] + size, kept.slice(first, last - first)))
+            size += len(part)
+            if size >= least:
+                yield out()
+                size = 0
+    if waiting:
+        yield out()
+
+
 class _Counts:
     """Keys and counts gathered over batches, as sorted arrays."""
 
@@ -305,12 +356,12 @@ class Model:
         shard = np.searchsorted(self.vocabulary.offsets, context, side="right") - 1
         return np.where(np.isin(context, self.frequent), word % len(self.levels), shard)
 
-    def local(self, shard: int, context: np.ndarray) -> np.ndarray:
+    def local(self, shard: int | np.ndarray, context: np.ndarray) -> np.ndarray:
         """Numbers of contexts within a shard: its own words, then the frequent ones."""
         own = context - self.vocabulary.offsets[shard]
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, context), len(self.frequent) - 1)
-            size = int(self.vocabulary.offsets[shard + 1] - self.vocabulary.offsets[shard])
+            size = self.vocabulary.offsets[np.add(shard, 1)] - self.vocabulary.offsets[shard]
             own = np.where(self.frequent[at] == context, size + at, own)
         return own
 
@@ -348,7 +399,7 @@ def _build_vocabulary(words: DataFrame, folder: str, shards: int) -> tuple[Vocab
 
         def out():
             hashes, counts = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
-            path = _save(folder, f"words-{at}", {"words": EliasFano.build(hashes.view(np.uint64)), "counts": EliasFano.build(np.cumsum(counts))}, {})
+            path = _save(folder, f"words-{at}", {"words": EliasFano.build(hashes.view(np.uint64), finds=True), "counts": EliasFano.build(np.cumsum(counts))}, {})
             return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [path], "size": [len(hashes)], "tokens": [int(counts.sum())]})
 
         for batch in batches:
@@ -419,18 +470,35 @@ def _from_planes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def _level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> tuple[dict[str, EliasFano], np.ndarray, np.ndarray]:
-    """pointers and successors of a level, its quantised shares, and the number of kinds of each context, from rows in order of
-    context and word; totals has a count for each context."""
-    pointers = np.searchsorted(contexts, np.arange(len(totals) + 1))
-    kinds = np.diff(pointers)
-    # relative ids: each context's values start behind the last value of the context before
-    last = pointers[1:][kinds > 0] - 1
-    ends = np.cumsum(words[last].astype(np.uint64) + U1)
-    base = np.repeat(np.concatenate([np.zeros(1, np.uint64), ends[:-1]])[: len(last)], np.diff(np.concatenate([[-1], last])))
-    share = np.maximum(counts - DISCOUNT, 1e-9) / totals[contexts]
-    stored = np.clip(np.round(-np.log10(share) * STEPS), 0, 65535).astype(np.uint16)
-    return {"pointers": EliasFano.build(pointers), "successors": EliasFano.build(base + words.astype(np.uint64))}, stored, kinds
+class _Level:
+    """A level as its runs of contexts come in, in order."""
+
+    def __init__(self):
+        self.values, self.shares, self.kinds, self.weights, self.end = [], [], [], [], np.uint64(0)
+
+    def add(self, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Rows in order of context and word; totals has a count for each context. The number of kinds of each context."""
+        kinds = np.bincount(contexts, minlength=len(totals))
+        if len(words):
+            # relative ids: each context's values start behind the last value of the context before
+            last = np.flatnonzero(np.append(contexts[1:] != contexts[:-1], True))
+            ends = np.cumsum(words[last] + U1) + self.end
+            base = np.append(self.end, ends[:-1])
+            self.values.append(np.repeat(base, np.diff(last, prepend=-1)) + words)
+            self.end = ends[-1]
+            share = np.maximum(counts - DISCOUNT, 1e-9) / totals[contexts]
+            self.shares.append(np.clip(np.round(-np.log10(share) * STEPS), 0, 65535).astype(np.uint16))
+        return kinds
+
+    def weigh(self, kinds: np.ndarray, totals: np.ndarray) -> None:
+        self.kinds.append(kinds.astype(np.uint32))
+        weight = np.clip(np.round(-np.log10(DISCOUNT * np.maximum(kinds, 1) / np.maximum(totals, 1)) * STEPS), 0, 65534)
+        self.weights.append(np.where(kinds > 0, weight, 65535).astype(np.uint16))
+
+    def sequences(self) -> dict[str, EliasFano]:
+        pointers = np.concatenate([[0], np.cumsum(np.concatenate(self.kinds), dtype=np.int64)])
+        values, self.values = np.concatenate(self.values), []
+        return {"pointers": EliasFano.build(pointers), "successors": EliasFano.build(values, finds=True)}
 
 
 def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
@@ -443,74 +511,68 @@ def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
 
     def gather(batches):
         m = sent.value
-        waiting: list[list[np.ndarray]] = []
-        size = 0
-
-        def out():
-            columns = [np.concatenate([w[k] for w in waiting]) for k in range(order)]
-            columns, counts = _summed(columns, np.ones(len(columns[0]), np.int64), bits)
+        sizes = np.diff(m.vocabulary.offsets) + len(m.frequent)
+        for tokens, limits, _ in _together(batches, text, GATHER):
+            ids = _ids(m.vocabulary, tokens)[0]
+            del tokens
+            columns = [_contexts(ids, limits, m.start) + 1, ids + 1]
+            row = textvec.row_of(limits)
+            for gap in range(1, order - 1):
+                after = np.zeros(len(ids), np.int64)
+                after[:-gap] = np.where(row[gap:] == row[:-gap], ids[gap:] + 1, 0)
+                columns.append(after)
+            del row
+            columns, counts = _summed(columns, np.ones(len(ids), np.int64), bits)
             shard = m.pair_shard(columns[0] - 1, columns[1] - 1)
-            dealt = _by_shard(shard, shards)
-            touched, starts = _runs(shard[dealt])
-            for s, mine in zip(touched.tolist(), np.split(dealt, starts[1:]), strict=False):
-                wide = -(-int(counts[mine].max()).bit_length() // 8)
-                raw = b"".join([_planes(np.diff(columns[0][mine], prepend=0), width), *(_planes(c[mine], width) for c in columns[1:]), _planes(counts[mine], wide)])
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "grams": [len(mine)], "wide": pa.array([wide], pa.int32()), "block": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
-
-        for batch in batches:
-            for _, _, tokens, limits in _parts(batch.column(text)):
-                ids, _ = _ids(m.vocabulary, tokens)
-                columns = [_contexts(ids, limits, m.start) + 1, ids + 1]
-                row = textvec.row_of(limits)
-                for gap in range(1, order - 1):
-                    after = np.zeros(len(ids), np.int64)
-                    after[:-gap] = np.where(row[gap:] == row[:-gap], ids[gap:] + 1, 0)
-                    columns.append(after)
-                waiting.append(columns)
-                size += len(ids)
-                if size >= GATHER:
-                    yield from out()
-                    waiting, size = [], 0
-        if waiting:
-            yield from out()
+            # a run of contexts within the shard's ascends with their numbers there
+            part = shard * PARTS + m.local(shard, columns[0] - 1) * PARTS // sizes[shard]
+            dealt = _by_shard(part, shards * PARTS)
+            touched, starts = _runs(part[dealt])
+            wides, blocks, grams = [], [], np.diff(starts, append=len(dealt))
+            for mine in np.split(dealt, starts[1:]):
+                wides.append(-(-int(counts[mine].max()).bit_length() // 8))
+                raw = b"".join([_planes(np.diff(columns[0][mine], prepend=0), width), *(_planes(c[mine], width) for c in columns[1:]), _planes(counts[mine], wides[-1])])
+                blocks.append(pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array((touched // PARTS).astype(np.int32)), "part": pa.array((touched % PARTS).astype(np.int32)), "grams": pa.array(grams), "wide": pa.array(wides, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     def build(batches):
         m = sent.value
         waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
-        at = None
+        at = part = None
+        own, context_totals, frequent_kinds, levels = 0, None, None, {}
 
-        def out():
+        def begin():
+            nonlocal own, context_totals, frequent_kinds, levels
+            own = int(m.vocabulary.offsets[at + 1] - m.vocabulary.offsets[at])
+            words = _open(m.folder, m.vocabulary.paths[at])[0]["counts"] if m.vocabulary.paths[at] else None
+            context_totals = np.zeros(own + len(m.frequent), np.int64)
+            if own:
+                context_totals[:own] = np.diff(words.access(np.arange(own)).astype(np.int64), prepend=0)
+            context_totals[own:] = m.frequent_counts
+            frequent_kinds, levels = np.zeros(len(context_totals), np.int64), {k: _Level() for k in range(2, order + 1)}
+
+        def run():
             columns = [np.concatenate([w[0][k] for w in waiting]) for k in range(order)]
             counts = np.concatenate([w[1] for w in waiting])
             waiting.clear()
             columns[0] = m.local(at, columns[0].astype(np.int64) - 1)
             columns, counts = _summed(columns, counts, bits)
-            own = int(m.vocabulary.offsets[at + 1] - m.vocabulary.offsets[at])
-            words = _open(m.folder, m.vocabulary.paths[at])[0]["counts"] if m.vocabulary.paths[at] else None
-            totals = np.zeros(own + len(m.frequent), np.int64)
-            if own:
-                totals[:own] = np.diff(words.access(np.arange(own)).astype(np.int64), prepend=0)
-            totals[own:] = m.frequent_counts
             # entries of each level: runs of rows that are alike up to its word
-            context, sequences, plain, frequent_kinds = columns[0], {}, {}, None
+            context, totals = columns[0], context_totals
             for k in range(2, order + 1):
                 word = columns[k - 1]
                 if k > 2:
                     there = word > 0
                     columns, context, counts, word = [c[there] for c in columns], context[there], counts[there], word[there]
-                if not len(word):
-                    break
-                new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+                new = np.ones(len(word), bool)
+                new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
                 first = np.flatnonzero(new)
-                summed = np.add.reduceat(counts, first)
-                found, shares, kinds = _level(context[first], word[first].astype(np.uint64) - U1, summed, totals)
-                sequences |= {f"{name}{k}": sequence for name, sequence in found.items()}
-                plain[f"shares{k}"] = shares
+                summed = np.add.reduceat(counts, first) if len(first) else counts
+                kinds = levels[k].add(context[first], word[first].astype(np.uint64) - U1, summed, totals)
                 if k == 2:
-                    frequent_kinds = kinds[own:]
+                    np.add(frequent_kinds, kinds, out=frequent_kinds)
                 else:
-                    weight = np.clip(np.round(-np.log10(DISCOUNT * np.maximum(kinds, 1) / np.maximum(totals, 1)) * STEPS), 0, 65534)
-                    plain[f"weights{k}"] = np.where(kinds > 0, weight, 65535).astype(np.uint16)
+                    levels[k].weigh(kinds, totals)
                 # contexts of the next level: entries seen often enough
                 entry = np.cumsum(new) - 1
                 often = (summed >= CONTEXT_COUNT)[entry]
@@ -519,15 +581,30 @@ def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
                 if k < order:
                     follows = columns[k] > 0
                     totals += np.bincount(context[follows], counts[follows], len(first)).astype(np.int64)
+
+        def out():
+            sequences, plain = {}, {}
+            levels[2].kinds.append(frequent_kinds)
+            for k, level in levels.items():
+                if level.values:
+                    sequences |= {f"{name}{k}": sequence for name, sequence in level.sequences().items()}
+                    plain[f"shares{k}"] = np.concatenate(level.shares)
+                    if k > 2:
+                        plain[f"weights{k}"] = np.concatenate(level.weights)
             path = _save(m.folder, f"grams-{at}", sequences, plain)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [path], "kinds": pa.array([frequent_kinds.tolist()], pa.list_(pa.int64()))})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [path], "kinds": pa.array([frequent_kinds[own:].tolist()], pa.list_(pa.int64()))})
 
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, n, wide = (batch.column(c)[i].as_py() for c in ("shard", "grams", "wide"))
-                if at is not None and shard != at:
-                    yield out()
-                at = shard
+                shard, of, n, wide = (batch.column(c)[i].as_py() for c in ("shard", "part", "grams", "wide"))
+                if waiting and (shard, of) != (at, part):
+                    run()
+                if shard != at:
+                    if at is not None:
+                        yield out()
+                    at = shard
+                    begin()
+                part = of
                 raw = np.frombuffer(pa.decompress(batch.column("block")[i].as_buffer(), (order * width + wide) * n, "zstd"), np.uint8)
                 columns = [_from_planes(raw[k * width * n : (k + 1) * width * n], n, width) for k in range(order)]
                 columns[0] = np.cumsum(columns[0])
@@ -535,10 +612,11 @@ def _build_levels(docs: DataFrame, text: str, model: Model) -> DataFrame:
                     columns = [c.astype(np.uint32) for c in columns]
                 waiting.append((columns, _from_planes(raw[order * width * n :], n, wide).astype(np.int64)))
         if waiting:
+            run()
             yield out()
 
-    blocks = map_arrow(docs.select(text), gather, "shard int, grams long, wide int, block binary")
-    dealt = blocks.repartition(shards, "shard").sortWithinPartitions("shard")
+    blocks = map_arrow(docs.select(text), gather, "shard int, part int, grams long, wide int, block binary")
+    dealt = blocks.repartition(shards, "shard").sortWithinPartitions("shard", "part")
     return table(map_arrow(dealt, build, "shard int, path string, kinds array<long>"), "lm-levels")
 
 
@@ -576,60 +654,84 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_tokens: i
     return model
 
 
+def _successors(model: Model, k: int, shard: np.ndarray, own: np.ndarray, total: np.ndarray | None, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (-1: unseen) looked up behind contexts on level k: contexts in the order of their shards, with their numbers there and
+    their counts (on level 2); each one's words lie together, from first on. The weight of each context's shorter context, and the share and
+    the place (-1 if not there) of each word."""
+    weight, share, place = np.ones(len(own)), np.zeros(len(words)), np.full(len(words), -1, np.int64)
+    touched, starts = _runs(shard)
+    for s, a, b in zip(touched.tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)], strict=False):
+        size = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])
+        path, local = model.levels[s], own[a:b]
+        if not path:
+            # no n-gram fell to this shard, but words behind frequent contexts, unseen there, may be looked for in it
+            often = np.flatnonzero(local >= size)
+            weight[a + often] = DISCOUNT * model.frequent_kinds[local[often] - size] / total[a + often]
+            continue
+        sequences, arrays = _open(model.folder, path)
+        if f"pointers{k}" not in sequences:
+            continue
+        begin, end = sequences[f"pointers{k}"].ends(local)
+        if k == 2:
+            kinds, often = end - begin, np.flatnonzero(local >= size)
+            kinds[often] = model.frequent_kinds[local[often] - size]
+            weight[a:b] = DISCOUNT * kinds / total[a:b]
+        else:
+            stored = arrays[f"weights{k}"][local]
+            weight[a:b] = np.where(stored < 65535, _POWERS[stored], 1.0)
+        base = np.zeros(b - a, np.uint64)
+        some = np.flatnonzero((begin > 0) & (begin < end))
+        base[some] = sequences[f"successors{k}"].access(begin[some] - 1) + U1
+        behind = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
+        known = np.flatnonzero((words[first[a] : first[b]] >= 0) & (begin < end)[behind])
+        behind, known = behind[known], known + first[a]
+        at = sequences[f"successors{k}"].find(base[behind] + words[known].astype(np.uint64), begin[behind], end[behind])
+        hit = np.flatnonzero(at >= 0)
+        share[known[hit]], place[known[hit]] = _POWERS[arrays[f"shares{k}"][at[hit]]], at[hit]
+    return weight, share, place
+
+
 def _probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """p of each token after the words before it."""
     p = model.unigram(counts)
-    context = _contexts(ids, limits, model.start)
-    total = np.empty_like(counts)
-    total[1:] = counts[:-1]
-    total[limits[:-1]] = model.texts
+    inner = np.ones(len(ids), bool)
+    inner[limits[:-1]] = False
+    bits = (model.start + 1).bit_length()
     # where each token was found on the level before, as the context of the token behind it
-    place, shard = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
-    seen = np.flatnonzero((context >= 0) & (total > 0))
-    shard[seen] = model.pair_shard(context[seen], ids[seen])
+    place = home = np.zeros(0, np.int64)
     for k in range(2, model.order + 1):
-        if k > 2:
-            before = np.full(len(ids), -1, np.int64)
-            before[1:] = place[:-1]
-            before[limits[:-1]] = -1
-            home = np.full(len(ids), -1, np.int64)
-            home[1:] = shard[:-1]
-            seen = np.flatnonzero(before >= 0)
-            place, shard = np.full(len(ids), -1, np.int64), home
-        by_shard = seen[_by_shard(shard[seen], len(model.levels))]
-        touched, starts = _runs(shard[by_shard])
-        for s, mine in zip(touched.tolist(), np.split(by_shard, starts[1:]), strict=False):
-            path = model.levels[s]
-            if not path:
-                # no n-gram fell to this shard, but words behind frequent contexts, unseen there, may be looked for in it
-                words = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])
-                number = model.local(s, context[mine]) - words
-                p[mine] *= np.where(number >= 0, DISCOUNT * model.frequent_kinds[np.maximum(number, 0)] / total[mine], 1.0)
-                continue
-            sequences, arrays = _open(model.folder, path)
-            if f"pointers{k}" not in sequences:
-                continue
-            own = model.local(s, context[mine]) if k == 2 else before[mine]
-            local, back = np.unique(own, return_inverse=True)
-            begin, end = sequences[f"pointers{k}"].ends(local)
-            kinds = end - begin
-            if k == 2:
-                words = int(model.vocabulary.offsets[s + 1] - model.vocabulary.offsets[s])
-                kinds[local >= words] = model.frequent_kinds[local[local >= words] - words]
-                weight = DISCOUNT * kinds[back] / total[mine]
-            else:
-                stored = arrays[f"weights{k}"][local]
-                weight = np.where(stored < 65535, 10.0 ** (-stored.astype(np.float64) / STEPS), 1.0)[back]
-            base = np.zeros(len(local), np.uint64)
-            some = begin > 0
-            base[some] = sequences[f"successors{k}"].access(begin[some] - 1) + U1
-            known = np.flatnonzero((ids[mine] >= 0) & (begin[back] < end[back]))
-            at = sequences[f"successors{k}"].find(base[back[known]] + ids[mine[known]].astype(np.uint64), begin[back[known]], end[back[known]])
-            share = np.zeros(len(mine))
-            hit = at >= 0
-            share[known[hit]] = 10.0 ** (-arrays[f"shares{k}"][at[hit]].astype(np.float64) / STEPS)
-            p[mine] = share + weight * p[mine]
-            place[mine[known[hit]]] = at[hit]
+        if k == 2:
+            own = _contexts(ids, limits, model.start)
+            total = np.where(inner, np.roll(counts, 1), model.texts)
+            seen = np.flatnonzero((own >= 0) & (total > 0))
+            own, total = own[seen], total[seen]
+            shard = model.pair_shard(own, ids[seen])
+            own = model.local(shard, own)
+        else:
+            seen = np.flatnonzero((place[:-1] >= 0) & inner[1:]) + 1
+            shard, own = home[seen - 1], place[seen - 1]
+        if not len(seen):
+            break
+        # each context and word is looked up once, in order, so that lookups go through a shard's file from its head to its end
+        width = int(own.max()) + 1
+        contexts, words = shard * width + own, ids[seen] + 1
+        del shard, own, place, home
+        if int(contexts.max()).bit_length() + bits <= 64:
+            order = np.argsort((contexts << bits | words).view(np.uint64))
+        else:
+            order = np.lexsort((words, contexts))
+        contexts, words, seen = contexts[order], words[order], seen[order]
+        other = np.concatenate([[True], contexts[1:] != contexts[:-1]])
+        new = other | np.concatenate([[True], words[1:] != words[:-1]])
+        row = np.flatnonzero(new)
+        first = np.flatnonzero(other[row])
+        shard, own = np.divmod(contexts[row[first]], width)
+        weight, share, found = _successors(model, k, shard, own, total[order[row[first]]] if k == 2 else None, np.append(first, len(row)), words[row] - 1)
+        del contexts, words, order
+        at, of = np.cumsum(new) - 1, np.cumsum(other) - 1
+        p[seen] = share[at] + weight[of] * p[seen]
+        place, home = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
+        place[seen], home[seen] = found[at], shard[of]
     return p
 
 
@@ -643,13 +745,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for batch in batches:
-            for first, last, tokens, limits in _parts(batch.column(text)):
-                ids, counts = _ids(m.vocabulary, tokens)
-                base, log = np.log10(m.unigram(counts)), np.log10(_probabilities(m, ids, counts, limits))
-                sums = [np.add.reduceat(x, limits[:-1]) for x in ((counts > 0).astype(np.int64), base, log)]
-                rows = batch.slice(first, last - first)
-                columns = [pa.array(np.diff(limits)), pa.array(sums[0]), pa.array(np.full(last - first, m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *columns], names=schema.names)
+        for tokens, limits, parts in _together(batches, text, SCORED):
+            ids, counts = _ids(m.vocabulary, tokens)
+            del tokens
+            sums = [np.add.reduceat(x, limits[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(m.unigram(counts)))]
+            sums.append(np.add.reduceat(np.log10(_probabilities(m, ids, counts, limits)), limits[:-1]))
+            columns = [pa.array(np.diff(limits)), pa.array(sums[0]), pa.array(np.full(len(limits) - 1, m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            del ids, counts
+            at = 0
+            for rows in parts:
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *[c.slice(at, rows.num_rows) for c in columns]], names=schema.names)
+                at += rows.num_rows
 
     return map_arrow(docs, run, schema)

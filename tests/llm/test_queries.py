@@ -332,6 +332,57 @@ def test_ngram_shards(spark, docs):
     assert scores[0] == scores[1] and len(scores[0]) == 62
 
 
+def test_elias_fano():
+    """Lookups equal those in plain arrays: runs of equal and near values, wide gaps, hashes, one value, none."""
+    import numpy as np
+
+    from marlspike.llm.ngram_lm import EliasFano
+
+    draw = np.random.default_rng(7)
+    far = np.sort(draw.integers(0, 1 << 40, 3000, np.uint64))
+    cases = [np.unique(draw.integers(0, 1 << 64, 5000, np.uint64)), np.arange(700, dtype=np.uint64), far, np.array([1 << 63], np.uint64), np.zeros(200, np.uint64), np.zeros(0, np.uint64)]
+    cases.append(np.unique(np.concatenate([np.arange(500, dtype=np.uint64), far[:50], far[100] + np.arange(5000, dtype=np.uint64)])))
+    for values in cases:
+        sequence = EliasFano.build(values, finds=True)
+        every = np.arange(len(values))
+        assert (sequence.access(every) == values).all()
+        if not len(values) or int(values[-1]) < 1 << 62:
+            here, after = sequence.ends(every)
+            assert (here == values.astype(np.int64)).all() and (after == np.append(values[1:], values[-1:]).astype(np.int64)).all()
+        if len(np.unique(values)) == len(values):
+            asked = np.concatenate([values, values + np.uint64(1), np.array([0, 1, (1 << 64) - 1], np.uint64)])
+            at = {int(v): i for i, v in enumerate(values)}
+            for begin, end in ((0, len(values)), (len(values) // 3, len(values) // 2)):
+                want = [i if begin <= (i := at.get(int(v), -1)) < end else -1 for v in asked]
+                assert sequence.find(asked, begin, end).tolist() == want
+
+
+def test_ngram_work(spark, monkeypatch):
+    """Small batches are looked up together, an n-gram that comes again once; neither changes a score, nor does cutting shards into runs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from marlspike.llm import ngram_lm as N
+
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(40)) for i in range(30)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = N.fit(rows)
+    _, _, tokens, limits = next(N._parts(pa.array(texts)))
+    once = N._probabilities(model, *N._ids(model.vocabulary, tokens), limits)
+    monkeypatch.setattr(N, "PARTS", 1)
+    whole = N.fit(rows)
+    assert (N._probabilities(whole, *N._ids(whole.vocabulary, tokens), limits) == once).all()
+    asked, keys, find, select = [], [], N.EliasFano.find, N.EliasFano._select
+    monkeypatch.setattr(N.EliasFano, "find", lambda self, value, *a: asked.append(len(value)) or find(self, value, *a))
+    monkeypatch.setattr(N.EliasFano, "_select", lambda self, k, *a: keys.append(len(k)) or select(self, k, *a))
+    N._probabilities(model, *N._ids(model.vocabulary, tokens), limits)
+    values, places = sum(asked), sum(keys)
+    _, _, tokens, limits = next(N._parts(pa.array(texts * 50)))
+    again = N._probabilities(model, *N._ids(model.vocabulary, tokens), limits)
+    assert (again == np.tile(once, 50)).all()
+    assert sum(asked) == 2 * values and sum(keys) <= 2 * places + 100
+
+
 @pytest.mark.parametrize("order", [2, 4])
 def test_ngram_orders(spark, docs, order):
     """The probabilities of all words (and the end) after a context add up to 1 on every order."""

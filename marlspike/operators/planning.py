@@ -107,7 +107,7 @@ def dt5_next_send(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dt7_five_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.event(spark, sf_dir).groupBy(C.five_minutes(F.col("event_at")).alias("bucket")).agg(F.count(F.lit(1)).alias("events"))
+    return views.event(spark, sf_dir).groupBy(C.stored_five_minutes(F.col("event_at")).alias("bucket")).agg(F.count(F.lit(1)).alias("events"))
 
 
 def t03_common_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ def activity_feed(events: DataFrame, most: int = 8) -> DataFrame:
     for feed, (kind, size) in enumerate(FEEDS):
         top = events.where(F.col("event_type").isin(kind, f"email.{kind}")).orderBy(F.desc("event_at"), F.desc("id")).limit(size).select(F.lit(feed).alias("feed"), F.lit(kind).alias("kind"), "campaign_id", "id", "event_at")
         out = top if out is None else out.unionByName(top)
-    first = F.row_number().over(Window.partitionBy("feed", "campaign_id", C.five_minutes(F.col("event_at"))).orderBy(F.desc("event_at"), F.desc("id")))
+    first = F.row_number().over(Window.partitionBy("feed", "campaign_id", C.stored_five_minutes(F.col("event_at"))).orderBy(F.desc("event_at"), F.desc("id")))
     return out.withColumn("_n", first).where("_n = 1").orderBy(F.desc("event_at"), "feed", F.desc("id")).limit(most).select("kind", "campaign_id", "id", "event_at")
 
 

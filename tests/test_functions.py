@@ -217,3 +217,24 @@ def test_five_minutes_do_not_depend_on_the_session(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got == [(t - dt.datetime(1970, 1, 1)) // dt.timedelta(minutes=5) for t in times]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_five_minute_query_equals_its_sql_at_limits(spark, tmp_path, zone):
+    import duckdb
+
+    from marlspike import catalog
+
+    con = duckdb.connect()
+    # microseconds around the limits of buckets, on both sides of the epoch; far times; none
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, make_timestamp(us) AS ts, i AS user_id, 'view' AS event_type, 1.0 AS value, '{}' AS props FROM (SELECT row_number() OVER () AS i, b::BIGINT * 300000000 + d AS us FROM (SELECT unnest([-200000000, -3, -2, -1, 0, 1, 2, 6000000]) AS b), (SELECT unnest([-1000, -999, -501, -500, -499, -1, 0, 1, 499, 500, 501, 999, 1000, 150000000]) AS d))")
+    con.execute("INSERT INTO events VALUES (1000, NULL, 1, 'view', 1.0, '{}')")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [tuple(r) for r in catalog.queries()["dt7_five_minutes"](spark, str(tmp_path)).select("bucket", "events").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    wanted = con.execute(catalog.oracle_sql()["dt7_five_minutes"]).fetchall()
+    assert sorted(got, key=str) == sorted(wanted, key=str)
